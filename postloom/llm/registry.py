@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from ..session import shipped
+from .op4_mpeg_ts import op4_mpeg_ts
+from .op5_toxicity import op5_toxicity
 from .op6_token_counts import op6_token_counts
 from .op10_chunked_bpe import op10_chunked_bpe
 
 
+_QUERIES = [op4_mpeg_ts, op5_toxicity, op6_token_counts, op10_chunked_bpe]
+
+
 def queries():
-    return {
-        "op6_token_counts": op6_token_counts,
-        "op10_chunked_bpe": op10_chunked_bpe,
-    }
+    return {q.__name__: shipped(q) for q in _QUERIES}
 
 
 def oracle_sql():
