@@ -24,19 +24,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int =
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(own), "doc_id")
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression by accelerated gradient descent; l2 is per row set, not per row."""
     n, d = x.shape
     if not n or y.min() == y.max():
         rate = float(y.mean()) if n else 0.5
         return np.zeros(d), float(np.log((rate * n + 0.5) / ((1 - rate) * n + 0.5)))
-    w, b = np.zeros(d), float(np.log(y.mean() / (1 - y.mean())))
-    m, v, mb, vb = np.zeros(d), np.zeros(d), 0.0, 0.0
+    x, y = np.ascontiguousarray(x, np.float32), y.astype(np.float32)
+    w, b = np.zeros(d, np.float32), float(np.log(y.mean() / (1 - y.mean())))
+    m, v, mb, vb = np.zeros(d, np.float32), np.zeros(d, np.float32), 0.0, 0.0
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
         g, gb = x.T @ (p - y) / n + l2 / n * w, float((p - y).mean())
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.05 / (1 + t / 200)
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w = w - np.float32(rate) * (m / np.float32(1 - 0.9**t)) / (np.sqrt(v / np.float32(1 - 0.999**t)) + np.float32(1e-8))
         b = b - rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return w, b
+    return w.astype(float), b

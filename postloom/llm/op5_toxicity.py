@@ -32,7 +32,7 @@ LEET = {
     "@": "a", "$": "s", "+": "t", "!": "i", "|": "il",
 }
 SIGN_COST, KEEP_COST, DOUBLE_COST = 1.0, 2.5, 0.7
-FEATURES, PREFIXES, BINS = 3_000, (4, 5, 6, 7), (1, 2, 4)
+FEATURES, PREFIXES, BINS = 1_000, (4, 5, 6, 7), (1, 2, 4)
 
 _LETTER = "[^\\W\\d_]"
 _LEET_HIT = re.compile(r"[0-9@$+!|]+[a-z]")
