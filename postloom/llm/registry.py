@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..session import shipped
 from .op1_minhash import op1_minhash
+from .op2_packing import op2_packing
 from .op3_pstable import op3_pstable
 from .op4_mpeg_ts import op4_mpeg_ts
 from .op5_toxicity import op5_toxicity
@@ -12,7 +13,7 @@ from .op7_suffix_index import op7_suffix_index
 from .op8_line_crf import op8_line_crf
 from .op10_chunked_bpe import op10_chunked_bpe
 
-_QUERIES = [op1_minhash, op3_pstable, op4_mpeg_ts, op5_toxicity, op6_token_counts, op7_suffix_index, op8_line_crf, op10_chunked_bpe]
+_QUERIES = [op1_minhash, op2_packing, op3_pstable, op4_mpeg_ts, op5_toxicity, op6_token_counts, op7_suffix_index, op8_line_crf, op10_chunked_bpe]
 
 
 def queries():
