@@ -11,9 +11,10 @@ from .op5_toxicity import op5_toxicity
 from .op6_token_counts import op6_token_counts
 from .op7_suffix_index import op7_suffix_index
 from .op8_line_crf import op8_line_crf
+from .op9_html_trees import op9_html_trees
 from .op10_chunked_bpe import op10_chunked_bpe
 
-_QUERIES = [op1_minhash, op2_packing, op3_pstable, op4_mpeg_ts, op5_toxicity, op6_token_counts, op7_suffix_index, op8_line_crf, op10_chunked_bpe]
+_QUERIES = [op1_minhash, op2_packing, op3_pstable, op4_mpeg_ts, op5_toxicity, op6_token_counts, op7_suffix_index, op8_line_crf, op9_html_trees, op10_chunked_bpe]
 
 
 def queries():
