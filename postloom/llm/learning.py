@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +44,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 300
         w = w - np.float32(rate) * (m / np.float32(1 - 0.9**t)) / (np.sqrt(v / np.float32(1 - 0.999**t)) + np.float32(1e-8))
         b = b - rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
     return w.astype(float), b
+
+
+def with_score(docs: DataFrame, make: Callable[[], Callable[[list[str]], np.ndarray]], text_col: str, score_col: str) -> DataFrame:
+    """All rows and columns of docs and a score of their text; make() builds the scorer once per task."""
+    if score_col in docs.columns:
+        raise ValueError(f"docs has a column {score_col} already")
+
+    def run(batches):
+        score = make()
+        for b in batches:
+            texts = ["" if t is None else t for t in b.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score(texts), pa.float64())], [*b.schema.names, score_col])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{schema}, `{score_col}` double")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Memo, held_out_column
-from .learning import TRAIN_ROWS, fit_logistic, labelled_sample
+from .learning import TRAIN_ROWS, fit_logistic, labelled_sample, with_score
 
 #: What a sign may stand for (the channel's substitutions).
 LEET = {
@@ -239,26 +239,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
     return {"chars": chars, "features": features, "weights": w.reshape(-1, len(BINS)), "bias": bias}
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score): narrow, the model travels with the tasks (some hundred kB)."""
+def score_rows(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """All rows and columns of docs with their score: narrow, the model travels with the tasks (some hundred kB)."""
 
-    def run(batches):
+    def make():
         r, of = Restorer(model["chars"]), _chosen(model["features"])
         # weight of a feature seen k times, k up to the last bin
         table = [[sum(row[j] for j, least in enumerate(BINS) if k >= least) for k in range(BINS[-1] + 1)] for row in model["weights"].tolist()]
-        for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                t = model["bias"]
-                for f, k in sorted(_counts(text_words(r.restore(text or "")), of).items()):
-                    t += table[f][min(k, BINS[-1])]
-                out.append(1 / (1 + np.exp(-max(-30.0, min(30.0, t)))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+        def one(text: str) -> float:
+            t = model["bias"]
+            for f, k in sorted(_counts(text_words(r.restore(text)), of).items()):
+                t += table[f][min(k, BINS[-1])]
+            return float(1 / (1 + np.exp(-max(-30.0, min(30.0, t)))))
+
+        return lambda texts: np.array([one(t) for t in texts])
+
+    return with_score(docs, make, text_col, score_col)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).select("doc_id", held_out_column("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score_rows(docs, model).select(F.col("doc_id").cast("long").alias("doc_id"), held_out_column("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -89,7 +89,8 @@ def _zipped(batches):
     c = zstandard.ZstdCompressor(level=3, write_content_size=True)
     for b in batches:
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([c.compress(r) for r in raw], pa.binary())], ["doc_id", "zipped"])
+        rest = [n for n in b.schema.names if n not in ("doc_id", "text")]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([c.compress(r) for r in raw], pa.binary()), *(b.column(n) for n in rest)], ["doc_id", "zipped", *rest])
 
 
 def _asked(buckets: int, length: int, gram: int):
@@ -339,11 +340,13 @@ def _left(batches):
         for (doc, raw), packed in zip(_raw(b), b.column("packed").to_pylist(), strict=True):
             runs = merged_runs(packed or [], len(raw))
             rows.append((doc, len(raw), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), kept_bytes(raw, runs)))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+        rest = [n for n in b.schema.names if n not in ("doc_id", "zipped", "packed")]
+        yield pa.RecordBatch.from_arrays([*arrays, *(b.column(n) for n in rest)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *rest])
 
 
-def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row."""
+def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row, and the columns that carry names (as -> column)."""
     scratch = Scratch(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -352,11 +355,15 @@ def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH,
     asked = texts.mapInArrow(_asked(buckets, length, gram), "bucket int, docs binary, hashes binary")
     shared = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "doc_id long, packed binary")
     shared = shared.groupBy("doc_id").agg(F.collect_list("packed").alias("packed"))
+    extra = docs.select(*(F.col(c).alias(a) for a, c in (carry or {}).items())).schema.fields
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
     zipped = texts.mapInArrow(_zipped, "doc_id long, zipped binary")
     pieces = zipped.join(shared, "doc_id").mapInArrow(_pieces(buckets, length, gram), "bucket int, docs binary, starts binary, sizes binary, text binary")
     covered = pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_covered(length, batch), "doc_id long, packed binary")
     covered = scratch.save(covered.groupBy("doc_id").agg(F.collect_list("packed").alias("packed")), "covered")
-    return zipped.join(covered, "doc_id", "left").mapInArrow(_left, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(a) for a, c in (carry or {}).items()))
+    whole = whole.mapInArrow(_zipped, f"doc_id long, zipped binary{more}")
+    return whole.join(covered, "doc_id", "left").mapInArrow(_left, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary{more}")
 
 
 def op7_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out_column
-from .learning import TRAIN_ROWS, fit_logistic, labelled_sample
+from .learning import TRAIN_ROWS, fit_logistic, labelled_sample, with_score
 
 _CLASS = np.zeros(256, np.uint8)  # 0 other, then as in _NAMES
 for _c in range(256):
@@ -177,24 +177,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     return {"w": w, "trans": trans, "curve": (float(max(0.2, slope[0])), float(offset)), "rate": rate}
 
 
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score)."""
+def score_rows(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """All rows and columns of docs with their score."""
 
-    def run(batches):
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            if model["w"] is None:
-                out = np.full(len(texts), model["rate"])
-            else:
-                mean = np.concatenate([document_means(texts[i : i + 500], model["w"], model["trans"]) for i in range(0, len(texts), 500)]) if texts else np.zeros(0)
-                slope, offset = model["curve"]
-                out = np.where(np.isnan(mean), model["rate"], 1 / (1 + np.exp(-(slope * (np.nan_to_num(mean) * 8 - 4) + offset))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], ["doc_id", "score"])
+    def scores(texts: list[str]) -> np.ndarray:
+        if model["w"] is None or not texts:
+            return np.full(len(texts), model["rate"])
+        mean = np.concatenate([document_means(texts[i : i + 500], model["w"], model["trans"]) for i in range(0, len(texts), 500)])
+        slope, offset = model["curve"]
+        return np.where(np.isnan(mean), model["rate"], 1 / (1 + np.exp(-(slope * (np.nan_to_num(mean) * 8 - 4) + offset))))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return with_score(docs, lambda: scores, text_col, score_col)
 
 
 def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).select("doc_id", held_out_column("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return score_rows(docs, model).select(F.col("doc_id").cast("long").alias("doc_id"), held_out_column("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
