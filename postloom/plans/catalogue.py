@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from ..session import shipped
+from . import graph_queries, pair_queries, reader_queries, text_queries, upkeep_queries
+
+_MODULES = [text_queries, pair_queries, graph_queries, reader_queries, upkeep_queries]
+
 
 def queries():
-    return {}
+    return {name: shipped(f) for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
