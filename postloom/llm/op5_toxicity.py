@@ -3,7 +3,7 @@
 1. A character trigram model is counted over all documents (pre-aggregated per task, then summed).
 2. Spans that the channel can have made - leet signs before letters, letters repeated three times or more, single letters
    set apart - become character lattices: a sign may stand for each letter it resembles or for itself, a run of one letter
-   for one or two of it, separators for nothing. Viterbi search finds the likeliest reading under the trigram model and the
+   for one or two of it, a separator for nothing or the end of a word. Viterbi search finds the likeliest reading under the trigram model and the
    channel's costs. A span with a single reading needs no search: its lattice has one path.
 3. The restored text is scored by a logistic regression over whole words and word beginnings, which are counted by
    distinct word. It is fitted on a bounded labelled sample (learning.TRAIN_ROWS); its features are those whose
@@ -31,7 +31,7 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "+": "t", "!": "i", "|": "il",
 }
-SIGN_COST, KEEP_COST, DOUBLE_COST = 1.0, 2.5, 0.7
+SIGN_COST, KEEP_COST, DOUBLE_COST, SPLIT_COST = 1.0, 2.5, 0.7, 1.0
 FEATURES, PREFIXES, BINS = 1_000, (4, 5, 6, 7), (1, 2, 4)
 
 _LETTER = "[^\\W\\d_]"
@@ -100,7 +100,9 @@ class Restorer:
             c, j = span[i], i + 1
             while j < n and span[j] == c:
                 j += 1
-            if c in LEET:
+            if c in " ._-*":
+                arcs.append([("", 0.0), (" ", SPLIT_COST)])  # set letters apart, or parts two words
+            elif c in LEET:
                 for _ in range(j - i):
                     arcs.append([(x, SIGN_COST) for x in LEET[c]] + [(c, KEEP_COST)])
             elif j - i >= 3:
@@ -149,8 +151,8 @@ class Restorer:
                 start -= 1
             until = _WORD_AROUND.match(lower, start).end()
             found.append(lower[start:until])
-        found += [m.group().replace(m.group(1), "") for m in _SPACED.finditer(lower)]
-        return [self.of[s] for s in found]
+        found += [m.group() for m in _SPACED.finditer(lower)]
+        return [w for s in found for w in self.of[s].split()]
 
     def restore(self, text: str) -> str:
         """The lower-case text with the readings of its suspicious spans after it."""
