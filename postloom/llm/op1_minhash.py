@@ -35,8 +35,8 @@ from .grouped import map_groups
 from .shingles import Shingler
 
 COORDINATES, MATCHES, BLOCK, HUBS, SEED = 64, 36, 512, 32, 77
-#: Members of clusters up to which their ids are broadcast to the scan of texts (some 30 MB); beyond it, a shuffled join.
-BROADCAST_ROWS = 1_000_000
+#: Members of clusters up to which (id, cluster, size) are broadcast to the scan of texts (some 16 MB); beyond it, a shuffled join.
+BROADCAST_ROWS = 200_000
 
 _rng = np.random.default_rng(SEED)
 _XOR = _rng.integers(0, 2**63, size=(256, 1), dtype=np.uint64)
@@ -81,13 +81,17 @@ def _posted(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("doc").to_numpy(), k)), pa.array(keys)], ["doc", "key"])
 
 
-def _with_sets(width: int):
+def _with_sets(width: int, coordinates: int):
+    """Sets and signatures of the members, made again from their texts: that is cheaper than sending either."""
+
     def run(batches):
         shingle = Shingler(width)
         for b in batches:
-            cols = {n: b.column(n) for n in ("doc", "cluster", "size", "sig")}
-            sets = [shingle(t or "").tobytes() for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array(sets, pa.binary())], [*cols, "shingles"])
+            sets = [shingle(t or "") for t in b.column("text").to_pylist()]
+            full = pa.array([len(s) > 0 for s in sets])
+            cols = {n: b.column(n).filter(full) for n in ("doc", "cluster", "size")}
+            sets = [s for s in sets if len(s)]
+            yield pa.RecordBatch.from_arrays([*cols.values(), pa.array([signature(s, coordinates).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], [*cols, "sig", "shingles"])
 
     return run
 
@@ -178,12 +182,10 @@ def near_duplicates(
     cluster = components(spark, prefix.join(heads, "key").select(F.col("doc").alias("a"), F.col("head").alias("b")), scratch, "cand")
     cluster = scratch.save(cluster.select(F.col("v").alias("doc"), F.col("label").alias("cluster")), "cluster")
     sizes = cluster.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    members = scratch.save(cluster.join(sizes, "cluster").join(reps, "doc").select("doc", "cluster", "size", "sig", "digest"), "members")
-    few = members.count() <= BROADCAST_ROWS
-    ids = members.select("doc", "cluster", "size", "sig")
-    # one row of each id holds the member's set: rows of one id and another text are told apart by the signature's digest
+    ids = scratch.save(cluster.join(sizes, "cluster").select("doc", "cluster", "size"), "members")
+    few = ids.count() <= BROADCAST_ROWS
     with_text = texts.join(F.broadcast(ids) if few else ids, texts["doc_id"] == ids["doc"])
-    sets = scratch.save(with_text.select("doc", "cluster", "size", "sig", "text").mapInArrow(_with_sets(width), "doc long, cluster long, size long, sig binary, shingles binary"), "sets")
+    sets = scratch.save(with_text.select("doc", "cluster", "size", "text").mapInArrow(_with_sets(width, coordinates), "doc long, cluster long, size long, sig binary, shingles binary"), "sets")
     sets = sets.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
 
     hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("doc", F.lit(SEED)), F.col("size")) < HUBS)
