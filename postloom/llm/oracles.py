@@ -19,7 +19,8 @@ n as (select a, count(*) as n from link group by a)
 select vec_id, coalesce(n, 0) as n_links, coalesce(c, vec_id) as component_id, coalesce(c, vec_id) = vec_id as kept from embeddings left join n on a = vec_id left join label on v = vec_id"""
 
 OP7 = """with b as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents), s as (select doc_id, h, length(h) // 2 as n from b),
-p as (select doc_id, pos, substr(h, 2 * pos + 1, 100) as g from (select doc_id, h, unnest(range(0, n - 49)) as pos from s) x),
+q as (select doc_id, n, block, substr(h, 2 * block + 1, 2098) as part from (select doc_id, h, n, unnest(range(0, n - 49, 1000)) as block from s) x),
+p as (select doc_id, block + k as pos, substr(part, 2 * k + 1, 100) as g from (select doc_id, block, part, unnest(range(0, least(1000, n - 49 - block))) as k from q) x),
 f as (select g, min(doc_id) as first from p group by g),
 c as (select p.doc_id, pos from p join f using (g) where p.doc_id > first),
 m as (select doc_id, pos, case when pos - lag(pos) over (partition by doc_id order by pos) <= 50 then 0 else 1 end as new from c),
