@@ -210,3 +210,61 @@ def rank_score(semantic: str, distance: str, sources: str, score: str, age_hours
         f"0.35D * {c(semantic)} + 0.20D * ({g}) + 0.15D * {c(f'{sources} / 12.0D')} + 0.10D * {c(f'{score} / 10.0D')} + "
         f"0.10D * {c(f'1.0D - greatest(0.0D, {age_hours}) / 336.0D')} + 0.10D * {c(personal)}"
     )
+
+
+def entity_tokens(names: str) -> str:
+    """Normalised names and their parts of three characters or more."""
+    return f"array_distinct(flatten(transform(filter(transform({names}, n -> {normal_entity('n')}), n -> n <> ''), n -> concat(array(n), filter(split(n, ' '), p -> length(p) >= 3)))))"
+
+
+def light_entities(x: str, limit: int = 12) -> str:
+    """Quoted spans, then runs of up to four capitalised words, each once; at most limit of them."""
+    quoted_ = f"transform(regexp_extract_all(coalesce({x}, ''), {quoted('[«\"“]([^»\"”]{2,80})[»\"”]')}, 1), v -> trim(v))"
+    run = rf"(?<![{WORD}])([A-ZА-ЯЁ][{WORD}\-]*(?:\s+[A-ZА-ЯЁ][{WORD}\-]*){{0,3}})(?![{WORD}])"
+    named = f"filter(transform(regexp_extract_all(coalesce({x}, ''), {quoted(run)}, 1), v -> trim(v)), v -> length(v) >= 3)"
+    return f"slice(array_distinct(concat({quoted_}, {named})), 1, {limit})"
+
+
+def significant_tokens(x: str) -> str:
+    found = rf"regexp_extract_all(lower(coalesce({x}, '')), '[{WORD}\-]{{2,}}', 0)".replace("\\", "\\\\")
+    return rf"array_distinct(filter({found}, t -> t not in ({word_list(V.SEARCH_STOP)}) and not regexp_like(t, '^\\p{{Nd}}+$')))"
+
+
+def faithful(query: str, answer: str, evidence: str) -> str:
+    """False where the answer repeats a query token of five letters or more that the evidence does not have."""
+    return f"not exists({significant_tokens(query)}, t -> length(t) >= 5 and contains(lower({answer}), t) and not contains(lower({evidence}), t))"
+
+
+def relevant(query: str, blob: str, similarity: str) -> str:
+    """Token overlap gate: one hit of one or two tokens, else half of them; similarity 0.45 passes anyway."""
+    t = f"filter({significant_tokens(query)}, t -> length(t) >= 3)"
+    return f"element_at(transform(array({t}), m -> size(m) = 0 or {similarity} >= 0.45 or size(filter(m, t -> contains(lower({blob}), t))) >= if(size(m) <= 2, 1, greatest(1, cast(floor(size(m) / 2) as int)))), 1)"
+
+
+def title_case(x: str) -> str:
+    """Titles that are mostly capitals are rewritten: brands by the list, short acronyms kept, other words capitalised."""
+    t = f"trim(coalesce({x}, ''))"
+    letters, upper = rf"length(regexp_replace({t}, '[^\\p{{L}}]', ''))", rf"length(regexp_replace({t}, '[^\\p{{Lu}}]', ''))"
+    brand = "element_at(map(" + ", ".join(f"'{k}', '{v}'" for k, v in V.BRANDS.items()) + "), w)"
+    word = f"case when w in ({word_list(list(V.BRANDS))}) then {brand} when length(w) <= 2 and regexp_like(w, '^[^0-9]+$') then upper(w) else concat(upper(left(w, 1)), substring(w, 2)) end"
+    return f"case when {letters} > 0 and {upper} >= 0.65D * {letters} then array_join(transform(split(lower({t}), ' '), w -> {word}), ' ') else {t} end"
+
+
+def stage_percent(stage: str, done: str, total: str) -> str:
+    """Progress of a job whose stages have weights; within a stage by its tasks. 100 only when done."""
+    base, case = 0, []
+    for name, weight in V.STAGES[:-1]:
+        case.append(f"when '{name}' then {base} + {weight} * if({total} > 0, least(1D, greatest(0D, {done} / cast({total} as double))), 0D)")
+        base += weight
+    return f"case {stage} when 'done' then 100 else cast(greatest(0, least(99, case {stage} {' '.join(case)} else 0 end)) as int) end"
+
+
+def clean_weights(weights: str) -> str:
+    """Weights of the known themes, 1 to 5, 3 where there is none."""
+    return f"map_from_arrays(array({word_list(V.THEMES)}), transform(array({word_list(V.THEMES)}), k -> greatest(1, least(5, coalesce(try_element_at({weights}, k), 3)))))"
+
+
+def enabled_themes(raw: str) -> str:
+    """Known themes of an old list, in order, each once; none, or eight and more, means all."""
+    known = f"array_distinct(transform({raw}, x -> {normal_theme('x')}))"
+    return f"case when coalesce(size({raw}), 0) <= 0 then array({word_list(V.THEMES)}) when size({known}) >= 8 then array_distinct(concat({known}, array({word_list(V.THEMES)}))) else {known} end"

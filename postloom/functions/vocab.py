@@ -123,4 +123,10 @@ SEED_EDGES = [
     ("iPhone 18", "iPhone", "SUCCESSOR_OF"), ("iPhone 18 Pro", "Apple", "PART_OF"), ("ChatGPT", "OpenAI", "PART_OF"), ("Claude", "Anthropic", "PART_OF"), ("Cursor", "AI", "USES"), ("Cursor", "Programming", "RELATED_TO"),
     ("Sam Altman", "OpenAI", "WORKS_AT"), ("Tim Cook", "Apple", "WORKS_AT"), ("Jensen Huang", "NVIDIA", "WORKS_AT"),
 ]
+SEARCH_STOP = [
+    "что", "как", "про", "для", "или", "это", "было", "были", "новые", "новости", "the", "and", "for", "with", "what", "about", "new", "news", "week", "month", "сегодня", "неделя", "неделю", "месяц", "месяца", "за", "по", "с",
+    "лучш", "лучшие", "нейросети", "happened", "neuen", "nuevo", "почему", "why",
+]
+STAGES = [("queued", 0), ("connect", 5), ("fetch", 25), ("clean", 10), ("dedupe", 5), ("ai", 40), ("relations", 10), ("save", 5), ("done", 100)]
+BACKFILL_LIMITS = {1: 200, 2: 400, 7: 800, 14: 1200, 30: 2000}
 # End of the fixed values.
