@@ -39,3 +39,53 @@ def recommended(news: DataFrame, links: DataFrame, states: DataFrame, top_nodes:
     c = c.join(news.where("status = 'active'").select("event_id", "importance"), "event_id")
     w = Window.partitionBy("user_id").orderBy(F.desc("importance"), "event_id")
     return c.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).select("user_id", "event_id", F.round("importance", 6).alias("importance"))
+
+
+def collapsed(lists: DataFrame, near: DataFrame) -> DataFrame:
+    """(list_id, place, id) of ranked lists without near-duplicates: the first of a story stays at its place, but a later one with
+    more sources takes that place over. lists: (list_id, place, id, sources), each a page that its query has cut to a fixed
+    number of rows; near: (a, b) of near-duplicates. The fold is over one page at a time."""
+    import pandas as pd
+
+    both = near.select("a", "b").unionAll(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("like"))
+    rows = lists.join(both, "id", "left").select("list_id", "place", "id", "sources", F.coalesce("like", F.array().cast("array<long>")).alias("like"))
+
+    def fold(page: pd.DataFrame) -> pd.DataFrame:
+        kept: list[list] = []  # place, id, sources
+        for r in page.sort_values("place").itertuples():
+            same = set(r.like)
+            hit = next((k for k in kept if k[1] in same), None)
+            if hit is None:
+                kept.append([r.place, r.id, r.sources])
+            elif r.sources > hit[2]:
+                hit[1:] = [r.id, r.sources]
+        return pd.DataFrame({"list_id": page["list_id"].iloc[0], "place": [k[0] for k in kept], "id": [k[1] for k in kept]})
+
+    return rows.groupBy("list_id").applyInPandas(fold, "list_id string, place long, id long")
+
+
+def distinct_trends(ranked: DataFrame, nodes: DataFrame, limit: int, width: int = 5, shared: int = 2) -> DataFrame:
+    """(event_id, place): a ranked list (event_id, place), cut to a fixed number by its query, taken in order; an event is skipped if its
+    first nodes are those of an earlier one or share two and more with them. Events without nodes stay. At most limit rows."""
+    import pandas as pd
+
+    w = Window.partitionBy("event_id").orderBy("node_id")
+    first = nodes.join(ranked.select("event_id"), "event_id", "left_semi").withColumn("k", F.row_number().over(w)).where(F.col("k") <= width)
+    sets = first.groupBy("event_id").agg(F.collect_set("node_id").alias("nodes"))
+    rows = ranked.join(sets, "event_id", "left").select(F.lit(0).alias("one"), "event_id", "place", F.coalesce("nodes", F.array().cast("array<long>")).alias("nodes"))
+
+    def take(page: pd.DataFrame) -> pd.DataFrame:
+        used: list[frozenset] = []
+        out = []
+        for r in page.sort_values("place").itertuples():
+            own = frozenset(r.nodes)
+            if own and any(own == u or len(own & u) >= shared for u in used):
+                continue
+            if own:
+                used.append(own)
+            out.append((r.event_id, r.place))
+            if len(out) == limit:
+                break
+        return pd.DataFrame(out, columns=["event_id", "place"])
+
+    return rows.groupBy("one").applyInPandas(take, "event_id long, place long")

@@ -193,3 +193,25 @@ def answer_gates(spark, d):
 def merged_with_sources(spark, d):
     c = links(spark, d).groupBy("event_id").agg(F.count(F.lit(1)).alias("sources")).where("sources >= 3")
     return news(spark, d).where("status = 'merged'").select("event_id").join(c, "event_id")
+
+
+@query()
+def feed_collapse(spark, d):
+    """Each channel's page of its 20 longest stories without near-duplicates; tested against a plain loop."""
+    from ..operators.readers import collapsed
+
+    items = P.stories(posts(spark, d))
+    page = items.join(posts(spark, d).select(F.col("id").alias("rep"), "channel"), "rep").withColumn("place", F.row_number().over(Window.partitionBy("channel").orderBy(F.desc(F.length("blob")), "rep")))
+    page = page.where("place <= 20").select(F.col("channel").alias("list_id"), F.col("place").cast("long").alias("place"), F.col("rep").alias("id"), F.col("n_posts").alias("sources"))
+    return collapsed(page, P.near_duplicates(items))
+
+
+@query()
+def trends_distinct(spark, d):
+    """The ten first of the 200 strongest trends that do not share their nodes; tested against a plain loop."""
+    from ..operators.readers import distinct_trends
+    from .reader_queries import trends_top
+
+    t = trends_top(spark, d)
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("n_nodes"), F.desc("importance"), "event_id")  # 200 rows
+    return distinct_trends(t.withColumn("place", F.row_number().over(w).cast("long")).select("event_id", "place"), links(spark, d), 10)
