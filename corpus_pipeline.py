@@ -52,12 +52,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that with the smallest id. Rows of one id are one document."""
     ship(spark)
-    found = Scratch(spark).save(op1_minhash.near_duplicates(spark, docs, width=WORDS, percent=PERCENT).where("doc_id is not null").select("doc_id", "kept"), "found")
-    kept = found.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null"))
+    found = op1_minhash.near_duplicates(spark, docs, width=WORDS, percent=PERCENT).where("doc_id is not null")
+    status = Scratch(spark).save(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "status")
+    gone = status.where("not kept").select(F.col("doc_id").alias("gone"))
+    few = gone.count() <= op1_minhash.BROADCAST_ROWS  # some MB of ids; beyond it the texts are shuffled
+    rows = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    if status.where("n > 1").isEmpty():
+        return rows
+    return rows.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id is null"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
