@@ -40,12 +40,36 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a pre-token
+        self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.bound, self.older = bound, {}
         self.of: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct words. A word of letters alone is one pre-token, whose last id is the only one that closes one: many such
+        words are encoded as one text, which takes half the time."""
+        out: dict[bytes, bytes] = {}
+        letters, other = [], []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            (letters if text.isalpha() and text.lower().isalpha() else other).append((w, text))
+        for k in range(0, len(letters), 1_000):
+            part = letters[k : k + 1_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([t for _, t in part])], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.closes[ids]) + 1)).tolist()
+            if len(ends) != len(part):
+                other += part
+                continue
+            raw, at = ids.tobytes(), 0
+            for (w, _), end in zip(part, ends, strict=True):
+                out[w] = raw[at:end]
+                at = end
+        out.update(zip([w for w, _ in other], self._each([t for _, t in other]), strict=True))
+        return out
 
     def learn(self, wanted: set[bytes]) -> None:
         """Adds the ids of words; a word that is letters and then marks is the letters' ids and the marks'."""
@@ -65,8 +89,7 @@ class WordIds:
                     known[p] = older[p]
                 else:
                     new.append(p)
-        for p, ids in zip(new, self._encode(new), strict=True):
-            known[p] = ids
+        known.update(self._encode(new))
         for w, (a, b) in split.items():
             known[w] = known[a] + known[b]
 
