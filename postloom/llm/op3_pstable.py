@@ -22,12 +22,12 @@ import math
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Forest, Scratch, components
+from .grouped import map_groups
 
 TABLES, PROJECTIONS, WIDTH, BLOCK, SEED = 48, 16, 1.6, 512, 20_24
 
@@ -99,18 +99,22 @@ def _postings(batches):
 def _linked(cosine: float):
     """Links inside one group: (vertex, links counted with copies, a neighbour in a spanning forest or itself)."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        t = int(g["tab"].iloc[0])
-        crossing = g["i"].iloc[0] != g["j"].iloc[0]
-        unit, keys = np.stack([np.frombuffer(x, np.float64) for x in g["unit"]]), np.stack([np.frombuffer(x, np.int64) for x in g["keys"]])
-        rep, copies, side = g["rep"].to_numpy(), g["copies"].to_numpy(), (g["block"] == g["j"]).to_numpy()
-        links, forest, edges = np.zeros(len(g), np.int64), Forest(len(g)), []
-        for at in range(0, len(g), 256):
+    def run(rows: pa.Table):
+        if rows.num_rows < 2:
+            return
+        t = rows.column("tab")[0].as_py()
+        unit = np.frombuffer(b"".join(rows.column("unit").to_pylist()), np.float64).reshape(rows.num_rows, -1)
+        keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.int64).reshape(rows.num_rows, -1)
+        rep, copies = rows.column("rep").to_numpy(), rows.column("copies").to_numpy()
+        i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        side = rows.column("block").to_numpy() == j
+        links, forest, edges = np.zeros(len(rep), np.int64), Forest(len(rep)), []
+        for at in range(0, len(rep), 256):
             s = unit[at : at + 256] @ unit.T
             a, b = np.nonzero(s >= cosine - 1e-9)
             a = a + at
             keep = a < b
-            if crossing:
+            if i != j:
                 keep &= side[a] != side[b]
             a, b = a[keep], b[keep]
             for k in range(0, len(a), 65_536):
@@ -125,8 +129,10 @@ def _linked(cosine: float):
                     if forest.union(p, q):
                         edges.append((p, q))
         seen = np.flatnonzero(links)
-        e = np.array(edges, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": np.concatenate([rep[seen], rep[e[:, 0]]]), "b": np.concatenate([rep[seen], rep[e[:, 1]]]), "links": np.concatenate([links[seen], np.zeros(len(e), np.int64)])})
+        if len(seen):
+            e = np.array(edges, np.int64).reshape(-1, 2)
+            out = np.concatenate([rep[seen], rep[e[:, 0]]]), np.concatenate([rep[seen], rep[e[:, 1]]]), np.concatenate([links[seen], np.zeros(len(e), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["a", "b", "links"])
 
     return run
 
@@ -152,7 +158,7 @@ def near_vectors(
         .select("rep", "label", "tab", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         .join(hashed.select("rep", "copies", "unit", "keys"), "rep")
     )
-    found = scratch.save(member.groupBy("label", "tab", "key", "i", "j").applyInPandas(_linked(cosine), "a long, b long, links long"), "found")
+    found = scratch.save(map_groups(member, ["label", "tab", "key", "i", "j"], _linked(cosine), "a long, b long, links long"), "found")
     label_of = components(spark, found.where("a <> b").select("a", "b"), scratch)
     links = found.where("a = b").groupBy("a").agg(F.sum("links").alias("links"))
     per_rep = (
