@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -145,6 +147,27 @@ class Forest:
         return True
 
 
+#: Tables that stay in a Python worker between its tasks, by name.
+_resident: dict[str, object] = {}
+
+
+def resident(name: str, make: Callable[[], object]) -> object:
+    """A table that a Python worker keeps for its next tasks. Workers serve stages of all operators: a table of another name is freed first."""
+    alone(name)
+    if name not in _resident:
+        _resident[name] = make()
+    return _resident[name]
+
+
+def alone(name: str = "") -> None:
+    """Frees the tables that tasks of other stages have left in this Python worker."""
+    others = [k for k in _resident if k != name]
+    for k in others:
+        del _resident[k]
+    if others:
+        gc.collect()  # they hold methods of themselves
+
+
 def arrow_strings(column) -> list[str]:
     """Texts of an Arrow column; null is the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]

@@ -8,12 +8,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import alone
+
 
 def map_groups(df: DataFrame, keys: list[str], one: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """one(rows of a group) for every value of the keys. As applyInPandas, but without a batch for each group, which costs
     more than the work where groups are small. The caller bounds the size of groups."""
 
     def run(batches):
+        alone()
         held: list[pa.RecordBatch] = []
         last = None
         for b in batches:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import alone
+
 #: Labelled rows that a classifier is fitted on, at most (in expectation: rows are chosen by a hash of their id).
 TRAIN_ROWS = 8_000
 
@@ -52,6 +54,7 @@ def with_score(docs: DataFrame, make: Callable[[], Callable[[list[str]], np.ndar
         raise ValueError(f"docs has a column {score_col} already")
 
     def run(batches):
+        alone()
         score = make()
         for b in batches:
             texts = ["" if t is None else t for t in b.column(text_col).to_pylist()]

@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, resident
 from .pretokens import compiled, units
 
 CHUNK, OVERLAP = 65_536, 1_024
@@ -156,9 +155,8 @@ def stitched(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]
     return done
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> RankCodec:
-    return RankCodec(path, pattern)
+    return resident(f"codec {path} {pattern}", lambda: RankCodec(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, components
+from .common import Forest, Scratch, alone, components
 from .grouped import map_groups
 from .shingles import Shingler
 
@@ -59,6 +59,7 @@ def signature(shingles: np.ndarray, coordinates: int = COORDINATES) -> np.ndarra
 
 def _signed(width: int, coordinates: int):
     def run(batches):
+        alone()
         shingle = Shingler(width)
         for b in batches:
             n, digest, sig = [], [], []
@@ -73,6 +74,7 @@ def _signed(width: int, coordinates: int):
 
 
 def _posted(batches):
+    alone()
     for b in batches:
         sigs = [np.frombuffer(x, np.uint32) for x in b.column("sig").to_pylist()]
         if sigs:
@@ -85,6 +87,7 @@ def _with_sets(width: int, coordinates: int):
     """Sets and signatures of the members, made again from their texts: that is cheaper than sending either."""
 
     def run(batches):
+        alone()
         shingle = Shingler(width)
         for b in batches:
             sets = [shingle(t or "") for t in b.column("text").to_pylist()]

@@ -17,7 +17,6 @@ import os
 import re
 import zlib
 from collections import defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, resident
 
 SIZE, SHARD, END = 2_048, 20_000, 0
 _PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
@@ -110,9 +109,8 @@ class WordIds:
         return [b"".join(map(get, words)) + _END_BYTES for words in cut]
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return resident(f"word_ids {path}", lambda: WordIds(path))
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

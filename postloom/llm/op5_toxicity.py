@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, held_out_column
+from .common import Memo, alone, held_out_column
 from .learning import TRAIN_ROWS, fit_logistic, labelled_sample, with_score
 
 #: What a sign may stand for (the channel's substitutions).
@@ -52,6 +52,7 @@ def char_counts(docs: DataFrame) -> DataFrame:
     """(gram, n): trigrams of the letters a-z and of 'anything else', over all texts."""
 
     def count(batches):
+        alone()
         total = np.zeros(27**3, np.int64)
         for b in batches:
             text = b.column(0).cast(pa.large_string())
@@ -192,6 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
     sample = labelled_sample(docs, labels, label, rows)
 
     def grams(batches):
+        alone()
         r = Restorer(chars)
         pos: Counter = Counter()
         all_: Counter = Counter()

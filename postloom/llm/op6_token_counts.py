@@ -11,14 +11,13 @@ each, as the tokenizers library does by default. Other columns of the input are
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, resident
 from .pretokens import compiled, units
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
@@ -100,9 +99,8 @@ class HeapMerger:
         return sum(map(self.by_unit.__getitem__, units(text)))
 
 
-@lru_cache(maxsize=2)
 def merger(path: str, pattern: str) -> HeapMerger:
-    return HeapMerger(path, pattern)
+    return resident(f"merger {path} {pattern}", lambda: HeapMerger(path, pattern))
 
 
 def count_tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

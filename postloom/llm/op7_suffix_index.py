@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, alone
 
 LENGTH, GRAM, BATCH = 50, 20, 2_048
 _TABLE = np.random.default_rng(50).integers(0, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,6 +86,7 @@ def _raw(b: pa.RecordBatch) -> list[tuple[int, bytes]]:
 
 def _zipped(batches):
     """Texts as zstd, for the two joins by doc_id; Spark's own shuffle codec takes about twice the disk."""
+    alone()
     c = zstandard.ZstdCompressor(level=3, write_content_size=True)
     for b in batches:
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
@@ -97,6 +98,7 @@ def _asked(buckets: int, length: int, gram: int):
     """(bucket, docs, hashes): anchors to compare in bucket; in bucket -1 - x those already known to be shared."""
 
     def run(batches):
+        alone()
         for b in batches:
             docs, hashes = [], []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -154,6 +156,7 @@ def _by_bucket(batches, columns: list[str]):
 
 
 def _shared(batches):
+    alone()
     for bucket, rows in _by_bucket(batches, ["docs", "hashes"]):
         d, h = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows]), np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
         if bucket >= 0:
@@ -171,6 +174,7 @@ def _pieces(buckets: int, length: int, gram: int):
     """(bucket, docs, starts, sizes, text) of a batch's pieces to judge; in bucket -1 - x, runs that are covered already."""
 
     def run(batches):
+        alone()
         zip_ = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
         for b in batches:
             by: dict[int, dict[bytes, list]] = defaultdict(dict)
@@ -262,6 +266,7 @@ def _covered(length: int, batch: int):
     """(doc_id, packed runs of covered bytes: begin, end) for the pieces of each bucket."""
 
     def run(batches):
+        alone()
         unzip = zstandard.ZstdDecompressor().decompress
         for bucket, rows in _by_bucket(batches, ["docs", "starts", "sizes", "text"]):
             runs: list[np.ndarray] = []
@@ -335,6 +340,7 @@ def kept_bytes(raw: bytes, runs: np.ndarray) -> bytes:
 
 
 def _left(batches):
+    alone()
     for b in batches:
         rows = []
         for (doc, raw), packed in zip(_raw(b), b.column("packed").to_pylist(), strict=True):
