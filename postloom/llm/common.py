@@ -9,6 +9,7 @@ import zlib
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,10 +82,10 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: st
                 scratch.drop(f"{name}p{turn}h0")
         scratch.drop(f"{name}p{turn}")
         maps.append(ptr)
-        pa = ptr.select(F.col("v").alias("a"), F.col("p").alias("pa"))
-        pb = ptr.select(F.col("v").alias("b"), F.col("p").alias("pb"))
+        of_a = ptr.select(F.col("v").alias("a"), F.col("p").alias("pa"))
+        of_b = ptr.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         nxt_edges = (
-            live.join(pa, "a").join(pb, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a < b").distinct()
+            live.join(of_a, "a").join(of_b, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a < b").distinct()
         )
         new = scratch.save(nxt_edges, f"{name}e{turn}")
         scratch.drop(f"{name}e" if turn == 0 else f"{name}e{turn - 1}")
@@ -160,12 +161,13 @@ def resident(name: str, make: Callable[[], object]) -> object:
 
 
 def alone(name: str = "") -> None:
-    """Frees the tables that tasks of other stages have left in this Python worker."""
+    """Frees what tasks of other stages have left in this Python worker: their tables, and Arrow's unused memory."""
     others = [k for k in _resident if k != name]
     for k in others:
         del _resident[k]
     if others:
         gc.collect()  # they hold methods of themselves
+    pa.default_memory_pool().release_unused()
 
 
 def arrow_strings(column) -> list[str]:
