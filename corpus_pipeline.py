@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm import op1_minhash, op2_packing, op5_toxicity, op7_suffix_index, op8_line_crf
-from postloom.llm.common import Scratch
+from postloom.llm.common import Scratch, slices
 from postloom.session import ship
 
 #: Near-duplicate groups of the pipeline: five-word shingles, similarity 0.8 or more.
@@ -72,7 +72,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fields = {f.name: f.dataType for f in docs.schema.fields}
 
     def decoded(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())
             rest = [n for n in b.schema.names if n != "kept"]
             yield pa.RecordBatch.from_arrays([texts, *(b.column(n) for n in rest)], ["text", *rest])

@@ -6,7 +6,7 @@ import atexit
 import gc
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,6 +160,13 @@ def resident(name: str, make: Callable[[], object]) -> object:
     return _resident[name]
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches cut short, so that a map of single rows has Python objects of some texts at a time, not of a whole batch."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def alone(name: str = "") -> None:
     """Frees what tasks of other stages have left in this Python worker: their tables, and Arrow's unused memory."""
     others = [k for k in _resident if k != name]

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone
+from .common import alone, slices
 
 #: Labelled rows that a classifier is fitted on, at most (in expectation: rows are chosen by a hash of their id).
 TRAIN_ROWS = 8_000
@@ -56,7 +56,7 @@ def with_score(docs: DataFrame, make: Callable[[], Callable[[list[str]], np.ndar
     def run(batches):
         alone()
         score = make()
-        for b in batches:
+        for b in slices(batches):
             texts = ["" if t is None else t for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score(texts), pa.float64())], [*b.schema.names, score_col])
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, alone, components
+from .common import Forest, Scratch, alone, components, slices
 from .grouped import map_groups
 from .shingles import Shingler
 
@@ -61,7 +61,7 @@ def _signed(width: int, coordinates: int):
     def run(batches):
         alone()
         shingle = Shingler(width)
-        for b in batches:
+        for b in slices(batches):
             n, digest, sig = [], [], []
             for text in b.column(1).to_pylist():
                 s = shingle(text or "")
@@ -89,7 +89,7 @@ def _with_sets(width: int, coordinates: int):
     def run(batches):
         alone()
         shingle = Shingler(width)
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle(t or "") for t in b.column("text").to_pylist()]
             full = pa.array([len(s) > 0 for s in sets])
             cols = {n: b.column(n).filter(full) for n in ("doc", "cluster", "size")}

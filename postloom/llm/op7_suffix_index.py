@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, alone
+from .common import Scratch, alone, slices
 
 LENGTH, GRAM, BATCH = 50, 20, 2_048
 _TABLE = np.random.default_rng(50).integers(0, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -88,7 +88,7 @@ def _zipped(batches):
     """Texts as zstd, for the two joins by doc_id; Spark's own shuffle codec takes about twice the disk."""
     alone()
     c = zstandard.ZstdCompressor(level=3, write_content_size=True)
-    for b in batches:
+    for b in slices(batches):
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
         rest = [n for n in b.schema.names if n not in ("doc_id", "text")]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([c.compress(r) for r in raw], pa.binary()), *(b.column(n) for n in rest)], ["doc_id", "zipped", *rest])
@@ -175,12 +175,14 @@ def _pieces(buckets: int, length: int, gram: int):
 
     def run(batches):
         alone()
+        unzip = zstandard.ZstdDecompressor().decompress
         zip_ = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
         for b in batches:
             by: dict[int, dict[bytes, list]] = defaultdict(dict)
             done: list[tuple[int, int, int]] = []
-            rows = sorted(zip(_raw(b), b.column("packed").to_pylist(), strict=True), key=lambda r: r[0][0])
-            for (doc, text), packed in rows:
+            ids, zipped, own_anchors = (b.column(c) for c in ("doc_id", "zipped", "packed"))
+            for k in np.argsort(ids.to_numpy(), kind="stable").tolist():
+                doc, text, packed = ids[k].as_py(), unzip(zipped[k].as_py()), own_anchors[k].as_py()
                 a = window_anchors(np.frombuffer(text, np.uint8), length, gram)
                 if not len(a) or not packed:
                     continue
@@ -341,7 +343,7 @@ def kept_bytes(raw: bytes, runs: np.ndarray) -> bytes:
 
 def _left(batches):
     alone()
-    for b in batches:
+    for b in slices(batches):
         rows = []
         for (doc, raw), packed in zip(_raw(b), b.column("packed").to_pylist(), strict=True):
             runs = merged_runs(packed or [], len(raw))
