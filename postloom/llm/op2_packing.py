@@ -28,6 +28,7 @@ from .common import Scratch, resident
 
 SIZE, SHARD, END = 2_048, 20_000, 0
 _PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
+_MARKS = frozenset(b".,;:!?")
 _END_BYTES = np.array([END], "<u4").tobytes()
 
 
@@ -77,6 +78,8 @@ class WordIds:
         known, older = self.of, self.older
         split: dict[bytes, tuple[bytes, bytes]] = {}
         for w in wanted:
+            if w[-1] not in _MARKS:
+                continue
             m = _PLAIN.fullmatch(w.decode("utf-8", "replace"))
             if m:
                 split[w] = (m[1].encode(), m[2].encode())
@@ -98,10 +101,10 @@ class WordIds:
             raw = t.encode("utf-8", "replace")
             # the tokenizer lowers letters itself; a special token's string is left as it is
             cut.append((raw if b"<|" in raw else raw.lower()).split())
-        wanted = {w for words in cut for w in words if w not in self.of}
+        wanted = set().union(*cut).difference(self.of)
         if wanted:
             self.learn(wanted)
-            lost = {w for words in cut for w in words if w not in self.of}  # the memo began a new generation
+            lost = set().union(*cut).difference(self.of)  # the memo began a new generation
             for w in lost:
                 if w in self.older:
                     self.of[w] = self.older[w]
