@@ -14,6 +14,8 @@ def rows(df: pd.DataFrame):
     for r in df[sorted(df.columns)].itertuples(index=False):
         row = []
         for v in r:
+            if hasattr(v, "tolist") and hasattr(v, "shape") and v.shape:
+                v = v.tolist()  # array columns
             if v is None or v is pd.NA or v is pd.NaT or v != v:
                 row.append(None)
             elif isinstance(v, float):
