@@ -186,11 +186,8 @@ def _counts(words: set[bytes], of) -> Counter:
     return hits
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> dict:
-    """The model: character model, features and weights. Features are counted on the executors; the driver gets
-    FEATURES rows of them and the sample's feature numbers."""
-    chars = char_model(docs)
-    sample = labelled_sample(docs, labels, label, rows)
+def gram_stats(sample: DataFrame, chars: np.ndarray) -> DataFrame:
+    """(gram, pos, n): rows of the labelled sample that have a gram, over all tasks, of grams in toxic rows; the empty gram counts all rows."""
 
     def grams(batches):
         alone()
@@ -206,13 +203,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
                 if y:
                     pos.update(got)
                     n[1] += 1
-        keys = [k for k, v in all_.items() if pos[k]]
+        keys = list(all_)  # a gram without toxic rows here may have some in another task
         yield pa.RecordBatch.from_arrays(
             [pa.array([b"", *keys], pa.binary()), pa.array([n[1], *(pos[k] for k in keys)], pa.int64()), pa.array([n[0], *(all_[k] for k in keys)], pa.int64())],
             ["gram", "pos", "n"],
         )
 
-    stats = sample.select("text", "label").mapInArrow(grams, "gram binary, pos long, n long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    found = sample.select("text", "label").mapInArrow(grams, "gram binary, pos long, n long").groupBy("gram").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    return found.where((F.col("pos") > 0) | (F.col("gram") == b""))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS) -> dict:
+    """The model: character model, features and weights. Features are counted on the executors; the driver gets
+    FEATURES rows of them and the sample's feature numbers."""
+    chars = char_model(docs)
+    sample = labelled_sample(docs, labels, label, rows)
+
+    stats = gram_stats(sample, chars)
     top = {bytes(r["gram"]): (r["pos"], r["n"]) for r in stats.orderBy(F.col("gram") != b"", F.desc(F.col("pos") * F.col("pos") / (F.col("n") + 2)), "gram").limit(8 * FEATURES).collect()}
     pos_n, all_n = top.pop(b"", (0, 0))
     if not pos_n or pos_n == all_n:

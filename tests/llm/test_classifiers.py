@@ -42,6 +42,19 @@ def test_restores_noisy_words(toxicity):
     assert r.words("plain words, 3 of them; a - b and c!!") == []
 
 
+def test_feature_counts_do_not_depend_on_partitions(spark):
+    rows = [("idiot common words", 1), ("common words here", 0), ("words alone", 0), ("common idiot", 0), ("stupid words", 1), ("nothing", 0)]
+    chars = np.log(np.full((27, 27, 27), 1 / 27))
+    n, pos = {b"": len(rows)}, {b"": 2}
+    for text, y in rows:
+        for g in {g for w in text.split() for g in X.word_grams(w.encode())}:
+            n[g], pos[g] = n.get(g, 0) + 1, pos.get(g, 0) + y
+    wanted = {g: (pos[g], n[g]) for g in n if pos[g]}
+    for parts in (1, 3, 6):
+        sample = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), "text string, label int")
+        assert {bytes(r["gram"]): (r["pos"], r["n"]) for r in X.gram_stats(sample, chars).collect()} == wanted
+
+
 def test_toxicity_edges(spark, docs_of, toxicity):
     rows = [(1, None), (1, None), (2, ""), (3, "x" * 20_000), (None, "idiot"), (4, "4" * 3_000 + "a")]
     got = X.score_rows(docs_of(rows).drop("score"), toxicity).collect()
