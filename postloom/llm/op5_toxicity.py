@@ -1,10 +1,11 @@
 """Operator 5: toxicity of noisy-channel restored text.
 
 1. A character trigram model is counted over all documents (pre-aggregated per task, then summed).
-2. Spans that the channel can have made - leet signs before letters, letters repeated three times or more, single letters
-   set apart - become character lattices: a sign may stand for each letter it resembles or for itself, a run of one letter
-   for one or two of it, a separator for nothing or the end of a word. Viterbi search finds the likeliest reading under the trigram model and the
-   channel's costs. A span with a single reading needs no search: its lattice has one path.
+2. Spans that the channel can have made - words with leet signs anywhere, letters repeated three times or more or two
+   letters doubled, three or more single or repeated letters and signs set apart by up to three separators of any kind -
+   become character lattices: a sign may stand for each letter it resembles or for itself, closing marks for nothing, a run
+   of one letter for one or two of it, a separator run for nothing or the end of a word. Viterbi search finds the likeliest
+   reading under the trigram model and the channel's costs.
 3. The restored text is scored by a logistic regression over whole words and word beginnings, which are counted by
    distinct word. It is fitted on a bounded labelled sample (learning.TRAIN_ROWS); its features are those whose
    frequency differs most between the labels.
@@ -35,11 +36,14 @@ SIGN_COST, KEEP_COST, DOUBLE_COST, SPLIT_COST = 1.0, 2.5, 0.7, 1.0
 FEATURES, PREFIXES, BINS = 1_000, (4, 5, 6, 7), (1, 2, 4)
 
 _LETTER = "[^\\W\\d_]"
-_LEET_HIT = re.compile(r"[0-9@$+!|]+[a-z]")
+_LEET_HIT = re.compile(r"[0-9@$+!|]+[a-z]|[a-z][0-9@$+!|]")
 _LEET_SPAN = re.compile(r"[a-z0-9@$+!|]+")
-_RUN = re.compile(rf"({_LETTER})\1\1+")
+_RUN = re.compile(rf"({_LETTER})\1(?:\1+|{_LETTER}*?({_LETTER})\2)")
 _WORD_AROUND = re.compile(rf"{_LETTER}+")
-_SPACED = re.compile(rf"(?<![^\W_]){_LETTER}(?:([ ._\-*]){_LETTER})(?:\1{_LETTER}){{2,}}(?![^\W_])")
+_UNIT, _APART = r"(?:[^\W_]|[@$+!|])", r"(?:[^\w@$+!|]|_){1,3}"
+_SPACED = re.compile(rf"(?<![^\W_])(?<![@$+!|])(?:({_UNIT})\1*{_APART}){{2,}}({_UNIT})\2*(?![^\W_])(?![@$])")
+_CLOSING = "!+|"
+_SAME = re.compile(rf"({_UNIT})\1*")
 
 _CODE = np.zeros(256, np.uint8)
 _CODE[97:123] = np.arange(1, 27)
@@ -97,19 +101,27 @@ class Restorer:
     def lattice(self, span: str) -> list[list[tuple[str, float]]]:
         """Arcs of each position: (what it reads as, the channel's cost)."""
         arcs, i, n = [], 0, len(span)
+        marks = len(span.rstrip(_CLOSING))
+        units = [len(m.group()) for m in _SAME.finditer(span)]
+        repeated = len(units) >= 3 and min(units) >= 2  # every letter is written twice or more
         while i < n:
             c, j = span[i], i + 1
-            while j < n and span[j] == c:
+            apart = not c.isalnum() and c not in LEET
+            while j < n and (not span[j].isalnum() and span[j] not in LEET if apart else span[j] == c):
                 j += 1
-            if c in " ._-*":
+            if apart:
                 arcs.append([("", 0.0), (" ", SPLIT_COST)])  # set letters apart, or parts two words
             elif c in LEET:
-                for _ in range(j - i):
+                for k in range(i, j):
                     arcs.append([(x, SIGN_COST) for x in LEET[c]] + [(c, KEEP_COST)])
-            elif j - i >= 3:
+                    if k >= marks or (k > i and (repeated or j - i >= 3)):
+                        arcs[-1].append(("", 0.0))  # a closing mark, or a sign once more
+            elif j - i >= 3 or repeated:
                 arcs.append([(c, 0.0), (c + c, DOUBLE_COST)])
+            elif j - i == 2:
+                arcs.append([(c + c, 0.0), (c, DOUBLE_COST)])
             else:
-                arcs.append([(span[i:j], 0.0)])
+                arcs.append([(c, 0.0)])
             i = j
         return arcs
 
@@ -134,7 +146,7 @@ class Restorer:
 
     def words(self, lower: str) -> list[str]:
         """The restored readings of a lower-case text's suspicious spans."""
-        found, until = [], -1
+        found, until, signed = [], -1, set()
         for m in _LEET_HIT.finditer(lower):
             if m.end() <= until:
                 continue
@@ -142,7 +154,8 @@ class Restorer:
             while start and _LEET_SPAN.match(lower[start - 1]):
                 start -= 1
             until = _LEET_SPAN.match(lower, start).end()
-            found.append(lower[start:until].rstrip("@$+!|"))
+            found.append(lower[start:until])
+            signed.update(range(start, until))
         until = -1
         for m in _RUN.finditer(lower):
             if m.start() < until:
@@ -151,9 +164,13 @@ class Restorer:
             while start and _WORD_AROUND.match(lower[start - 1]):
                 start -= 1
             until = _WORD_AROUND.match(lower, start).end()
-            found.append(lower[start:until])
-        found += [m.group() for m in _SPACED.finditer(lower)]
-        return [w for s in found for w in self.of[s].split()]
+            if start not in signed or until - 1 not in signed:  # else it is part of a span above
+                found.append(lower[start:until])
+        plain = len(found)
+        found += [m.group() for m in _SPACED.finditer(lower) if _WORD_AROUND.search(m.group())]
+        read = [self.of[s].split() for s in found]
+        # a word that reads as it is written is in the text already
+        return [w for k, (s, r) in enumerate(zip(found, read, strict=True)) if k >= plain or r != _WORD_AROUND.findall(s) for w in r]
 
     def restore(self, text: str) -> str:
         """The lower-case text with the readings of its suspicious spans after it."""

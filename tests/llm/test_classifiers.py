@@ -42,6 +42,24 @@ def test_restores_noisy_words(toxicity):
     assert r.words("plain words, 3 of them; a - b and c!!") == []
 
 
+def test_restores_mixed_noise():
+    """Signs anywhere, any separators, three units or more, doubled letters, and these together."""
+    n = np.full((27, 27, 27), 1e-4)
+    for w in ["idiot", "shit", "ass", "stupid"] * 5:
+        c = [0, 0, *(ord(x) - 96 for x in w), 0]
+        for a, b, d in zip(c, c[1:], c[2:], strict=False):
+            n[a, b, d] += 1
+    r = X.Restorer(np.log(n / n.sum(2, keepdims=True)))
+    wanted = {
+        "idiot": ["i d 1 o t", "i  d  i  o  t", "i\nd\ni\no\nt", "i/d/i/o/t", "i,d,i,o,t", "i. d. i. o. t", "i-d-i_o.t", "idio7", "1d10t!!", "iiddiioott", "11ddiioott", "ii dd 1 oo t"],
+        "shit": ["s-h-1-t", "s.h/!.t", "5h17"], "ass": ["a s s", "a$$", "a-$-$"], "stupid": ["s t u p 1 d", "$ t  u-p,i d", "ssttuuppiidd"],
+    }
+    for word, spans in wanted.items():
+        for noisy in spans:
+            assert r.words(f"you are {noisy}, they say") == [word], noisy
+    assert r.words("so! 3, 4, 5 and 2024; a+ b") == []
+
+
 def test_feature_counts_do_not_depend_on_partitions(spark):
     rows = [("idiot common words", 1), ("common words here", 0), ("words alone", 0), ("common idiot", 0), ("stupid words", 1), ("nothing", 0)]
     chars = np.log(np.full((27, 27, 27), 1 / 27))
