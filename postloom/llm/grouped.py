@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,30 +11,36 @@ from pyspark.sql import DataFrame
 from .common import alone
 
 
+def consecutive(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """(values of the keys, rows) of each run of rows with equal keys."""
+    held: list[pa.RecordBatch] = []
+    last: tuple = ()
+    for b in batches:
+        if not b.num_rows:
+            continue
+        values = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(b.num_rows, bool)
+        for v in values:
+            change[1:] |= v[1:] != v[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(v[x] for v in values)
+            if held and now != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(x, y - x))
+            last = now
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
 def map_groups(df: DataFrame, keys: list[str], one: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """one(rows of a group) for every value of the keys. As applyInPandas, but without a batch for each group, which costs
     more than the work where groups are small. The caller bounds the size of groups."""
 
     def run(batches):
         alone()
-        held: list[pa.RecordBatch] = []
-        last = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            values = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
-            change = np.zeros(b.num_rows, bool)
-            for v in values:
-                change[1:] |= v[1:] != v[:-1]
-            first = tuple(v[0] for v in values)
-            cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
-            for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                if held and (k or first != last):
-                    yield from one(pa.Table.from_batches(held))
-                    held = []
-                held.append(b.slice(x, y - x))
-            last = tuple(v[-1] for v in values)
-        if held:
-            yield from one(pa.Table.from_batches(held))
+        for _, rows in consecutive(batches, keys):
+            yield from one(rows)
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

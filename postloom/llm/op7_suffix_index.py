@@ -3,39 +3,51 @@
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller id. The work is dealt out so
 that no task needs the corpus:
 
-1. Anchors. In every window of LENGTH bytes the GRAM-byte string with the smallest hash is its anchor; equal windows have
-   equal anchors. Each task finds the anchors that two of its own documents share and asks about the others; an anchor that
-   occurs in one document only rules out all windows it stands for. (A shared anchor is asked about once per batch, so one
-   that a third of all documents hold makes no hot bucket.)
-2. Pieces. Neighbouring windows with the same shared anchor form a piece of text, which goes to the anchor's bucket - once per
-   batch and content: of equal pieces only those of the smallest document need judging, the others are covered.
-3. Index family. A bucket takes its distinct pieces by rising document id, in batches. A batch gets the sorted array of its
-   suffixes (cut at LENGTH bytes), is merge-scanned against every level of the family for matches, and its new suffixes become
+1. Blocks. Documents are written once, in blocks of about BLOCK_BYTES of text, to a table in the shared folder; everything
+   that follows asks and answers by block, so rows grow with blocks, not with documents.
+2. Anchors. In every window of LENGTH bytes the GRAM-byte string with the smallest hash is its anchor; equal windows have
+   equal anchors. A block asks each anchor's bucket whether another block holds it too; an anchor of one document rules out
+   all windows that it stands for. The answer also says which anchors are *hot* (HOT documents or more).
+3. Pieces. Neighbouring windows with the same shared anchor form a piece of text, which goes to the anchor's bucket - once per
+   block and content: of equal pieces only those of the smallest document need judging, the others are covered. Windows of a
+   hot anchor go by a hash of their own LENGTH bytes instead, each to the bucket of its content, so that one phrase that a
+   third of all documents hold does not gather them in one bucket.
+4. Index family. A bucket takes its distinct pieces by rising document id, in batches. A batch gets its suffix array (positions
+   into its pieces), is merge-scanned against every level of the family for matches of LENGTH bytes, and its new suffixes become
    a level; levels that hold equally many batches are merged, so there are logarithmically many. A suffix found in a level,
    or in the batch under a smaller id, covers its window.
-4. The covered runs go back to their documents, whose remaining bytes are concatenated.
+5. The covered runs go back to their blocks, whose documents' remaining bytes are concatenated.
 
 All matches are decided on bytes. Texts are read as UTF-8; null is empty; texts shorter than LENGTH lose nothing. A null doc_id
-loses nothing and covers nothing. Repeated rows (equal id and text) do not cover each other and get equal results; rows of
-one id with different texts count as one document, and each loses the runs found in either. Other columns are not read.
+loses nothing and covers nothing. Rows of one id do not cover each other, whether their texts are equal or not; each row is
+judged by its own text. Other columns are not read, but those that carry names are returned. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, alone, slices
+from .common import Scratch, alone
+from .grouped import consecutive
 
 LENGTH, GRAM, BATCH = 50, 20, 2_048
+#: Bytes of text in a block, and on average in a bucket's share of the corpus.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+#: Documents of an anchor from which on its windows are dealt by their own content.
+HOT = 20_000
 _TABLE = np.random.default_rng(50).integers(0, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+#: Anchor hashes leave their low four bits free: a question holds the number of documents there, an answer what is known.
+_LOW = np.uint64(15)
+_SHARED, _HOT = np.uint64(1), np.uint64(2)
 
 
 def window_anchors(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -78,257 +90,321 @@ def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(values))
 
 
-def _raw(b: pa.RecordBatch) -> list[tuple[int, bytes]]:
-    """(doc_id, bytes) of a batch of (doc_id, zipped)."""
-    unzip = zstandard.ZstdDecompressor().decompress
-    return [(i, unzip(z)) for i, z in zip(b.column("doc_id").to_pylist(), b.column("zipped").to_pylist(), strict=True)]
+def anchor_runs(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM, step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the runs of windows with one anchor; step windows at a time, so that a long text needs no
+    arrays of its own size."""
+    starts, hashes, last = [], [], None
+    for at in range(0, max(0, len(raw) - length + 1), step):
+        a = window_anchors(raw[at : at + step + length - 1], length, gram)
+        a = a & ~_LOW
+        s = runs_of(a)[0]
+        if last is not None and last == a[0]:
+            s = s[1:]
+        last = a[-1]
+        starts.append(s + at)
+        hashes.append(a[s])
+    if not starts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    s = np.concatenate(starts)
+    return s, np.append(s[1:], len(raw) - length + 1), np.concatenate(hashes)
 
 
-def _zipped(batches):
-    """Texts as zstd, for the two joins by doc_id; Spark's own shuffle codec takes about twice the disk."""
-    alone()
-    c = zstandard.ZstdCompressor(level=3, write_content_size=True)
-    for b in slices(batches):
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
-        rest = [n for n in b.schema.names if n not in ("doc_id", "text")]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([c.compress(r) for r in raw], pa.binary()), *(b.column(n) for n in rest)], ["doc_id", "zipped", *rest])
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is one of known, which is sorted."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _asked(buckets: int, length: int, gram: int):
-    """(bucket, docs, hashes): anchors to compare in bucket; in bucket -1 - x those already known to be shared."""
+def _blocks(block_bytes: int):
+    """(block, n_bytes, packed): rows as Arrow streams of some MB."""
 
     def run(batches):
         alone()
+        block = TaskContext.get().partitionId() << 32
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
+        held, size = [], 0
+
+        def packed():
+            sink = pa.BufferOutputStream()
+            whole = pa.Table.from_batches(held).combine_chunks()
+            with pa.ipc.new_stream(sink, whole.schema, options=options) as out:
+                out.write_table(whole)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "n_bytes", "packed"])
+
         for b in batches:
-            docs, hashes = [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if doc is None or not text:
-                    continue
-                a = window_anchors(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), length, gram)
-                if len(a):
-                    a = np.unique(a[runs_of(a)[0]])
-                    hashes.append(a)
-                    docs.append(np.full(len(a), doc, np.int64))
-            if not docs:
+            if not b.num_rows:
                 continue
-            h, d = np.concatenate(hashes), np.concatenate(docs)
-            order = np.argsort(h, kind="stable")
-            h, d = h[order], d[order]
-            starts, ends = runs_of(h)
-            several = np.repeat(ends - starts > 1, ends - starts)
-            out = [(-1 - int(h[0] % np.uint64(buckets)), d[several], h[several])] if several.any() else []
-            first = np.zeros(len(h), bool)
-            first[starts] = True
-            d = np.where(several, -1, d)[first]  # -1: it is shared inside this batch
-            h = h[first]
-            where = (h % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((d, where))
-            h, d, where = h[order], d[order], where[order]
-            for x, y in zip(*runs_of(where), strict=True):
-                out.append((int(where[x]), d[x:y], h[x:y]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1].tobytes() for o in out], pa.binary()), pa.array([o[2].tobytes() for o in out], pa.binary())], ["bucket", "docs", "hashes"]
-            )
+            ends = size + np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+            at = 0
+            while at < b.num_rows:
+                k = max(at, int(np.searchsorted(ends, block_bytes)))
+                held.append(b.slice(at, k + 1 - at))
+                size = int(ends[min(k, b.num_rows - 1)])
+                at = k + 1
+                if k < b.num_rows:
+                    yield packed()
+                    held, block = [], block + 1
+                    ends -= size
+                    size = 0
+        if held:
+            yield packed()
 
     return run
 
 
-def _per_doc(docs: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """(doc_id, packed values of that document)."""
-    order = np.argsort(docs, kind="stable")
-    docs, values = docs[order], values[order]
-    starts, ends = runs_of(docs)
-    return pa.RecordBatch.from_arrays([pa.array(docs[starts], pa.int64()), pa.array([values[x:y].tobytes() for x, y in zip(starts, ends, strict=True)], pa.binary())], ["doc_id", "packed"])
-
-
-def _by_bucket(batches, columns: list[str]):
-    """Groups of rows of consecutive equal buckets."""
-    held, now = [], None
-    for b in batches:
-        for row in zip(b.column("bucket").to_pylist(), *(b.column(c).to_pylist() for c in columns), strict=True):
-            if row[0] != now and held:
-                yield now, held
-                held = []
-            now = row[0]
-            held.append(row[1:])
-    if held:
-        yield now, held
-
-
-def _shared(batches):
-    alone()
-    for bucket, rows in _by_bucket(batches, ["docs", "hashes"]):
-        d, h = np.concatenate([np.frombuffer(r[0], np.int64) for r in rows]), np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
-        if bucket >= 0:
-            order = np.argsort(h, kind="stable")
-            d, h = d[order], h[order]
-            starts, ends = runs_of(h)
-            many = np.repeat((ends - starts > 1), ends - starts)
-            keep = many & (d >= 0)
-            d, h = d[keep], h[keep]
-        if len(d):
-            yield _per_doc(d, h)
+def _unpacked(packed: bytes) -> pa.Table:
+    return pa.ipc.open_stream(packed).read_all()
 
 
-def _pieces(buckets: int, length: int, gram: int):
-    """(bucket, docs, starts, sizes, text) of a batch's pieces to judge; in bucket -1 - x, runs that are covered already."""
+def _rows(table: pa.Table) -> list[tuple[int | None, bytes]]:
+    """(doc_id, UTF-8 bytes) of each row."""
+    raw = table.column("text").cast(pa.binary()).to_pylist()
+    return [(i, t or b"") for i, t in zip(table.column("doc_id").to_pylist(), raw, strict=True)]
+
+
+def _block_anchors(rows: list[tuple[int | None, bytes]], length: int, gram: int):
+    """Per row its anchor runs, and the block's distinct anchors with their number of rows."""
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    runs = [anchor_runs(np.frombuffer(t, np.uint8), length, gram) if d is not None else none for d, t in rows]
+    own = [np.unique(r[2]) for r in runs]
+    return runs, *np.unique(np.concatenate(own) if own else none[2], return_counts=True)
+
+
+def _binaries(parts) -> pa.Array:
+    return pa.array([p.tobytes() for p in parts], pa.binary())
+
+
+def _asked(buckets: int, length: int, gram: int):
+    """(bucket, block, codes): the block's anchors of that bucket; the low bits hold the bit length of the number of rows."""
 
     def run(batches):
         alone()
-        unzip = zstandard.ZstdDecompressor().decompress
-        zip_ = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
         for b in batches:
-            by: dict[int, dict[bytes, list]] = defaultdict(dict)
-            done: list[tuple[int, int, int]] = []
-            ids, zipped, own_anchors = (b.column(c) for c in ("doc_id", "zipped", "packed"))
-            for k in np.argsort(ids.to_numpy(), kind="stable").tolist():
-                doc, text, packed = ids[k].as_py(), unzip(zipped[k].as_py()), own_anchors[k].as_py()
-                a = window_anchors(np.frombuffer(text, np.uint8), length, gram)
-                if not len(a) or not packed:
+            for block, packed in zip(b.column("block").to_pylist(), b.column("packed"), strict=True):
+                _, h, n = _block_anchors(_rows(_unpacked(packed.as_py())), length, gram)
+                if not len(h):
                     continue
-                starts, ends = runs_of(a)
-                own = np.isin(a[starts], np.frombuffer(b"".join(packed), np.uint64))
-                for s, e, h in zip(starts[own].tolist(), ends[own].tolist(), (a[starts[own]] % np.uint64(buckets)).tolist(), strict=True):
-                    piece = text[s : e + length - 1]
-                    seen = by[h].setdefault(piece, [doc])
-                    if seen[0] == doc:
-                        seen.append(s)
-                    else:
-                        done.append((doc, s, e + length - 1 - s))
-            out = []
-            if done:
-                arr = np.array(done, np.int64)
-                out.append((-1 - int(arr[0, 0] % buckets), arr[:, 0].tobytes(), arr[:, 1].tobytes(), arr[:, 2].tobytes(), b""))
-            for bucket, pieces in by.items():
-                docs, at, size, text = [], [], [], []
-                for piece, (doc, *places) in pieces.items():
-                    for k, s in enumerate(places):
-                        docs.append(doc)
-                        at.append(s)
-                        size.append(-len(piece) if k else len(piece))  # negative: the text before once more
-                    text.append(piece)
-                out.append((bucket, np.array(docs, np.int64).tobytes(), np.array(at, np.int64).tobytes(), np.array(size, np.int64).tobytes(), zip_(b"".join(text))))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3, 4))], ["bucket", "docs", "starts", "sizes", "text"]
-                )
+                codes = h | np.minimum(15, np.floor(np.log2(n)) + 1).astype(np.uint64)
+                where = ((h >> np.uint64(4)) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(where, kind="stable")
+                codes, where = codes[order], where[order]
+                s, e = runs_of(where)
+                yield pa.RecordBatch.from_arrays([pa.array(where[s]), pa.array(np.full(len(s), block, np.int64)), _binaries(codes[x:y] for x, y in zip(s, e, strict=True))], ["bucket", "block", "codes"])
 
     return run
 
 
+def _shared(hot: int):
+    """(block, codes): what a block did not know of the anchors that it asked about."""
+
+    def run(batches):
+        alone()
+        for _, rows in consecutive(batches, ["bucket"]):
+            codes = [np.frombuffer(x, np.uint64) for x in rows.column("codes").to_pylist()]
+            who = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+            c = np.concatenate(codes)
+            h, n = c & ~_LOW, (c & _LOW).astype(np.int64)
+            order = np.argsort(h, kind="stable")
+            s, e = runs_of(h[order])
+            docs = np.add.reduceat(np.int64(1) << (n[order] - 1), s)
+            known = np.repeat(np.where(docs >= hot, _HOT, np.where(e - s > 1, _SHARED, np.uint64(0))), e - s)
+            tell = (known == _HOT) | ((known == _SHARED) & (n[order] == 1))
+            told, by = (h[order] | known)[tell], who[order][tell]
+            order = np.argsort(by, kind="stable")
+            told, by = told[order], by[order]
+            s, e = runs_of(by)
+            if len(s):
+                blocks = rows.column("block").to_numpy()[by[s]]
+                yield pa.RecordBatch.from_arrays([pa.array(blocks), _binaries(told[x:y] for x, y in zip(s, e, strict=True))], ["block", "codes"])
+
+    return run
+
+
+_PIECES = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("head", pa.binary()), ("text", pa.binary())])
+
+
+def _pieces(buckets: int, length: int, gram: int):
+    """(bucket, block, head, text) of a block's pieces to judge; in bucket -1 - x, runs that are covered already. head has
+    columns doc, row, start, size of each place; a negative size is the piece before once more."""
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        alone()
+        zip_ = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
+        block = left.column("block")[0].as_py()
+        rows = _rows(_unpacked(left.column("packed")[0].as_py()))
+        runs, h, n = _block_anchors(rows, length, gram)
+        told = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right.column("codes").to_pylist())])
+        shared = np.union1d(told & ~_LOW, h[n > 1])
+        hot = np.sort(told[told & _LOW == _HOT] & ~_LOW)
+        by: dict[int, dict[bytes, list]] = defaultdict(dict)
+        done: list[tuple[int, int, int]] = []
+
+        def place(bucket: int, piece: bytes, doc: int, row: int, start: int) -> None:
+            seen = by[bucket].setdefault(piece, [doc])
+            if seen[0] == doc:
+                seen.append((row, start))
+            else:
+                done.append((row, start, start + len(piece)))
+
+        for row in sorted((k for k, r in enumerate(rows) if r[0] is not None), key=lambda k: rows[k][0]):
+            doc, text = rows[row]
+            s, e, a = runs[row]
+            own = _among(a, shared)
+            if not own.any():
+                continue
+            s, e, a = s[own], e[own], a[own]
+            special = _among(a, hot)
+            where = ((a >> np.uint64(4)) % np.uint64(buckets)).tolist()
+            for x, y, bucket, single in zip(s.tolist(), e.tolist(), where, special.tolist(), strict=True):
+                if single:
+                    windows = window_anchors(np.frombuffer(text[x : y + length - 1], np.uint8), length, length)
+                    for k, w in enumerate(((windows >> np.uint64(4)) % np.uint64(buckets)).tolist(), x):
+                        place(w, text[k : k + length], doc, row, k)
+                else:
+                    place(bucket, text[x : y + length - 1], doc, row, x)
+        out = []
+        if done:
+            out.append((-1 - block % buckets, np.array(done, np.int32).tobytes(), b""))
+        for bucket, pieces in by.items():
+            head = [(doc, row, start, -len(piece) if k else len(piece)) for piece, (doc, *places) in pieces.items() for k, (row, start) in enumerate(places)]
+            out.append((bucket, zip_(np.array(head, np.int64).T.tobytes()), zip_(b"".join(pieces))))
+        return pa.table([pa.array([o[0] for o in out], pa.int32()), pa.array([block] * len(out), pa.int64()), *(pa.array([o[k] for o in out], pa.binary()) for k in (1, 2))], schema=_PIECES)
+
+    return one
+
+
+class _Level:
+    """A sorted suffix array: positions into the pieces' text, suffixes compared by their first length bytes."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, least: np.ndarray, length: int, batches: int = 1):
+        self.text, self.at, self.least, self.length, self.batches = text, at, least, length, batches
+
+    def heads(self, x: int = 0, y: int | None = None) -> np.ndarray:
+        """The suffixes x to y, cut at length bytes. Bytes are raised by one: UTF-8 has no 0xFF, and NumPy's byte strings must
+        not end in zeros."""
+        cut = np.lib.stride_tricks.sliding_window_view(self.text, self.length)[self.at[x:y]] + np.uint8(1)
+        return np.ascontiguousarray(cut).view(f"S{self.length}").ravel()
+
+
+def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The order that merges two sorted runs (NumPy's stable sort of strings finds runs and merges them)."""
+    return np.argsort(np.concatenate([a, b]), kind="stable")
+
+
 class IndexFamily:
-    """Sorted suffix arrays whose sizes are powers of two batches; suffixes are cut at length bytes."""
+    """Suffix arrays whose sizes are powers of two batches, each with the smallest document of every suffix."""
 
-    def __init__(self, length: int):
-        self.length = length
-        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []  # (batches, suffixes, smallest document)
+    def __init__(self, length: int, scan: int = 1 << 16):
+        self.length, self.scan = length, scan
+        self.levels: list[_Level] = []
 
-    def suffixes(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All suffixes of at least length bytes, cut there, and the piece of each. Bytes are raised by one: UTF-8 has no
-        0xFF, and NumPy's byte strings must not end in zeros."""
+    def add(self, pieces: list[bytes], docs: np.ndarray) -> np.ndarray:
+        """Whether each suffix of at least length bytes (in the pieces' order) also starts in a smaller document seen before or
+        in this batch."""
         size = np.array([len(p) for p in pieces], np.int64)
-        raw = np.frombuffer(b"".join(pieces), np.uint8) + np.uint8(1)
         counts = size - self.length + 1
         piece = np.repeat(np.arange(len(pieces)), counts)
         begin = np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]) - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(len(piece))
-        windows = np.lib.stride_tricks.sliding_window_view(raw, self.length)[begin]
-        return np.ascontiguousarray(windows).view(f"S{self.length}").ravel(), piece
-
-    def add(self, pieces: list[bytes], docs: np.ndarray) -> np.ndarray:
-        """Whether each suffix (in the pieces' order) also starts in a smaller document seen before or in this batch."""
-        suffix, piece = self.suffixes(pieces)
-        owner = docs[piece]
-        order = np.argsort(suffix, kind="stable")
-        ordered = suffix[order]
-        first = np.append(True, ordered[1:] != ordered[:-1])
+        new = _Level(np.frombuffer(b"".join(pieces), np.uint8), begin, docs[piece], self.length)
+        heads = new.heads()
+        order = np.argsort(heads, kind="stable")
+        heads = heads[order]
+        first = np.append(True, heads[1:] != heads[:-1])
         starts = np.flatnonzero(first)
-        unique, least = ordered[starts], np.minimum.reduceat(owner[order], starts)
-        fresh = np.ones(len(unique), bool)
-        for _, known, smallest in self.levels:
-            at = np.searchsorted(known, unique)
-            at[at == len(known)] = 0
-            hit = known[at] == unique
-            least = np.where(hit, np.minimum(least, smallest[at]), least)
-            fresh &= ~hit
-        covered = np.empty(len(suffix), bool)
-        covered[order] = owner[order] > least[np.cumsum(first) - 1]
-        self._push(1, unique[fresh], least[fresh])
+        least = np.minimum.reduceat(new.least[order], starts)
+        heads = heads[starts]
+        fresh = np.ones(len(heads), bool)
+        for level in self.levels:
+            self._match(level, heads, least, fresh)
+        covered = np.empty(len(piece), bool)
+        covered[order] = new.least[order] > least[np.cumsum(first) - 1]
+        self._push(_Level(new.text, new.at[order][starts][fresh], least[fresh], self.length))
         return covered
 
-    def _push(self, batches: int, suffix: np.ndarray, least: np.ndarray) -> None:
-        while self.levels and self.levels[-1][0] == batches:
-            n, other, least_other = self.levels.pop()
-            both = np.concatenate([other, suffix])
-            order = np.argsort(both, kind="stable")  # merges two sorted runs
-            suffix, least, batches = both[order], np.concatenate([least_other, least])[order], batches + n
-        self.levels.append((batches, suffix, least))
+    def _match(self, level: _Level, heads: np.ndarray, least: np.ndarray, fresh: np.ndarray) -> None:
+        """Merge-scans a level with a batch's sorted suffixes, scan suffixes of the level at a time: equal neighbours match."""
+        for x in range(0, len(level.at), self.scan):
+            known = level.heads(x, x + self.scan)
+            lo, hi = np.searchsorted(heads, known[0], "left"), np.searchsorted(heads, known[-1], "right")
+            if lo == hi:
+                continue
+            both = np.concatenate([known, heads[lo:hi]])
+            order = _merged(known, heads[lo:hi])
+            same = np.flatnonzero(both[order[1:]] == both[order[:-1]])
+            theirs, ours = order[same] + x, order[same + 1] - len(known) + lo
+            least[ours] = np.minimum(least[ours], level.least[theirs])
+            fresh[ours] = False
+
+    def _push(self, level: _Level) -> None:
+        while self.levels and self.levels[-1].batches == level.batches:
+            old = self.levels.pop()
+            order = _merged(old.heads(), level.heads())
+            at = np.concatenate([old.at, level.at + len(old.text)])[order]
+            level = _Level(np.concatenate([old.text, level.text]), at, np.concatenate([old.least, level.least])[order], self.length, old.batches + level.batches)
+        self.levels.append(level)
+
+
+def _judged(places: dict[bytes, list[tuple[int, int, int, int]]], length: int, batch: int) -> list[tuple[int, int, int, int]]:
+    """(block, row, begin, end) of the covered runs of a bucket's pieces; places has (doc, block, row, start) of each."""
+    least = {p: min(x)[0] for p, x in places.items()}
+    pieces = sorted(places, key=lambda p: (least[p], p))
+    family, out = IndexFamily(length), []
+    for k in range(0, len(pieces), batch):
+        part = pieces[k : k + batch]
+        covered = family.add(part, np.array([least[p] for p in part], np.int64))
+        edge = np.concatenate([[0], np.cumsum([len(p) - length + 1 for p in part])])
+        inside = np.zeros(len(covered) + 1, bool)
+        inside[:-1] = covered
+        head = np.append(True, ~inside[:-2]) & covered
+        head[edge[:-1]] = covered[edge[:-1]]
+        tail = ~inside[1:] & covered
+        tail[edge[1:] - 1] = covered[edge[1:] - 1]
+        begins, ends = np.flatnonzero(head), np.flatnonzero(tail)
+        whose = np.searchsorted(edge, begins, side="right") - 1
+        for p, x, y in zip(whose.tolist(), (begins - edge[whose]).tolist(), (ends - edge[whose]).tolist(), strict=True):
+            out += [(b, r, s + x, s + y + length) for d, b, r, s in places[part[p]] if d == least[part[p]]]
+        for piece in part:
+            if len(places[piece]) > 1:
+                out += [(b, r, s, s + len(piece)) for d, b, r, s in places[piece] if d != least[piece]]
+    return out
 
 
 def _covered(length: int, batch: int):
-    """(doc_id, packed runs of covered bytes: begin, end) for the pieces of each bucket."""
+    """(block, runs): packed covered runs (row, begin, end) of a block, from the pieces of each bucket."""
 
     def run(batches):
         alone()
         unzip = zstandard.ZstdDecompressor().decompress
-        for bucket, rows in _by_bucket(batches, ["docs", "starts", "sizes", "text"]):
-            runs: list[np.ndarray] = []
+        for (bucket,), rows in consecutive(batches, ["bucket"]):
+            cols = [rows.column(n).to_pylist() for n in ("block", "head", "text")]
             if bucket < 0:
-                for d, s, n, _ in rows:
-                    d, s, n = (np.frombuffer(x, np.int64) for x in (d, s, n))
-                    runs.append(np.stack([d, s, s + n], 1))
-            else:
-                of: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-                for d, s, n, z in rows:
-                    text, at, piece = unzip(z), 0, b""
-                    for doc, start, size in zip(*(np.frombuffer(x, np.int64).tolist() for x in (d, s, n)), strict=True):
-                        if size > 0:
-                            piece = text[at : at + size]
-                            at += size
-                        of[piece].append((doc, start))
-                least = {p: min(x)[0] for p, x in of.items()}
-                pieces = sorted(of, key=lambda p: least[p])
-                family = IndexFamily(length)
-                out = []
-                for k in range(0, len(pieces), batch):
-                    part = pieces[k : k + batch]
-                    covered = family.add(part, np.array([least[p] for p in part], np.int64))
-                    edge = np.concatenate([[0], np.cumsum([len(p) - length + 1 for p in part])])
-                    inside = np.zeros(len(covered) + 1, np.int8)
-                    inside[:-1] = covered
-                    change = np.diff(inside, prepend=0) != 0
-                    change[edge[:-1]] |= inside[edge[:-1]] != 0
-                    marks = np.flatnonzero(change)
-                    marks = marks[inside[marks] != 0]
-                    whose = np.searchsorted(edge, marks, side="right") - 1
-                    stop = np.flatnonzero(np.append(covered[:-1] & ~covered[1:], covered[-1:]) | np.isin(np.arange(len(covered)), edge[1:] - 1) & covered)
-                    for p, x, y in zip(whose.tolist(), marks.tolist(), stop.tolist(), strict=True):
-                        piece, e = part[p], int(edge[p])
-                        for doc, start in of[piece]:
-                            if doc == least[piece]:
-                                out.append((doc, start + x - e, start + y - e + length))
-                    for piece in part:
-                        if len(of[piece]) > 1:
-                            out += [(doc, start, start + len(piece)) for doc, start in of[piece] if doc != least[piece]]
-                if out:
-                    runs.append(np.array(out, np.int64))
-            if runs:
-                r = np.concatenate(runs)
-                yield _per_doc(r[:, 0], r[:, 1:].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], ["block", "runs"])
+                continue
+            places: dict[bytes, list] = defaultdict(list)
+            for block, head, zipped in zip(*cols, strict=True):
+                text, at, piece = unzip(zipped), 0, b""
+                for doc, row, start, size in zip(*np.frombuffer(unzip(head), np.int64).reshape(4, -1).tolist(), strict=True):
+                    if size > 0:
+                        piece = text[at : at + size]
+                        at += size
+                    places[piece].append((doc, block, row, start))
+            found = np.array(_judged(places, length, batch), np.int64).reshape(-1, 4)
+            found = found[np.argsort(found[:, 0], kind="stable")]
+            s, e = runs_of(found[:, 0])
+            if len(s):
+                yield pa.RecordBatch.from_arrays([pa.array(found[s, 0]), _binaries(found[x:y, 1:].astype(np.int32) for x, y in zip(s, e, strict=True))], ["block", "runs"])
 
     return run
 
 
-def merged_runs(packed: list[bytes], size: int) -> np.ndarray:
-    """Disjoint, maximal (begin, end) runs of covered bytes, in order."""
-    r = np.frombuffer(b"".join(packed), np.int32).reshape(-1, 2).astype(np.int64)
-    r = np.minimum(r, size)
-    r = r[r[:, 0] < r[:, 1]]
-    if not len(r):
-        return r
-    r = r[np.argsort(r[:, 0], kind="stable")]
+def merged_runs(runs: np.ndarray) -> np.ndarray:
+    """Disjoint, maximal (begin, end) runs in order, of runs that may overlap or touch."""
+    if not len(runs):
+        return runs
+    r = runs[np.argsort(runs[:, 0], kind="stable")]
     reach = np.maximum.accumulate(r[:, 1])
-    new = np.append(True, r[1:, 0] > reach[:-1])
-    starts = np.flatnonzero(new)
+    starts = np.flatnonzero(np.append(True, r[1:, 0] > reach[:-1]))
     return np.stack([r[starts, 0], reach[np.append(starts[1:], len(r)) - 1]], 1)
 
 
@@ -341,37 +417,49 @@ def kept_bytes(raw: bytes, runs: np.ndarray) -> bytes:
     return b"".join(out)
 
 
-def _left(batches):
-    alone()
-    for b in slices(batches):
-        rows = []
-        for (doc, raw), packed in zip(_raw(b), b.column("packed").to_pylist(), strict=True):
-            runs = merged_runs(packed or [], len(raw))
-            rows.append((doc, len(raw), int((runs[:, 1] - runs[:, 0]).sum()), len(runs), kept_bytes(raw, runs)))
-        arrays = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-        rest = [n for n in b.schema.names if n not in ("doc_id", "zipped", "packed")]
-        yield pa.RecordBatch.from_arrays([*arrays, *(b.column(n) for n in rest)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *rest])
-
+def _left(as_text: bool):
+    """A block's rows without their covered runs."""
 
-def without_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, id_col: str = "doc_id", text_col: str = "text", carry: dict[str, str] | None = None) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row, and the columns that carry names (as -> column)."""
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        alone()
+        table = _unpacked(left.column("packed")[0].as_py())
+        runs = np.frombuffer(b"".join(right.column("runs").to_pylist()), np.int32).reshape(-1, 3).astype(np.int64)
+        runs = runs[np.argsort(runs[:, 0], kind="stable")]
+        s, e = runs_of(runs[:, 0])
+        of = {int(runs[x, 0]): runs[x:y, 1:] for x, y in zip(s, e, strict=True)}
+        none, out = np.zeros((0, 2), np.int64), []
+        for row, (_, raw) in enumerate(_rows(table)):
+            r = merged_runs(of.get(row, none))
+            kept = kept_bytes(raw, r)
+            out.append((len(raw), int((r[:, 1] - r[:, 0]).sum()), len(r), kept.decode("utf-8", "ignore") if as_text else kept))
+        arrays = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary()))]
+        rest = [n for n in table.schema.names if n not in ("doc_id", "text")]
+        return pa.table([table.column("doc_id"), *arrays, *(table.column(n) for n in rest)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *rest])
+
+    return one
+
+
+def without_repeats(
+    spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, hot: int = HOT, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text",
+    carry: dict[str, str] | None = None, as_text: bool = False,
+) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary) for every row, and the columns that carry names (as -> column).
+    as_text returns kept as a string, without the characters of which bytes went."""
     scratch = Scratch(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * parts
-    # anchor buckets only weigh what the anchors weigh; several of them share a partition
-    asked = texts.mapInArrow(_asked(buckets, length, gram), "bucket int, docs binary, hashes binary")
-    shared = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "doc_id long, packed binary")
-    shared = shared.groupBy("doc_id").agg(F.collect_list("packed").alias("packed"))
-    extra = docs.select(*(F.col(c).alias(a) for a, c in (carry or {}).items())).schema.fields
-    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in extra)
-    zipped = texts.mapInArrow(_zipped, "doc_id long, zipped binary")
-    pieces = zipped.join(shared, "doc_id").mapInArrow(_pieces(buckets, length, gram), "bucket int, docs binary, starts binary, sizes binary, text binary")
-    covered = pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_covered(length, batch), "doc_id long, packed binary")
-    covered = scratch.save(covered.groupBy("doc_id").agg(F.collect_list("packed").alias("packed")), "covered")
-    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(a) for a, c in (carry or {}).items()))
-    whole = whole.mapInArrow(_zipped, f"doc_id long, zipped binary{more}")
-    return whole.join(covered, "doc_id", "left").mapInArrow(_left, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary{more}")
+    extra = [F.col(c).alias(a) for a, c in (carry or {}).items()]
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
+    blocks = scratch.save(chosen.mapInArrow(_blocks(block_bytes), "block long, n_bytes long, packed binary"), "blocks")
+    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    # several buckets share a partition; the data decides how many there are beyond that
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    blocks = blocks.select("block", "packed")
+    by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    told = by_bucket(blocks.mapInArrow(_asked(buckets, length, gram), "bucket int, block long, codes binary")).mapInArrow(_shared(hot), "block long, codes binary")
+    pieces = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_pieces(buckets, length, gram), "bucket int, block long, head binary, text binary")
+    covered = scratch.save(by_bucket(pieces).mapInArrow(_covered(length, batch), "block long, runs binary"), "covered")
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*extra).schema.fields) if extra else ""
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}{more}"
+    return blocks.groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(_left(as_text), schema)
 
 
 def op7_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
