@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import uuid
 import zlib
@@ -15,10 +16,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode (tests);
+    on a cluster that is an error, because executors do not see each other's temporary folders."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     import tempfile
 
     root = getattr(shared_dir, "own", None)
@@ -59,43 +63,67 @@ class Scratch:
             pass
 
 
+def _forests(edges: DataFrame, slice_rows: int = 1 << 20) -> DataFrame:
+    """Edges (a, b) with the same components: each task joins its own edges by union-find, some million at a time, and returns
+    one edge from every vertex to the smallest one that it reached. Narrow; what a hub has in a task becomes one star."""
+
+    def stars(held):
+        a, b = (np.concatenate([np.asarray(x.column(c)) for x in held]) for c in ("a", "b"))
+        vertex, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        forest = Forest(len(vertex))
+        for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+            forest.union(x, y)
+        root = np.fromiter(map(forest.find, range(len(vertex))), np.int64, len(vertex))
+        leaf = np.flatnonzero(root != np.arange(len(vertex)))
+        return pa.RecordBatch.from_arrays([pa.array(vertex[root[leaf]]), pa.array(vertex[leaf])], ["a", "b"])
+
+    def run(batches):
+        alone()
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= slice_rows:
+                yield stars(held)
+                held, rows = [], 0
+        if rows:
+            yield stars(held)
+
+    return edges.select("a", "b").where("a <> b").mapInArrow(run, "a long, b long")
+
+
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """Connected components of edges (a long, b long) as (v, label): label is the smallest vertex of the component.
 
-    Every round points each vertex at its smallest neighbour, follows the pointers twice, and contracts the edges to
-    the pointers' ends; a contracted graph has at most half the vertices, so rounds are logarithmic. Only vertices of
-    edges are returned. Hub vertices: the minimum is pre-aggregated before the shuffle and joins may be split.
+    Each task first joins its own edges (_forests). Then every round points each vertex at the neighbour of the lowest rank and
+    contracts the edges to the pointers' ends. Ranks are ids at first, which settles stars, and from the third round on a hash
+    of id and round, so that no order of ids makes long chains of pointers: rounds are logarithmic in expectation. Only vertices
+    of edges are returned. Hubs: the lowest rank is pre-aggregated before the shuffle, joins may be split.
     """
-    live = scratch.save(
-        edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{name}e"
-    )
+    live = scratch.save(_forests(edges), f"{name}e")
     maps: list[DataFrame] = []
-    turn = 0
     while not live.isEmpty():
+        turn = len(maps)
+        rank = (lambda c: F.col(c)) if turn < 2 else (lambda c, t=turn: F.xxhash64(F.col(c), F.lit(t)))
         both = live.select(F.col("b").alias("v"), F.col("a").alias("n")).unionAll(live.select(F.col("a").alias("v"), F.col("b").alias("n")))
-        ptr = both.groupBy("v").agg(F.min("n").alias("n")).select("v", F.least("v", "n").alias("p"))
-        ptr = scratch.save(ptr, f"{name}p{turn}")
-        for hop in range(2):
-            nxt = ptr.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            ptr = scratch.save(ptr.join(nxt, "p").select("v", F.col("q").alias("p")), f"{name}p{turn}h{hop}")
-            if hop:
-                scratch.drop(f"{name}p{turn}h0")
-        scratch.drop(f"{name}p{turn}")
+        lowest = both.groupBy("v").agg(F.min(F.struct(rank("n").alias("r"), F.col("n").alias("n"))).alias("m"))
+        ptr = scratch.save(lowest.select("v", F.least("m", F.struct(rank("v").alias("r"), F.col("v").alias("n")))["n"].alias("p")), f"{name}p{turn}")
         maps.append(ptr)
         of_a = ptr.select(F.col("v").alias("a"), F.col("p").alias("pa"))
         of_b = ptr.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        nxt_edges = (
-            live.join(of_a, "a").join(of_b, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a < b").distinct()
-        )
-        new = scratch.save(nxt_edges, f"{name}e{turn}")
+        new = scratch.save(_forests(live.join(of_a, "a").join(of_b, "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))), f"{name}e{turn}")
         scratch.drop(f"{name}e" if turn == 0 else f"{name}e{turn - 1}")
-        live, turn = new, turn + 1
+        live = new
     if not maps:
         return spark.createDataFrame([], "v long, label long")
     labels = maps[0].select("v", F.col("p").alias("label"))
     for later in maps[1:]:
         later = later.select(F.col("v").alias("label"), F.col("p").alias("to"))
         labels = labels.join(later, "label", "left").select("v", F.coalesce("to", "label").alias("label"))
+    if len(maps) > 2:  # the roots are those of the lowest hashes
+        labels = scratch.save(labels, f"{name}l")
+        least = labels.groupBy("label").agg(F.min("v").alias("least"))
+        labels = labels.join(least, "label").select("v", F.col("least").alias("label"))
     return labels
 
 
@@ -174,7 +202,17 @@ def alone(name: str = "") -> None:
         del _resident[k]
     if others:
         gc.collect()  # they hold methods of themselves
-    pa.default_memory_pool().release_unused()
+    if pa.default_memory_pool().backend_name != "system":  # one allocator for all, which gives back what is free
+        pa.set_memory_pool(pa.system_memory_pool())
+    _trim()
+
+
+def _trim() -> None:
+    """Returns free memory of the C library to the system, where it can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def arrow_strings(column) -> list[str]:
