@@ -4,33 +4,34 @@
    set. Documents with equal sets are one vertex from here on.
 2. Every document is posted under each (coordinate, value). Sets of the wanted similarity share MATCHES coordinates or more
    (but for a chance of about 1e-6 at the threshold itself, see miss_rate). So of a document's postings, ordered by how many
-   documents they hold, those in its *prefix* (the COORDINATES - MATCHES + 1 rarest) hold every partner. The longer postings
-   of the rest are *skipped*: they are read only to count collisions of documents that met in a prefix. A document with fewer
+   documents they hold, those in its *prefix* (the COORDINATES - MATCHES + 1 rarest) hold every partner. A document with fewer
    than MATCHES shared postings has no partner at all. So a passage that a third of all documents hold makes no long list
-   unless it is most of each document.
-3. Documents that a chain of prefix postings joins form a candidate cluster. Clusters are cut into blocks of bounded size by a
-   hash of the id; a few hub documents of a large cluster are in each of its blocks. A task counts the collisions of a
-   block's pairs and confirms pairs that reach MATCHES on the full sets, most collisions first, unless both are already
-   connected: links that change no component need no confirming.
-4. In clusters of several blocks, documents outside the cluster's largest component are then compared with every block.
+   unless it is most of each document. Documents that a chain of prefix postings joins form a candidate cluster.
+3. Clusters are cut into blocks of bounded size by a hash of the id; a few hub documents of a large cluster are in each of its
+   blocks. A task inverts its block: for each document the short posting lists are merged, which counts collisions, and the
+   long ones are *skipped* through - only the documents met so far are searched in them - until too few lists are left to
+   reach MATCHES. Pairs that reach it are confirmed on the full sets, most collisions first. Documents that are connected
+   already need no counting: their link would change no component.
+4. In clusters of several blocks, documents outside the cluster's largest component are then merged with every block.
    So all pairs with MATCHES collisions are either confirmed, refuted or within one component, and no pair is ever a row.
 
-Texts that are null, empty or without words have no shingle and link with nothing. Rows with the same doc_id are one vertex;
-every row is returned. A null doc_id is returned with a null component and kept true. Other columns are not read.
+Texts that are null, empty or without words have no shingle and link with nothing. Rows with the same doc_id are one document
+with the links of all its texts; every row is returned, with the size of its own set. A null doc_id is returned with a null
+component and kept true. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Forest, Scratch, alone, components, slices
+from .common import Scratch, alone, components, slices
 from .grouped import map_groups
 from .shingles import Shingler
 
@@ -75,7 +76,7 @@ def _signed(width: int, coordinates: int):
 
 def _posted(batches):
     alone()
-    for b in batches:
+    for b in slices(batches):
         sigs = [np.frombuffer(x, np.uint32) for x in b.column("sig").to_pylist()]
         if sigs:
             k = len(sigs[0])
@@ -99,23 +100,46 @@ def _with_sets(width: int, coordinates: int):
     return run
 
 
-class _Pairs:
-    """Confirms candidate pairs of one group, most collisions first."""
+class _Block:
+    """The members of one group, inverted by (coordinate, value)."""
 
-    def __init__(self, rows: pa.Table, percent: int):
+    def __init__(self, rows: pa.Table, percent: int, matches: int):
         self.ids = rows.column("doc").to_numpy()
-        self.sig = np.stack([np.frombuffer(x, np.uint32) for x in rows.column("sig").to_pylist()])
         self.sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
         self.size = np.array([len(s) for s in self.sets], np.int64)
-        self.percent = percent
-        self.forest = Forest(len(self.ids))
-
-    def candidates(self, i: int, others: np.ndarray, matches: int) -> Iterator[tuple[int, int, int]]:
-        n, m = self.size[i], self.size[others]
-        others = others[np.minimum(n, m) * 100 >= self.percent * np.maximum(n, m)]
-        hits = (self.sig[others] == self.sig[i]).sum(1)
-        for k in np.flatnonzero(hits >= matches):
-            yield -int(hits[k]), i, int(others[k])
+        self.percent, self.matches = percent, matches
+        sig = np.stack([np.frombuffer(x, np.uint32) for x in rows.column("sig").to_pylist()]).astype(np.int64)
+        n, k = sig.shape
+        _, lists = np.unique(sig | np.arange(k, dtype=np.int64) << 32, return_inverse=True)
+        self.lists = lists.reshape(n, k)  # the posting lists of each document
+        order = np.argsort(self.lists, axis=None, kind="stable")
+        self.members = order // k  # posting lists one after another, documents rising in each
+        self.length = np.bincount(self.lists.ravel())
+        self.begin = np.concatenate([[0], np.cumsum(self.length)[:-1]])
+        self.postings = self.lists.ravel()[order] * n + self.members  # (list, document) as one rising key
+        self.comp = np.arange(n)
+
+    def merged(self, i: int, open_: np.ndarray, step: int = 6) -> tuple[np.ndarray, np.ndarray]:
+        """(documents, collisions) of the open documents that collide with i in MATCHES coordinates or more."""
+        own = self.lists[i]
+        own = own[self.length[own] > 1]
+        none = np.zeros(0, np.int64)
+        if len(own) < self.matches:
+            return none, none
+        own = own[np.argsort(self.length[own], kind="stable")]
+        prefix, rest = own[: len(own) - self.matches + 1], own[len(own) - self.matches + 1 :]
+        found = np.concatenate([self.members[self.begin[x] : self.begin[x] + self.length[x]] for x in prefix])
+        found, hits = np.unique(found[open_[found]], return_counts=True)
+        for at in range(0, len(rest), step):
+            if not len(found):
+                break
+            part = rest[at : at + step]
+            key = part[:, None] * len(self.ids) + found
+            hits = hits + (self.postings[np.minimum(np.searchsorted(self.postings, key), len(self.postings) - 1)] == key).sum(0)
+            able = hits + (len(rest) - at - len(part)) >= self.matches
+            found, hits = found[able], hits[able]
+        reach = hits >= self.matches
+        return found[reach], hits[reach]
 
     def alike(self, i: int, j: int) -> bool:
         both = np.concatenate([self.sets[i], self.sets[j]])
@@ -123,12 +147,21 @@ class _Pairs:
         same = int((both[1:] == both[:-1]).sum())
         return 100 * same >= self.percent * (len(both) - same)
 
-    def edges(self, found: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+    def edges(self, asking: np.ndarray, later: bool) -> Iterator[pa.RecordBatch]:
+        """Confirmed links of the asking documents with all others, or with those after them, that join two components."""
         out = []
-        for _, i, j in sorted(found):
-            if self.forest.find(i) != self.forest.find(j) and self.alike(i, j):
-                self.forest.union(i, j)
-                out.append((i, j))
+        for i in asking.tolist():
+            n, m = self.size[i], self.size
+            open_ = (np.minimum(n, m) * 100 >= self.percent * np.maximum(n, m)) & (self.comp != self.comp[i])
+            if later:
+                open_[:i] = False
+            if not open_.any():
+                continue
+            found, hits = self.merged(i, open_)
+            for j in found[np.argsort(-hits, kind="stable")].tolist():
+                if self.comp[i] != self.comp[j] and self.alike(i, j):
+                    self.comp[self.comp == self.comp[j]] = self.comp[i]
+                    out.append((i, j))
         if out:
             e = np.array(out)
             yield pa.RecordBatch.from_arrays([pa.array(self.ids[e[:, 0]]), pa.array(self.ids[e[:, 1]])], ["a", "b"])
@@ -136,11 +169,8 @@ class _Pairs:
 
 def _within(matches: int, percent: int):
     def one(rows: pa.Table):
-        if rows.num_rows < 2:
-            return
-        p = _Pairs(rows, percent)
-        every = np.arange(len(p.ids))
-        yield from p.edges([c for i in range(len(every) - 1) for c in p.candidates(i, every[i + 1 :], matches)])
+        if rows.num_rows > 1:
+            yield from _Block(rows, percent, matches).edges(np.arange(rows.num_rows - 1), later=True)
 
     return one
 
@@ -152,15 +182,9 @@ def _across(matches: int, percent: int):
         asks = rows.column("asks").to_numpy(zero_copy_only=False)
         if not asks.any() or rows.num_rows < 2:
             return
-        p = _Pairs(rows, percent)
-        comp = rows.column("comp").to_numpy()
-        first: dict[int, int] = {}
-        for k, c in enumerate(comp.tolist()):
-            p.forest.union(first.setdefault(c, k), k)
-        found = []
-        for i in np.flatnonzero(asks):
-            found += p.candidates(int(i), np.flatnonzero(comp != comp[i]), matches)
-        yield from p.edges(found)
+        block = _Block(rows, percent, matches)
+        block.comp = np.unique(rows.column("comp").to_numpy(), return_inverse=True)[1]
+        yield from block.edges(np.flatnonzero(asks), later=False)
 
     return one
 
@@ -172,15 +196,17 @@ def near_duplicates(
     scratch = Scratch(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.save(texts.mapInArrow(_signed(width, coordinates), "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
+    several = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("least"), F.max("digest").alias("most")).where("least <> most").select("doc_id")
+    if not several.isEmpty():
+        return _ids_of_several_texts(spark, texts, several, scratch, lambda t: near_duplicates(spark, t, width, percent, coordinates, matches, block))
     reps = signed.where("sig is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
     reps = scratch.save(reps, "reps")
 
     postings = reps.select("doc", "sig").mapInArrow(_posted, "doc long, key long")
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    ranked = postings.join(shared, "key").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("own")).where(F.size("own") >= matches)
-    prefix = scratch.save(
-        ranked.select("doc", F.explode(F.slice("own", F.lit(1), F.size("own") - (matches - 1))).alias("p")).select("doc", F.col("p.key").alias("key")), "prefix"
-    )
+    own = Window.partitionBy("doc")  # at most one row a coordinate
+    ranked = postings.join(shared, "key").select("doc", "key", F.row_number().over(own.orderBy("df", "key")).alias("k"), F.count(F.lit(1)).over(own).alias("n"))
+    prefix = scratch.save(ranked.where(F.col("k") <= F.col("n") - (matches - 1)).select("doc", "key"), "prefix")
     heads = prefix.groupBy("key").agg(F.min("doc").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
     cluster = components(spark, prefix.join(heads, "key").select(F.col("doc").alias("a"), F.col("head").alias("b")), scratch, "cand")
     cluster = scratch.save(cluster.select(F.col("v").alias("doc"), F.col("label").alias("cluster")), "cluster")
@@ -221,5 +247,19 @@ def near_duplicates(
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _ids_of_several_texts(spark: SparkSession, texts: DataFrame, several: DataFrame, scratch: Scratch, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The result where rows of one id differ: each of their texts is linked under an id of its own (below zero), and then joined
+    with the others of its id."""
+    own = F.when(F.col("odd"), -1 - F.shiftrightunsigned(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), 1)).otherwise(F.col("doc_id"))
+    marked = texts.join(several.withColumn("odd", F.lit(True)), "doc_id", "left").select(own.alias("own"), "doc_id", "text")
+    names = scratch.save(marked.where("own <> doc_id").select("own", F.col("doc_id").alias("real")).distinct(), "names")
+    found = scratch.save(linked(marked.select(F.col("own").alias("doc_id"), "text")).join(names, F.col("doc_id") == F.col("own"), "left").drop("own"), "found")
+    edges = found.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    label = components(spark, edges.unionAll(names.select("own", "real")), scratch, "ids")
+    rows = found.join(label, F.col("doc_id") == F.col("v"), "left").select(F.coalesce("real", "doc_id").alias("doc_id"), "n_shingles", F.coalesce("label", "doc_id").alias("label"))
+    least = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least.withColumnRenamed("label", "l"), F.col("label") == F.col("l"), "left").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))

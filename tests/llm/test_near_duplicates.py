@@ -66,6 +66,31 @@ def test_minhash_edges(spark, docs_of):
     assert M.miss_rate(0.8) < 1e-5
 
 
+def test_minhash_ids_of_several_texts_are_one_document(spark, docs_of):
+    a, b, c = "a b c d e", "p q r s t", "u v w x y"
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, c), (9, None), (9, c), (9, c), (11, b), (12, ""), (None, a)]
+    got = M.near_duplicates(spark, docs_of(rows)).collect()
+    assert sorted((x["doc_id"] or -1, x["n_shingles"], x["component_id"] or -1) for x in got) == sorted(
+        [(3, 2, 3), (5, 2, 3), (5, 2, 3), (7, 2, 3), (8, 2, 8), (9, 0, 8), (9, 2, 8), (9, 2, 8), (11, 2, 3), (12, 0, 12), (-1, 2, -1)]
+    )
+    assert all(x["kept"] == (x["doc_id"] in (3, 8, 12, None)) for x in got)
+
+
+def test_minhash_merging_counts_collisions():
+    """Prefix merging and skipping find exactly the documents whose signatures agree in enough coordinates."""
+    import pyarrow as pa
+
+    g = np.random.default_rng(4)
+    base = g.integers(0, 2**32, (6, 64), dtype=np.uint32)
+    sig = np.stack([np.where(g.random(64) < 0.8 - 0.1 * (k % 4), base[k % 6], g.integers(0, 9, 64).astype(np.uint32)) for k in range(80)])
+    rows = pa.table({"doc": np.arange(80), "shingles": [np.arange(3, dtype=np.uint64).tobytes()] * 80, "sig": [s.tobytes() for s in sig]})
+    block = M._Block(rows, 80, 36)
+    for i in range(80):
+        agree = (sig == sig[i]).sum(1)
+        found, hits = block.merged(i, np.arange(80) != i)
+        assert found.tolist() == [j for j in range(80) if j != i and agree[j] >= 36] and (hits == agree[found]).all()
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randint(0, 199), r.randint(0, 199)) for _ in range(120)] + [(i, i + 1) for i in range(150, 180)]
@@ -122,15 +147,16 @@ def _without(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("batch", [2048, 3])
-def test_repeats_equal_brute_force(spark, docs_of, batch):
+@pytest.mark.parametrize("batch, hot, block_bytes", [(2048, 20_000, 4 << 20), (3, 20_000, 3_000), (3, 4, 3_000), (2048, 2, 1)])
+def test_repeats_equal_brute_force(spark, docs_of, batch, hot, block_bytes):
+    """Levels that merge, hot anchors and blocks of one document."""
     r = random.Random(4)
     long_ = " ".join(_words(r, 60))
     texts = [None, "", "short", "x" * 49, "x" * 50, "x" * 50, "x" * 130, long_, long_, long_[7:200], "é" * 80, "ab" + "é" * 60, "日本語テキスト" * 10, "語テキスト日本" * 10, "nul\0" * 30, "\0" * 120]
     texts += [" ".join(_words(r, 30)) + long_[a : a + r.choice([30, 49, 50, 51, 80])] + " ".join(_words(r, 20)) for a in range(0, 100, 5)]
     rows = list(enumerate(texts)) + [(7, long_)]
     r.shuffle(rows)
-    got = S.without_repeats(spark, docs_of(rows), batch=batch).collect()
+    got = S.without_repeats(spark, docs_of(rows), batch=batch, hot=hot, block_bytes=block_bytes).collect()
     assert len(got) == len(rows)
     wanted = _without(rows)
     for x in got:
@@ -143,6 +169,35 @@ def test_repeats_edges(spark, docs_of):
     assert sorted((x["doc_id"] or -1, x["n_removed"], x["carried"]) for x in got) == [(-1, 0, "x"), (1, 0, "x")]
 
 
+def test_rows_of_one_id_are_judged_by_their_own_text(spark, docs_of):
+    a, b = "q" * 60, "z" * 70
+    got = S.without_repeats(spark, docs_of([(1, a), (2, a), (2, b), (2, b), (3, b)]), as_text=True).collect()
+    assert sorted((x["doc_id"], x["n_removed"], x["kept"]) for x in got) == [(1, 0, a), (2, 0, b), (2, 0, b), (2, 60, ""), (3, 70, "")]
+
+
+def test_index_family_equals_definition():
+    """Many batches: levels hold powers of two, and every suffix is judged as a dictionary of all before it would."""
+    r = random.Random(9)
+    family, seen, adds = S.IndexFamily(8, scan=5), {}, 0
+    for k in range(13):
+        pieces = ["".join(r.choice("ab") for _ in range(r.randint(8, 20))).encode() for _ in range(r.randint(1, 4))]
+        docs = np.array(sorted(r.randint(3 * k, 3 * k + 3) for _ in pieces))
+        for p, d in zip(pieces, docs.tolist(), strict=True):
+            for x in range(len(p) - 7):
+                seen[p[x : x + 8]] = min(d, seen.get(p[x : x + 8], d))
+        wanted = [seen[p[x : x + 8]] < d for p, d in zip(pieces, docs.tolist(), strict=True) for x in range(len(p) - 7)]
+        assert family.add(pieces, docs).tolist() == wanted
+        adds += 1
+        assert [x.batches for x in family.levels] == [1 << b for b in range(9, -1, -1) if adds >> b & 1]
+        assert all((x.heads()[1:] > x.heads()[:-1]).all() for x in family.levels)
+
+
+def test_anchor_runs_in_steps():
+    raw = np.random.default_rng(2).integers(0, 3, 5_000).astype(np.uint8)
+    for step in (1, 7, 1_000):
+        assert all((x == y).all() for x, y in zip(S.anchor_runs(raw), S.anchor_runs(raw, step=step), strict=True))
+
+
 def test_window_anchors_depend_on_windows_alone():
     r = np.random.default_rng(1)
     a, b = r.integers(0, 4, 300).astype(np.uint8), r.integers(0, 4, 300).astype(np.uint8)
