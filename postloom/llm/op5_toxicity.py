@@ -240,7 +240,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
     top = {bytes(r["gram"]): (r["pos"], r["n"]) for r in stats.orderBy(F.col("gram") != b"", F.desc(F.col("pos") * F.col("pos") / (F.col("n") + 2)), "gram").limit(8 * FEATURES).collect()}
     pos_n, all_n = top.pop(b"", (0, 0))
     if not pos_n or pos_n == all_n:
-        return {"chars": chars, "features": {}, "weights": np.zeros((0, len(BINS))), "bias": fit_logistic(np.zeros((all_n, 0)), np.full(all_n, float(bool(pos_n))))[1]}
+        return {"chars": chars, "features": {}, "weights": np.zeros((0, len(BINS))), "bias": fit_logistic([np.zeros(0)] * all_n, 0, np.full(all_n, float(bool(pos_n))))[1]}
     rate = pos_n / all_n
     z = {g: (p - n * rate) / np.sqrt(n * rate * (1 - rate) + 1.0) for g, (p, n) in top.items()}
     best = sorted(z, key=lambda g: (-z[g], g))[:FEATURES]
@@ -256,14 +256,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
             )
 
     got = sample.select("text", "label").mapInArrow(vectors, "label int, f array<int>, k array<int>").collect()
-    x = np.zeros((len(got), len(features) * len(BINS)), np.float32)
-    for i, row in enumerate(got):
-        for f, k in zip(row["f"], row["k"], strict=True):
-            for j, least in enumerate(BINS):
-                if k >= least:
-                    x[i, f * len(BINS) + j] = 1
-    y = np.array([row["label"] for row in got], float)
-    w, bias = fit_logistic(x, y, l2=2.0)
+    rows = [np.array([f * len(BINS) + j for f, k in zip(row["f"], row["k"], strict=True) for j, least in enumerate(BINS) if k >= least], np.int64) for row in got]
+    w, bias = fit_logistic(rows, len(features) * len(BINS), np.array([row["label"] for row in got], float), l2=2.0)
     return {"chars": chars, "features": features, "weights": w.reshape(-1, len(BINS)), "bias": bias}
 
 

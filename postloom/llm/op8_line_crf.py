@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
     marginal, _, _ = chain(x @ w, trans, starts, sizes)
     length = np.concatenate([np.frombuffer(r["size"], np.float32) for r in got]).astype(float)
     mean = np.add.reduceat(marginal * length, starts) / np.add.reduceat(length, starts)
-    slope, offset = fit_logistic(mean[:, None] * 8 - 4, y_doc, l2=0.1, steps=600)
+    slope, offset = fit_logistic([np.zeros(1, np.int64)] * len(mean), 1, y_doc, l2=0.1, steps=600, close=0.0, values=mean * 8 - 4)
     return {"w": w, "trans": trans, "curve": (float(max(0.2, slope[0])), float(offset)), "rate": rate}
 
 

@@ -77,8 +77,8 @@ def test_toxicity_edges(spark, docs_of, toxicity):
     rows = [(1, None), (1, None), (2, ""), (3, "x" * 20_000), (None, "idiot"), (4, "4" * 3_000 + "a")]
     got = X.score_rows(docs_of(rows).drop("score"), toxicity).collect()
     assert len(got) == len(rows) and len({x["score"] for x in got if not x["text"]}) == 1 and all(0 <= x["score"] <= 1 for x in got)
-    with pytest.raises(ValueError):
-        X.score_rows(docs_of(rows), toxicity)
+    assert X.score_rows(docs_of(rows), toxicity).columns == [*docs_of(rows).drop("score").columns, "score"]
+    assert X.score_rows(docs_of([]), toxicity).count() == 0
     none = X.fit(docs_of([]).select("doc_id", "text"), spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert X.score_rows(docs_of(rows).drop("score"), none).count() == len(rows)
 
