@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch between the JVM and Python, where the session leaves Spark's default of 10,000: texts may be long.
+ARROW_ROWS = 1_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once per application."""
+    """Sends this package to the executors' Python workers, once per application, and bounds the session's Arrow batches."""
     app = spark.sparkContext.applicationId
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if app in _shipped:
         return
     top = os.path.dirname(os.path.abspath(__file__))
