@@ -9,12 +9,11 @@ they are; null and empty texts are neither toxic nor bad by themselves: they get
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.llm import op1_minhash, op2_packing, op5_toxicity, op7_suffix_index, op8_line_crf
-from postloom.llm.common import Scratch, slices
+from postloom.llm.common import Scratch
 from postloom.session import ship
 
 #: Near-duplicate groups of the pipeline: five-word shingles, similarity 0.8 or more.
@@ -54,9 +53,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship(spark)
     found = op1_minhash.near_duplicates(spark, docs, width=WORDS, percent=PERCENT).where("doc_id is not null")
     status = Scratch(spark).save(found.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "status")
-    gone = status.where("not kept").select(F.col("doc_id").alias("gone"))
+    name = _free(docs, "gone")
+    gone = status.where("not kept").select(F.col("doc_id").alias(name))
     few = gone.count() <= op1_minhash.BROADCAST_ROWS  # some MB of ids; beyond it the texts are shuffled
-    rows = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    rows = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone[name], "left_anti")
     if status.where("n > 1").isEmpty():
         return rows
     return rows.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id is null"))
@@ -66,24 +66,13 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the 50-byte strings that a document with a smaller id holds. A character of which bytes went is
     dropped whole; n_chars counts what is left."""
     ship(spark)
-    names = docs.columns
-    carry = {f"carried_{k}": c for k, c in enumerate(names) if c not in ("doc_id", "text")}
-    left = op7_suffix_index.without_repeats(spark, docs, carry=carry)
+    carry = {f"carried_{k}": c for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    left = op7_suffix_index.without_repeats(spark, docs, carry=carry, as_text=True)
     fields = {f.name: f.dataType for f in docs.schema.fields}
-
-    def decoded(batches):
-        for b in slices(batches):
-            texts = pa.array([x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()], pa.string())
-            rest = [n for n in b.schema.names if n != "kept"]
-            yield pa.RecordBatch.from_arrays([texts, *(b.column(n) for n in rest)], ["text", *rest])
-
-    chosen = left.select("kept", "doc_id", *carry)
-    schema = ", ".join(["text string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields if f.name != "kept")])
-    texts = chosen.mapInArrow(decoded, schema)
-    back = {c: F.col(a) for a, c in carry.items()} | {"doc_id": F.col("doc_id").cast(fields["doc_id"]), "text": F.col("text")}
-    if "n_chars" in names:
-        back["n_chars"] = F.length("text").cast(fields["n_chars"])
-    return texts.select(*(back[c].alias(c) for c in names))
+    back = {c: F.col(a) for a, c in carry.items()} | {"doc_id": F.col("doc_id").cast(fields["doc_id"]), "text": F.col("kept")}
+    if "n_chars" in fields:
+        back["n_chars"] = F.length("kept").cast(fields["n_chars"])
+    return left.select(*(back[c].alias(c) for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
