@@ -45,8 +45,10 @@ BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 HOT = 20_000
 _TABLE = np.random.default_rng(50).integers(0, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-#: Anchor hashes leave their low four bits free: a question holds the number of documents there, an answer what is known.
-_LOW = np.uint64(15)
+#: The name of an anchor is its bucket, 36 bits of its hash, and four low bits that are free: a question holds the number of
+#: documents there, an answer what is known. Questions and answers between blocks and a bucket are the five low bytes. (Two
+#: anchors of one name, some 1e-5 of a bucket's 300,000, only send pieces that are then found to differ.)
+_LOW, _BYTES = np.uint64(15), 5
 _SHARED, _HOT = np.uint64(1), np.uint64(2)
 
 
@@ -90,13 +92,17 @@ def runs_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(values))
 
 
-def anchor_runs(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM, step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes) of the runs of windows with one anchor; step windows at a time, so that a long text needs no
+def anchor_names(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    h, n = hashes >> np.uint64(4), np.uint64(buckets)
+    return (h % n) << np.uint64(40) | ((h // n) & np.uint64((1 << 36) - 1)) << np.uint64(4)
+
+
+def anchor_runs(raw: np.ndarray, buckets: int, length: int = LENGTH, gram: int = GRAM, step: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, names) of the runs of windows with one anchor; step windows at a time, so that a long text needs no
     arrays of its own size."""
     starts, hashes, last = [], [], None
     for at in range(0, max(0, len(raw) - length + 1), step):
         a = window_anchors(raw[at : at + step + length - 1], length, gram)
-        a = a & ~_LOW
         s = runs_of(a)[0]
         if last is not None and last == a[0]:
             s = s[1:]
@@ -106,7 +112,18 @@ def anchor_runs(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM, step: i
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     s = np.concatenate(starts)
-    return s, np.append(s[1:], len(raw) - length + 1), np.concatenate(hashes)
+    return s, np.append(s[1:], len(raw) - length + 1), anchor_names(np.concatenate(hashes), buckets)
+
+
+def _sent(names: np.ndarray) -> bytes:
+    return np.ascontiguousarray(names.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES]).tobytes()
+
+
+def _received(packed: bytes, bucket: int) -> np.ndarray:
+    raw = np.frombuffer(packed, np.uint8).reshape(-1, _BYTES)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :_BYTES] = raw
+    return out.view("<u8").ravel() | np.uint64(bucket) << np.uint64(40)
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -163,16 +180,16 @@ def _rows(table: pa.Table) -> list[tuple[int | None, bytes]]:
     return [(i, t or b"") for i, t in zip(table.column("doc_id").to_pylist(), raw, strict=True)]
 
 
-def _block_anchors(rows: list[tuple[int | None, bytes]], length: int, gram: int):
-    """Per row its anchor runs, and the block's distinct anchors with their number of rows."""
+def _block_anchors(rows: list[tuple[int | None, bytes]], buckets: int, length: int, gram: int):
+    """Per row its anchor runs, and the block's distinct anchors (buckets in order) with their number of rows."""
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-    runs = [anchor_runs(np.frombuffer(t, np.uint8), length, gram) if d is not None else none for d, t in rows]
+    runs = [anchor_runs(np.frombuffer(t, np.uint8), buckets, length, gram) if d is not None else none for d, t in rows]
     own = [np.unique(r[2]) for r in runs]
     return runs, *np.unique(np.concatenate(own) if own else none[2], return_counts=True)
 
 
 def _binaries(parts) -> pa.Array:
-    return pa.array([p.tobytes() for p in parts], pa.binary())
+    return pa.array(list(parts), pa.binary())
 
 
 def _asked(buckets: int, length: int, gram: int):
@@ -182,26 +199,24 @@ def _asked(buckets: int, length: int, gram: int):
         alone()
         for b in batches:
             for block, packed in zip(b.column("block").to_pylist(), b.column("packed"), strict=True):
-                _, h, n = _block_anchors(_rows(_unpacked(packed.as_py())), length, gram)
-                if not len(h):
+                _, names, n = _block_anchors(_rows(_unpacked(packed.as_py())), buckets, length, gram)
+                if not len(names):
                     continue
-                codes = h | np.minimum(15, np.floor(np.log2(n)) + 1).astype(np.uint64)
-                where = ((h >> np.uint64(4)) % np.uint64(buckets)).astype(np.int32)
-                order = np.argsort(where, kind="stable")
-                codes, where = codes[order], where[order]
+                where = (names >> np.uint64(40)).astype(np.int32)
+                names |= np.minimum(15, np.floor(np.log2(n)) + 1).astype(np.uint64)
                 s, e = runs_of(where)
-                yield pa.RecordBatch.from_arrays([pa.array(where[s]), pa.array(np.full(len(s), block, np.int64)), _binaries(codes[x:y] for x, y in zip(s, e, strict=True))], ["bucket", "block", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array(where[s]), pa.array(np.full(len(s), block, np.int64)), _binaries(_sent(names[x:y]) for x, y in zip(s, e, strict=True))], ["bucket", "block", "codes"])
 
     return run
 
 
 def _shared(hot: int):
-    """(block, codes): what a block did not know of the anchors that it asked about."""
+    """(bucket, block, codes): what a block did not know of the anchors that it asked about."""
 
     def run(batches):
         alone()
-        for _, rows in consecutive(batches, ["bucket"]):
-            codes = [np.frombuffer(x, np.uint64) for x in rows.column("codes").to_pylist()]
+        for (bucket,), rows in consecutive(batches, ["bucket"]):
+            codes = [_received(x, bucket) for x in rows.column("codes").to_pylist()]
             who = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
             c = np.concatenate(codes)
             h, n = c & ~_LOW, (c & _LOW).astype(np.int64)
@@ -216,7 +231,7 @@ def _shared(hot: int):
             s, e = runs_of(by)
             if len(s):
                 blocks = rows.column("block").to_numpy()[by[s]]
-                yield pa.RecordBatch.from_arrays([pa.array(blocks), _binaries(told[x:y] for x, y in zip(s, e, strict=True))], ["block", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), bucket, np.int32)), pa.array(blocks), _binaries(_sent(told[x:y]) for x, y in zip(s, e, strict=True))], ["bucket", "block", "codes"])
 
     return run
 
@@ -233,9 +248,9 @@ def _pieces(buckets: int, length: int, gram: int):
         zip_ = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
         block = left.column("block")[0].as_py()
         rows = _rows(_unpacked(left.column("packed")[0].as_py()))
-        runs, h, n = _block_anchors(rows, length, gram)
-        told = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right.column("codes").to_pylist())])
-        shared = np.union1d(told & ~_LOW, h[n > 1])
+        runs, names, n = _block_anchors(rows, buckets, length, gram)
+        told = np.concatenate([np.zeros(0, np.uint64), *map(_received, right.column("codes").to_pylist(), right.column("bucket").to_pylist())])
+        shared = np.union1d(told & ~_LOW, names[n > 1])
         hot = np.sort(told[told & _LOW == _HOT] & ~_LOW)
         by: dict[int, dict[bytes, list]] = defaultdict(dict)
         done: list[tuple[int, int, int]] = []
@@ -255,7 +270,7 @@ def _pieces(buckets: int, length: int, gram: int):
                 continue
             s, e, a = s[own], e[own], a[own]
             special = _among(a, hot)
-            where = ((a >> np.uint64(4)) % np.uint64(buckets)).tolist()
+            where = (a >> np.uint64(40)).tolist()
             for x, y, bucket, single in zip(s.tolist(), e.tolist(), where, special.tolist(), strict=True):
                 if single:
                     windows = window_anchors(np.frombuffer(text[x : y + length - 1], np.uint8), length, length)
@@ -393,7 +408,7 @@ def _covered(length: int, batch: int):
             found = found[np.argsort(found[:, 0], kind="stable")]
             s, e = runs_of(found[:, 0])
             if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array(found[s, 0]), _binaries(found[x:y, 1:].astype(np.int32) for x, y in zip(s, e, strict=True))], ["block", "runs"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[s, 0]), _binaries(found[x:y, 1:].astype(np.int32).tobytes() for x, y in zip(s, e, strict=True))], ["block", "runs"])
 
     return run
 
@@ -454,9 +469,10 @@ def without_repeats(
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     blocks = blocks.select("block", "packed")
     by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    told = by_bucket(blocks.mapInArrow(_asked(buckets, length, gram), "bucket int, block long, codes binary")).mapInArrow(_shared(hot), "block long, codes binary")
+    told = by_bucket(blocks.mapInArrow(_asked(buckets, length, gram), "bucket int, block long, codes binary")).mapInArrow(_shared(hot), "bucket int, block long, codes binary")
     pieces = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_pieces(buckets, length, gram), "bucket int, block long, head binary, text binary")
-    covered = scratch.save(by_bucket(pieces).mapInArrow(_covered(length, batch), "block long, runs binary"), "covered")
+    # not cut off here: the blocks' exchange of the first cogroup then serves the second one too
+    covered = by_bucket(pieces).mapInArrow(_covered(length, batch), "block long, runs binary")
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*extra).schema.fields) if extra else ""
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}{more}"
     return blocks.groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(_left(as_text), schema)
