@@ -72,7 +72,8 @@ class WordIds:
         return out
 
     def learn(self, wanted: set[bytes]) -> None:
-        """Adds the ids of words; a word that is letters and then marks is the letters' ids and the marks'."""
+        """Adds the ids of words; a word that is letters and then marks is the letters' ids and the marks', if lowering leaves
+        letters alone (an I with a dot becomes a letter and a sign, which joins the marks)."""
         if len(self.of) >= self.bound:
             self.older, self.of = self.of, {}
         known, older = self.of, self.older
@@ -81,7 +82,7 @@ class WordIds:
             if w[-1] not in _MARKS:
                 continue
             m = _PLAIN.fullmatch(w.decode("utf-8", "replace"))
-            if m:
+            if m and m[1].lower().isalpha():
                 split[w] = (m[1].encode(), m[2].encode())
         plain = {p for w in wanted for p in split.get(w, (w,))}
         new = []

@@ -17,7 +17,7 @@ from postloom.llm import op10_chunked_bpe as B
 
 ODD = [
     None, "", " ", "\n\n a", "a  b", "it's they'll 123abc ... \t\tq ", "<|endoftext|> hi<|endoftext|>", "a" * 300 + " b" * 5, "é" * 200, "日本語 テキスト", "\r\n\r\nx", "a　b", "  \n", "​ x", "a\x85b", "a\x1cb \x1c c",
-    "x  y", "\0 nul \0", "İstanbul ΣΑΣ ß", "don't. we'll, 12.5 a_b", "word " * 5000,
+    "x  y", "\0 nul \0", "İstanbul ΣΑΣ ß", "İ. GELDİ., x İ! y İ. I", "e\u0301. e.\u0301 \u0130\u0307! ΑΣ. ΑΣ! K. Å, ﬁ. ǅ.", "don't. we'll, 12.5 a_b", "word " * 5000,
 ]
 r = random.Random(0)
 ODD += ["".join(r.choice(" \n\tab1.é'　\x1c") for _ in range(50)) for _ in range(200)]
@@ -104,6 +104,60 @@ def test_packing(spark, rows):
     assert got.sequence_id.nunique() == -(-int(got.length.sum()) // 2048)
 
 
+def test_ids_of_odd_words_equal_library():
+    """Letters that lower to several signs, combining signs, marks of all kinds, in random orders."""
+    from tokenizers import Tokenizer
+
+    path, g = public_tokenizers.path("word_bpe_49k.json"), random.Random(5)
+    t, w = Tokenizer.from_file(path), P.WordIds(path)
+    signs = ["İ", "I", "i", "\u0307", "\u0301", "é", "Σ", "ß", "ǅ", "ﬁ", "K", "ａ", "한", "ᄒ", "ᅡ", ".", "!", "?", ",", ";", ":", "'", "_", "1", "²", " ", " ", "\n", "\x1c", "　"]
+    texts = ["".join(g.choice(signs) for _ in range(g.randint(1, 14))) for _ in range(3_000)]
+    for text, ids in zip(texts, w.texts(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 0], repr(text)
+
+
+def _plain_two_fit(lengths, size):
+    """The method by lists: sums of the bins, in order."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        held = [left.pop(0)]
+        while fits := [n for n in left if n <= size - sum(held)]:
+            left.remove(fits[0])
+            held.append(fits[0])
+        gap, small = size - sum(held), min(held)
+        if gap and len(held) > 1:
+            pairs = [(left[a] + left[b], left[a], left[b]) for a in range(len(left)) for b in range(a + 1, len(left)) if small < left[a] + left[b] <= gap + small]
+            if pairs:
+                best = max(pairs)
+                held.remove(small)
+                for n in best[1:]:
+                    left.remove(n)
+                    held.append(n)
+                left = sorted([*left, small], reverse=True)
+        bins.append(sum(held))
+    return bins
+
+
+def test_best_two_fit_equals_plain_lists_and_is_near_the_optimum():
+    from functools import lru_cache
+
+    g = random.Random(8)
+    for _ in range(300):
+        lengths, size = [g.randint(1, 12) for _ in range(g.randint(1, 9))], 12
+        where, _ = P.best_two_fit(np.array(lengths), size)
+        sums = [sum(n for n, w in zip(lengths, where, strict=True) if w == k) for k in range(max(where) + 1)]
+        assert sums == _plain_two_fit(lengths, size), lengths
+
+        @lru_cache(None)
+        def fewest(left, room):
+            """Bins still to open for the sorted lengths left, with room in the open one: all choices of the next length."""
+            if not left:
+                return 0
+            return min((fewest(left[:k] + left[k + 1 :], room - n) if n <= room else 1 + fewest(left[:k] + left[k + 1 :], size - n)) for k, n in enumerate(left) if not k or left[k - 1] != n)
+
+        assert len(sums) <= fewest(tuple(sorted(lengths)), 0) + 1, lengths
+
+
 def test_best_two_fit():
     g = np.random.default_rng(3)
     for lengths in (np.array([5, 5, 6, 7, 3, 4]), g.integers(1, 11, 500), np.full(7, 10), g.integers(4, 9, 300)):
