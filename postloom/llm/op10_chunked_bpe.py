@@ -1,29 +1,31 @@
 """Operator 10: byte-level BPE encoding and decoding over overlapping chunks.
 
-A text is cut into chunks that overlap. Each chunk is pre-tokenised by itself, from its own start. Two neighbouring
-chunks are stitched at the first position in their overlap where both begin a unit of pre-tokens: from there on both
-see the same characters, so the left chunk's boundaries hold before it and the right chunk's after it. Where they do not
-resynchronise inside the overlap (a run longer than it), the right chunk is pre-tokenised again from the left chunk's last
-sure boundary. The pieces are then encoded by rank merging; decoding concatenates the raw bytes of the ids.
-
-Narrow: one stage, no shuffle. Null and empty texts give no ids. Special tokens are ordinary text. Repeated rows give
-repeated rows; other columns are ignored.
+Every text is cut into chunks that overlap (CHUNK characters, a size that most texts exceed). Each chunk is pre-tokenised by
+the pattern by itself, from its own start. Two neighbouring chunks are stitched where their pre-token boundaries resynchronise:
+at the first position in the overlap at which both begin a pre-token. From there on both see the same characters, so the left
+chunk's boundaries hold before it and the right chunk's after it. Where they do not meet inside the overlap (a run longer than
+it), the text is pre-tokenised again from the left chunk's last sure boundary, in windows that double until the run ends. The
+pieces are then encoded by rank merging; decoding concatenates the raw bytes of the ids.
+
+Narrow: chunks are cut, stitched and encoded in the task that holds the text, with no shuffle: sending chunks to other tasks and
+their ids back would shuffle about twice the input. Null and empty texts give no ids. Special tokens are ordinary text. Repeated
+rows give repeated rows; other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from itertools import accumulate
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Memo, resident
-from .pretokens import compiled, units
+from .pretokens import compiled
 
-CHUNK, OVERLAP = 65_536, 1_024
+CHUNK, OVERLAP = 1_024, 64
 
 
 class RankCodec:
@@ -34,9 +36,8 @@ class RankCodec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = {i: t for t, i in self.ranks.items()}
         self.split = compiled(pattern)
-        self.by_piece = Memo(lambda piece: self.piece(piece.encode("utf-8", "surrogatepass")), 200_000)
-        self.by_unit = Memo(self._unit, 200_000)
-        self.forms = Memo(self._forms, 200_000)
+        self.by_piece = Memo(lambda piece: self.piece(piece.encode("utf-8", "surrogatepass")), 300_000)
+        self.forms = Memo(self._forms, 300_000)
 
     def piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the adjacent parts with the lowest-ranked union are merged until none has a rank."""
@@ -93,65 +94,61 @@ class RankCodec:
             i = end[i]
         return out
 
-    def _unit(self, unit: str) -> list[int]:
-        return [i for m in self.split.findall(unit) for i in self.by_piece[m]]
-
-    def _forms(self, unit: str) -> tuple[int, str, bytes]:
-        """(number of ids, "id id ... ", bytes decoded from those ids) of a unit."""
-        ids = self._unit(unit)
+    def _forms(self, piece: str) -> tuple[int, str, bytes]:
+        """(number of ids, "id id ... ", bytes decoded from those ids) of a pre-token."""
+        ids = self.piece(piece.encode("utf-8", "surrogatepass"))
         return len(ids), "".join([f"{i} " for i in ids]), self.decode(ids)
 
-    def encode_units(self, cut: list[str]) -> list[int]:
-        get = self.by_unit.__getitem__
-        return [i for u in cut for i in get(u)]
-
     def digests(self, text: str) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids joined by one space, SHA-256 of the bytes decoded from them)."""
-        forms = list(map(self.forms.__getitem__, stitched(text)))
-        n = sum(f[0] for f in forms)
+        forms = list(map(self.forms.__getitem__, stitched(text, self.split.findall)))
+        n = sum([f[0] for f in forms])
         ids = "".join([f[1] for f in forms])[:-1]
         return n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(b"".join([f[2] for f in forms])).hexdigest()
 
     def encode(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-        return self.encode_units(stitched(text, chunk, overlap))
+        get = self.by_piece.__getitem__
+        return [i for p in stitched(text, self.split.findall, chunk, overlap) for i in get(p)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-def stitched(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
-    """Units of the text from chunks that were pre-tokenised separately; equal to units(text)."""
-    if len(text) <= chunk:
-        return units(text)
-    step = chunk - overlap
-    starts = range(0, len(text) - overlap, step)
-    pieces = [units(text[s : s + chunk]) for s in starts]  # independent of each other
-    done: list[str] = pieces[0]
-    at = len(pieces[0]) and sum(map(len, pieces[0]))
-    for s, cut in zip(list(starts)[1:], pieces[1:], strict=True):
-        # the left chunk's last unit may go on beyond its end, the right chunk's first may have begun before it
-        left: dict[int, int] = {}
-        pos = at
-        for k in range(len(done) - 1, -1, -1):
+def stitched(text: str, split: Callable[[str], list[str]], chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """Pre-tokens of the text from chunks that were pre-tokenised separately; equal to split(text)."""
+    starts = range(0, max(1, len(text) - overlap), chunk - overlap)
+    chunks = [split(text[s : s + chunk]) for s in starts]  # independent of each other
+    done, at = chunks[0], min(chunk, len(text))
+    for s, cut in zip(starts[1:], chunks[1:], strict=True):
+        end = min(s + chunk, len(text))
+        if end <= at:
+            continue  # a run that began further left went on beyond it
+        left: dict[int, int] = {}  # where the left side's pre-tokens begin, in the overlap
+        pos, k = at, len(done)
+        while pos > s:
+            k -= 1
             pos -= len(done[k])
-            if pos <= s:
-                if pos == s:
-                    left[pos] = k
-                break
             left[pos] = k
-        right = list(accumulate(map(len, cut), initial=s))
-        at = right[-1]
-        meet = next((i for i, p in enumerate(right[:-1]) if i and p in left), None)
-        if meet is not None:
-            del done[left[right[meet]] :]
-            done += cut[meet:]
-        else:
-            back = at - sum(map(len, cut))
-            keep = len(done) - 1
-            from_here = sum(map(len, done[:keep]))
-            del done[keep:]
-            done += units(text[from_here:at])
-            assert back == s
+        right = s
+        for meet, piece in enumerate(cut):
+            # the right chunk's first pre-token may have begun before it
+            if meet and right in left:
+                del done[left[right] :]
+                done += cut[meet:]
+                at = end
+                break
+            right += len(piece)
+            if right >= at:
+                break
+        if at == end:
+            continue
+        # the left side's last pre-token may go on beyond its end: it is found whole
+        last = at - len(done.pop())
+        window = 2 * chunk
+        while len(again := split(text[last : last + window])) < 2 and last + window < len(text):
+            window *= 2
+        done += again
+        at = min(last + window, len(text))
     return done
 
 

@@ -59,7 +59,26 @@ def test_ids_equal_library_and_round_trip(rows):
 def test_stitching(chunk, overlap):
     c = B.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     for text in ODD:
-        assert c.encode(text or "", chunk, overlap) == c.encode(text or "")
+        text = text or ""
+        assert B.stitched(text, c.split.findall, chunk, overlap) == c.split.findall(text) == B.stitched(text, c.split.findall)
+        assert c.encode(text, chunk, overlap) == c.encode(text)
+
+
+def test_most_texts_are_chunked(spark):
+    """On the tables, most texts have several chunks, and long runs take time in proportion."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    c = B.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    calls = []
+    split = lambda t: calls.append(len(t)) or c.split.findall(t)
+    for t in texts:
+        before = len(calls)
+        assert B.stitched(t, split) == c.split.findall(t)
+        calls[before:] = [len(calls) - before]
+    assert sum(n > 1 for n in calls) > len(texts) / 2
+    calls.clear()
+    assert B.stitched("a" * 400_000, split) == ["a" * 400_000] and sum(calls) < 4 * 400_000
 
 
 def test_stream_round_trip(spark, rows):
