@@ -1,11 +1,12 @@
 """Operator 5: toxicity of noisy-channel restored text.
 
-1. A character trigram model is counted over all documents (pre-aggregated per task, then summed).
+1. A character trigram model is counted over all documents (pre-aggregated per task, then summed). Its letters are a-z, with
+   the accented letters of Latin-1 counted as their base letter, and one sign for anything else.
 2. Spans that the channel can have made - words with leet signs anywhere, letters repeated three times or more or two
    letters doubled, three or more single or repeated letters and signs set apart by up to three separators of any kind -
    become character lattices: a sign may stand for each letter it resembles or for itself, closing marks for nothing, a run
-   of one letter for one or two of it, a separator run for nothing or the end of a word. Viterbi search finds the likeliest
-   reading under the trigram model and the channel's costs.
+   of one letter for one or two of it, a separator run for nothing or the end of a word. Spans that touch are one lattice.
+   Viterbi search finds the likeliest reading under the trigram model and the channel's costs, which replaces the span.
 3. The restored text is scored by a logistic regression over whole words and word beginnings, which are counted by
    distinct word. It is fitted on a bounded labelled sample (learning.TRAIN_ROWS); its features are those whose
    frequency differs most between the labels.
@@ -17,6 +18,7 @@ read, so columns of other names cannot clash. Without labels of both kinds every
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, alone, held_out_column
+from .common import Memo, alone, held_out_column, slices
 from .learning import TRAIN_ROWS, fit_logistic, labelled_sample, with_score
 
 #: What a sign may stand for (the channel's substitutions).
@@ -45,27 +47,21 @@ _SPACED = re.compile(rf"(?<![^\W_])(?<![@$+!|])(?:({_UNIT})\1*{_APART}){{2,}}({_
 _CLOSING = "!+|"
 _SAME = re.compile(rf"({_UNIT})\1*")
 
-_CODE = np.zeros(256, np.uint8)
-_CODE[97:123] = np.arange(1, 27)
-_CODE[65:91] = np.arange(1, 27)
+#: Latin-1 characters as letters 1 to 26 (accents taken off), anything else 0.
+_CODE = np.array([ord(b) - 96 if "a" <= (b := unicodedata.normalize("NFD", chr(c).lower())[0]) <= "z" else 0 for c in range(256)], np.uint8)
+_CODES = {chr(c): n for c, n in enumerate(_CODE.tolist()) if n}
 #: Bytes that end a word, as one table for bytes.translate.
 _TO_SPACE = bytes(32 if c < 128 and not (97 <= c <= 122) else c for c in range(256))
 
 
 def char_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n): trigrams of the letters a-z and of 'anything else', over all texts."""
+    """(gram, n): trigrams of letters and of 'anything else', over all texts."""
 
     def count(batches):
         alone()
         total = np.zeros(27**3, np.int64)
-        for b in batches:
-            text = b.column(0).cast(pa.large_string())
-            data = text.buffers()[2]
-            if data is None or not len(text):
-                continue
-            raw = np.frombuffer(data, np.uint8)
-            ends = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-            raw = raw[ends[0] : ends[-1]]
+        for b in slices(batches):
+            raw = np.frombuffer("\n".join(b.column(0).to_pylist()).encode("latin-1", "replace"), np.uint8)
             for at in range(0, len(raw), 1 << 22):
                 c = _CODE[raw[at : at + (1 << 22) + 2]].astype(np.int32)
                 if len(c) > 2:
@@ -100,7 +96,7 @@ class Restorer:
 
     def lattice(self, span: str) -> list[list[tuple[str, float]]]:
         """Arcs of each position: (what it reads as, the channel's cost)."""
-        arcs, i, n = [], 0, len(span)
+        arcs, i, n, before = [], 0, len(span), ""
         marks = len(span.rstrip(_CLOSING))
         units = [len(m.group()) for m in _SAME.finditer(span)]
         repeated = len(units) >= 3 and min(units) >= 2  # every letter is written twice or more
@@ -111,6 +107,10 @@ class Restorer:
                 j += 1
             if apart:
                 arcs.append([("", 0.0), (" ", SPLIT_COST)])  # set letters apart, or parts two words
+            elif i > 1 and c == before and j - i == 1 and not repeated:
+                arcs.append([(c, 0.0), ("", DOUBLE_COST)])  # the letter or sign before the separators once more
+                if c in LEET:
+                    arcs[-1] += [(x, SIGN_COST) for x in LEET[c]]
             elif c in LEET:
                 for k in range(i, j):
                     arcs.append([(x, SIGN_COST) for x in LEET[c]] + [(c, KEEP_COST)])
@@ -122,13 +122,14 @@ class Restorer:
                 arcs.append([(c + c, 0.0), (c, DOUBLE_COST)])
             else:
                 arcs.append([(c, 0.0)])
+            if not apart:
+                before = c
             i = j
         return arcs
 
     def decode(self, span: str) -> str:
         """The likeliest reading of a span between two boundaries."""
-        code = lambda ch: ord(ch) - 96 if "a" <= ch <= "z" else 0
-        cost = self.cost
+        cost, code = self.cost, _CODES
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         for arcs in self.lattice(span):
             nxt: dict[tuple[int, int], tuple[float, str]] = {}
@@ -136,7 +137,7 @@ class Restorer:
                 for letters, extra in arcs:
                     a, b, t = p, q, total + extra
                     for ch in letters:
-                        c = code(ch)
+                        c = code.get(ch, 0)
                         t += cost[a][b][c]
                         a, b = b, c
                     if (a, b) not in nxt or t < nxt[a, b][0]:
@@ -144,39 +145,40 @@ class Restorer:
             best = nxt
         return min((t + cost[p][q][0], read) for (p, q), (t, read) in best.items())[1]
 
+    def spans(self, lower: str) -> list[tuple[int, int]]:
+        """Where a lower-case text may be disguised: disjoint stretches, in order."""
+        found: list[tuple[int, int]] = []
+        for hit, around in ((_LEET_HIT, _LEET_SPAN), (_RUN, _WORD_AROUND)):
+            until = -1
+            for m in hit.finditer(lower):
+                if m.start() < until or m.end() <= until:
+                    continue
+                start = m.start()
+                while start and around.match(lower[start - 1]):
+                    start -= 1
+                until = around.match(lower, start).end()
+                found.append((start, until))
+        found += [m.span() for m in _SPACED.finditer(lower) if _WORD_AROUND.search(m.group())]
+        found.sort()
+        out: list[tuple[int, int]] = []
+        for x, y in found:
+            if out and x < out[-1][1]:
+                out[-1] = (out[-1][0], max(y, out[-1][1]))
+            else:
+                out.append((x, y))
+        return out
+
     def words(self, lower: str) -> list[str]:
-        """The restored readings of a lower-case text's suspicious spans."""
-        found, until, signed = [], -1, set()
-        for m in _LEET_HIT.finditer(lower):
-            if m.end() <= until:
-                continue
-            start = m.start()
-            while start and _LEET_SPAN.match(lower[start - 1]):
-                start -= 1
-            until = _LEET_SPAN.match(lower, start).end()
-            found.append(lower[start:until])
-            signed.update(range(start, until))
-        until = -1
-        for m in _RUN.finditer(lower):
-            if m.start() < until:
-                continue
-            start = m.start()
-            while start and _WORD_AROUND.match(lower[start - 1]):
-                start -= 1
-            until = _WORD_AROUND.match(lower, start).end()
-            if start not in signed or until - 1 not in signed:  # else it is part of a span above
-                found.append(lower[start:until])
-        plain = len(found)
-        found += [m.group() for m in _SPACED.finditer(lower) if _WORD_AROUND.search(m.group())]
-        read = [self.of[s].split() for s in found]
-        # a word that reads as it is written is in the text already
-        return [w for k, (s, r) in enumerate(zip(found, read, strict=True)) if k >= plain or r != _WORD_AROUND.findall(s) for w in r]
+        """The words of the readings whose words are not those that are written."""
+        return [w for x, y in self.spans(lower) if (read := self.of[lower[x:y]].split()) != _WORD_AROUND.findall(lower[x:y]) for w in read]
 
     def restore(self, text: str) -> str:
-        """The lower-case text with the readings of its suspicious spans after it."""
-        lower = text.lower()
-        more = self.words(lower)
-        return f"{lower} {' '.join(more)}" if more else lower
+        """The lower-case text with the readings of its suspicious spans in their places."""
+        lower, out, at = text.lower(), [], 0
+        for x, y in self.spans(lower):
+            out += [lower[at:x], self.of[lower[x:y]]]
+            at = y
+        return "".join([*out, lower[at:]])
 
 
 def text_words(restored: str) -> set[bytes]:
@@ -212,7 +214,7 @@ def gram_stats(sample: DataFrame, chars: np.ndarray) -> DataFrame:
         pos: Counter = Counter()
         all_: Counter = Counter()
         n = [0, 0]
-        for b in batches:
+        for b in slices(batches):
             for text, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
                 got = {g for w in text_words(r.restore(text)) for g in word_grams(w)}
                 all_.update(got)
@@ -248,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
 
     def vectors(batches):
         r, of = Restorer(chars), _chosen(features)
-        for b in batches:
+        for b in slices(batches):
             hits = [_counts(text_words(r.restore(t)), of) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("label").cast(pa.int32()), pa.array([list(h) for h in hits], pa.list_(pa.int32())), pa.array([list(h.values()) for h in hits], pa.list_(pa.int32()))],

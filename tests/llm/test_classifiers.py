@@ -38,7 +38,8 @@ def test_restores_noisy_words(toxicity):
     r = X.Restorer(np.log(n / n.sum(2, keepdims=True)))
     for noisy, word in (("stup1d", "stupid"), ("$tup1d", "stupid"), ("1d10t", "idiot"), ("l0ser", "loser"), ("tr@sh", "trash"), ("stuuupid", "stupid"), ("looooser", "loser")):
         assert r.decode(noisy) == word
-    assert r.words("you are such a s t u p i d l0ser and an idiooot") == ["loser", "idiot", "a", "stupid"]
+    assert r.words("you are such a s t u p i d l0ser and an idiooot") == ["a", "stupid", "loser", "idiot"]
+    assert r.restore("You are such a $tup1d L0SER, and (s-t-u-u-u-p-1-d).") == "you are such a stupid loser, and (stupid)."
     assert r.words("plain words, 3 of them; a - b and c!!") == []
 
 
@@ -60,6 +61,27 @@ def test_restores_mixed_noise():
     assert r.words("so! 3, 4, 5 and 2024; a+ b") == []
 
 
+def test_viterbi_equals_enumeration():
+    """The decoded reading is the cheapest of all readings of the lattice."""
+    g = np.random.default_rng(6)
+    model = np.log(g.dirichlet(np.full(27, 0.2), (27, 27)) + 1e-9)
+    r = X.Restorer(model)
+
+    def cost(read, extra):
+        c = [0, 0, *(X._CODES.get(x, 0) for x in read), 0]
+        return extra - sum(model[a, b, d] for a, b, d in zip(c, c[1:], c[2:], strict=False))
+
+    for span in ["s7up1d", "s t u p 1 d", "a55", "é t é", "ii dd 1 oo t", "1d10t!!", "b-4-d", "looose", "0", "x", "|1|"]:
+        ways = [("".join(a for a, _ in arcs), sum(c for _, c in arcs)) for arcs in itertools.product(*r.lattice(span))]
+        assert np.isclose(cost_of := min(cost(*w) for w in ways), min(cost(w, e) for w, e in ways if w == r.decode(span))), (span, cost_of)
+
+
+def test_accented_letters_count_as_their_base(spark):
+    rows = {x["gram"]: x["n"] for x in X.char_counts(spark.createDataFrame([("École",), (None,), ("ÉCOLE日",)], "text string")).collect()}
+    code = lambda s: sum((ord(c) - 96) * 27**k for k, c in enumerate(reversed(s)))
+    assert rows[code("eco")] == rows[code("col")] == rows[code("ole")] == 2
+
+
 def test_feature_counts_do_not_depend_on_partitions(spark):
     rows = [("idiot common words", 1), ("common words here", 0), ("words alone", 0), ("common idiot", 0), ("stupid words", 1), ("nothing", 0)]
     chars = np.log(np.full((27, 27, 27), 1 / 27))
