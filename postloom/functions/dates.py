@@ -18,6 +18,11 @@ def quiet(local: str, start: str, end: str) -> str:
     return f"case when {start} = {end} then false when {start} < {end} then {m} >= {start} and {m} < {end} else {m} >= {start} or {m} < {end} end"
 
 
+def quiet_end(local: str, start: str, end: str) -> str:
+    """When the quiet hours that a local time lies in end: today, or tomorrow if they began before a midnight still to come."""
+    return f"(date_trunc('DAY', {local}) + make_interval(0, 0, 0, 0, 0, cast({end} + if({start} > {end} and {minute_of_day(local)} >= {start}, 1440, 0) as int)))"
+
+
 def weekend(local: str) -> str:
     return f"(weekday({local}) >= 5)"
 

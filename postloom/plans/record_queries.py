@@ -62,12 +62,12 @@ def consolidated_events(spark, d):
 
 @query(
     rf"""select id, list_slice(list_distinct_ordered, 1, 12) as entities from (select id, list_reduce(list_concat([[]::varchar[]], list_transform(e, lambda v: [v])), lambda s, v: case when list_contains(s, v[1]) then s else list_concat(s, v) end) as list_distinct_ordered from (select id, list_concat(
- list_transform(regexp_extract_all(text, '[«"“]([^»"”]{{2,80}})[»"”]', 1), lambda v: trim(v)), list_filter(list_transform(regexp_extract_all(text, '([A-ZА-ЯЁ][{E.WORD}\-]*(?:\s+[A-ZА-ЯЁ][{E.WORD}\-]*){{0,3}})', 1), lambda v: trim(v)), lambda v: length(v) >= 3)) as e
- from (values {", ".join(f"({i}, {D.q(t)})" for i, t in enumerate(['Компания Apple Inc. и Tim Cook', 'Фильм «Новый Мир» вышел, The Big Short', 'nothing here', 'A B', '"Quoted Name" and Quoted Name']))}) v(id, text)) x) y"""
+ list_transform(regexp_extract_all(text, '[«"“]([^»"”]{{2,80}})[»"”]', 1), lambda v: trim(v)), list_filter(list_transform(regexp_extract_all(text, '(?:^|[^{E.WORD}])([A-ZА-ЯЁ][{E.WORD}\-]*(?:\s+[A-ZА-ЯЁ][{E.WORD}\-]*){{0,3}})', 1), lambda v: trim(v)), lambda v: length(v) >= 3)) as e
+ from {POSTS_SQL} p) x) y"""
 )
 def light_entities(spark, d):
-    rows = ["Компания Apple Inc. и Tim Cook", "Фильм «Новый Мир» вышел, The Big Short", "nothing here", "A B", '"Quoted Name" and Quoted Name']
-    return spark.createDataFrame(list(enumerate(rows)), "id int, text string").select("id", F.expr(E.light_entities("text")).alias("entities"))
+    """Quoted spans and capitalised runs of whole posts."""
+    return posts(spark, d).select("id", F.expr(E.light_entities("text")).alias("entities"))
 
 
 _ANALYSIS = f"select id, not ad and t <> '' as is_news, ad as is_advertisement, case when ad or t = '' then '' else {D.title_of('t')} end as title, case when ad or t = '' then 'other' else {D.theme('b')} end as theme, case when t = '' then 'empty' when ad then 'advertisement' else '' end as reason from (select id, {D.stripped('text')} as t, {D.matches('text', V.AD_MARKERS)} as ad, {D.without_footers('text')} as b from {POSTS_SQL} p) x"

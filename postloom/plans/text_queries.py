@@ -128,10 +128,15 @@ def _duck_intent(x: str) -> str:
     return f"case when {qa} then 'qa' when {rec} then 'recommendation' when {line} and not {news} then 'timeline' when ({all_} or ({short} and not {news})) and not {news} then 'entity' when {news} then 'news' when {line} then 'timeline' else 'news' end"
 
 
-@query(f"select id, {_duck_intent('qs')} as intent, case {' '.join(f'when {D.matches(chr(113) + chr(115), p)} then {n}' for p, n in V.PERIODS)} end as period_days from (values {_QV}) v(id, qs)")
+_ASKED = f"(select conv_id * 1000 + turn as id, text as qs from conversations where text is not null union all select -1 - id, qs from (values {_QV}) k(id, qs))"
+
+
+@query(f"select id, {_duck_intent('qs')} as intent, case {' '.join(f'when {D.matches(chr(113) + chr(115), p)} then {n}' for p, n in V.PERIODS)} end as period_days from {_ASKED} v")
 def intent_detect(spark, d):
-    qs = spark.createDataFrame(list(enumerate(_QUESTIONS)), "id int, qs string")
-    return qs.select("id", F.expr(E.intent("qs")).alias("intent"), F.expr(E.period_days("qs")).alias("period_days"))
+    """Intent and period of what users say in conversations, and of the known questions."""
+    said = table(spark, d, "conversations").where("text is not null").select(F.expr("conv_id * 1000 + turn").alias("id"), F.col("text").alias("qs"))
+    known = spark.createDataFrame([(-1 - i, x) for i, x in enumerate(_QUESTIONS)], "id long, qs string")
+    return said.unionAll(known).select("id", F.expr(E.intent("qs")).alias("intent"), F.expr(E.period_days("qs")).alias("period_days"))
 
 
 @query(f"select id, regexp_replace(regexp_replace(trim(regexp_replace(translate(t, 'ёЁ', 'еЕ'), '\\s+', ' ', 'g')), '&', '&amp;', 'g'), '<', '&lt;', 'g') as line from (select id, replace(text, '>', '') as t from {POSTS_SQL} p) x")

@@ -12,19 +12,21 @@ ADDED = {
     16: " Steam Machine and Xbox gaming", 17: " президент и санкции, Кремль", 18: " вакансии и зарплата, hiring", 19: " NASA телескоп, research", 20: " bitcoin и инвестиции, IPO", 21: " чипы, ransomware, NVIDIA GPU",
     22: " see @TechNews and https://t.me/s/openai, telegram.me/Reuters", 23: " завтра анонс, через два дня релиз, today and tomorrow", 24: " order now: giveaway", 25: " ИИ и нейросеть, эксклюзив @trendsetter", 26: " Почему Apple судится с OpenAI",
 }
-REPLACED = {10: "http://a.b http://c.d http://e.f http://g.h", 11: "   ", 12: "!!! 123", 13: "1234567890 1234567890 1234567890 ab", 27: "MAX удалили из Google Play", 28: "Приложение MAX удалили из Google Play", 29: "MAX исчез из магазина Google Play"}
-HEADS = {k: v for k, v in REPLACED.items() if k >= 27}
+#: Short posts of their own, beside the document of that doc_id % 40.
+SHORT = {10: "http://a.b http://c.d http://e.f http://g.h", 11: "   ", 12: "!!! 123", 13: "1234567890 1234567890 1234567890 ab", 27: "MAX удалили из Google Play", 28: "Приложение MAX удалили из Google Play", 29: "MAX исчез из магазина Google Play"}
+#: Added to the id of a document for its short post.
+SHORT_IDS = 1_000_000_000_000
 
 
-def _case() -> str:
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    whole = " ".join(f"when {k} then {q(v)}" for k, v in REPLACED.items())
-    more = " ".join(f"when {k} then {q(v)}" for k, v in ADDED.items())
-    return f"case when doc_id % 40 in ({', '.join(map(str, REPLACED))}) then case doc_id % 40 {whole} end else concat(coalesce(text, ''), case doc_id % 40 {more} else '' end) end"
+def _cases(texts: dict[int, str]) -> str:
+    return "case doc_id % 40 " + " ".join("when {} then '{}'".format(k, v.replace("'", "''")) for k, v in texts.items())
 
 
+_TEXT, _SHORT, _HAS_SHORT = f"concat(coalesce(text, ''), {_cases(ADDED)} else '' end)", f"{_cases(SHORT)} end", f"doc_id % 40 in ({', '.join(map(str, SHORT))})"
+
 #: Post subquery for the SQL forms: (id, channel, text, lang, minute).
-POSTS_SQL = f"(select doc_id as id, source as channel, {_case()} as text, lang, doc_id as minute from documents)"
+POSTS_SQL = f"""(select doc_id as id, source as channel, {_TEXT} as text, lang, doc_id as minute from documents
+ union all select doc_id + {SHORT_IDS}, source, {_SHORT}, lang, doc_id from documents where {_HAS_SHORT})"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +34,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts (id, channel, text, lang, minute) from documents, with the additions above."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("channel"), F.expr(_case()).alias("text"), "lang", F.col("doc_id").alias("minute"))
+    """Posts (id, channel, text, lang, minute): every document's whole text, with the additions above, and the short posts."""
+    d = table(spark, sf_dir, "documents")
+    form = lambda df, more, text: df.select((F.col("doc_id") + more).alias("id"), F.col("source").alias("channel"), F.expr(text).alias("text"), "lang", F.col("doc_id").alias("minute"))
+    return form(d, 0, _TEXT).unionAll(form(d.where(_HAS_SHORT), SHORT_IDS, _SHORT))
 
 
 #: Events with importance, theme number, status, and day (from orders).
