@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from ..functions import vocab as V
+from .upkeep import ordered_union
 
 
 def alias_table(spark: SparkSession) -> DataFrame:
@@ -22,14 +23,15 @@ def mentioned_nodes(spark: SparkSession, posts: DataFrame) -> DataFrame:
 
 
 def resolved(spark: SparkSession, names: DataFrame) -> DataFrame:
-    """(name, canonical, node_type) of raw names: exact alias, else longest alias inside, else by shape."""
+    """(name, canonical, node_type) of raw names: exact alias, else longest alias inside, else by shape: a product with digits or
+    several words, a company of one word, a topic without capitals."""
     a = F.broadcast(alias_table(spark))
     n = names.select("name").distinct().withColumn("low", F.lower(F.trim("name")))
     exact = n.join(a.select(F.col("alias").alias("low"), F.col("name").alias("e_name"), F.col("node_type").alias("e_type")), "low", "left")
     inside = n.join(a.where("length(alias) >= 3").select("alias", F.col("name").alias("i_name"), F.col("node_type").alias("i_type"), "ord"), F.expr("contains(low, alias)")).groupBy("name").agg(
         F.max_by(F.struct("i_name", "i_type"), F.struct(F.length("alias"), -F.col("ord"))).alias("best")
     )
-    shape = "case when regexp_like(name, '[0-9]') then 'Product' when regexp_like(name, '^\\\\p{Lu}[^\\\\s]{0,15}$') then 'Company' else 'Topic' end"
+    shape = "case when regexp_like(name, '[0-9]') then 'Product' when not regexp_like(name, '\\\\p{Lu}') then 'Topic' when length(name) <= 16 and not regexp_like(name, '\\\\s') then 'Company' else 'Product' end"
     return exact.join(inside, "name", "left").select("name", F.coalesce("e_name", "best.i_name", "name").alias("canonical"), F.coalesce(F.col("e_type"), F.col("best.i_type"), F.expr(shape)).alias("node_type"))
 
 
@@ -57,8 +59,6 @@ def related(links: DataFrame, event_ids: DataFrame, top: int = 12) -> DataFrame:
     """(event_id, peer, shared): for each given event the events that share most nodes."""
     own = links.join(event_ids, "event_id", "left_semi").select(F.col("event_id").alias("e"), "node_id")
     peers = own.join(links, "node_id").where("e <> event_id").groupBy("e", "event_id").agg(F.count(F.lit(1)).alias("shared"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("e").orderBy(F.desc("shared"), "event_id")
     return peers.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).select(F.col("e").alias("event_id"), F.col("event_id").alias("peer"), "shared")
 
@@ -78,3 +78,52 @@ def merged_slugs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def slugs(parts: DataFrame) -> DataFrame:
     return parts.select(F.col("p_partkey").alias("node_id"), F.expr(E.slug("p_name")).alias("slug"))
+
+
+def scanned_aliases(spark: SparkSession, posts: DataFrame, cap: int = 12) -> DataFrame:
+    """(id, name, node_type): nodes of the longest cap aliases of three letters or more in the text."""
+    low = posts.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    hits = low.join(F.broadcast(alias_table(spark).where("length(alias) >= 3")), F.expr("contains(low, alias)")).drop("low")
+    w = Window.partitionBy("id").orderBy(F.desc(F.length("alias")), "ord")
+    return hits.withColumn("k", F.row_number().over(w)).where(F.col("k") <= cap).select("id", "name", "node_type").distinct()
+
+
+def event_nodes(spark: SparkSession, posts: DataFrame) -> DataFrame:
+    """(id, slug, raw, name, node_type) of each post: its light entities, resolved, and the aliases in its text. A name is resolved
+    once, however many posts hold it. At most 24 rows a post; posts without names have none."""
+    raw = posts.select("id", F.explode(F.expr(E.light_entities("text"))).alias("raw")).where("length(trim(raw)) >= 2 and regexp_like(raw, '[A-Za-zА-Яа-я]')")
+    known = resolved(spark, raw.select(F.col("raw").alias("name"))).select(F.col("name").alias("raw"), F.col("canonical").alias("name"), "node_type")
+    found = raw.join(known, "raw").select("id", "raw", "name", "node_type").unionByName(scanned_aliases(spark, posts).withColumn("raw", F.col("name")))
+    return found.select("id", F.expr(E.slug("name")).alias("slug"), F.lower("raw").alias("raw"), "name", "node_type").distinct()
+
+
+def node_table(nodes: DataFrame, cap: int = 48) -> DataFrame:
+    """(slug, name, node_type, mentions, aliases): one row a slug, named as in its first post; the first cap aliases."""
+    about = nodes.groupBy("slug").agg(F.min(F.struct("id", "name", "node_type")).alias("f"), F.count_distinct("id").alias("mentions"))
+    return about.join(ordered_union(nodes, "slug", "raw", "id", cap), "slug").select("slug", "f.name", "f.node_type", "mentions", F.col("names").alias("aliases"))
+
+
+def category_table(spark: SparkSession) -> DataFrame:
+    """(slug, parent): a fixed, small table of what the known nodes belong to."""
+    rows = [(n, c) for n, cs in V.CATEGORIES.items() for c in cs]
+    return spark.createDataFrame(rows, "name string, category string").select(F.expr(E.slug("name")).alias("slug"), F.expr(E.slug("category")).alias("parent"))
+
+
+def ingested_edges(spark: SparkSession, nodes: DataFrame) -> DataFrame:
+    """(a, b, edge_type, mentions): both directions between nodes of one post, and, for each post of a node, RELATED_TO from what it
+    belongs to and PART_OF back, where that is a node of the graph (a known one, or one of any post). No edge from a node to itself."""
+    own = nodes.select("id", "slug").distinct()
+    pairs = own.alias("x").join(own.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.slug") != F.col("y.slug")))
+    met = pairs.groupBy(F.col("x.slug").alias("a"), F.col("y.slug").alias("b")).agg(F.count(F.lit(1)).alias("n")).withColumn("edge_type", F.lit("RELATED_TO"))
+    seeded = alias_table(spark).select(F.expr(E.slug("name")).alias("parent"))
+    parents = category_table(spark).where("slug <> parent")
+    parents = parents.join(seeded.unionAll(own.join(F.broadcast(parents.select(F.col("parent").alias("slug")).distinct()), "slug", "left_semi").select(F.col("slug").alias("parent"))), "parent", "left_semi")
+    up = own.groupBy("slug").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(parents), "slug")
+    down = up.select(F.col("parent").alias("a"), F.col("slug").alias("b"), "n", F.lit("RELATED_TO").alias("edge_type"))
+    part = up.select(F.col("slug").alias("a"), F.col("parent").alias("b"), "n", F.lit("PART_OF").alias("edge_type"))
+    return met.unionByName(down).unionByName(part).groupBy("a", "b", "edge_type").agg(F.sum("n").alias("mentions"))
+
+
+def linked(stored: DataFrame, found: DataFrame, confidence: float = 0.75) -> DataFrame:
+    """(event_id, node_id, confidence): one row a link; a stored one keeps the higher confidence. stored: (event_id, node_id, confidence)."""
+    return stored.unionByName(found.select("event_id", "node_id", F.lit(confidence).alias("confidence"))).groupBy("event_id", "node_id").agg(F.max("confidence").alias("confidence"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import expressions as E
 from ..functions import vocab as V
 from ..operators import graph as G
 from ..sources.tables import LINKS_SQL, POSTS_SQL, links, posts, table
 from . import duck as D
+from . import record_queries
 
 QUERIES, SQL = {}, {}
 
@@ -31,18 +33,23 @@ def kg_node_mentions(spark, d):
     return G.mentioned_nodes(spark, posts(spark, d)).groupBy("name", "node_type").agg(F.count(F.lit(1)).alias("mentions"))
 
 
-_RAW = ["айфон 18 pro", "Open AI", "NVIDIA", "Tesla Model 3", "Jensen Huang said", "Quantum", "quantum computing", "Steam Deck OLED", "GPT9"]
-_RV = ", ".join(f"({D.q(x)})" for x in _RAW)
+_LIGHT = record_queries.SQL["light_entities"]
+_RAW = f"(select distinct id, raw from (select id, unnest(entities) as raw from ({_LIGHT}) le) u where length(trim(raw)) >= 2 and regexp_matches(raw, '[A-Za-zА-Яа-я]'))"
+_RESOLVED = f"""(with n as (select distinct raw as name, lower(trim(raw)) as low from {_RAW} r), e as (select n.name, al.name as en, al.node_type as et from n join {_AL} on low = alias),
+ i as (select n.name, arg_max(struct_pack(nm := al.name, tp := al.node_type), length(alias) * 1000 - ord) as best from n join {_AL} on contains(low, alias) and length(alias) >= 3 group by 1)
+ select n.name, coalesce(en, best.nm, n.name) as canonical, coalesce(et, best.tp, case when regexp_matches(n.name, '[0-9]') then 'Product' when not regexp_matches(n.name, '\\p{{Lu}}') then 'Topic' when length(n.name) <= 16 and not regexp_matches(n.name, '\\s') then 'Company' else 'Product' end) as node_type
+ from n left join e on n.name = e.name left join i on n.name = i.name)"""
 
 
-@query(
-    f"""with n as (select v.name as name, lower(trim(v.name)) as low from (values {_RV}) v(name)), e as (select n.name, al.name as en, al.node_type as et from n join {_AL} on low = alias),
- i as (select n.name, arg_max(struct_pack(nm := al.name, tp := al.node_type), length(alias) * 1000 - ord) as best from n join {_AL} on contains(low, alias) and length(alias) >= 3 group by 1)
- select n.name, coalesce(en, best.nm, n.name) as canonical, coalesce(et, best.tp, case when regexp_matches(n.name, '[0-9]') then 'Product' when regexp_matches(n.name, '^\\p{{Lu}}[^\\s]{{0,15}}$') then 'Company' else 'Topic' end) as node_type
- from n left join e on n.name = e.name left join i on n.name = i.name"""
-)
+@query(f"select * from {_RESOLVED} r")
 def entity_resolution(spark, d):
-    return G.resolved(spark, spark.createDataFrame([(x,) for x in _RAW], "name string"))
+    """K2: the names that whole posts hold, resolved."""
+    raw = posts(spark, d).select(F.explode(F.expr(E.light_entities("text"))).alias("name")).where("length(trim(name)) >= 2 and regexp_like(name, '[A-Za-zА-Яа-я]')")
+    return G.resolved(spark, raw)
+
+
+def _slugged(x: str) -> str:
+    return _SLUG.replace("p_name", x)
 
 
 @query(f"select a.name as a, b.name as b, count(*) as mentions from {_MENTION} a join {_MENTION} b on a.id = b.id and a.name < b.name group by 1, 2")
@@ -117,3 +124,53 @@ def kg_seed_edges(spark, d):
     ends = F.broadcast(seed.select("a", "b").distinct())
     n = m.join(ends, m["name"] == ends["a"]).select("id", "a", "b").join(m.select("id", F.col("name").alias("b")), ["id", "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return seed.join(n, ["a", "b"], "left").select("a", "b", "edge_type", F.round(F.least(F.lit(1.0), 0.85 + 0.04 * F.coalesce("n", F.lit(0))), 4).alias("weight"))
+
+
+_FOUND = f"""(select distinct id, {_slugged("name")} as slug, lower(raw) as raw, name, node_type from (select r.id, r.raw, c.canonical as name, c.node_type from {_RAW} r join {_RESOLVED} c on c.name = r.raw
+ union all select id, name, name, node_type from (select id, al.name, al.node_type, row_number() over (partition by id order by length(alias) desc, ord) as k from {POSTS_SQL} p join {_AL} on contains(lower(p.text), alias) and length(alias) >= 3) s where k <= 12) f)"""
+
+
+@query(
+    f"""with f as materialized (select * from {_FOUND} f), a as (select slug, raw, row_number() over (partition by slug order by min(id), raw) as k from f group by 1, 2)
+ select n.slug, n.f.name as name, n.f.node_type as node_type, n.mentions, al.aliases from (select slug, min(struct_pack(id := id, name := name, node_type := node_type)) as f, count(distinct id) as mentions from f group by 1) n
+ join (select slug, string_agg(raw, '|' order by k) as aliases from a where k <= 48 group by 1) al using (slug)"""
+)
+def kg_nodes(spark, d):
+    """K3: the nodes that posts mention, by slug, with their first 48 aliases."""
+    return G.node_table(G.event_nodes(spark, posts(spark, d))).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+_CATS = ", ".join(f"({D.q(n)}, {D.q(c)})" for n, cs in V.CATEGORIES.items() for c in cs)
+
+
+@query(
+    f"""with o as materialized (select distinct id, slug from {_FOUND} f), s as (select slug from o union select {_slugged("name")} from {_AL}),
+ c as (select {_slugged("name")} as slug, {_slugged("category")} as parent from (values {_CATS}) v(name, category)), u as (select o.slug, parent, count(*) as n from o join c using (slug) where o.slug <> parent and parent in (select slug from s) group by 1, 2),
+ e as (select x.slug as a, y.slug as b, 'RELATED_TO' as edge_type, count(*) as n from o x join o y on x.id = y.id and x.slug <> y.slug group by 1, 2 union all select parent, slug, 'RELATED_TO', n from u union all select slug, parent, 'PART_OF', n from u)
+ select a, b, edge_type, sum(n)::bigint as mentions, round(least(1.0::double, 0.45::double + 0.04::double * (sum(n) - 1)), 4) as weight from e group by 1, 2, 3"""
+)
+def kg_ingested_edges(spark, d):
+    """K6: edges between the nodes of each post, and between nodes and what they belong to."""
+    e = G.ingested_edges(spark, G.event_nodes(spark, posts(spark, d)))
+    return G.weighted(e).select("a", "b", "edge_type", "mentions", F.round("weight", 4).alias("weight"))
+
+
+_STORED = "select distinct l_orderkey as event_id, l_partkey as node_id, case when l_linenumber = 1 then 0.9::double else 0.5::double end as confidence from lineitem where l_linestatus = 'F'"
+
+
+def _stored(spark, d):
+    li = table(spark, d, "lineitem").where("l_linestatus = 'F'")
+    return li.select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("node_id"), F.expr("case when l_linenumber = 1 then 0.9D else 0.5D end").alias("confidence")).distinct()
+
+
+@query(f"select event_id, node_id, max(confidence) as confidence from ({_STORED} union all select l_orderkey, l_partkey, 0.75::double from lineitem) x group by 1, 2")
+def kg_event_links(spark, d):
+    """K5: links of events to nodes; one that is stored keeps the higher confidence."""
+    return G.linked(_stored(spark, d), links(spark, d))
+
+
+@query(f"select o_orderkey as event_id, count(distinct l_partkey) as added from orders join lineitem on l_orderkey = o_orderkey where o_orderstatus = 'O' and o_orderkey not in (select event_id from ({_STORED}) s) group by 1")
+def kg_missing_links(spark, d):
+    """Active events without stored links, and how many each gets."""
+    bare = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("event_id")).join(_stored(spark, d), "event_id", "left_anti")
+    return links(spark, d).join(bare, "event_id", "left_semi").groupBy("event_id").agg(F.count(F.lit(1)).alias("added"))

@@ -264,3 +264,26 @@ def retention_links(spark, d):
     gone = p.where("status <> 'raw' and minute < 100").select(F.col("id").alias("l_partkey")).distinct().withColumn("gone", F.lit(True))
     s = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(gone, "l_partkey", "left").groupBy(F.col("l_orderkey").alias("event_id"))
     return s.agg(F.count(F.lit(1)).alias("n"), F.count_if("gone").alias("unlinked")).where("unlinked > 0")
+
+
+@query(f"select query_id, case when s >= 0.3 then vec_id end as joins, s < 0.3 as is_new from (select *, row_number() over (partition by query_id order by round(s, 9) desc, vec_id) as k from ({_COS}) x where vec_id <> query_id) y where k = 1")
+def cosine_assign(spark, d):
+    """The nearest other vector of each query from a similarity on, or none."""
+    e = table(spark, d, "embeddings")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("s", 9)), "vec_id")
+    best = nearest(e, e.where("vec_id % 100 = 0"), k=2).where("vec_id <> query_id").withColumn("k", F.row_number().over(w)).where("k = 1")
+    return best.select("query_id", F.expr("case when s >= 0.3 then vec_id end").alias("joins"), (F.col("s") < 0.3).alias("is_new"))
+
+
+@query(
+    """with b as (select o_custkey as story, o_orderdate::date as d, count(*) as added from orders join lineitem on l_orderkey = o_orderkey group by 1, 2),
+ r as (select *, sum(added) over (partition by story order by d) as total, row_number() over (partition by story order by d) as k from b),
+ e as (select story, k, 0 as p, d, total, case when k = 1 then 'created' else 'sources' end as kind from r union all select story, k, 1, d, total, 'growth' from r where k > 1 and added >= 5)
+ select story, string_agg(concat(strftime(d, '%Y-%m-%d'), ' ', kind, ' ', total::bigint::varchar), '|' order by k, p) as timeline from (select *, row_number() over (partition by story order by k desc, p desc) as n from e) x where n <= 40 group by 1"""
+)
+def story_timelines(spark, d):
+    """The last forty timeline entries of each story, as sources are attached day by day."""
+    li = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    days = li.groupBy(F.col("o_custkey").alias("story"), F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("added"))
+    text = F.transform("timeline", lambda x: F.concat_ws(" ", F.date_format(x["at"], "yyyy-MM-dd"), x["kind"], x["sources"].cast("string")))
+    return U.timelines(days, "story", "day", "added").select("story", F.array_join(text, "|").alias("timeline"))
