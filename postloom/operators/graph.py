@@ -127,3 +127,30 @@ def ingested_edges(spark: SparkSession, nodes: DataFrame) -> DataFrame:
 def linked(stored: DataFrame, found: DataFrame, confidence: float = 0.75) -> DataFrame:
     """(event_id, node_id, confidence): one row a link; a stored one keeps the higher confidence. stored: (event_id, node_id, confidence)."""
     return stored.unionByName(found.select("event_id", "node_id", F.lit(confidence).alias("confidence"))).groupBy("event_id", "node_id").agg(F.max("confidence").alias("confidence"))
+
+
+def query_nodes(spark: SparkSession, questions: DataFrame, top: int = 5) -> DataFrame:
+    """(id, names, known) of questions (id, text): the nodes of their aliases, longest alias first, each once; without any, their
+    first top significant words of four letters or more. The graph is only read. Questions without either have no names."""
+    q = questions.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    hits = q.select("id", F.lower("text").alias("low")).join(F.broadcast(alias_table(spark).where("length(alias) >= 3")), F.expr("contains(low, alias)"))
+    best = hits.groupBy("id", "name").agg(F.min(F.struct(-F.length("alias"), "ord")).alias("at"))
+    named = best.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("nodes"))
+    tokens = F.expr(f"slice(filter({E.significant_tokens('text')}, t -> length(t) >= 4), 1, {top})")
+    return q.join(named, "id", "left").select("id", F.coalesce("nodes", tokens).alias("names"), F.col("nodes").isNotNull().alias("known"))
+
+
+def questions_about(names: DataFrame, texts: DataFrame, width: int = 6, top: int = 5) -> DataFrame:
+    """(id, asked): follow-up questions on the first width names of each question, without the question itself, at most top."""
+    rows = names.join(texts.select("id", F.lower(F.trim(F.coalesce("text", F.lit("")))).alias("low")), "id")
+    forms = F.expr(f"array_distinct(filter(transform(slice(names, 1, {width}), n -> concat('What\\'s new with ', n, '?')), x -> lower(x) <> low))")
+    return rows.select("id", F.slice(forms, 1, top).alias("asked"))
+
+
+def shared_gate(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b, shared, ok) of pairs of events: whether they share a node, or one of them has none. links: (event_id, node_id), each once."""
+    n = links.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+    x, y = links.select(F.col("event_id").alias("a"), "node_id"), links.select(F.col("event_id").alias("b"), "node_id")
+    both = pairs.join(x, "a").join(y, ["b", "node_id"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    p = pairs.join(both, ["a", "b"], "left").join(n.select(F.col("event_id").alias("a"), F.col("n").alias("na")), "a", "left").join(n.select(F.col("event_id").alias("b"), F.col("n").alias("nb")), "b", "left")
+    return p.select("a", "b", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"), (F.col("shared").isNotNull() | F.col("na").isNull() | F.col("nb").isNull()).alias("ok"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -174,3 +175,45 @@ def kg_missing_links(spark, d):
     """Active events without stored links, and how many each gets."""
     bare = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("event_id")).join(_stored(spark, d), "event_id", "left_anti")
     return links(spark, d).join(bare, "event_id", "left_semi").groupBy("event_id").agg(F.count(F.lit(1)).alias("added"))
+
+
+_QUESTIONS = "(select item_id as id, text from benchmark union all select 1000000000000 + doc_id, text from documents where doc_id % 100 = 0 union all select 2000000000000 + conv_id * 1000 + turn, text from conversations where role = 'user')"
+
+
+def _questions(spark, d):
+    """Questions (id, text): benchmark items, every document whose id is divisible by 100, users' turns."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("id"), "text")
+    t = table(spark, d, "documents").where("doc_id % 100 = 0").select((F.col("doc_id") + 1_000_000_000_000).alias("id"), "text")
+    c = table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn") + 2_000_000_000_000).alias("id"), "text")
+    return b.unionAll(t).unionAll(c)
+
+
+_SIGNIFICANT = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[{E.WORD}\\-]{{2,}}'), lambda t: t not in ({D.words_in(V.SEARCH_STOP)}) and not regexp_matches(t, '^\\p{{Nd}}+$') and length(t) >= 4)"
+_QUERY_NODES = f"""(with q as (select * from {_QUESTIONS} x), b as (select q.id, al.name, min(ord - 1000 * length(alias)) as p from q join {_AL} on contains(lower(q.text), alias) and length(alias) >= 3 group by 1, 2),
+ n as (select id, list(name order by p) as nodes from b group by 1), s as (select id, text, {_SIGNIFICANT} as w from q)
+ select s.id, text, coalesce(nodes, list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 5)) as names, nodes is not null as known from s left join n on n.id = s.id)"""
+
+
+@query(f"select id, array_to_string(names, '|') as names, known from {_QUERY_NODES} n")
+def query_nodes(spark, d):
+    """What each question is about."""
+    return G.query_nodes(spark, _questions(spark, d)).withColumn("names", F.array_join("names", "|"))
+
+
+@query(f"select id, array_to_string(list_slice(list_filter(list_transform(list_slice(names, 1, 6), lambda n: concat('What''s new with ', n, '?')), lambda x: lower(x) <> lower(trim(coalesce(text, '')))), 1, 5), '|') as asked from {_QUERY_NODES} n")
+def related_questions(spark, d):
+    """follow-up questions."""
+    q = _questions(spark, d)
+    return G.questions_about(G.query_nodes(spark, q), q).withColumn("asked", F.array_join("asked", "|"))
+
+
+@query(
+    f"""with p as (select * from (select o_orderkey as a, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as b from orders) x where b is not null), l as (select distinct event_id, node_id % 50 as node_id from ({_STORED}) s),
+ s as (select a, b, count(*) as shared from p join l x on x.event_id = a join l y on y.event_id = b and y.node_id = x.node_id group by 1, 2)
+ select p.a, p.b, coalesce(shared, 0) as shared, shared is not null or p.a not in (select event_id from l) or p.b not in (select event_id from l) as ok from p left join s on s.a = p.a and s.b = p.b"""
+)
+def entity_gate(spark, d):
+    """Each story's successive events share an entity, or one of them has none."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    pairs = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b")).where("b is not null")
+    return G.shared_gate(pairs, _stored(spark, d).select("event_id", (F.col("node_id") % 50).alias("node_id")).distinct())
