@@ -36,48 +36,66 @@ def attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if raw and not raw.isspace() else {}
 
 
+class _Open:
+    """The open elements by tag, so that the nearest one of a tag is found without a climb over all others."""
+
+    def __init__(self, root: Node):
+        self.top = root
+        self.by_tag: dict[str, list[Node]] = {}
+
+    def push(self, node: Node) -> None:
+        self.by_tag.setdefault(node.tag, []).append(node)
+        self.top = node
+
+    def nearest(self, tags) -> Node | None:
+        return max((own[-1] for t in tags if (own := self.by_tag.get(t))), key=lambda x: x.depth, default=None)
+
+    def close(self, node: Node) -> None:
+        """Closes node and all that is open in it; each element is closed once."""
+        while True:
+            last = self.by_tag[self.top.tag].pop()
+            self.top = last.parent
+            if last is node:
+                return
+
+
 def parse(page: str) -> list[Node]:
-    """All element nodes in page order; the first is a root that stands for the page."""
+    """All element nodes in page order; the first is a root that stands for the page. Time is linear in the page, also where end
+    tags have no partners."""
     root = Node("#page", "", None, 0)
-    nodes, top, at, n = [root], root, 0, len(page)
+    nodes, held, at, n = [root], _Open(root), 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
             break
         if m.start() > at:
-            top.children.append(html.unescape(page[at : m.start()]))
+            held.top.children.append(html.unescape(page[at : m.start()]))
         at = m.end()
         name = m[2] or m[5]
         if name is None:
             continue
         tag, attrs = name.lower(), m[3] or m[6] or ""
         if m[1] or m[4]:
-            up = top
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                top = up.parent
+            own = held.by_tag.get(tag)
+            if own:
+                held.close(own[-1])
             elif tag == "br":
-                top.children.append(Node("br", "", top, -1))
+                held.top.children.append(Node("br", "", held.top, -1))
             continue
-        if tag in _CLOSES_P:
-            up = top
-            while up is not root and up.tag != "p" and (up.tag not in BLOCK or up.tag == "p"):
-                up = up.parent
+        if tag in _CLOSES_P and held.by_tag.get("p"):
+            up = held.nearest(BLOCK)
             if up.tag == "p":
-                top = up.parent
+                held.close(up)
         if tag in _ENDS:
             ends, stop = _ENDS[tag]
-            up = top
-            while up is not root and up.tag not in stop:
-                if up.tag in ends:
-                    top = up.parent
-                    if tag not in ("tr",):
-                        break
-                up = up.parent
-        node = Node(tag, attrs, top, len(nodes))
+            edge = held.nearest(stop)
+            while (up := held.nearest(ends)) is not None and (edge is None or up.depth > edge.depth):
+                held.close(up)
+                if tag != "tr":
+                    break
+        node = Node(tag, attrs, held.top, len(nodes))
         nodes.append(node)
-        top.children.append(node)
+        held.top.children.append(node)
         if tag in VOID or attrs.endswith("/"):
             continue
         if tag in RAW:
@@ -88,7 +106,7 @@ def parse(page: str) -> list[Node]:
                 close = page.find(">", end.start())
                 at = n if close < 0 else close + 1
             continue
-        top = node
+        held.push(node)
     if at < n:
-        top.children.append(html.unescape(page[at:]))
+        held.top.children.append(html.unescape(page[at:]))
     return nodes
