@@ -142,6 +142,19 @@ def _table(packet: np.ndarray) -> bytes:
     return section
 
 
+def _checked(packets: np.ndarray) -> bytes:
+    """The first of the sections that packets begin; the CRC of each different one has to hold. Counters are not part of it."""
+    if not len(packets):
+        raise ValueError("a program table is missing")
+    counted = packets.copy()
+    counted[:, 3] &= 0xF0
+    different = np.flatnonzero((counted != counted[0]).any(1))
+    first = _table(packets[0])
+    for one in dict.fromkeys(counted[k].tobytes() for k in different):
+        _table(np.frombuffer(one, np.uint8))
+    return first
+
+
 def read(media: bytes) -> dict:
     """The stream's payload, units' timestamps (90 kHz), random-access points (byte offset, timestamp) and figures."""
     if not media or len(media) % PACKET:
@@ -154,10 +167,10 @@ def read(media: bytes) -> dict:
     pats = np.flatnonzero((pid == 0) & starts)
     if not len(pats):
         raise ValueError("no program association table")
-    pat = _table(p[pats[0]])
+    pat = _checked(p[pats])
     programs = {int.from_bytes(pat[i : i + 2], "big"): int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF for i in range(8, len(pat) - 4, 4)}
     map_pid = next(v for k, v in programs.items() if k)
-    pmt = _table(p[np.flatnonzero((pid == map_pid) & starts)[0]])
+    pmt = _checked(p[np.flatnonzero((pid == map_pid) & starts)])
     at = 12 + (int.from_bytes(pmt[10:12], "big") & 0xFFF)
     media_pid = int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF
     breaks = 0

@@ -89,7 +89,7 @@ def test_stream_round_trip(spark, rows):
         payload = text.encode() + bytes(max(64, -(-len(text.encode()) // 64) * 64) - len(text.encode()))
         assert (x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) == (len(text.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert by_text.setdefault(text, (x["media_sha256"], x["feature"])) == (x["media_sha256"], x["feature"])
-    full = T.read_column(T.store_column(rows)).where("doc_id = 20").first()
+    full = T.read_column(T.store_column(rows)).where(f"doc_id = {ODD.index('word ' * 5000)}").first()
     assert full["timestamps"] == [k * T.TICKS for k in range(-(-25024 // T.UNIT))] and full["access_offsets"][0] == 2 * T.PACKET
 
 
@@ -110,6 +110,19 @@ def test_stream_faults():
         T.read(media[:-1])
 
 
+def test_later_tables_are_checked():
+    media = T.store(bytes(600_000))
+    p = np.frombuffer(media, np.uint8).reshape(-1, 188)
+    pid = (p[:, 1].astype(int) & 0x1F) << 8 | p[:, 2]
+    for table_pid in (0, T.PMT_PID):
+        at = np.flatnonzero(pid == table_pid)
+        assert len(at) > 1
+        bad = bytearray(media)
+        bad[int(at[-1]) * 188 + 14] ^= 0xFF
+        with pytest.raises(ValueError, match="CRC"):
+            T.read(bytes(bad))
+
+
 def test_packing(spark, rows):
     from tokenizers import Tokenizer
 
@@ -212,6 +225,23 @@ def test_written_pages():
     assert hit / total > 0.97 and hit / got_n > 0.97 and exact > 45
 
 
+def test_tags_without_partners_take_linear_time():
+    import time
+
+    for soup in ("<b></i>", "<b><p>", "<p><b><hr>", "<table><b><tr>", "<b><td>"):
+        begin = time.monotonic()
+        assert len(H.parse(soup * 60_000)) > 60_000
+        assert time.monotonic() - begin < 20, soup
+
+
+def test_tree_of_nested_and_unclosed_tags():
+    shape = lambda page: [(v.tag, v.parent.index, v.depth) for v in H.parse(page)[1:]]
+    assert shape("<p>a<b>b<p>c") == [("p", 0, 1), ("b", 1, 2), ("p", 0, 1)]
+    assert shape("<table><tr><td>1<td>2<tr><th>3</table>x<i>") == [("table", 0, 1), ("tr", 1, 2), ("td", 2, 3), ("td", 2, 3), ("tr", 1, 2), ("th", 5, 3), ("i", 0, 1)]
+    assert shape("<ul><li>a<ul><li>b<li>c</ul><li>d</ul></b><u>") == [("ul", 0, 1), ("li", 1, 2), ("ul", 2, 3), ("li", 3, 4), ("li", 3, 4), ("li", 1, 2), ("u", 0, 1)]
+    assert shape("<head><title>x</title><body><p><span></div></p><em>") == [("head", 0, 1), ("title", 1, 2), ("body", 0, 1), ("p", 3, 2), ("span", 4, 3), ("em", 3, 2)]
+
+
 def test_page_edges(spark):
     pages = [
         (1, None, None), (2, "u", ""), (3, "u", "<html></html>"), (4, "u", "no tags at all & more &lt;words&gt; here, enough of them to be a text of its own"), (5, "u", "<p>unclosed <b>bold"), (5, "u", "<p>unclosed <b>bold"),
