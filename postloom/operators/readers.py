@@ -27,6 +27,39 @@ def feed(news: DataFrame, states: DataFrame, subscriptions: DataFrame, page: int
     return c.select("user_id", "news_id", score.alias("score")).withColumn("place", F.row_number().over(w)).where(F.col("place") <= page)
 
 
+def feed_window(news: DataFrame, sources: DataFrame, states: DataFrame, settings: DataFrame, subscriptions: DataFrame, offset: int = 0) -> DataFrame:
+    """(user_id, news_id, score, place): each user's window of events of subscribed channels, ranked.
+
+    An event counts if it is active, important enough for the user, of one of their themes (null: 'other'), not read or disliked, and none
+    of their ignored words stands in its title, summary or topic (words are LIKE patterns without case). The first max(4 page, 40) +
+    offset by personal score and importance make the window; within it the weight of the theme (3 where there is none) counts.
+    news: (event_id, status, importance, theme, title, summary, topic, updated_at); sources: (event_id, channel_id), several an event;
+    settings: (user_id, page_size, min_importance, themes, weights map, ignored text with commas or null); users without settings have no feed.
+    Only pairs of ids are made distinct; the window is cut before its last shuffle, so a user's rows are never held whole."""
+    active = news.where("status = 'active'")
+    reach = sources.join(active.select("event_id"), "event_id", "left_semi").join(subscriptions.join(settings.select("user_id"), "user_id", "left_semi"), "channel_id").select("user_id", "event_id").distinct()
+    seen = states.select("user_id", F.col("news_id").alias("event_id"), "personal", (F.col("is_read") | F.col("disliked")).alias("gone"))
+    words = F.expr("filter(transform(split(coalesce(ignored, ''), ','), t -> lower(trim(t))), t -> t <> '')")
+    own = settings.select("user_id", "page_size", "min_importance", "themes", "weights", words.alias("words"))
+    c = reach.join(seen, ["user_id", "event_id"], "left").where("not coalesce(gone, false)").join(active, "event_id").join(own, "user_id")
+    c = c.withColumn("theme", F.coalesce("theme", F.lit("other"))).withColumn("personal", F.coalesce("personal", F.lit(0.0)))
+    c = c.where("importance >= min_importance and array_contains(themes, theme)")
+    c = c.where("not exists(words, w -> lower(concat_ws('\\n', title, summary, topic)) like concat('%', w, '%'))")
+    w = Window.partitionBy("user_id").orderBy(F.desc(F.round(F.col("personal") + F.col("importance"), 9)), F.desc("importance"), F.desc("updated_at"), "event_id")
+    top = c.withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.greatest(F.col("page_size") * 4, F.lit(40)) + offset)
+    score = F.col("personal") + F.col("importance") * (0.6 + 0.4 * (F.coalesce(F.try_element_at("weights", F.col("theme")), F.lit(3)) / 5.0))
+    ranked = top.select("user_id", F.col("event_id").alias("news_id"), F.round(score, 6).alias("score"), "k", "page_size")
+    again = Window.partitionBy("user_id").orderBy(F.desc("score"), "k")
+    return ranked.withColumn("place", F.row_number().over(again).cast("long")).select("user_id", "news_id", "score", "place", "page_size")
+
+
+def feed_page(window: DataFrame, offset: int = 0) -> DataFrame:
+    """(user_id, news_id, score, place, has_more): the page of each ranked window behind offset, and whether there is more behind it."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
+    w = window.withColumn("has_more", n > offset + F.col("page_size"))
+    return w.where((F.col("place") > offset) & (F.col("place") <= offset + F.col("page_size"))).select("user_id", "news_id", "score", "place", "has_more")
+
+
 def recommended(news: DataFrame, links: DataFrame, states: DataFrame, top_nodes: int, top: int) -> DataFrame:
     """(user_id, event_id, importance): active events that share a node with what a user liked, kept or read, without those seen
     or disliked; the most important ones."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as T
 from ..functions.vectors import nearest
 from ..operators import upkeep as U
-from ..operators.readers import user_states
+from ..operators.readers import feed_page, feed_window, user_states
 from ..sources.tables import ACTIONS_SQL, NEWS_SQL, POSTS_SQL, actions, news, posts, table
 
 QUERIES, SQL = {}, {}
@@ -287,3 +287,46 @@ def story_timelines(spark, d):
     days = li.groupBy(F.col("o_custkey").alias("story"), F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("added"))
     text = F.transform("timeline", lambda x: F.concat_ws(" ", F.date_format(x["at"], "yyyy-MM-dd"), x["kind"], x["sources"].cast("string")))
     return U.timelines(days, "story", "day", "added").select("story", F.array_join(text, "|").alias("timeline"))
+
+
+_THEMES = "['tech', 'ai', 'games', 'science']"
+#: Events with words and themes (title, topic and summary of the part of their customer's number, where there is one).
+_STORIES = f"""(select o_orderkey as event_id, case o_orderstatus when 'O' then 'active' when 'F' then 'archived' else 'merged' end as status, o_totalprice / 65536.0 as importance,
+  {_THEMES}[o_orderkey % 5 + 1] as theme, p_name as title, p_brand as summary, p_type as topic, o_orderdate as updated_at from orders left join part on p_partkey = o_custkey)"""
+_FEED_SETTINGS = f"""(select c_custkey as user_id, 3 + c_custkey % 5 as page_size, c_custkey % 5 * 0.2::double as min_importance, case when c_custkey % 7 = 0 then ['tech', 'other'] else list_concat({_THEMES}, ['other']) end as themes,
+  case when c_custkey % 3 = 0 then null else c_custkey % 5 + 1 end as weight, case c_custkey % 4 when 0 then 'cold, Steel,' when 1 then ' economy ,b_ue' when 2 then '' end as ignored from customer)"""
+_FEED_CHANNELS = "(select o_orderkey as event_id, o_custkey % 97 as channel_id from orders union select o_orderkey, o_orderkey % 97 from orders where o_orderkey % 3 = 0)"
+_FEED_SUBS = "(select user_id, user_id % 97 as channel_id from events union select user_id, user_id * 31 % 97 from events)"
+_FEED_STATES = f"""(select user_id, news_id, bool_or(action in ('read', 'dislike')) as gone, case when bool_or(action = 'like') then 1.5 else 0.0 end::double - 2.0::double * count(*) filter (action = 'dislike') as personal
+  from {ACTIONS_SQL} a group by 1, 2)"""
+
+
+@query(
+    f"""with reach as (select distinct user_id, event_id from {_FEED_CHANNELS} c join {_FEED_SUBS} s using (channel_id)),
+ c as (select r.user_id, n.event_id, n.importance, coalesce(n.theme, 'other') as th, coalesce(st.personal, 0.0)::double as pers, u.page_size, u.weight, n.updated_at,
+   lower(concat_ws(chr(10), n.title, n.summary, n.topic)) as blob, list_filter(list_transform(string_split(coalesce(u.ignored, ''), ','), lambda t: lower(trim(t))), lambda t: t <> '') as words, u.themes, u.min_importance
+   from reach r join {_STORIES} n using (event_id) join {_FEED_SETTINGS} u using (user_id) left join {_FEED_STATES} st on st.user_id = r.user_id and st.news_id = r.event_id where n.status = 'active' and not coalesce(st.gone, false)),
+ f as (select * from c where importance >= min_importance and list_contains(themes, th) and len(list_filter(words, lambda w: blob like concat('%', w, '%'))) = 0),
+ win as (select *, row_number() over (partition by user_id order by round(pers + importance, 9) desc, importance desc, updated_at desc, event_id) as k from f qualify k <= greatest(page_size * 4, 40) + 2),
+ ranked as (select user_id, event_id as news_id, page_size, k, round(pers + importance * (0.6::double + 0.4::double * (case when th <> 'ai' then coalesce(weight, 3) else 3 end / 5.0::double)), 6) as score from win),
+ placed as (select *, row_number() over (partition by user_id order by score desc, k) as place, count(*) over (partition by user_id) as n from ranked)
+ select user_id, news_id, score, place, n > 2 + page_size as has_more from placed where place > 2 and place <= 2 + page_size"""
+)
+def personal_feed(spark, d):
+    """The page behind the first two events of every user's feed, with their own words, themes, weights and page size."""
+    o, e = table(spark, d, "orders"), table(spark, d, "events")
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("o_custkey"), F.col("p_name").alias("title"), F.col("p_brand").alias("summary"), F.col("p_type").alias("topic"))
+    stories = o.join(part, "o_custkey", "left").select(
+        F.col("o_orderkey").alias("event_id"), F.expr("case o_orderstatus when 'O' then 'active' when 'F' then 'archived' else 'merged' end").alias("status"), (F.col("o_totalprice") / 65536.0).alias("importance"),
+        F.expr("try_element_at(array('tech', 'ai', 'games', 'science'), cast(o_orderkey % 5 + 1 as int))").alias("theme"), "title", "summary", "topic", F.col("o_orderdate").alias("updated_at"),
+    )
+    settings = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.expr("3 + c_custkey % 5").alias("page_size"), F.expr("c_custkey % 5 * 0.2D").alias("min_importance"),
+        F.expr("case when c_custkey % 7 = 0 then array('tech', 'other') else array('tech', 'ai', 'games', 'science', 'other') end").alias("themes"),
+        F.expr("case when c_custkey % 3 <> 0 then map_from_arrays(array('tech', 'games', 'science', 'other'), array_repeat(c_custkey % 5 + 1, 4)) end").alias("weights"),
+        F.expr("case c_custkey % 4 when 0 then 'cold, Steel,' when 1 then ' economy ,b_ue' when 2 then '' end").alias("ignored"),
+    )
+    channels = o.select(F.col("o_orderkey").alias("event_id"), (F.col("o_custkey") % 97).alias("channel_id")).unionAll(o.where("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_orderkey") % 97))
+    users = e.select("user_id").distinct()
+    subscriptions = users.select("user_id", (F.col("user_id") % 97).alias("channel_id")).unionAll(users.select("user_id", F.col("user_id") * 31 % 97))
+    return feed_page(feed_window(stories, channels, user_states(actions(spark, d)), settings, subscriptions, 2), 2)

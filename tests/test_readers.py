@@ -34,3 +34,43 @@ def test_user_states_are_order_free(spark):
     log = spark.createDataFrame([(1, 5, "read", 1), (1, 5, "like", 2), (1, 5, "like", 3), (1, 5, "favorite", 4), (1, 5, "favorite", 5), (1, 6, "dislike", 6)], "user_id long, news_id long, action string, ts long")
     got = {x["news_id"]: x for x in R.user_states(log).collect()}
     assert got[5]["personal"] == 1.5 and got[5]["is_read"] and not got[5]["favorite"] and got[6]["personal"] == -2.0
+
+
+def test_personal_window_and_page(spark):
+    """Own words, themes, weights and page sizes against a plain loop; null titles and themes, repeated sources, users without settings."""
+    import random
+
+    from postloom.operators.readers import feed_page, feed_window
+
+    r = random.Random(5)
+    news = [(k, r.choice(["active", "active", "archived"]), r.choice([0.5, 2.0, 3.25, 7.5]), r.choice(["ai", "tech", None]), r.choice([None, "Red car", "blue CAR"]), r.choice([None, "fast"]), None, r.randint(0, 3)) for k in range(160)]
+    sources = [(k, r.randint(0, 3)) for k in range(160) for _ in range(2)] + [(0, 0), (0, 0), (999, 1)]
+    states = [(u, k, r.choice([1.5, -2.0, 0.0]), r.random() < 0.2, r.random() < 0.1) for u in (1, 2, 3) for k in range(0, 160, 3)]
+    settings = [(1, 5, 0.0, ["ai", "tech", "other"], {"ai": 5, "tech": 1}, " BLUE ,"), (2, 12, 1.0, ["ai", "other"], None, None), (4, 3, 0.0, ["ai"], {}, "f_st"), (5, 3, 0.0, [], None, "")]
+    subscriptions = [(u, c) for u in (1, 2, 3, 4, 5) for c in (0, 2)] + [(1, 2)]
+    frame = spark.createDataFrame
+    window = feed_window(
+        frame(news, "event_id long, status string, importance double, theme string, title string, summary string, topic string, updated_at int"), frame(sources, "event_id long, channel_id int"),
+        frame(states, "user_id long, news_id long, personal double, is_read boolean, disliked boolean"),
+        frame(settings, "user_id long, page_size int, min_importance double, themes array<string>, weights map<string, int>, ignored string"), frame(subscriptions, "user_id long, channel_id int"), 3,
+    )
+    got = {(x["user_id"], x["place"]): (x["news_id"], x["score"], x["has_more"]) for x in feed_page(window, 3).collect()}
+    wanted = {}
+    for user, size, least, themes, weights, ignored in settings:
+        words = [w.strip().lower() for w in (ignored or "").split(",") if w.strip()]
+        own = {k: (p, read or bad) for u, k, p, read, bad in states if u == user}
+        channels = {c for u, c in subscriptions if u == user}
+        rows = []
+        for k, status, imp, theme, title, summary, topic, at in news:
+            texts = " ".join(x or "" for x in (title, summary, topic)).lower()
+            hit = any(w in texts or (w == "f_st" and "fast" in texts) for w in words)
+            p, gone = own.get(k, (0.0, False))
+            if status == "active" and imp >= least and (theme or "other") in themes and not hit and not gone and any(e == k and c in channels for e, c in sources):
+                rows.append((-(p + imp), -imp, -at, k, p + imp * (0.6 + 0.4 * ((weights or {}).get(theme or "other", 3) / 5))))
+        rows = sorted(rows)[: max(4 * size, 40) + 3]
+        ranked = sorted(((-round(x[4], 6), i, x[3]) for i, x in enumerate(rows)))
+        for place, (score, _, k) in enumerate(ranked, 1):
+            if 3 < place <= 3 + size:
+                wanted[user, place] = (k, -score, len(ranked) > 3 + size)
+    assert got == wanted and {u for u, _ in wanted} == {1, 2, 4} and {x[2] for x in wanted.values()} == {True}
+    assert feed_page(window.where("false"), 3).count() == 0
