@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_folder
 from ..functions import dates as T
 from ..functions import expressions as E
 from ..operators import upkeep as U
@@ -172,12 +173,7 @@ def without_ad_only(spark, d):
 
 
 def _scratch(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="postloom-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query(f"select reason, theme, count(*) as n from (select {D.rule_reason('t')} as reason, {D.theme('b')} as theme from (select {D.stripped('text')} as t, {D.without_footers('text')} as b from {POSTS_SQL} p) x) y group by 1, 2")
