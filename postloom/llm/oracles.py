@@ -29,3 +29,16 @@ r as (select doc_id, k, min(pos) as x, max(pos) + 50 as y from i group by 1, 2),
 o as (select doc_id, k, x, y, coalesce(lag(y) over (partition by doc_id order by k), 0) as prev from r),
 kept as (select doc_id, string_agg(substr(h, 2 * prev + 1, 2 * (x - prev)), '' order by k) || substr(any_value(h), 2 * max(y) + 1) as h, sum(y - x) as n_removed, count(*) as n_spans from o join s using (doc_id) group by doc_id)
 select s.doc_id, s.n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.h, s.h))) as kept_sha256 from s left join kept on kept.doc_id = s.doc_id"""
+
+_H = lambda k: f"('0x' || substr(h, {8 * k + 1}, 8))::bigint"
+
+OP12 = rf"""with t as (select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(doc_id::varchar, '')) as h, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as tok from documents),
+c as (select *, len(tok) as n, {_H(0)} % (len(tok) + 1) as c1, {_H(1)} % (len(tok) + 1) as c2, case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or {_H(2)} % 100 >= 50 then 'plain' when {_H(3)} % 100 < 80 then 'spm' else 'psm' end as form from t),
+p as (select *, array_to_string(tok[1:least(c1, c2)], '') as prefix, array_to_string(tok[least(c1, c2) + 1:greatest(c1, c2)], '') as middle, array_to_string(tok[greatest(c1, c2) + 1:], '') as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256 from p"""
+
+OP13 = r"""with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, k, case k when 0 then 'user' else 'assistant' end, '\### Assistant: </turn> ok' from range(2) r(k)),
+e as (select *, length(role) + length(text) + sum_of + 16 as size from (select *, len(regexp_extract_all(role || text, '[\\<>]')) as sum_of from c))
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256, sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, text) filter (where role = 'assistant'), '')) as loss_sha256, sum(size)::bigint as formatted_chars from e group by conv_id"""
