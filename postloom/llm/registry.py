@@ -14,10 +14,11 @@ from .op7_suffix_index import op7_suffix_index
 from .op8_line_crf import op8_line_crf
 from .op9_html_trees import op9_html_trees
 from .op10_chunked_bpe import op10_chunked_bpe
+from .op11_repair_grammar import op11_repair_grammar
 from .op12_fim_skiplist import op12_fim_skiplist
 from .op13_event_chat import op13_event_chat
 
-_QUERIES = [op1_minhash, op2_packing, op3_pstable, op4_mpeg_ts, op5_toxicity, op6_token_counts, op7_suffix_index, op8_line_crf, op9_html_trees, op10_chunked_bpe, op12_fim_skiplist, op13_event_chat]
+_QUERIES = [op1_minhash, op2_packing, op3_pstable, op4_mpeg_ts, op5_toxicity, op6_token_counts, op7_suffix_index, op8_line_crf, op9_html_trees, op10_chunked_bpe, op11_repair_grammar, op12_fim_skiplist, op13_event_chat]
 
 
 def queries():
@@ -25,4 +26,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_minhash": oracles.OP1, "op3_pstable": oracles.OP3, "op7_suffix_index": oracles.OP7, "op12_fim_skiplist": oracles.OP12, "op13_event_chat": oracles.OP13}
+    return {"op1_minhash": oracles.OP1, "op3_pstable": oracles.OP3, "op7_suffix_index": oracles.OP7, "op11_repair_grammar": oracles.OP11, "op12_fim_skiplist": oracles.OP12, "op13_event_chat": oracles.OP13}
