@@ -103,7 +103,7 @@ def log_of(conversations: DataFrame) -> DataFrame:
     opened = F.array(event(F.col("turn"), F.lit(0), "open", F.col("role"), void))
     draft = F.array(event(F.col("turn"), F.lit(1), "delta", void, F.concat(F.lit("draft </turn> \\l "), F.substr("text", F.lit(1), F.lit(PIECE)))))
     again = F.array(event(F.col("turn"), F.lit(2), "regenerate", void, void))
-    later = F.array(event(F.col("turn") + 2, F.lit(-1), "edit", void, F.col("text")))
+    later = F.array(event(F.coalesce(F.try_add("turn", F.lit(2)), "turn", F.lit(0)), F.lit((1 << 31) - 1), "edit", void, F.col("text")))
     events = F.when(F.col("course") == 0, F.concat(opened, stream(1))).when(F.col("course") == 1, F.concat(opened, draft, again, stream(3))).otherwise(F.concat(opened, draft, later))
     return c.select("conv_id", "message", F.explode(events).alias("e")).select("conv_id", "message", "e.seq", "e.kind", "e.role", "e.payload")
 
