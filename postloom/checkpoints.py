@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +28,22 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def keeper(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
+    """write(df, name): the rows as a Parquet table in a folder of its own within the shared one, which goes when the program ends."""
+    root = f"{shared_folder(spark).rstrip('/')}/kept-{uuid.uuid4().hex}"
+
+    def clear() -> None:
+        try:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # noqa: BLE001  at exit the JVM may be gone; the folder is scratch
+            pass
+
+    def write(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    atexit.register(clear)
+    return write

@@ -47,19 +47,6 @@ def similarity_breakdown(spark, d):
     return P.composite(P.near_duplicates(items), items)
 
 
-@query()
-def consolidated_events(spark, d):
-    """Events whose composite similarity to an earlier winner reaches the threshold fold into it; tested in parts."""
-    items = P.stories(posts(spark, d))
-    n = items.select(F.col("rep").alias("v"), "n_posts")
-    e = P.merge_edges(items).join(n.select(F.col("v").alias("a"), F.col("n_posts").alias("na")), "a").join(n.select(F.col("v").alias("b"), F.col("n_posts").alias("nb")), "b")
-    later = F.col("nb") > F.col("na")  # stories of more posts come first, then the smaller id
-    first = lambda x, y: F.when(later, F.col(y)).otherwise(F.col(x))
-    edges = e.select(first("a", "b").alias("a"), first("b", "a").alias("b"), F.struct("score", F.greatest("na", "nb").alias("n")).alias("score"))
-    won = P.greedy_winners(items.select(F.col("rep").alias("v")), edges)
-    return won.join(items.select(F.col("rep").alias("v"), "n_posts"), "v").groupBy(F.col("winner").alias("event_id")).agg(F.sum("n_posts").alias("n_posts"), F.sort_array(F.collect_list("v")).alias("merged"))
-
-
 @query(
     rf"""select id, list_slice(list_distinct_ordered, 1, 12) as entities from (select id, list_reduce(list_concat([[]::varchar[]], list_transform(e, lambda v: [v])), lambda s, v: case when list_contains(s, v[1]) then s else list_concat(s, v) end) as list_distinct_ordered from (select id, list_concat(
  list_transform(regexp_extract_all(text, '[«"“]([^»"”]{{2,80}})[»"”]', 1), lambda v: trim(v)), list_filter(list_transform(regexp_extract_all(text, '(?:^|[^{E.WORD}])([A-ZА-ЯЁ][{E.WORD}\-]*(?:\s+[A-ZА-ЯЁ][{E.WORD}\-]*){{0,3}})', 1), lambda v: trim(v)), lambda v: length(v) >= 3)) as e

@@ -33,11 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over as many tasks as the session runs at once, where the scan has fewer: one file with one row group is one task's
+    work, however many cores there are. A table of many files is left as it is, so nothing large is ever shuffled here."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= most else df.repartition(most)
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts (id, channel, text, lang, minute): every document's whole text, with the additions above, and the short posts."""
     d = table(spark, sf_dir, "documents")
     form = lambda df, more, text: df.select((F.col("doc_id") + more).alias("id"), F.col("source").alias("channel"), F.expr(text).alias("text"), "lang", F.col("doc_id").alias("minute"))
-    return form(d, 0, _TEXT).unionAll(form(d.where(_HAS_SHORT), SHORT_IDS, _SHORT))
+    return form(spread(d.select("doc_id", "source", "text", "lang")), 0, _TEXT).unionAll(form(d.where(_HAS_SHORT), SHORT_IDS, _SHORT))
 
 
 #: Events with importance, theme number, status, and day (from orders).
