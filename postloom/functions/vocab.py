@@ -142,3 +142,7 @@ SEARCH_STOP = [
 STAGES = [("queued", 0), ("connect", 5), ("fetch", 25), ("clean", 10), ("dedupe", 5), ("ai", 40), ("relations", 10), ("save", 5), ("done", 100)]
 BACKFILL_LIMITS = {1: 200, 2: 400, 7: 800, 14: 1200, 30: 2000}
 # End of the fixed values.
+
+#: What a search hit says about itself (fixed values).
+WHY = {"node": "связано с ", "graph": "найдено через Knowledge Graph", "sources": ("подтверждено ", " источниками"), "fresh": "опубликовано недавно", "important": "высокая важность", "deep": "уточнено Deep Search"}
+ANSWER_HEAD, ANSWER_EMPTY = ("По запросу «", "»:"), "По вашему запросу релевантных новостей найдено не было."
