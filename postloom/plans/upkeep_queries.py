@@ -11,6 +11,7 @@ from ..functions import dates as T
 from ..functions import expressions as E
 from ..operators import upkeep as U
 from ..sources.tables import ACTIONS_SQL, LINKS_SQL, NEWS_SQL, POSTS_SQL, actions, links, news, posts, table
+from ..sources.incremental import ChannelFeed
 from ..streaming import live
 from . import duck as D
 
@@ -178,13 +179,68 @@ def _scratch(spark) -> str:
 
 @query(f"select reason, theme, count(*) as n from (select {D.rule_reason('t')} as reason, {D.theme('b')} as theme from (select {D.stripped('text')} as t, {D.without_footers('text')} as b from {POSTS_SQL} p) x) y group by 1, 2")
 def stream_ingest_counts(spark, d):
-    """Posts through the live path (all that there is, then stop), counted from what the sink holds."""
+    """Posts through the live path in two arrivals, the second with rows that are late by more than six hours: those take the second path, and both are
+    counted as one table, one row a post."""
     at = _scratch(spark)
     p = posts(spark, d).select("id", "text", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("minute") * 60).alias("ts"))
-    p.write.parquet(f"{at}/in")
-    stream = live.classified(live.incoming(spark, f"{at}/in", p.schema))
-    live.run_available(live.once(stream, ["id"], "ts", "3650 days"), f"{at}/out", f"{at}/state")
-    return spark.read.parquet(f"{at}/out").groupBy("reason", "theme").agg(F.count(F.lit(1)).alias("n"))
+    p.withColumn("second", F.col("id") % 2 == 1).write.partitionBy("second").parquet(f"{at}/all")
+    keep = lambda df: live.classified(df).select("id", "ts", "reason", "theme")
+    for second in ("false", "true"):
+        spark.read.schema(p.schema).parquet(f"{at}/all/second={second}").write.mode("append").parquet(f"{at}/in")
+        live.two_paths(keep(live.incoming(spark, f"{at}/in", p.schema, 1 << 30)), "ts", "6 hours", f"{at}/out", f"{at}/state").awaitTermination()
+    kept = live.merged(spark, "id long, ts timestamp, reason string, theme string", f"{at}/out", ["id"], "ts")
+    return kept.groupBy("reason", "theme").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""select action, start_s, count(*) as n from (select action, epoch(time_bucket(interval '6 hours', ts, timestamp '1970-01-01 00:00:00'))::bigint - 21600 * k as start_s from {ACTIONS_SQL} a, range(4) r(k)) x group by 1, 2"""
+)
+def stream_sliding_actions(spark, d):
+    """Actions of the last day, every six hours, in a stream of four arrivals; each tenth row comes one arrival late, within the watermark."""
+    at = _scratch(spark)
+    a = actions(spark, d).select("action_id", "action", F.col("ts").cast("timestamp").alias("ts"))
+    span = a.agg(F.min(F.unix_timestamp("ts")).alias("lo"), F.max(F.unix_timestamp("ts")).alias("hi")).first()
+    step = max(1, (span["hi"] - span["lo"]) // 4 + 1)
+    nth = F.floor((F.unix_timestamp("ts") - span["lo"]) / step) + F.when(F.col("action_id") % 10 == 0, 1).otherwise(0)
+    a.select("action", "ts", F.least(nth, F.lit(3)).cast("int").alias("arrival")).write.partitionBy("arrival").parquet(f"{at}/all")
+    w = lambda: live.windowed_counts(live.incoming(spark, f"{at}/in", "action string, ts timestamp", files_per_trigger=1 << 30), "ts", f"{2 * step} seconds", "1 day", "6 hours")
+    for k in range(4):
+        spark.read.schema("action string, ts timestamp").parquet(f"{at}/all/arrival={k}").write.mode("append").parquet(f"{at}/in")
+        live.run_available(w(), f"{at}/out", f"{at}/state")
+    spark.sql("select 'end' as action, timestamp'2100-01-01 00:00:00' as ts").write.mode("append").parquet(f"{at}/in")
+    live.run_available(w(), f"{at}/out", f"{at}/state")
+    return spark.read.parquet(f"{at}/out").where("action <> 'end'").select("action", F.unix_timestamp("start").alias("start_s"), "n")
+
+
+_POISON = "case (conv_id * 31 + turn) % 17 when 0 then 'not json' when 1 then 'empty' when 2 then 'missing role' else '' end"
+
+
+@query(f"select {_POISON} as problem, count(*) as n, sum(case when {_POISON} = '' then length(coalesce(text, '')) else 0 end)::bigint as chars from conversations group by 1")
+def stream_dead_letters(spark, d):
+    """Conversation records of which some are cut, empty or without a role: the bad ones lie in a dead-letter table, the others all come through,
+    and the counters observed on the way are those of the tables."""
+    at = _scratch(spark)
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.expr(_POISON).alias("poison"))
+    j = F.to_json(F.struct("conv_id", "turn", F.when(F.col("poison") != "missing role", F.coalesce("role", F.lit(""))).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    raw = F.when(F.col("poison") == "not json", F.substring(j, 2, 20)).when(F.col("poison") == "empty", " ").otherwise(j)
+    c.select(raw.alias("raw")).write.parquet(f"{at}/in")
+    stream = live.incoming(spark, f"{at}/in", "raw string", 1 << 30)
+    work = lambda df: df.select(F.length("text").cast("long").alias("chars"))
+    live.isolated(stream, "raw", "conv_id bigint, turn bigint, role string not null, text string not null", work, f"{at}/out", f"{at}/state").awaitTermination()
+    read = lambda name, schema: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{at}/out/{name}")
+    good = read("results", "chars long").agg(F.sum("chars").alias("chars"))
+    counts = read("counts", "good long, bad long").agg(F.sum("good").alias("n"))
+    bad = read("dead", "raw string, problem string").groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    return good.join(counts).select(F.lit("").alias("problem"), "n", "chars").unionByName(bad.withColumn("chars", F.lit(0).cast("long")))  # one row each
+
+
+@query(f"select channel, count(*) as n, max(id) as last_id from (select channel, id, row_number() over (partition by channel order by id) as k from {POSTS_SQL} p) x where k <= 150 group by 1")
+def incremental_scan(spark, d):
+    """Three polls of at most 50 new posts a channel, each from where the last one ended."""
+    feed = ChannelFeed(spark, _scratch(spark))
+    for _ in range(3):
+        feed.poll(posts(spark, d).select("channel", "id", "text"))
+    return feed.rows().groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last_id"))
 
 
 @query(f"select action, epoch(time_bucket(interval '1 day', ts, timestamp '1970-01-01 00:00:00'))::bigint as start_s, count(*) as n from {ACTIONS_SQL} a group by 1, 2")
