@@ -4,7 +4,9 @@ A byte goes if a string of LENGTH bytes that covers it also starts in a document
 that no task needs the corpus:
 
 1. Blocks. Documents are written once, in blocks of about BLOCK_BYTES of text, to a table in the shared folder; everything
-   that follows asks and answers by block, so rows grow with blocks, not with documents.
+   that follows asks and answers by block. Buckets lie side by side in parts, some for each shuffle partition. What goes to buckets is packed in
+   tasks: one row for a part and some GATHER bytes of a task, whatever number of blocks and buckets that is; what comes back is one row for a block
+   and a task. So an exchange has as many rows as tasks times partitions, or blocks times partitions, and for given partitions rows grow with the input.
 2. Anchors. In every window of LENGTH bytes the GRAM-byte string with the smallest hash is its anchor; equal windows have
    equal anchors. A block asks each anchor's bucket whether another block holds it too; an anchor of one document rules out
    all windows that it stands for. The answer also says which anchors are *hot* (HOT documents or more).
@@ -26,6 +28,7 @@ judged by its own text. Other columns are not read, but those that carry names a
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,8 @@ from .grouped import consecutive
 LENGTH, GRAM, BATCH = 50, 20, 2_048
 #: Bytes of text in a block, and on average in a bucket's share of the corpus.
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+#: Bytes that a task gathers before it sends them on.
+GATHER = 32 << 20
 #: Documents of an anchor from which on its windows are dealt by their own content.
 HOT = 20_000
 _TABLE = np.random.default_rng(50).integers(0, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,55 +197,106 @@ def _binaries(parts) -> pa.Array:
     return pa.array(list(parts), pa.binary())
 
 
-def _asked(buckets: int, length: int, gram: int):
-    """(bucket, block, codes): the block's anchors of that bucket; the low bits hold the bit length of the number of rows."""
+def _asked(buckets: int, each: int, length: int, gram: int, gather: int):
+    """(part, blocks, counts, codes): anchors of a part's buckets that some blocks of the task have. counts: for each of the blocks, and each of the
+    part's buckets, how many codes are its own; the low bits of a code hold the bit length of the number of rows."""
 
     def run(batches):
         alone()
+        held: dict[int, list[tuple[int, np.ndarray, bytes]]] = defaultdict(list)
+        size = 0
+
+        def table():
+            rows = [(p, [np.array([x[0] for x in held[p]], np.int64).tobytes()], [x[1] for x in held[p]], [x[2] for x in held[p]]) for p in sorted(held)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(_binaries(b"".join(r[k]) for r in rows) for k in (1, 2, 3))], ["part", "blocks", "counts", "codes"])
+
         for b in batches:
             for block, packed in zip(b.column("block").to_pylist(), b.column("packed"), strict=True):
                 _, names, n = _block_anchors(_rows(_unpacked(packed.as_py())), buckets, length, gram)
                 if not len(names):
                     continue
-                where = (names >> np.uint64(40)).astype(np.int32)
+                where = (names >> np.uint64(40)).astype(np.int64)
                 names |= np.minimum(15, np.floor(np.log2(n)) + 1).astype(np.uint64)
-                s, e = runs_of(where)
-                yield pa.RecordBatch.from_arrays([pa.array(where[s]), pa.array(np.full(len(s), block, np.int64)), _binaries(_sent(names[x:y]) for x, y in zip(s, e, strict=True))], ["bucket", "block", "codes"])
+                s, e = runs_of(where // each)
+                for x, y in zip(s.tolist(), e.tolist(), strict=True):
+                    part = int(where[x]) // each
+                    held[part].append((block, np.bincount(where[x:y] - part * each, minlength=each).astype(np.int32).tobytes(), _sent(names[x:y])))
+                size += _BYTES * len(names)
+                if size >= gather:
+                    yield table()
+                    held.clear()
+                    size = 0
+        if held:
+            yield table()
 
     return run
 
 
-def _shared(hot: int):
-    """(bucket, block, codes): what a block did not know of the anchors that it asked about."""
+class _Back:
+    """What goes back to blocks, until it is some MB: one row for each block."""
+
+    def __init__(self, gather: int):
+        self.gather, self.size, self.by = gather, 0, defaultdict(list)
+
+    def add(self, block: int, head: bytes, body: bytes) -> None:
+        self.by[block].append((head, body))
+        self.size += len(head) + len(body)
+
+    def rows(self, names: tuple[str, str], least: bool = True) -> Iterator[pa.RecordBatch]:
+        if self.by and (not least or self.size >= self.gather):
+            blocks = sorted(self.by)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *(_binaries(b"".join(x[k] for x in self.by[b]) for b in blocks) for k in (0, 1))], ["block", *names])
+            self.by.clear()
+            self.size = 0
+
+
+def _shared(each: int, hot: int, gather: int):
+    """(block, buckets, codes): what a block did not know of the anchors that it asked about; buckets has (bucket, number of codes) in order."""
 
     def run(batches):
         alone()
-        for (bucket,), rows in consecutive(batches, ["bucket"]):
-            codes = [_received(x, bucket) for x in rows.column("codes").to_pylist()]
-            who = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-            c = np.concatenate(codes)
-            h, n = c & ~_LOW, (c & _LOW).astype(np.int64)
-            order = np.argsort(h, kind="stable")
-            s, e = runs_of(h[order])
-            docs = np.add.reduceat(np.int64(1) << (n[order] - 1), s)
-            known = np.repeat(np.where(docs >= hot, _HOT, np.where(e - s > 1, _SHARED, np.uint64(0))), e - s)
-            tell = (known == _HOT) | ((known == _SHARED) & (n[order] == 1))
-            told, by = (h[order] | known)[tell], who[order][tell]
-            order = np.argsort(by, kind="stable")
-            told, by = told[order], by[order]
-            s, e = runs_of(by)
-            if len(s):
-                blocks = rows.column("block").to_numpy()[by[s]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), bucket, np.int32)), pa.array(blocks), _binaries(_sent(told[x:y]) for x, y in zip(s, e, strict=True))], ["bucket", "block", "codes"])
+        back = _Back(gather)
+        for (part,), rows in consecutive(batches, ["part"]):
+            asks = []
+            for blocks, counts, codes in zip(*(rows.column(c).to_pylist() for c in ("blocks", "counts", "codes")), strict=True):
+                ends = np.concatenate([[0], np.cumsum(np.frombuffer(counts, np.int32))]) * _BYTES
+                asks += [(block, codes, ends[k * each : (k + 1) * each + 1].tolist()) for k, block in enumerate(np.frombuffer(blocks, np.int64).tolist())]
+            for j in range(each):
+                bucket = part * each + j
+                mine = [(block, _received(codes[at[j] : at[j + 1]], bucket)) for block, codes, at in asks if at[j + 1] > at[j]]
+                if not mine:
+                    continue
+                who = np.repeat(np.arange(len(mine)), [len(c) for _, c in mine])
+                c = np.concatenate([c for _, c in mine])
+                h, n = c & ~_LOW, (c & _LOW).astype(np.int64)
+                order = np.argsort(h, kind="stable")
+                s, e = runs_of(h[order])
+                docs = np.add.reduceat(np.int64(1) << (n[order] - 1), s)
+                known = np.repeat(np.where(docs >= hot, _HOT, np.where(e - s > 1, _SHARED, np.uint64(0))), e - s)
+                tell = (known == _HOT) | ((known == _SHARED) & (n[order] == 1))
+                told, by = (h[order] | known)[tell], who[order][tell]
+                order = np.argsort(by, kind="stable")
+                told, by = told[order], by[order]
+                for x, y in zip(*(v.tolist() for v in runs_of(by)), strict=True):
+                    back.add(mine[by[x]][0], np.array([bucket, y - x], np.int32).tobytes(), _sent(told[x:y]))
+                yield from back.rows(("buckets", "codes"))
+        yield from back.rows(("buckets", "codes"), least=False)
 
     return run
 
 
+def _told(buckets: bytes, codes: bytes) -> Iterator[np.ndarray]:
+    at = 0
+    for bucket, n in np.frombuffer(buckets, np.int32).reshape(-1, 2).tolist():
+        yield _received(codes[at : at + _BYTES * n], bucket)
+        at += _BYTES * n
+
+
 _PIECES = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("head", pa.binary()), ("text", pa.binary())])
 
 
 def _pieces(buckets: int, length: int, gram: int):
-    """(bucket, block, head, text) of a block's pieces to judge; in bucket -1 - x, runs that are covered already. head has
+    """(bucket, block, head, text) of a block's pieces to judge; in bucket -1 - x, runs that are covered already, which pass through bucket x. head has
     columns doc, row, start, size of each place; a negative size is the piece before once more."""
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -249,7 +305,7 @@ def _pieces(buckets: int, length: int, gram: int):
         block = left.column("block")[0].as_py()
         rows = _rows(_unpacked(left.column("packed")[0].as_py()))
         runs, names, n = _block_anchors(rows, buckets, length, gram)
-        told = np.concatenate([np.zeros(0, np.uint64), *map(_received, right.column("codes").to_pylist(), right.column("bucket").to_pylist())])
+        told = np.concatenate([np.zeros(0, np.uint64), *(x for row in zip(right.column("buckets").to_pylist(), right.column("codes").to_pylist(), strict=True) for x in _told(*row))])
         shared = np.union1d(told & ~_LOW, names[n > 1])
         hot = np.sort(told[told & _LOW == _HOT] & ~_LOW)
         by: dict[int, dict[bytes, list]] = defaultdict(dict)
@@ -289,6 +345,27 @@ def _pieces(buckets: int, length: int, gram: int):
     return one
 
 
+def _gathered(each: int, gather: int):
+    """(part, items): the pieces of a task's blocks by part, until they are some MB. items: (bucket, block, head, text) of each block and bucket."""
+    item = pa.struct([("bucket", pa.int32()), ("block", pa.int64()), ("head", pa.binary()), ("text", pa.binary())])
+
+    def run(batches):
+        held: dict[int, list[dict]] = defaultdict(list)
+        size = 0
+        for b in batches:
+            for row in b.to_pylist():
+                held[(row["bucket"] if row["bucket"] >= 0 else -1 - row["bucket"]) // each].append(row)
+                size += len(row["head"]) + len(row["text"])
+            if size >= gather:
+                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.list_(item))], ["part", "items"])
+                held.clear()
+                size = 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.list_(item))], ["part", "items"])
+
+    return run
+
+
 class _Level:
     """A sorted suffix array: positions into the pieces' text, suffixes compared by their first length bytes."""
 
@@ -385,30 +462,36 @@ def _judged(places: dict[bytes, list[tuple[int, int, int, int]]], length: int, b
     return out
 
 
-def _covered(length: int, batch: int):
-    """(block, runs): packed covered runs (row, begin, end) of a block, from the pieces of each bucket."""
+def _covered(length: int, batch: int, gather: int):
+    """(block, places, runs): packed covered runs (row, begin, end) of a block, from the pieces of a task's buckets. places is empty."""
 
     def run(batches):
         alone()
         unzip = zstandard.ZstdDecompressor().decompress
-        for (bucket,), rows in consecutive(batches, ["bucket"]):
-            cols = [rows.column(n).to_pylist() for n in ("block", "head", "text")]
-            if bucket < 0:
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], ["block", "runs"])
-                continue
-            places: dict[bytes, list] = defaultdict(list)
-            for block, head, zipped in zip(*cols, strict=True):
-                text, at, piece = unzip(zipped), 0, b""
-                for doc, row, start, size in zip(*np.frombuffer(unzip(head), np.int64).reshape(4, -1).tolist(), strict=True):
-                    if size > 0:
-                        piece = text[at : at + size]
-                        at += size
-                    places[piece].append((doc, block, row, start))
-            found = np.array(_judged(places, length, batch), np.int64).reshape(-1, 4)
-            found = found[np.argsort(found[:, 0], kind="stable")]
-            s, e = runs_of(found[:, 0])
-            if len(s):
-                yield pa.RecordBatch.from_arrays([pa.array(found[s, 0]), _binaries(found[x:y, 1:].astype(np.int32).tobytes() for x, y in zip(s, e, strict=True))], ["block", "runs"])
+        back = _Back(gather)
+        for _, rows in consecutive(batches, ["part"]):
+            by: dict[int, list[tuple[int, bytes, bytes]]] = defaultdict(list)
+            for items in rows.column("items"):
+                for x in items.as_py():
+                    if x["bucket"] < 0:
+                        back.add(x["block"], b"", x["head"])
+                    else:
+                        by[x["bucket"]].append((x["block"], x["head"], x["text"]))
+            for bucket in sorted(by):
+                places: dict[bytes, list] = defaultdict(list)
+                for block, head, zipped in by.pop(bucket):
+                    text, at, piece = unzip(zipped), 0, b""
+                    for doc, row, start, size in zip(*np.frombuffer(unzip(head), np.int64).reshape(4, -1).tolist(), strict=True):
+                        if size > 0:
+                            piece = text[at : at + size]
+                            at += size
+                        places[piece].append((doc, block, row, start))
+                found = np.array(_judged(places, length, batch), np.int64).reshape(-1, 4)
+                found = found[np.argsort(found[:, 0], kind="stable")]
+                for x, y in zip(*(v.tolist() for v in runs_of(found[:, 0])), strict=True):
+                    back.add(int(found[x, 0]), b"", found[x:y, 1:].astype(np.int32).tobytes())
+                yield from back.rows(("places", "runs"))
+        yield from back.rows(("places", "runs"), least=False)
 
     return run
 
@@ -454,6 +537,21 @@ def _left(as_text: bool):
     return one
 
 
+def exchanges(blocks: DataFrame, total: int, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, hot: int = HOT, bucket_bytes: int = BUCKET_BYTES, gather: int = GATHER) -> dict[str, DataFrame]:
+    """What is shuffled, by name: asked, told, pieces and covered of blocks (block, packed) with total bytes of text."""
+    parts = 2 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = max(1, -(-total // (parts * bucket_bytes)))  # the data decides how many buckets a part has
+    buckets = parts * each
+    by_part = lambda df: df.repartition("part").sortWithinPartitions("part")
+    asked = blocks.mapInArrow(_asked(buckets, each, length, gram, gather), "part int, blocks binary, counts binary, codes binary")
+    told = by_part(asked).mapInArrow(_shared(each, hot, gather), "block long, buckets binary, codes binary")
+    pieces = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_pieces(buckets, length, gram), "bucket int, block long, head binary, text binary")
+    pieces = pieces.mapInArrow(_gathered(each, gather), "part int, items array<struct<bucket:int,block:long,head:binary,text:binary>>")
+    # not cut off here: the blocks' exchange of the first cogroup then serves the second one too
+    covered = by_part(pieces).mapInArrow(_covered(length, batch, gather), "block long, places binary, runs binary").drop("places")
+    return {"asked": asked, "told": told, "pieces": pieces, "covered": covered}
+
+
 def without_repeats(
     spark: SparkSession, docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batch: int = BATCH, hot: int = HOT, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text",
     carry: dict[str, str] | None = None, as_text: bool = False,
@@ -465,14 +563,8 @@ def without_repeats(
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *extra)
     blocks = scratch.save(chosen.mapInArrow(_blocks(block_bytes), "block long, n_bytes long, packed binary"), "blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    # several buckets share a partition; the data decides how many there are beyond that
-    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     blocks = blocks.select("block", "packed")
-    by_bucket = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    told = by_bucket(blocks.mapInArrow(_asked(buckets, length, gram), "bucket int, block long, codes binary")).mapInArrow(_shared(hot), "bucket int, block long, codes binary")
-    pieces = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_pieces(buckets, length, gram), "bucket int, block long, head binary, text binary")
-    # not cut off here: the blocks' exchange of the first cogroup then serves the second one too
-    covered = by_bucket(pieces).mapInArrow(_covered(length, batch), "block long, runs binary")
+    covered = exchanges(blocks, total, length, gram, batch, hot)["covered"]
     more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*extra).schema.fields) if extra else ""
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}{more}"
     return blocks.groupBy("block").cogroup(covered.groupBy("block")).applyInArrow(_left(as_text), schema)

@@ -206,3 +206,24 @@ def test_window_anchors_depend_on_windows_alone():
     b[100:180] = a[37:117]
     x, y = S.window_anchors(a), S.window_anchors(b)
     assert (x[37 : 117 - 49] == y[100 : 180 - 49]).all() and len(x) == 251
+
+
+def test_exchanges_of_repeats_grow_with_the_input(spark):
+    """With small blocks and buckets, so that no minimum hides it: ten times the input gives at most some ten times the rows, in every exchange."""
+    r = random.Random(8)
+    common = ["".join(r.choice("abcdefgh ") for _ in range(120)) for _ in range(20)]
+
+    def rows(n):
+        docs = spark.createDataFrame([(i, r.choice(common) + "".join(r.choice("abcdefgh ") for _ in range(1_500)) + r.choice(common)) for i in range(n)], "doc_id long, text string").repartition(4, "doc_id")
+        blocks = docs.mapInArrow(S._blocks(4_000), "block long, n_bytes long, packed binary").persist()
+        total = sum(x["n_bytes"] for x in blocks.select("n_bytes").collect())
+        found = S.exchanges(blocks.select("block", "packed"), total, bucket_bytes=2_000, gather=1 << 20)
+        counts = {k: v.count() for k, v in found.items()}
+        n_blocks = blocks.count()
+        blocks.unpersist()
+        return n_blocks, counts
+
+    (few, small), (many, large) = rows(60), rows(600)
+    assert many > 8 * few and all(small.values())
+    for name, n in large.items():
+        assert n <= 12 * small[name] and n <= 10 * many, (name, small, large)
