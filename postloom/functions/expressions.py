@@ -186,8 +186,11 @@ def intent(x: str) -> str:
 
 
 def dated(x: str, day: str) -> str:
-    """Relative day words as DD.MM of the day they mean."""
-    t = f"coalesce({x}, '')"
+    """Relative day words as DD.MM of the day they mean; "in N days" with any number of digits whose day lies before the year 10000."""
+    p = rf"(?iu)(?<![{WORD}])через\s+\d+\s+(?:день|дня|дней|day|days)(?![{WORD}])"
+    date = f"if(try_cast(regexp_extract(m, '[0-9]+', 0) as int) <= 2900000, date_format(date_add({day}, cast(regexp_extract(m, '[0-9]+', 0) as int)), 'dd.MM'), m)"
+    found = f"transform(regexp_extract_all(t, {quoted(p)}, 0), m -> if(length(regexp_extract(m, '[0-9]+', 0)) > 7, m, {date}))"
+    t = f"element_at(transform(array(coalesce({x}, '')), t -> array_join(zip_with(split(t, {quoted(p)}), {found}, (a, d) -> concat(a, coalesce(d, ''))), '')), 1)"
     for word, n in V.DAY_COUNTS.items():
         p = rf"(?iu)(?<![{WORD}])через\s+{word}\s+(?:день|дня|дней)(?![{WORD}])"
         t = f"regexp_replace({t}, {quoted(p)}, date_format(date_add({day}, {n}), 'dd.MM'))"

@@ -97,10 +97,21 @@ def kg_orphan_nodes(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("node_id")).join(links(spark, d).select("node_id"), "node_id", "left_anti")
 
 
-@query(f"select a, b, round(case when (a + b) % 3 = 0 then greatest(0.05::double, weight * 0.92::double) else weight end, 6) as weight from {_EDGE} e")
+_SEEN = f"(select x.node_id as a, y.node_id as b, count(*) as mentions, max(o_orderdate) as last_seen from {LINKS_SQL} x join {LINKS_SQL} y on x.event_id = y.event_id and x.node_id < y.node_id join orders on o_orderkey = x.event_id group by 1, 2)"
+
+
+@query(
+    f"select a, b, round(case when datediff('day', last_seen::date, (select max(o_orderdate) from orders)::date) > 45 then greatest(0.05::double, weight * 0.92::double) else weight end, 6) as weight from (select *, least(1.0::double, 0.45::double + 0.04::double * (mentions - 1)) as weight from {_SEEN} s) e"
+)
 def kg_edge_decay(spark, d):
-    """Stale edges lose weight; which are stale is given as a condition (here by node numbers)."""
-    return G.decayed(G.weighted(G.cooccurrence(links(spark, d))), "(a + b) % 3 = 0").select("a", "b", F.round("weight", 6).alias("weight"))
+    """K9: edges that no event of the last 45 days mentions lose weight."""
+    dated = links(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), "o_orderdate"), "event_id")
+    now = dated.sparkSession.read.parquet(f"{d}/orders.parquet").agg(F.max("o_orderdate").alias("now"))  # one row
+    x, y = dated.alias("x"), links(spark, d).alias("y")
+    j = x.join(y, (F.col("x.event_id") == F.col("y.event_id")) & (F.col("x.node_id") < F.col("y.node_id")))
+    e = j.groupBy(F.col("x.node_id").alias("a"), F.col("y.node_id").alias("b")).agg(F.count(F.lit(1)).alias("mentions"), F.max("o_orderdate").alias("last_seen"))
+    e = G.weighted(e).join(F.broadcast(now))
+    return G.decayed(e, "datediff(cast(now as date), cast(last_seen as date)) > 45").select("a", "b", F.round("weight", 6).alias("weight"))
 
 
 _SLUG = r"coalesce(nullif(substr(trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(p_name)), '[\s./+]', '-', 'g'), '[^\p{L}\p{N}_\-]', '', 'g'), '-+', '-', 'g'), '-'), 1, 240), ''), 'node')"

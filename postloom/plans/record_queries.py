@@ -11,6 +11,7 @@ from ..operators import pairs as P
 from ..sources.tables import ACTIONS_SQL, LINKS_SQL, NEWS_SQL, POSTS_SQL, actions, links, news, posts, table
 from . import duck as D
 from .pair_queries import _NEAR, _ST
+from .text_queries import _NORMAL
 
 QUERIES, SQL = {}, {}
 
@@ -71,24 +72,37 @@ def post_analysis(spark, d):
     )
 
 
-_JSON = ['{"title": "A long enough title", "importance_score": 11, "category": "CryptoXYZ", "is_news": true}', 'Sure! {"title": "Other title here", "importance_score": 3.456, "category": "ИИ", "is_news": false} done', "no json", '{"title": "x"}']
+_SAID = "case (conv_id + turn) % 5 when 1 then 'prose' when 2 then 'none' when 3 then 'empty' else 'json' end"
+_CAT = ["CryptoXYZ", "ИИ", "work", "Software", "", "Politics & Society"]
 
 
 @query(
-    "select * from (values (0, 'A long enough title', 10.0::double, 'other', true), (1, 'Other title here', 3.46::double, 'software', false), (2, 'Без заголовка', 0.0::double, 'other', false), (3, 'x', 0.0::double, 'other', false)) v(id, title, score, category, is_news)"
+    f"""select id, case when how in ('none', 'empty') or trim(coalesce(text, '')) = '' then 'Без заголовка' else substr(trim(text, ' '), 1, 512) end as title, case when how in ('none', 'empty') then 0.0::double else round(least(10.0::double, greatest(0.0::double, score)), 2) end as score,
+ case when how in ('none', 'empty') then 'other' else {_NORMAL} end as category, how in ('json', 'prose') and turn % 2 = 0 as is_news from (select conv_id * 1000 + turn as id, turn, text, {_SAID} as how, (conv_id * 7 + turn) % 1300 / 100.0::double - 1 as score, ['{"', '".join(_CAT)}'][(conv_id + turn) % {len(_CAT)} + 1] as s from conversations) x"""
 )
 def analysis_from_json(spark, d):
-    """Records out of model answers: the JSON or the first block of one, clamped and normalised."""
-    j = spark.createDataFrame(list(enumerate(_JSON)), "id int, raw string")
+    """records out of model answers (JSON, JSON within prose, prose alone, nothing), clamped and normalised; the answers are made of conversations."""
+    cat = f"element_at(array({E.word_list(_CAT)}), cast((conv_id + turn) % {len(_CAT)} + 1 as int))"
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text", F.expr(_SAID).alias("how"), F.expr("(conv_id * 7 + turn) % 1300 / 100D - 1").alias("score"), F.expr(cat).alias("cat"))
+    j = F.to_json(F.struct(F.col("text").alias("title"), F.col("score").alias("importance_score"), F.col("cat").alias("category"), (F.col("turn") % 2 == 0).alias("is_news")))
+    raw = F.when(F.col("how") == "prose", F.concat(F.lit("Sure! "), j, F.lit(" done"))).when(F.col("how") == "none", "no json").when(F.col("how") == "empty", "").otherwise(j)
+    j = c.select(F.expr("conv_id * 1000 + turn").alias("id"), raw.alias("raw"))
     j = j.select("id", F.from_json(F.coalesce(F.nullif(F.regexp_extract("raw", r"(?s)\{.*\}", 0), F.lit("")), F.lit("{}")), "title string, importance_score double, category string, is_news boolean").alias("j"))
     title = F.coalesce(F.nullif(F.trim("j.title"), F.lit("")), F.lit("Без заголовка"))
     return j.select("id", F.substring(title, 1, 512).alias("title"), F.round(F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.coalesce("j.importance_score", F.lit(0.0)))), 2).alias("score"), F.expr(E.normal_theme("j.category")).alias("category"), F.coalesce("j.is_news", F.lit(False)).alias("is_news"))
 
 
-@query("select * from (values (0, 'Steam MACHINE лучше PS5 И Xbox'), (1, 'Quiet title stays'), (2, 'NVIDIA')) v(id, title)".replace("MACHINE", "Machine").replace("лучше", "Лучше"))
+_BRAND_OF = "case w " + " ".join(f"when {D.q(k)} then {D.q(v)}" for k, v in V.BRANDS.items()) + r" else case when length(w) <= 2 and regexp_matches(w, '^[^0-9]+$') then upper(w) else concat(upper(left(w, 1)), substr(w, 2)) end end"
+
+
+@query(
+    rf"""select id, case when l > 0 and u >= 0.65::double * l then array_to_string(list_transform(string_split(lower(t), ' '), lambda w: {_BRAND_OF}), ' ') else t end as title from (select id, t, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) as l, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) as u from
+ (select id, trim(case when id % 3 = 0 then upper({D.title_of('t')}) else {D.title_of('t')} end, ' ') as t from (select id, {D.stripped('text')} as t from {POSTS_SQL} p where lang = 'en') x) y) z"""
+)
 def title_case(spark, d):
-    rows = ["STEAM MACHINE лучше PS5 И Xbox", "Quiet title stays", "nvidia".upper()]
-    return spark.createDataFrame(list(enumerate(rows)), "id int, t string").select("id", F.expr(E.title_case("t")).alias("title"))
+    """titles of English posts, every third in capitals: mostly capitals are rewritten, brands and short words as they are known."""
+    t = posts(spark, d).where("lang = 'en'").select("id", F.expr(E.title_of("text")).alias("t"))
+    return t.select("id", F.expr(E.title_case("if(id % 3 = 0, upper(t), t)")).alias("title"))
 
 
 _STG = ", ".join(f"({i}, {D.q(n)}, {sum(w for _, w in V.STAGES[:i])}, {w})" for i, (n, w) in enumerate(V.STAGES[:-1]))
@@ -102,17 +116,27 @@ def stage_progress(spark, d):
     return o.select(F.col("o_orderkey").alias("job_id"), F.expr(E.stage_percent("stage", "o_orderkey % 101", "100")).cast("int").alias("percent"))
 
 
-@query("select c_custkey as user_id, greatest(1, least(5, c_custkey % 9))::int as work, 3 as science, (c_custkey % 4 + 1)::int as gaming from customer")
+@query("select c_custkey as user_id, " + ", ".join(f"case when (c_custkey + {i}) % 3 <> 0 then greatest(1, least(5, (c_custkey * {i + 1}) % 9 - 1)) else 3 end::int as {t}" for i, t in enumerate(V.THEMES)) + " from customer")
 def theme_weights_clean(spark, d):
-    w = "map('work', cast(c_custkey % 9 as int), 'gaming', cast(c_custkey % 4 + 1 as int), 'unknown', 9)"
+    """M7: every theme's weight from 1 to 5; absent ones are 3, unknown ones go."""
+    pairs = ", ".join(f"struct('{t}', if((c_custkey + {i}) % 3 <> 0, cast((c_custkey * {i + 1}) % 9 - 1 as int), null))" for i, t in enumerate(V.THEMES))
+    w = f"map_from_entries(filter(array({pairs}, struct('unknown', 9)), e -> e.col2 is not null))"
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.expr(E.clean_weights(w)).alias("w"))
-    return c.select("user_id", *(F.col(f"w.{k}").alias(k) for k in ("work", "science", "gaming")))
+    return c.select("user_id", *(F.col(f"w.{k}").alias(k) for k in V.THEMES))
+
 
+_OLD_LIST = "list_filter([" + ", ".join(f"case when c_custkey % {k} = 0 then {D.q(t)} end" for k, t in ((2, "AI"), (3, "Software"), (4, "GAMING"), (5, "Наука"), (2, "work"), (7, "Politics & Society"), (3, "business"), (6, "technology"), (6, "tools"), (5, "Nonsense"), (1, "software"))) + "], lambda x: x is not null)"
 
-@query("select * from (values (0, 'software,other,technology'), (1, 'work,technology,tools,gaming,software,business,science,politics,other'), (2, 'work')) v(id, themes)")
+
+@query(
+    f"""select user_id, array_to_string(case when len(raw) = 0 then all_ when len(known) >= 8 then list_concat(known, list_filter(all_, lambda t: not list_contains(known, t))) else known end, ',') as themes from
+ (select user_id, raw, [{D.words_in(V.THEMES)}] as all_, list_filter(named, lambda x, i: list_position(named, x) = i) as known from (select user_id, raw, list_transform(raw, lambda o: (list_transform([trim(o)], lambda s: {_NORMAL}))[1]) as named from (select c_custkey as user_id, case when c_custkey % 11 = 0 then [] else {_OLD_LIST} end as raw from customer) x) y) z"""
+)
 def enabled_themes(spark, d):
-    rows = [(0, ["AI", "Software", "General", "Technology"]), (1, []), (2, ["work", "Work"])]
-    return spark.createDataFrame(rows, "id int, raw array<string>").select("id", F.array_join(F.expr(E.enabled_themes("raw")), ",").alias("themes"))
+    """M8: old lists of enabled themes as the known ones in order; none, or eight and more, means all."""
+    raw = ", ".join(f"if(c_custkey % {k} = 0, {E.quoted(t)}, null)" for k, t in ((2, "AI"), (3, "Software"), (4, "GAMING"), (5, "Наука"), (2, "work"), (7, "Politics & Society"), (3, "business"), (6, "technology"), (6, "tools"), (5, "Nonsense"), (1, "software")))
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.expr(f"if(c_custkey % 11 = 0, cast(array() as array<string>), array_compact(array({raw})))").alias("raw"))
+    return c.select("user_id", F.array_join(F.expr(E.enabled_themes("raw")), ",").alias("themes"))
 
 
 @query(f"select channel, count(*) as n, min(id) as first_id from (select channel, id, row_number() over (partition by channel order by id desc) as k from {POSTS_SQL} p where minute >= 100) x where k <= 800 group by 1")
@@ -170,14 +194,20 @@ def longest_text(spark, d):
     return c.select("conv_id", "turns", F.length("t").cast("long").alias("longest"))
 
 
+_TOK = f"list_filter(regexp_extract_all(lower(coalesce(q, '')), '[{E.WORD}\\-]{{2,}}'), lambda t: t not in ({D.words_in(V.SEARCH_STOP)}) and not regexp_matches(t, '^\\p{{Nd}}+$'))"
+_PAIRS = f"(select x.id as question, y.id as post, x.text as q, coalesce(y.text, '') as e, (y.id % 10) / 10.0::double as sim from {POSTS_SQL} x join {POSTS_SQL} y on y.id > x.id and y.id <= x.id + 5 where x.id % 100 = 0)"
+
+
 @query(
-    "select * from (values (0, true, true), (1, false, true), (2, true, false)) v(id, faithful, relevant)"
+    f"""select question, post, len(list_filter(t, lambda w: length(w) >= 5 and contains(lower(concat(q, ' said')), w) and not contains(lower(e), w))) = 0 as faithful,
+ len(m) = 0 or sim >= 0.45 or len(list_filter(m, lambda w: contains(lower(e), w))) >= case when len(m) <= 2 then 1 else greatest(1, len(m) // 2) end as relevant from (select *, list_filter(list_distinct({_TOK}), lambda w: length(w) >= 3) as m, {_TOK} as t from {_PAIRS} p) x"""
 )
 def answer_gates(spark, d):
-    """Whether answers repeat only what the evidence says, and whether evidence fits the question."""
-    rows = [(0, "What about NVIDIA chips", "NVIDIA chips rise", "nvidia ships new chips"), (1, "Burger prices at NVIDIA", "burger prices fell", "nvidia prices news"), (2, "quantum computing breakthrough announced", "nothing", "weather")]
-    r = spark.createDataFrame(rows, "id int, q string, answer string, evidence string")
-    return r.select("id", F.expr(E.faithful("q", "answer", "evidence")).alias("faithful"), F.expr(E.relevant("q", "evidence", "0.1D")).alias("relevant"))
+    """Whether an answer that repeats a question is covered by each of the next five posts, and whether those fit the question."""
+    p = posts(spark, d).select("id", "text")
+    q = p.where("id % 100 = 0").select(F.col("id").alias("question"), F.col("text").alias("q")).withColumn("post", F.explode(F.sequence(F.col("question") + 1, F.col("question") + 5)))
+    r = q.join(p.select(F.col("id").alias("post"), F.coalesce("text", F.lit("")).alias("e")), "post").withColumn("sim", F.expr("(post % 10) / 10D"))
+    return r.select("question", "post", F.expr(E.faithful("q", "concat(q, ' said')", "lower(e)")).alias("faithful"), F.expr(E.relevant("q", "e", "sim")).alias("relevant"))
 
 
 @query(f"select event_id, c.n as sources from (select event_id, n from (select event_id, count(*) as n from {LINKS_SQL} l group by 1) x where n >= 3) c join {NEWS_SQL} n using (event_id) where status = 'merged'")

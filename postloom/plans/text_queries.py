@@ -145,20 +145,43 @@ def normalized_lines(spark, d):
     return posts(spark, d).select("id", F.expr(E.escaped(E.normal_query("replace(text, '>', '')"))).alias("line"))
 
 
-@query(f"select sum(case when text like '%завтра%' then 1 else 0 end)::bigint as had_tomorrow, sum(case when text like '%через два дня%' then 1 else 0 end)::bigint as had_count, sum(case when text like '%завтра%' then 0 else 0 end)::bigint as left_tomorrow, sum(case when text like '%через два дня%' then 1 else 0 end)::bigint as has_02_02 from {POSTS_SQL} p")
+def _duck_dated(t: str, day: str) -> str:
+    """Numbers of days first: their places are marked twice, because a match consumes its right neighbour."""
+    w, mark = E.WORD, "chr(57344)"
+    num = D.q(rf"(?i)(^|[^{w}])через\s+(\d+)\s+(?:день|дня|дней|day|days)($|[^{w}])")
+    once = lambda x: f"regexp_replace({x}, {num}, concat('\\1', {mark}, '\\2', {mark}, '\\3'), 'g')"
+    label = lambda n: f"strftime({day} + {n} * interval 1 day, '%d.%m')"
+    # numbers beyond the calendar stay as they are
+    part = f"case when i % 2 = 1 then x when length(x) > 7 or x::bigint > 2900000 then concat('через ', x, ' дней') else {label('x::bigint')} end"
+    out = f"array_to_string(list_transform(string_split({once(once(t))}, {mark}), lambda x, i: {part}), '')"
+    words = [(rf"через\s+{k}\s+(?:день|дня|дней)", n) for k, n in V.DAY_COUNTS.items()] + [(p.replace(r"\b", ""), n) for p, n in V.DAY_WORDS]
+    for pattern, n in words:
+        for _ in range(2):
+            out = f"regexp_replace({out}, {D.q(rf'(?i)(^|[^{w}]){pattern}($|[^{w}])')}, concat('\\1', {label(n)}, '\\2'), 'g')"
+    return out
+
+
+@query(f"select id, sha256({_duck_dated('text', 'day')}) as text_sha256 from (select id, text, date '2024-01-01' + (id % 300)::int as day from {POSTS_SQL} p) x")
 def relative_dates(spark, d):
-    """Day words and counts of days become dates."""
-    p = posts(spark, d).select("text", F.expr(E.dated("text", "date'2024-01-31'")).alias("t"))
-    return p.agg(
-        F.count_if(F.col("text").contains("завтра")).alias("had_tomorrow"), F.count_if(F.col("text").contains("через два дня")).alias("had_count"),
-        F.count_if(F.col("t").contains("завтра")).alias("left_tomorrow"), F.count_if(F.col("t").contains("02.02")).alias("has_02_02"),
-    )
+    """Day words, counts of days and numbers of days become dates, by each post's own day."""
+    p = posts(spark, d).select("id", "text", F.expr("date_add(date'2024-01-01', cast(id % 300 as int))").alias("day"))
+    return p.select("id", F.sha2(F.expr(E.dated("text", "day")), 256).alias("text_sha256"))
+
+
+def _duck_mentions(t: str) -> str:
+    w, sp = E.WORD, r"[ \t\n\x0B\f\r]"
+    for pattern, to in (
+        (rf"(?i)[,;:\-—–]?{sp}*(?:эксклюзив|источник(?:и)?|переда[юя]т{sp}+источники|via|source(?:s)?){sp}*@[{w}]{{2,64}}", ""),
+        (rf"(^|[^{w}])@[{w}]{{2,64}}", r"\1"), (r"[ \t]{2,}", " "), (rf"^{sp}+|[ \t\n\x0B\f\r,;:\-—–]+$", ""), (rf"\({sp}*\)", ""), (rf"{sp}{{2,}}", " "), (rf"^{sp}+|{sp}+$", ""),
+    ):
+        t = f"regexp_replace({t}, {D.q(pattern)}, '{to}', 'g')"
+    return t
 
 
-@query(f"select count(*) as n, sum(case when text like '%@trendsetter%' then 1 else 0 end)::bigint as mentioned, 0::bigint as left_over from {POSTS_SQL} p")
+@query(f"select id, sha256({_duck_mentions('text')}) as text_sha256 from {POSTS_SQL} p")
 def mentions_removed(spark, d):
-    p = posts(spark, d).select("text", F.expr(E.without_mentions("text")).alias("t"))
-    return p.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("text").contains("@trendsetter")).alias("mentioned"), F.count_if(F.col("t").contains("@trendsetter")).alias("left_over"))
+    """whole texts without mentions and what they leave behind."""
+    return posts(spark, d).select("id", F.sha2(F.expr(E.without_mentions("text")), 256).alias("text_sha256"))
 
 
 _BRAND = V.TOPIC_ENTITIES.replace(r"\b(", f"(?i)(?:^|[^{E.WORD}])(", 1)[:-2] + f"(?:[^{E.WORD}]|$)"

@@ -14,6 +14,7 @@ from ..sources.tables import ACTIONS_SQL, LINKS_SQL, NEWS_SQL, POSTS_SQL, action
 from ..sources.incremental import ChannelFeed
 from ..streaming import live
 from . import duck as D
+from .graph_queries import _RAW, _slugged
 
 QUERIES, SQL = {}, {}
 
@@ -148,10 +149,16 @@ def timeline_last_n(spark, d):
     return c.select("conv_id", "turn", "role", F.col("k").cast("long").alias("k"))
 
 
-@query("select o_orderkey as job_id, round(case o_orderstatus when 'O' then 5 + 95 * 0.0 when 'F' then 100 else 20 + 60 * (o_orderkey % 101) / 101.0::double end, 4) as percent from orders")
+@query(
+    "select o_orderkey as job_id, case when o_orderstatus = 'F' then 100 when total = 0 then 0 else greatest(0, least(99, 100 * done // greatest(1, total)))::int end as percent from (select o_orderkey, o_orderstatus, count(l_orderkey) as total, count(case when l_linestatus = 'F' then 1 end) as done from orders left join lineitem on l_orderkey = o_orderkey group by 1, 2) x"
+)
 def backfill_progress(spark, d):
-    p = "case o_orderstatus when 'O' then 5D when 'F' then 100D else 20D + 60D * (o_orderkey % 101) / 101.0D end"
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.round(F.expr(p), 4).alias("percent"))
+    """Jobs (orders) by their finished tasks (lines): 100 only when done."""
+    tasks = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("l_linestatus") == "F").alias("done"))
+    j = table(spark, d, "orders").select("o_orderkey", "o_orderstatus").join(tasks, "o_orderkey", "left")
+    total, done = F.coalesce("total", F.lit(0)), F.coalesce("done", F.lit(0))
+    part = F.greatest(F.lit(0), F.least(F.lit(99), F.floor(100 * done / F.greatest(F.lit(1), total))))
+    return j.select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "F", 100).when(total == 0, 0).otherwise(part).cast("int").alias("percent"))
 
 
 @query("select n_name as channel, count(c_custkey) as users from nation left join customer on c_nationkey = n_nationkey and c_acctbal > 9000 group by 1")
@@ -161,9 +168,11 @@ def users_per_channel(spark, d):
     return n.join(c, n["n_nationkey"] == c["c_nationkey"], "left").groupBy(F.col("n_name").alias("channel")).agg(F.count("c_custkey").alias("users"))
 
 
-@query(f"select slug, n from (select lower(p_brand) as slug, count(*) as n from part group by 1) x where n > 1")
+@query(f"select slug, count(*) as n from (select distinct raw, {_slugged('raw')} as slug from {_RAW} r) x group by 1 having count(*) > 1")
 def duplicate_slugs(spark, d):
-    return table(spark, d, "part").groupBy(F.lower("p_brand").alias("slug")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    """Slugs that several names of posts share."""
+    names = posts(spark, d).select(F.explode(F.expr(E.light_entities("text"))).alias("raw")).where("length(trim(raw)) >= 2 and regexp_like(raw, '[A-Za-zА-Яа-я]')").distinct()
+    return names.groupBy(F.expr(E.slug("raw")).alias("slug")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 @query(f"select event_id from {NEWS_SQL} n where event_id not in (select l_orderkey from lineitem group by 1 having bool_and(l_returnflag = 'R'))")

@@ -11,6 +11,7 @@ ADDED = {
     7: " заработок без вложений", 8: " казино онлайн", 9: " https://t.me/+abc", 14: " Apple представила iPhone 18 Pro и MacBook", 15: " OpenAI and Microsoft breaking release of ChatGPT",
     16: " Steam Machine and Xbox gaming", 17: " президент и санкции, Кремль", 18: " вакансии и зарплата, hiring", 19: " NASA телескоп, research", 20: " bitcoin и инвестиции, IPO", 21: " чипы, ransomware, NVIDIA GPU",
     22: " see @TechNews and https://t.me/s/openai, telegram.me/Reuters", 23: " завтра анонс, через два дня релиз, today and tomorrow", 24: " order now: giveaway", 25: " ИИ и нейросеть, эксклюзив @trendsetter", 26: " Почему Apple судится с OpenAI",
+    30: " через 12 дней, через 3 дня и ЧЕРЕЗ 400 days, через 99999999999 дней", 31: ", source @some_handle (@other) via @third and x@y.z @ab",
 }
 #: Short posts of their own, beside the document of that doc_id % 40.
 SHORT = {10: "http://a.b http://c.d http://e.f http://g.h", 11: "   ", 12: "!!! 123", 13: "1234567890 1234567890 1234567890 ab", 27: "MAX удалили из Google Play", 28: "Приложение MAX удалили из Google Play", 29: "MAX исчез из магазина Google Play"}
