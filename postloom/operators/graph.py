@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import expressions as E
 from ..functions import vocab as V
 from .upkeep import ordered_union
@@ -154,3 +155,47 @@ def shared_gate(pairs: DataFrame, links: DataFrame) -> DataFrame:
     both = pairs.join(x, "a").join(y, ["b", "node_id"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     p = pairs.join(both, ["a", "b"], "left").join(n.select(F.col("event_id").alias("a"), F.col("n").alias("na")), "a", "left").join(n.select(F.col("event_id").alias("b"), F.col("n").alias("nb")), "b", "left")
     return p.select("a", "b", F.coalesce("shared", F.lit(0)).cast("long").alias("shared"), (F.col("shared").isNotNull() | F.col("na").isNull() | F.col("nb").isNull()).alias("ok"))
+
+
+def expanded_hops(seeds: DataFrame, edges: DataFrame, mentions: DataFrame, strong: float, hops: int, most: int) -> DataFrame:
+    """(node_id, distance, place): seeds (node_id) at 0, and behind them the nodes that strong edges (a, b, weight) reach in up to hops steps; of each step's
+    new nodes the most mentioned are kept and followed, most of them at most, ties by id. In order of distance, then mentions (node_id, mentions). Each step joins
+    the edges with one frontier of at most most nodes; its result is cut off in the shared folder."""
+    e = edges.where(F.col("weight") >= strong)
+    both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(e.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    found = cut(seeds.select("node_id").distinct().join(mentions, "node_id", "left").select("node_id", F.lit(0).alias("distance"), F.coalesce("mentions", F.lit(0)).cast("long").alias("mentions")))
+    frontier = found
+    for step in range(1, hops + 1):
+        near = both.join(frontier.select(F.col("node_id").alias("x")), "x").select(F.col("y").alias("node_id")).distinct().join(found, "node_id", "left_anti")
+        near = near.join(mentions, "node_id", "left").select("node_id", F.lit(step).alias("distance"), F.coalesce("mentions", F.lit(0)).cast("long").alias("mentions"))
+        frontier = cut(near.orderBy(F.desc("mentions"), "node_id").limit(most))
+        found = found.unionAll(frontier)
+        if frontier.isEmpty():
+            break
+    # seeds and hops * most nodes
+    return found.withColumn("place", F.row_number().over(Window.orderBy("distance", F.desc("mentions"), "node_id"))).select("node_id", "distance", "place")
+
+
+def maintained(nodes: DataFrame, edges: DataFrame, links: DataFrame, stale: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, links, report) of a repair: stale edges decay, edges from a node to itself go, nodes of one slug become the one of the smallest id with all
+    mentions, and topics of at most one mention without links go with their edges. nodes: (node_id, slug, node_type, mentions); edges: (a, b, weight, ...); links:
+    (event_id, node_id). Doubles that arise keep the larger weight. report is one row of counts."""
+    keep = nodes.groupBy("slug").agg(F.min("node_id").alias("keep"), F.sum("mentions").alias("all"), F.count(F.lit(1)).alias("n"))
+    to = cut(nodes.join(keep, "slug").select("node_id", "keep"))
+    e = decayed(edges.where("a <> b"), stale)
+    e = e.join(to.select(F.col("node_id").alias("a"), F.col("keep").alias("ka")), "a").join(to.select(F.col("node_id").alias("b"), F.col("keep").alias("kb")), "b")
+    e = e.where("ka <> kb").groupBy(F.col("ka").alias("a"), F.col("kb").alias("b")).agg(F.max("weight").alias("weight"))
+    new_links = links.join(to, "node_id").select("event_id", F.col("keep").alias("node_id")).distinct()
+    whole = nodes.join(keep.select("slug", F.col("keep").alias("node_id"), "all"), ["slug", "node_id"]).select("node_id", "slug", "node_type", F.col("all").alias("mentions"))
+    orphans = cut(whole.where("node_type = 'Topic' and mentions <= 1").join(new_links.select("node_id"), "node_id", "left_anti").select("node_id"))
+    new_nodes = whole.join(orphans, "node_id", "left_anti")
+    new_edges = e.join(orphans.select(F.col("node_id").alias("a")), "a", "left_anti").join(orphans.select(F.col("node_id").alias("b")), "b", "left_anti")
+    n = F.count(F.lit(1))
+    counts = [
+        nodes.agg(n.alias("old_nodes")), edges.agg(n.alias("old_edges"), F.count_if(F.expr(stale)).alias("decayed"), F.count_if(F.col("a") == F.col("b")).alias("self_edges")),
+        keep.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("merged_duplicates")), orphans.agg(n.alias("deleted")), new_nodes.agg(n.alias("new_nodes")), new_edges.agg(n.alias("new_edges")), new_links.agg(n.alias("new_links")),
+    ]
+    report = counts[0]
+    for c in counts[1:]:  # one row each
+        report = report.join(F.broadcast(c))
+    return new_nodes, new_edges, new_links, report

@@ -16,6 +16,29 @@ def user_states(actions: DataFrame) -> DataFrame:
     )
 
 
+def ordered_states(actions: DataFrame) -> DataFrame:
+    """One row per user and event from a log of actions (user_id, news_id, action, ts, action_id) in which order counts: reading, liking and disliking make an event read,
+    removal from the history undoes that; a dislike hides the event and takes the like back, a like shows it again; each favourite turns it.
+    The personal score gains 1.5 by a like that is none yet and loses 2 by each dislike. Reading an event that was never shown counts as shown once. visible: neither read,
+    hidden nor disliked. Last values are aggregated before the shuffle; only likes and dislikes are looked at in order."""
+    order = F.struct("ts", "action_id")
+    is_ = lambda *a: F.col("action").isin(*a)
+    last = lambda flag, *of: F.coalesce(F.max_by(F.when(is_(*of), flag), F.when(is_(*of), order)), F.lit(False))
+    first = lambda *of: F.min(F.when(is_(*of), order))
+    s = actions.groupBy("user_id", "news_id").agg(
+        last(is_("read", "like", "dislike"), "read", "like", "dislike", "remove").alias("is_read"), last(is_("like"), "like", "dislike").alias("liked"), last(is_("dislike"), "like", "dislike").alias("hidden"),
+        (F.count_if(is_("favorite")) % 2 == 1).alias("favorite"), F.count_if(is_("shown")).alias("shown"), first("read", "dislike").alias("opened"), first("shown").alias("seen"), F.count_if(is_("dislike")).alias("dislikes"),
+    )
+    w = Window.partitionBy("user_id", "news_id").orderBy("ts", "action_id")
+    likes = actions.where(is_("like", "dislike")).withColumn("before", F.lag("action").over(w)).where((F.col("action") == "like") & (F.coalesce("before", F.lit("")) != "like"))
+    s = s.join(likes.groupBy("user_id", "news_id").agg(F.count(F.lit(1)).alias("likes")), ["user_id", "news_id"], "left")
+    unseen = F.col("opened").isNotNull() & (F.col("seen").isNull() | (F.col("opened") < F.col("seen")))
+    return s.select(
+        "user_id", "news_id", "is_read", "liked", "hidden", "favorite", (F.col("shown") + F.when(unseen, 1).otherwise(0)).alias("shown_count"), (1.5 * F.coalesce("likes", F.lit(0)) - 2.0 * F.col("dislikes")).alias("personal"),
+        (~F.col("is_read") & ~F.col("hidden")).alias("visible"),
+    )
+
+
 def feed(news: DataFrame, states: DataFrame, subscriptions: DataFrame, page: int, floor: float) -> DataFrame:
     """(user_id, news_id, score, place): each user's page of visible events of subscribed channels, by importance and
     personal score. Subscriptions: (user_id, channel_id)."""
@@ -74,6 +97,31 @@ def recommended(news: DataFrame, links: DataFrame, states: DataFrame, top_nodes:
     return c.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).select("user_id", "event_id", F.round("importance", 6).alias("importance"))
 
 
+def recommended_wide(news: DataFrame, links: DataFrame, states: DataFrame, users: DataFrame, last: int = 40, nodes: int = 12, extra: int = 16, top: int = 5, pool: int = 200) -> DataFrame:
+    """(user_id, event_id, importance, via): for each user the top active events, not yet seen or disliked, that mention one of the nodes (by mentions) of the last
+    events that they liked, kept or read, or one of extra neighbours of those over strong edges. Users who get none, new ones too, have the first of the pool most
+    important events that they have not read or disliked. Ranks are limited before the shuffle."""
+    from .graph import cooccurrence, weighted
+
+    rank = lambda df, n, *order: df.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))).where(F.col("k") <= n).drop("k")
+    mentions = links.groupBy("node_id").agg(F.count(F.lit(1)).alias("m"))
+    lately = rank(states.where("liked or favorite or is_read"), last, F.desc("last_ts"), "news_id").select("user_id", F.col("news_id").alias("event_id"))
+    liked = rank(lately.join(links, "event_id").select("user_id", "node_id").distinct().join(mentions, "node_id"), nodes, F.desc("m"), "node_id").select("user_id", "node_id")
+    strong = weighted(cooccurrence(links)).where("weight >= 0.3")
+    both = strong.select(F.col("a").alias("node_id"), F.col("b").alias("to")).unionAll(strong.select(F.col("b").alias("node_id"), F.col("a").alias("to")))
+    around = liked.join(both, "node_id").select("user_id", F.col("to").alias("node_id")).distinct().join(liked, ["user_id", "node_id"], "left_anti")
+    near = liked.unionAll(rank(around.join(mentions, "node_id"), extra, F.desc("m"), "node_id").select("user_id", "node_id"))
+    seen = states.where("shown_count > 0 or disliked").select("user_id", F.col("news_id").alias("event_id"))
+    active = news.where("status = 'active'").select("event_id", "importance")
+    c = near.join(links, "node_id").select("user_id", "event_id").distinct().join(seen, ["user_id", "event_id"], "left_anti").join(active, "event_id")
+    found = rank(c, top, F.desc("importance"), "event_id").select("user_id", "event_id", "importance", F.lit("graph").alias("via"))
+    best = active.orderBy(F.desc("importance"), "event_id").limit(pool)  # pool rows for every user without finds
+    read = states.where("is_read or disliked").select("user_id", F.col("news_id").alias("event_id"))
+    rest = users.join(found.select("user_id").distinct(), "user_id", "left_anti").join(F.broadcast(best)).join(read, ["user_id", "event_id"], "left_anti")
+    feed_ = rank(rest, top, F.desc("importance"), "event_id").select("user_id", "event_id", "importance", F.lit("feed").alias("via"))
+    return found.unionAll(feed_).withColumn("importance", F.round("importance", 6))
+
+
 def collapsed(lists: DataFrame, near: DataFrame) -> DataFrame:
     """(list_id, place, id) of ranked lists without near-duplicates: the first of a story stays at its place, but a later one with
     more sources takes that place over. lists: (list_id, place, id, sources), each a page that its query has cut to a fixed

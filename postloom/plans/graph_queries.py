@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_folder
 from ..functions import expressions as E
 from ..functions import vocab as V
 from ..operators import graph as G
+from ..sources.snapshots import Snapshots
 from ..sources.tables import LINKS_SQL, POSTS_SQL, links, posts, table
 from . import duck as D
 from . import record_queries
@@ -228,3 +232,73 @@ def entity_gate(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     pairs = table(spark, d, "orders").select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b")).where("b is not null")
     return G.shared_gate(pairs, _stored(spark, d).select("event_id", (F.col("node_id") % 50).alias("node_id")).distinct())
+
+
+def graph_stages(spark, posts_):
+    """Stages of a full rebuild of the graph from posts: seed nodes and edges, nodes of every post, edges, and their links."""
+
+    def seed(_):
+        return {"seeds": G.alias_table(spark).select(F.expr(E.slug("name")).alias("slug"), "name", "node_type").distinct(), "seed_edges": spark.createDataFrame(V.SEED_EDGES, "a string, b string, edge_type string")}
+
+    def relink(_):
+        return {"links": G.event_nodes(spark, posts_)}
+
+    def nodes(read):
+        return {"nodes": G.node_table(read("links"))}
+
+    def edges(read):
+        return {"edges": G.weighted(G.ingested_edges(spark, read("links")))}
+
+    return [("seed", seed), ("relink", relink), ("nodes", nodes), ("edges", edges)]
+
+
+@query(f"select 'nodes' as kind, count(*) as n, sum(mentions)::bigint as mentions from ({SQL['kg_nodes']}) x union all select 'edges', count(*), sum(mentions)::bigint from ({SQL['kg_ingested_edges']}) y")
+def kg_rebuilt(spark, d):
+    """The graph rebuilt in stages, stopped before its last one and resumed; as large as what is derived in one go."""
+    store = Snapshots(spark, f"{shared_folder(spark).rstrip('/')}/graph-{uuid.uuid4().hex}")
+    stages = graph_stages(spark, posts(spark, d))
+    store.rebuild(stages, stop=lambda name: name == "edges")
+    store.rebuild(stages)
+    n, m = F.count(F.lit(1)).alias("n"), F.sum("mentions").alias("mentions")
+    return store.read("nodes").agg(n, m).select(F.lit("nodes").alias("kind"), "n", "mentions").unionAll(store.read("edges").agg(n, m).select(F.lit("edges").alias("kind"), "n", "mentions"))
+
+
+_STEP = lambda k: f"""n{k} as (select y as node_id, {k} as distance, coalesce(m, 0) as m from (select distinct y from e join n{k - 1} on n{k - 1}.node_id = x where y not in (select node_id from n0{''.join(f' union all select node_id from n{i}' for i in range(1, k))})) z left join m on m.node_id = y order by m desc, node_id limit 12)"""
+
+
+@query(
+    f"""with w as (select a, b from {_EDGE} x where weight >= 0.49), e as materialized (select a as x, b as y from w union all select b, a from w), m as (select node_id, count(*) as m from {LINKS_SQL} l group by 1),
+ n0 as (select p_partkey as node_id, 0 as distance, coalesce(m, 0) as m from part left join m on m.node_id = p_partkey where p_brand = 'Brand#11' and p_size > 40), {_STEP(1)}, {_STEP(2)}, {_STEP(3)}
+ select node_id, distance, row_number() over (order by distance, m desc, node_id) as place from (select * from n0 union all select * from n1 union all select * from n2 union all select * from n3) u"""
+)
+def kg_expand_hops(spark, d):
+    """K8: three steps over edges of two and more mentions, the 12 most mentioned new nodes of each."""
+    seeds = table(spark, d, "part").where("p_brand = 'Brand#11' and p_size > 40").select(F.col("p_partkey").alias("node_id"))
+    mentions = links(spark, d).groupBy("node_id").agg(F.count(F.lit(1)).alias("mentions"))
+    return G.expanded_hops(seeds, G.weighted(G.cooccurrence(links(spark, d))), mentions, 0.49, 3, 12).withColumn("place", F.col("place").cast("long"))
+
+
+_R_NODES = "(select p_partkey as node_id, lower(concat(p_brand, '-', p_partkey % 700)) as slug, case when p_size > 25 then 'Topic' else 'Product' end as node_type, coalesce(m, 0) as mentions from part left join (select l_partkey, count(*) as m from lineitem where l_linenumber = 1 and l_partkey % 3 = 0 group by 1) x on l_partkey = p_partkey)"
+_R_LINKS = "(select distinct l_orderkey as event_id, l_partkey as node_id from lineitem where l_linenumber = 1 and l_partkey % 3 = 0)"
+_R_EDGES = "(select l_partkey as a, case when l_suppkey % 40 = 0 then l_partkey else (l_partkey + l_suppkey) % (select count(*) from part) + 1 end as b, least(1.0::double, max(l_quantity) / 50.0::double) as weight, max(l_shipdate) as seen from lineitem group by 1, 2)"
+
+
+@query(
+    f"""with n as materialized (select * from {_R_NODES} x), e as materialized (select *, datediff('day', seen::date, (select max(l_shipdate) from lineitem)::date) > 45 as stale from {_R_EDGES} x), k as (select slug, min(node_id) as keep, sum(mentions) as m, count(*) as c from n group by 1),
+ t as (select node_id, keep from n join k using (slug)), ne as (select x.keep as a, y.keep as b, max(case when stale then greatest(0.05::double, weight * 0.92::double) else weight end) as weight from e join t x on x.node_id = a join t y on y.node_id = b where a <> b and x.keep <> y.keep group by 1, 2),
+ nl as (select distinct event_id, keep as node_id from {_R_LINKS} l join t using (node_id)), o as (select keep as node_id from k join n on n.node_id = keep where node_type = 'Topic' and m <= 1 and keep not in (select node_id from nl))
+ select (select count(*) from n) as old_nodes, (select count(*) from e) as old_edges, (select count(*) from e where stale) as decayed, (select count(*) from e where a = b) as self_edges, (select sum(c - 1) from k)::bigint as merged_duplicates, (select count(*) from o) as deleted,
+ (select count(*) from k) - (select count(*) from o) as new_nodes, (select count(*) from ne where a not in (select node_id from o) and b not in (select node_id from o)) as new_edges, (select count(*) from nl) as new_links, (select round(sum(weight), 4) from ne where a not in (select node_id from o) and b not in (select node_id from o)) as weight"""
+)
+def kg_repair_report(spark, d):
+    """Decay, self-edges, double slugs and orphan topics in one repair, with its report and the weight that is left."""
+    li, part = table(spark, d, "lineitem"), table(spark, d, "part")
+    first = li.where("l_linenumber = 1 and l_partkey % 3 = 0")
+    m = first.groupBy(F.col("l_partkey").alias("node_id")).agg(F.count(F.lit(1)).alias("m"))
+    nodes = part.select(F.col("p_partkey").alias("node_id"), F.lower(F.concat("p_brand", F.lit("-"), (F.col("p_partkey") % 700).cast("string"))).alias("slug"), F.when(F.col("p_size") > 25, "Topic").otherwise("Product").alias("node_type"))
+    nodes = nodes.join(m, "node_id", "left").select("node_id", "slug", "node_type", F.coalesce("m", F.lit(0)).alias("mentions"))
+    one = part.agg(F.count(F.lit(1)).alias("parts")).join(li.agg(F.max("l_shipdate").alias("now")))  # one row
+    edges = li.join(F.broadcast(one)).groupBy(F.col("l_partkey").alias("a"), F.expr("if(l_suppkey % 40 = 0, l_partkey, (l_partkey + l_suppkey) % parts + 1)").alias("b"), "now")
+    edges = edges.agg(F.least(F.lit(1.0), F.max(F.col("l_quantity").cast("double")) / 50.0).alias("weight"), F.max("l_shipdate").alias("seen"))
+    _, e, _, report = G.maintained(nodes, edges, first.select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("node_id")).distinct(), "datediff(cast(now as date), cast(seen as date)) > 45")
+    return report.join(F.broadcast(e.agg(F.round(F.sum("weight"), 4).alias("weight"))))

@@ -145,3 +145,40 @@ def trend_growth_24h(spark, d):
 )
 def recommend_for_user(spark, d):
     return R.recommended(news(spark, d), links(spark, d), R.user_states(actions(spark, d)), 12, 5)
+
+
+_LOG = f"(select user_id, news_id, case when action = 'shown' and action_id % 5 = 0 then 'remove' else action end as action, ts, action_id from {ACTIONS_SQL} a)"
+
+
+@query(
+    f"""with l as materialized (select *, row_number() over (order by ts, action_id) as o from {_LOG} x), k as (select *, lag(action) over (partition by user_id, news_id order by o) as before from l where action in ('like', 'dislike')),
+ s as (select user_id, news_id, arg_max(action <> 'remove', o) filter (action in ('read', 'like', 'dislike', 'remove')) as is_read, arg_max(action = 'like', o) filter (action in ('like', 'dislike')) as liked, arg_max(action = 'dislike', o) filter (action in ('like', 'dislike')) as hidden,
+  count_if(action = 'favorite') % 2 = 1 as favorite, count_if(action = 'shown') as shown, min(o) filter (action in ('read', 'dislike')) as opened, min(o) filter (action = 'shown') as seen, count_if(action = 'dislike') as dislikes from l group by 1, 2),
+ p as (select user_id, news_id, count(*) as likes from k where action = 'like' and coalesce(before, '') <> 'like' group by 1, 2)
+ select user_id, news_id, coalesce(is_read, false) as is_read, coalesce(liked, false) as liked, coalesce(hidden, false) as hidden, favorite, (shown + case when opened is not null and (seen is null or opened < seen) then 1 else 0 end)::bigint as shown_count,
+ 1.5::double * coalesce(likes, 0) - 2.0::double * dislikes as personal, not coalesce(is_read, false) and not coalesce(hidden, false) as visible from s left join p using (user_id, news_id)"""
+)
+def user_states_ordered(spark, d):
+    """States in which order counts: hiding, removal from the history, likes taken back."""
+    a = actions(spark, d).withColumn("action", F.expr("if(action = 'shown' and action_id % 5 = 0, 'remove', action)"))
+    return R.ordered_states(a)
+
+
+@query(
+    f"""with st as {_STATES}, lately as (select user_id, news_id from st where liked or favorite or is_read qualify row_number() over (partition by user_id order by last_ts desc, news_id) <= 40), m as (select node_id, count(*) as m from {LINKS_SQL} l group by 1),
+ liked as (select user_id, node_id from (select distinct user_id, node_id from lately join {LINKS_SQL} l on l.event_id = news_id) x join m using (node_id) qualify row_number() over (partition by user_id order by m desc, node_id) <= 12),
+ w as materialized (select x.node_id as a, y.node_id as b, least(1.0::double, 0.45::double + 0.04::double * (count(*) - 1)) as weight from {LINKS_SQL} x join {LINKS_SQL} y on x.event_id = y.event_id and x.node_id <> y.node_id group by 1, 2),
+ around as (select user_id, b as node_id from (select distinct user_id, w.b from liked join w on w.a = node_id where weight >= 0.3) x where not exists (select 1 from liked z where z.user_id = x.user_id and z.node_id = x.b)),
+ near as (select user_id, node_id from liked union all select user_id, node_id from around join m using (node_id) qualify row_number() over (partition by user_id order by m desc, node_id) <= 16),
+ c as (select distinct user_id, event_id from (select user_id, node_id from near) x join {LINKS_SQL} l using (node_id)),
+ g as (select c.user_id, c.event_id, n.importance from c join {NEWS_SQL} n using (event_id) left join st on st.user_id = c.user_id and st.news_id = c.event_id where n.status = 'active' and not coalesce(st.shown_count > 0 or st.disliked, false)),
+ top as (select user_id, event_id, importance, 'graph' as via from g qualify row_number() over (partition by user_id order by importance desc, event_id) <= 5),
+ users as (select distinct user_id from {ACTIONS_SQL} a union select max(user_id) + 1 from {ACTIONS_SQL} a), best as (select event_id, importance from {NEWS_SQL} n where status = 'active' order by importance desc, event_id limit 200),
+ feed as (select u.user_id, b.event_id, b.importance, 'feed' as via from users u join best b on u.user_id not in (select user_id from top) left join st on st.user_id = u.user_id and st.news_id = b.event_id where not coalesce(st.is_read or st.disliked, false) qualify row_number() over (partition by u.user_id order by importance desc, b.event_id) <= 5)
+ select user_id, event_id, round(importance, 6) as importance, via from top union all select user_id, event_id, round(importance, 6), via from feed"""
+)
+def recommend_expanded(spark, d):
+    """Events by the nodes of the last 40 that a user liked, kept or read, and 16 strong neighbours; without any, the most important of the feed."""
+    a = actions(spark, d)
+    users = a.select("user_id").distinct().unionAll(a.agg((F.max("user_id") + 1).alias("user_id")))
+    return R.recommended_wide(news(spark, d), links(spark, d), R.user_states(a), users)
