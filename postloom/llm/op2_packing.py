@@ -100,8 +100,9 @@ class WordIds:
         cut = []
         for t in texts:
             raw = t.encode("utf-8", "replace")
-            # the tokenizer lowers letters itself; a special token's string is left as it is
-            cut.append((raw if b"<|" in raw else raw.lower()).split())
+            # the tokenizer lowers letters itself; a special token's string is left as it is, and so is a text with a dot above (U+0307),
+            # which composes with a capital I but not with a small one
+            cut.append((raw if b"<|" in raw or b"\xcc\x87" in raw else raw.lower()).split())
         wanted = set().union(*cut).difference(self.of)
         if wanted:
             self.learn(wanted)

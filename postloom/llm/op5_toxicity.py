@@ -2,11 +2,12 @@
 
 1. A character trigram model is counted over all documents (pre-aggregated per task, then summed). Its letters are a-z, with
    the accented letters of Latin-1 counted as their base letter, and one sign for anything else.
-2. Spans that the channel can have made - words with leet signs anywhere, letters repeated three times or more or two
-   letters doubled, three or more single or repeated letters and signs set apart by up to three separators of any kind -
+2. Spans that the channel can have made - words with leet signs anywhere (ordinal numbers apart), with doubled or repeated
+   letters, three or more single or repeated letters and signs set apart by separators of any kind and number -
    become character lattices: a sign may stand for each letter it resembles or for itself, closing marks for nothing, a run
    of one letter for one or two of it, a separator run for nothing or the end of a word. Spans that touch are one lattice.
-   Viterbi search finds the likeliest reading under the trigram model and the channel's costs, which replaces the span.
+   Viterbi search finds the likeliest reading under the trigram model and the channel's costs, which replaces the span; what is
+   written has no cost, so a clean word stays unless the model finds another far likelier, and letters set apart stay if digits are left among them.
 3. The restored text is scored by a logistic regression over whole words and word beginnings, which are counted by
    distinct word. It is fitted on a bounded labelled sample (learning.TRAIN_ROWS); its features are those whose
    frequency differs most between the labels.
@@ -35,6 +36,8 @@ LEET = {
     "@": "a", "$": "s", "+": "t", "!": "i", "|": "il",
 }
 SIGN_COST, KEEP_COST, DOUBLE_COST, SPLIT_COST = 1.0, 2.5, 0.7, 1.0
+#: What it costs to take a letter of a pair away in a word without longer runs: most such words are written so.
+PAIR_COST = 3.5
 FEATURES, PREFIXES, BINS = 1_000, (4, 5, 6, 7), (1, 2, 4)
 
 _LETTER = "[^\\W\\d_]"
@@ -42,7 +45,9 @@ _LEET_HIT = re.compile(r"[0-9@$+!|]+[a-z]|[a-z][0-9@$+!|]")
 _LEET_SPAN = re.compile(r"[a-z0-9@$+!|]+")
 _RUN = re.compile(rf"({_LETTER})\1(?:\1+|{_LETTER}*?({_LETTER})\2)")
 _WORD_AROUND = re.compile(rf"{_LETTER}+")
-_UNIT, _APART = r"(?:[^\W_]|[@$+!|])", r"(?:[^\w@$+!|]|_){1,3}"
+_PAIR = re.compile(rf"({_LETTER})\1")
+_ORDINAL = re.compile(r"[0-9]+(?:st|nd|rd|th)")
+_UNIT, _APART = r"(?:[^\W_]|[@$+!|])", r"(?:[^\w@$+!|]|_)+"
 _SPACED = re.compile(rf"(?<![^\W_])(?<![@$+!|])(?:({_UNIT})\1*{_APART}){{2,}}({_UNIT})\2*(?![^\W_])(?![@$])")
 _CLOSING = "!+|"
 _SAME = re.compile(rf"({_UNIT})\1*")
@@ -92,7 +97,7 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.cost = (-model).tolist()
-        self.of = Memo(self.decode, 100_000)
+        self.of = Memo(self.reading, 100_000)
 
     def lattice(self, span: str) -> list[list[tuple[str, float]]]:
         """Arcs of each position: (what it reads as, the channel's cost)."""
@@ -100,6 +105,7 @@ class Restorer:
         marks = len(span.rstrip(_CLOSING))
         units = [len(m.group()) for m in _SAME.finditer(span)]
         repeated = len(units) >= 3 and min(units) >= 2  # every letter is written twice or more
+        pair = DOUBLE_COST if repeated or max(units) > 2 else PAIR_COST
         while i < n:
             c, j = span[i], i + 1
             apart = not c.isalnum() and c not in LEET
@@ -119,7 +125,7 @@ class Restorer:
             elif j - i >= 3 or repeated:
                 arcs.append([(c, 0.0), (c + c, DOUBLE_COST)])
             elif j - i == 2:
-                arcs.append([(c + c, 0.0), (c, DOUBLE_COST)])
+                arcs.append([(c + c, 0.0), (c, pair)])
             else:
                 arcs.append([(c, 0.0)])
             if not apart:
@@ -145,10 +151,15 @@ class Restorer:
             best = nxt
         return min((t + cost[p][q][0], read) for (p, q), (t, read) in best.items())[1]
 
+    def reading(self, span: str) -> str:
+        """The likeliest reading; letters set apart between which digits or signs are left are no disguise."""
+        read = self.decode(span)
+        return span if any(c in LEET for c in read) and any(not c.isalnum() and c not in LEET for c in span) else read
+
     def spans(self, lower: str) -> list[tuple[int, int]]:
         """Where a lower-case text may be disguised: disjoint stretches, in order."""
         found: list[tuple[int, int]] = []
-        for hit, around in ((_LEET_HIT, _LEET_SPAN), (_RUN, _WORD_AROUND)):
+        for hit, around in ((_LEET_HIT, _LEET_SPAN), (_RUN, _WORD_AROUND), (_PAIR, _WORD_AROUND)):
             until = -1
             for m in hit.finditer(lower):
                 if m.start() < until or m.end() <= until:
@@ -157,7 +168,8 @@ class Restorer:
                 while start and around.match(lower[start - 1]):
                     start -= 1
                 until = around.match(lower, start).end()
-                found.append((start, until))
+                if not _ORDINAL.fullmatch(lower, start, until):
+                    found.append((start, until))
         found += [m.span() for m in _SPACED.finditer(lower) if _WORD_AROUND.search(m.group())]
         found.sort()
         out: list[tuple[int, int]] = []

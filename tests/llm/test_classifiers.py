@@ -155,3 +155,19 @@ def test_pipeline_stages(spark, tmp_path):
             assert now.count() == before.count() and now.agg(F.sum(F.length("text"))).first()[0] < before.agg(F.sum(F.length("text"))).first()[0]
     assert now.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality", "near_duplicates", "repeats", "packing"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_fitted_model_leaves_clean_words_alone(spark):
+    """The character model of the tables: disguises of one doubling or of many separators are read, ordinals and junk stay, and of the clean documents' words
+    at most one in fifty changes."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    r = X.Restorer(X.char_model(docs))
+    for noisy, word in {"stuupid": "stupid", "i    d    i    o    t": "idiot", "i" + " " * 50 + "d i o t": "idiot", "idioot": "idiot", "idi0t": "idiot"}.items():
+        assert r.restore(f"an {noisy}, here") == f"an {word}, here", noisy
+    for clean in ("the 3rd of", "a 1st one", "b c d 5", "stteen", "thheed", "all", "1 2 3 x 4"):
+        assert r.restore(clean) == clean, clean
+    n = changed = 0
+    for x in docs.join(labels.where("toxic = 0"), "doc_id").select("text").collect():
+        own = X.text_words((x["text"] or "").lower())
+        n, changed = n + len(own), changed + len(own - X.text_words(r.restore(x["text"] or "")))
+    assert n > 10_000 and changed < n / 50

@@ -17,7 +17,7 @@ from postloom.llm import op10_chunked_bpe as B
 
 ODD = [
     None, "", " ", "\n\n a", "a  b", "it's they'll 123abc ... \t\tq ", "<|endoftext|> hi<|endoftext|>", "a" * 300 + " b" * 5, "é" * 200, "日本語 テキスト", "\r\n\r\nx", "a　b", "  \n", "​ x", "a\x85b", "a\x1cb \x1c c",
-    "x  y", "\0 nul \0", "İstanbul ΣΑΣ ß", "İ. GELDİ., x İ! y İ. I", "e\u0301. e.\u0301 \u0130\u0307! ΑΣ. ΑΣ! K. Å, ﬁ. ǅ.", "don't. we'll, 12.5 a_b", "word " * 5000,
+    "x  y", "\0 nul \0", "İstanbul ΣΑΣ ß", "İ. GELDİ., x İ! y İ. I", "e\u0301. e.\u0301 \u0130\u0307! ΑΣ. ΑΣ! K. Å, ﬁ. ǅ.", "don't. we'll, 12.5 a_b", "word " * 5000, "I\u0327\u0307 xI\u0327\u0301\u0307. I\u0307 I\u0301\u0307",
 ]
 r = random.Random(0)
 ODD += ["".join(r.choice(" \n\tab1.é'　\x1c") for _ in range(50)) for _ in range(200)]
