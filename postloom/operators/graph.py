@@ -199,3 +199,25 @@ def maintained(nodes: DataFrame, edges: DataFrame, links: DataFrame, stale: str)
     for c in counts[1:]:  # one row each
         report = report.join(F.broadcast(c))
     return new_nodes, new_edges, new_links, report
+
+
+def important_peers(links: DataFrame, events: DataFrame, top: int) -> DataFrame:
+    """(event_id, peer, k): for each event the top events (event_id, importance) that share a node with it, the most important first. Of a node only its top + 1 events can
+    be among them, so each node is cut to those before it meets its events: a node that a third of all events mention gives top + 1 rows an event, not all pairs."""
+    named = links.select("event_id", "node_id").distinct()
+    w = Window.partitionBy("node_id").orderBy(F.desc("importance"), "event_id")
+    best = named.join(events, "event_id").withColumn("r", F.row_number().over(w)).where(F.col("r") <= top + 1).select("node_id", F.col("event_id").alias("peer"), "importance")
+    met = named.join(best, "node_id").where("event_id <> peer").select("event_id", "peer", "importance").distinct()
+    w = Window.partitionBy("event_id").orderBy(F.desc("importance"), "peer")
+    return met.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).select("event_id", "peer", "k")
+
+
+def upserted(stored: DataFrame, mentions: DataFrame, first: float = 0.45, step: float = 0.04) -> DataFrame:
+    """(a, b, bumps, weight) after every mention (a, b, given) of an edge in turn: the first makes one of weight first where none is stored (a, b, weight), each other adds
+    step, up to 1; given, where one has it, is the least weight to start from. No edge from a node to itself. In closed form, so mentions are counted before the shuffle."""
+    u = mentions.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("bumps"), F.max("given").alias("given"))
+    e = stored.where("a <> b").join(u, ["a", "b"], "full")
+    n = F.coalesce("bumps", F.lit(0))
+    start = F.greatest(F.coalesce("weight", F.lit(first)), F.coalesce("given", F.lit(0.0)))
+    weight = F.least(F.lit(1.0), start + step * (n - F.when(F.col("weight").isNull(), 1).otherwise(0)))
+    return e.select("a", "b", n.alias("bumps"), weight.alias("weight"))

@@ -122,6 +122,16 @@ def recommended_wide(news: DataFrame, links: DataFrame, states: DataFrame, users
     return found.unionAll(feed_).withColumn("importance", F.round("importance", 6))
 
 
+def overflow(news: DataFrame, subscriptions: DataFrame, done: DataFrame, scan: int, most: int) -> DataFrame:
+    """(user_id, event_id, k) of unread events that a full queue hides: of the scan newest of a user's channels (user_id, channel_id) without done (user_id, event_id), those behind the
+    most strongest. Both ranks are limited before the shuffle or on at most scan rows a user."""
+    mine = subscriptions.join(news.select("event_id", "channel_id", "importance", "created_at"), "channel_id").join(done, ["user_id", "event_id"], "left_anti")
+    newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("event_id"))
+    recent = mine.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= scan)
+    strongest = Window.partitionBy("user_id").orderBy(F.desc("importance"), F.desc("created_at"), F.desc("event_id"))
+    return recent.withColumn("k", F.row_number().over(strongest)).where(F.col("k") > most).select("user_id", "event_id", "k")
+
+
 def collapsed(lists: DataFrame, near: DataFrame) -> DataFrame:
     """(list_id, place, id) of ranked lists without near-duplicates: the first of a story stays at its place, but a later one with
     more sources takes that place over. lists: (list_id, place, id, sources), each a page that its query has cut to a fixed

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..session import shipped
-from . import graph_queries, member_queries, online_queries, pair_queries, reader_queries, record_queries, search_queries, text_queries, upkeep_queries
+from . import detail_queries, graph_queries, member_queries, online_queries, pair_queries, reader_queries, record_queries, search_queries, text_queries, upkeep_queries
 
-_MODULES = [text_queries, pair_queries, graph_queries, reader_queries, upkeep_queries, record_queries, member_queries, online_queries, search_queries]
+_MODULES = [text_queries, pair_queries, graph_queries, reader_queries, upkeep_queries, record_queries, member_queries, online_queries, search_queries, detail_queries]
 
 
 def queries():
