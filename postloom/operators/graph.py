@@ -56,12 +56,30 @@ def expanded(seeds: DataFrame, edges: DataFrame, strong: float) -> DataFrame:
     return seeds.select("node_id", F.lit(0).alias("distance")).unionAll(near).groupBy("node_id").agg(F.min("distance").alias("distance"))
 
 
-def related(links: DataFrame, event_ids: DataFrame, top: int = 12) -> DataFrame:
-    """(event_id, peer, shared): for each given event the events that share most nodes."""
-    own = links.join(event_ids, "event_id", "left_semi").select(F.col("event_id").alias("e"), "node_id")
-    peers = own.join(links, "node_id").where("e <> event_id").groupBy("e", "event_id").agg(F.count(F.lit(1)).alias("shared"))
-    w = Window.partitionBy("e").orderBy(F.desc("shared"), "event_id")
-    return peers.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).select(F.col("e").alias("event_id"), F.col("event_id").alias("peer"), "shared")
+def related(links: DataFrame, event_ids: DataFrame, top: int = 12, heavy: int = 1_000) -> DataFrame:
+    """(event_id, peer, shared): for each given event the top events that share most nodes, the smaller ids first among equals.
+
+    Nodes of more than heavy events never meet themselves. Events that share a lighter node are found by it, and their heavy nodes are counted by intersection. An event that
+    shares heavy nodes alone, say the set S, is among the top + 1 smallest ids of all events that mention S, if it is among the top at all, because those before it share S
+    too. So every set of an event's heavy nodes (there are few) is a key whose events are cut to top + 1, before the shuffle already.
+    """
+    named = links.select("event_id", "node_id").distinct()
+    hot = named.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("node_id", F.lit(True).alias("hot"))
+    tagged = named.join(hot, "node_id", "left")
+    light = tagged.where("hot is null").select("event_id", "node_id")
+    sets = tagged.where("hot").groupBy("event_id").agg(F.sort_array(F.collect_list("node_id")).alias("heavy"))
+    found = light.join(event_ids, "event_id", "left_semi").select(F.col("event_id").alias("e"), "node_id").join(light, "node_id").where("e <> event_id").groupBy("e", F.col("event_id").alias("peer")).agg(F.count(F.lit(1)).alias("shared"))
+    subsets = F.explode(F.expr("transform(sequence(1, cast(shiftleft(1, size(heavy)) as int) - 1), m -> filter(heavy, (x, i) -> shiftright(m, i) % 2 = 1))"))
+    keyed = sets.select("event_id", subsets.alias("key"))
+    first = Window.partitionBy("key").orderBy("event_id")
+    few = keyed.withColumn("r", F.row_number().over(first)).where(F.col("r") <= top + 1).select("key", F.col("event_id").alias("peer"))
+    met = keyed.join(event_ids, "event_id", "left_semi").select(F.col("event_id").alias("e"), "key").join(few, "key").where("e <> peer").select("e", "peer").distinct()
+    pairs = found.unionByName(met.withColumn("shared", F.lit(0).cast("long"))).groupBy("e", "peer").agg(F.max("shared").alias("shared"))
+    of = lambda side: sets.select(F.col("event_id").alias(side), F.col("heavy").alias(f"heavy_{side}"))
+    both = pairs.join(of("e"), "e", "left").join(of("peer"), "peer", "left")
+    both = both.withColumn("shared", F.col("shared") + F.coalesce(F.size(F.array_intersect("heavy_e", "heavy_peer")), F.lit(0)))
+    w = Window.partitionBy("e").orderBy(F.desc("shared"), "peer")
+    return both.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).select(F.col("e").alias("event_id"), "peer", "shared")
 
 
 def decayed(edges: DataFrame, stale: str, factor: float = 0.92, least: float = 0.05) -> DataFrame:

@@ -56,3 +56,23 @@ def test_timelines_keep_the_last_entries(spark):
     entries = U.timelines(b, "story", "day", "added").first()["timeline"]
     assert len(entries) == 40 and [(e["kind"], e["sources"]) for e in entries[-3:]] == [("sources", 63), ("growth", 63), ("sources", 64)]
     assert [e["kind"] for e in U.timelines(b.where("day = 1"), "story", "day", "added").first()["timeline"]] == ["created"]
+
+
+def test_related_counts_heavy_nodes_apart(spark):
+    """Any bound between light and heavy nodes gives the same peers as counting all pairs; so do lists cut by node."""
+    import random
+
+    r = random.Random(12)
+    links = sorted({(e, min(r.randint(0, 9), r.randint(0, 9), r.randint(0, 9))) for e in range(60) for _ in range(r.randint(0, 5))})
+    nodes = {}
+    for e, n in links:
+        nodes.setdefault(e, set()).add(n)
+    asked = [e for e in range(0, 70, 3)]
+    want = {(e, p, len(nodes[e] & nodes[p])) for e in asked if e in nodes for p in sorted((p for p in nodes if p != e and nodes[e] & nodes[p]), key=lambda p: (-len(nodes[e] & nodes[p]), p))[:4]}
+    df, ids = spark.createDataFrame(links + links[:5], "event_id long, node_id long"), spark.createDataFrame([(e,) for e in asked], "event_id long")
+    for heavy in (0, 5, 12, 1_000):
+        assert {tuple(x) for x in G.related(df, ids, 4, heavy).collect()} == want, heavy
+    importance = {e: r.randint(0, 9) / 2 for e in range(60) if e % 7}
+    got = {tuple(x) for x in G.important_peers(df, spark.createDataFrame(list(importance.items()), "event_id long, importance double"), 3).collect()}
+    ranks = {(e, p, k) for e in nodes for k, p in enumerate(sorted((p for p in nodes if p != e and p in importance and nodes[e] & nodes[p]), key=lambda p: (-importance[p], p))[:3], 1)}
+    assert got == ranks
