@@ -34,9 +34,10 @@ _IMP = D.importance("1", "(1000000 - minute) / 60.0::double % 60", "length(text)
 def top_events_with_sources(spark: SparkSession, d: str) -> DataFrame:
     """Posts that pass the filter, with theme and importance: the 100 most important."""
     p = posts(spark, d).withColumn("reason", F.expr(E.rule_reason("text"))).where("reason = 'pass'")
-    p = p.withColumn("theme", F.expr(E.theme("text"))).withColumn("hits", F.expr(E.important_hits("text"))).withColumn("age", F.expr("(1000000 - minute) / 60.0D % 60"))
+    p = p.withColumn("hits", F.expr(E.important_hits("text"))).withColumn("age", F.expr("(1000000 - minute) / 60.0D % 60"))
     p = p.withColumn("importance", F.expr(E.importance("1", "age", "length(text)", "hits")))
-    return p.select(F.col("id").alias("event_id"), "channel", "theme", "importance").orderBy(F.desc("importance"), "event_id").limit(100)
+    top = p.select(F.col("id").alias("event_id"), "channel", "text", "importance").orderBy(F.desc("importance"), "event_id").limit(100)
+    return top.select("event_id", "channel", F.expr(E.theme("text")).alias("theme"), "importance")  # themes of a hundred posts
 
 
 @query(f"select {D.rule_reason('t')} as reason, count(*) as n from {_T} x group by 1")
