@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class EngineConfig:
-    cluster_threshold: float = 0.52
+    similarity_threshold: float = 0.72
+    embedding_backend: str = "hashing"
     window_hours: float = 72.0
     weight_embedding: float = 0.60
     weight_entities: float = 0.20
@@ -27,5 +28,10 @@ class EngineConfig:
     queue_batch: int = 30
     now: str = "2024-01-31 00:00:00"
 
+    @property
+    def cluster_threshold(self) -> float:
+        """From which similarity on posts are one event: hashed vectors are noisier, so with them the bar is 0.52 at most."""
+        return min(self.similarity_threshold, 0.52) if "hash" in self.embedding_backend.lower() else self.similarity_threshold
+
 
 DEFAULT = EngineConfig()

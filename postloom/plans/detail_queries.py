@@ -196,3 +196,50 @@ def history_page_total(spark, d):
     w = Window.partitionBy("user_id").orderBy(F.desc_nulls_last("last_ts"), "news_id")
     page = s.withColumn("k", F.row_number().over(w)).where("k <= 6").where("k > 3")
     return page.join(s.groupBy("user_id").agg(F.count(F.lit(1)).alias("total")), "user_id").select("user_id", "news_id", F.col("k").cast("long").alias("k"), "total")
+
+
+@query(
+    f"""select id, case when t1 <> 'other' then t1 when t2 <> 'other' then t2 else 'gaming' end as theme from (select id, {D.theme('b1')} as t1, {D.theme('b2')} as t2 from (select id, {D.without_footers("concat(title, chr(10), topic)")} as b1, {D.without_footers("concat(title, chr(10), summary, chr(10), topic)")} as b2
+ from (select id, {D.title_of('t')} as title, {D.summary_of('t')} as summary, channel as topic from (select id, channel, {D.stripped('text')} as t from {POSTS_SQL} p) x) y) z) w"""
+)
+def event_themes(spark, d):
+    """F16: an event's theme by title and topic, else with its summary, else the one it has."""
+    p = posts(spark, d).select("id", F.col("channel").alias("topic"), F.expr(E.title_of("text")).alias("title"), F.expr(E.summary_of("text")).alias("summary"))
+    return p.select("id", F.expr(E.event_theme("title", "summary", "topic", "'GAMING'")).alias("theme"))
+
+
+_NOW = 50_000
+_LIMITS = ", ".join(f"({k}, {n})" for k, n in V.BACKFILL_LIMITS.items())
+
+
+@query(
+    f"""select days, channel, count(*) as n, max(k) as last from (select days, channel, most, row_number() over (partition by days, channel order by minute * 37 % {_NOW} desc, id desc) as k from {POSTS_SQL} p join (values {_LIMITS}) l(days, most) on minute * 37 % {_NOW} >= {_NOW} - days * 1440) x where k <= most group by 1, 2"""
+)
+def backfill_bounds(spark, d):
+    """S3: what a backfill of 1 to 30 days takes of each channel: the newest posts behind its cutoff, up to its limit."""
+    bounds = spark.createDataFrame(list(V.BACKFILL_LIMITS.items()), "days long, most long")  # five rows
+    p = posts(spark, d).select("id", "channel", F.expr(f"pmod(minute * 37, {_NOW})").alias("at"))
+    j = p.join(F.broadcast(bounds), F.col("at") >= _NOW - F.col("days") * 1440)
+    w = Window.partitionBy("days", "channel").orderBy(F.desc("at"), F.desc("id"))
+    top = j.withColumn("k", F.row_number().over(w)).where(F.col("k") <= max(V.BACKFILL_LIMITS.values())).where(F.col("k") <= F.col("most"))
+    return top.groupBy("days", "channel").agg(F.count(F.lit(1)).alias("n"), F.max("k").cast("long").alias("last"))
+
+
+@query(
+    f"""select id, sha256(t) as text_sha256, case when id % 3 = 0 then concat('https://t.me/', ltrim(channel, '@'), '/', id) else concat('https://t.me/c/', case when cast(id + 1 as varchar) like '100%' then cast(try_cast(substr(cast(id + 1 as varchar), 4) as bigint) as varchar) else cast(id + 1 as varchar) end, '/', id) end as url
+ from (select id, channel, {D.stripped('text')} as t from {POSTS_SQL} p) x where t <> '' and id > 100"""
+)
+def shaped_rows(spark, d):
+    """Posts as they are stored: stripped, empty ones left out, with their address."""
+    p = posts(spark, d).where("id > 100").select("id", "channel", F.expr(E.stripped("text")).alias("t")).where("t <> ''")
+    return p.select("id", F.sha2("t", 256).alias("text_sha256"), F.expr(E.message_url("case when id % 3 = 0 then channel end", "-(id + 1)", "id")).alias("url"))
+
+
+@query(
+    f"""with j as (select doc_id // 30 as job_id, list(doc_id) as ids, doc_id // 30 % 3 as state from labels group by 1, 3) select channel, count(*) as n, min(id) as first_id from {POSTS_SQL} p where id not in (select unnest(ids) from j where state < 2) group by 1"""
+)
+def queue_free(spark, d):
+    """Posts that no queued or running job holds; the arrays of ids (30 a job at most) are exploded."""
+    jobs = table(spark, d, "labels").groupBy(F.expr("doc_id div 30").alias("job_id")).agg(F.collect_list("doc_id").alias("ids")).withColumn("state", F.col("job_id") % 3)
+    busy = jobs.where("state < 2").select(F.explode("ids").alias("id"))
+    return posts(spark, d).select("id", "channel").join(busy, "id", "left_anti").groupBy("channel").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
