@@ -156,10 +156,15 @@ class Restorer:
         read = self.decode(span)
         return span if any(c in LEET for c in read) and any(not c.isalnum() and c not in LEET for c in span) else read
 
-    def spans(self, lower: str) -> list[tuple[int, int]]:
-        """Where a lower-case text may be disguised: disjoint stretches, in order."""
+    def word(self, word: bytes) -> bytes:
+        """The likeliest reading of a word of letters with one doubled; any other word is its own."""
+        s = word.decode("utf-8", "replace")
+        return self.decode(s).encode() if _PAIR.search(s) and not _RUN.search(s) else word
+
+    def spans(self, lower: str, pairs: bool = True) -> list[tuple[int, int]]:
+        """Where a lower-case text may be disguised: disjoint stretches, in order. Without pairs, words with one doubled letter are left to `word`."""
         found: list[tuple[int, int]] = []
-        for hit, around in ((_LEET_HIT, _LEET_SPAN), (_RUN, _WORD_AROUND), (_PAIR, _WORD_AROUND)):
+        for hit, around in ((_LEET_HIT, _LEET_SPAN), (_RUN, _WORD_AROUND), *([(_PAIR, _WORD_AROUND)] if pairs else [])):
             until = -1
             for m in hit.finditer(lower):
                 if m.start() < until or m.end() <= until:
@@ -184,10 +189,10 @@ class Restorer:
         """The words of the readings whose words are not those that are written."""
         return [w for x, y in self.spans(lower) if (read := self.of[lower[x:y]].split()) != _WORD_AROUND.findall(lower[x:y]) for w in read]
 
-    def restore(self, text: str) -> str:
+    def restore(self, text: str, pairs: bool = True) -> str:
         """The lower-case text with the readings of its suspicious spans in their places."""
         lower, out, at = text.lower(), [], 0
-        for x, y in self.spans(lower):
+        for x, y in self.spans(lower, pairs):
             out += [lower[at:x], self.of[lower[x:y]]]
             at = y
         return "".join([*out, lower[at:]])
@@ -204,8 +209,9 @@ def word_grams(word: bytes) -> list[bytes]:
     return [b"=" + word, *(b"^" + s[:n].encode() for n in PREFIXES if len(s) >= n)]
 
 
-def _chosen(features: dict[bytes, int]):
-    return Memo(lambda w: tuple(features[g] for g in word_grams(w) if g in features), 500_000)
+def _chosen(features: dict[bytes, int], r: Restorer):
+    """The features of a written word: those of its reading, which is looked for once a word, not once a text."""
+    return Memo(lambda w: tuple(features[g] for g in word_grams(r.word(w)) if g in features), 500_000)
 
 
 def _counts(words: set[bytes], of) -> Counter:
@@ -223,12 +229,13 @@ def gram_stats(sample: DataFrame, chars: np.ndarray) -> DataFrame:
     def grams(batches):
         alone()
         r = Restorer(chars)
+        read = Memo(r.word, 100_000)
         pos: Counter = Counter()
         all_: Counter = Counter()
         n = [0, 0]
         for b in slices(batches):
             for text, y in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                got = {g for w in text_words(r.restore(text)) for g in word_grams(w)}
+                got = {g for w in text_words(r.restore(text, pairs=False)) for g in word_grams(read[w])}
                 all_.update(got)
                 n[0] += 1
                 if y:
@@ -261,9 +268,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TR
     features = {g: i for i, g in enumerate(best)}
 
     def vectors(batches):
-        r, of = Restorer(chars), _chosen(features)
+        r = Restorer(chars)
+        of = _chosen(features, r)
         for b in slices(batches):
-            hits = [_counts(text_words(r.restore(t)), of) for t in b.column("text").to_pylist()]
+            hits = [_counts(text_words(r.restore(t, pairs=False)), of) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("label").cast(pa.int32()), pa.array([list(h) for h in hits], pa.list_(pa.int32())), pa.array([list(h.values()) for h in hits], pa.list_(pa.int32()))],
                 ["label", "f", "k"],
@@ -279,13 +287,14 @@ def score_rows(docs: DataFrame, model: dict, text_col: str = "text", score_col:
     """All rows and columns of docs with their score: narrow, the model travels with the tasks (some hundred kB)."""
 
     def make():
-        r, of = Restorer(model["chars"]), _chosen(model["features"])
+        r = Restorer(model["chars"])
+        of = _chosen(model["features"], r)
         # weight of a feature seen k times, k up to the last bin
         table = [[sum(row[j] for j, least in enumerate(BINS) if k >= least) for k in range(BINS[-1] + 1)] for row in model["weights"].tolist()]
 
         def one(text: str) -> float:
             t = model["bias"]
-            for f, k in sorted(_counts(text_words(r.restore(text)), of).items()):
+            for f, k in sorted(_counts(text_words(r.restore(text, pairs=False)), of).items()):
                 t += table[f][min(k, BINS[-1])]
             return float(1 / (1 + np.exp(-max(-30.0, min(30.0, t)))))
 

@@ -171,3 +171,21 @@ def test_fitted_model_leaves_clean_words_alone(spark):
         own = X.text_words((x["text"] or "").lower())
         n, changed = n + len(own), changed + len(own - X.text_words(r.restore(x["text"] or "")))
     assert n > 10_000 and changed < n / 50
+
+
+def test_pipeline_stages_take_empty_tables_and_any_columns(spark):
+    """Every stage on no rows, and on rows with columns of the names that stages use inside; columns come back as they are."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, gone string, kept boolean, toxicity_score double, quality_score string, Gone_ int, block long, carried_0 string"
+    text = "The history of the river and of the towns along it is told in the museum of the old harbour. "
+    rows = [(i, text * (1 + i % 3) + str(i), "en", "s", 1, "g", True, 0.5, "q", 1, 2, "c") for i in range(6)] + [(7, text * 2, "en", "s", 1, None, None, None, None, None, None, None), (7, text * 2, "en", "s", 1, None, None, None, None, None, None, None)]
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, spark.createDataFrame([], schema), SF)
+        assert none.collect() == [], name
+        full = spark.createDataFrame(rows, schema)
+        out = stage(spark, full, SF)
+        if name != "packing":
+            assert out.columns == full.columns and [f.dataType for f in out.schema] == [f.dataType for f in full.schema], name
+            got = out.where("doc_id < 7").select("doc_id", "gone", "kept", "toxicity_score", "quality_score", "Gone_", "block", "carried_0").collect()
+            assert got and all(tuple(x)[1:] == ("g", True, 0.5, "q", 1, 2, "c") for x in got), name
+        else:
+            assert {x["doc_id"] for x in out.collect()} == {0, 1, 2, 3, 4, 5, 7}
