@@ -4,9 +4,9 @@ A byte goes if a string of LENGTH bytes that covers it also starts in a document
 that no task needs the corpus:
 
 1. Blocks. Documents are written once, in blocks of about BLOCK_BYTES of text, to a table in the shared folder; everything
-   that follows asks and answers by block. Buckets lie side by side in parts, some for each shuffle partition. What goes to buckets is packed in
-   tasks: one row for a part and some GATHER bytes of a task, whatever number of blocks and buckets that is; what comes back is one row for a block
-   and a task. So an exchange has as many rows as tasks times partitions, or blocks times partitions, and for given partitions rows grow with the input.
+   that follows asks and answers by block. Buckets lie side by side in parts, some for each shuffle partition. What goes to buckets is packed by
+   part: one row for a part and a block, or some GATHER bytes of a task, whatever number of buckets that is; what comes back is one row for a block
+   and a task. So an exchange has at most as many rows as blocks times partitions, and for given partitions rows grow with the input.
 2. Anchors. In every window of LENGTH bytes the GRAM-byte string with the smallest hash is its anchor; equal windows have
    equal anchors. A block asks each anchor's bucket whether another block holds it too; an anchor of one document rules out
    all windows that it stands for. The answer also says which anchors are *hot* (HOT documents or more).
@@ -292,12 +292,13 @@ def _told(buckets: bytes, codes: bytes) -> Iterator[np.ndarray]:
         at += _BYTES * n
 
 
-_PIECES = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("head", pa.binary()), ("text", pa.binary())])
+_ITEM = pa.struct([("bucket", pa.int32()), ("block", pa.int64()), ("head", pa.binary()), ("text", pa.binary())])
 
 
-def _pieces(buckets: int, length: int, gram: int):
-    """(bucket, block, head, text) of a block's pieces to judge; in bucket -1 - x, runs that are covered already, which pass through bucket x. head has
-    columns doc, row, start, size of each place; a negative size is the piece before once more."""
+def _pieces(buckets: int, each: int, length: int, gram: int):
+    """(part, items) of a block's pieces to judge; items has (bucket, block, head, text) of the part's buckets; in bucket -1 - x, runs that are covered already, which pass
+    through bucket x. head has columns doc, row, start, size of each place; a negative size is the piece before once more. They are packed here, not in a map of their own,
+    because that would be a second Python worker for every task."""
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         alone()
@@ -334,38 +335,18 @@ def _pieces(buckets: int, length: int, gram: int):
                         place(w, text[k : k + length], doc, row, k)
                 else:
                     place(bucket, text[x : y + length - 1], doc, row, x)
-        out = []
+        out: dict[int, list[dict]] = defaultdict(list)
+        item = lambda bucket, head, text: {"bucket": bucket, "block": block, "head": head, "text": text}
         if done:
-            out.append((-1 - block % buckets, np.array(done, np.int32).tobytes(), b""))
+            out[block % buckets // each].append(item(-1 - block % buckets, np.array(done, np.int32).tobytes(), b""))
         for bucket, pieces in by.items():
             head = [(doc, row, start, -len(piece) if k else len(piece)) for piece, (doc, *places) in pieces.items() for k, (row, start) in enumerate(places)]
-            out.append((bucket, zip_(np.array(head, np.int64).T.tobytes()), zip_(b"".join(pieces))))
-        return pa.table([pa.array([o[0] for o in out], pa.int32()), pa.array([block] * len(out), pa.int64()), *(pa.array([o[k] for o in out], pa.binary()) for k in (1, 2))], schema=_PIECES)
+            out[bucket // each].append(item(bucket, zip_(np.array(head, np.int64).T.tobytes()), zip_(b"".join(pieces))))
+        return pa.table([pa.array(list(out), pa.int32()), pa.array(list(out.values()), pa.list_(_ITEM))], names=["part", "items"])
 
     return one
 
 
-def _gathered(each: int, gather: int):
-    """(part, items): the pieces of a task's blocks by part, until they are some MB. items: (bucket, block, head, text) of each block and bucket."""
-    item = pa.struct([("bucket", pa.int32()), ("block", pa.int64()), ("head", pa.binary()), ("text", pa.binary())])
-
-    def run(batches):
-        held: dict[int, list[dict]] = defaultdict(list)
-        size = 0
-        for b in batches:
-            for row in b.to_pylist():
-                held[(row["bucket"] if row["bucket"] >= 0 else -1 - row["bucket"]) // each].append(row)
-                size += len(row["head"]) + len(row["text"])
-            if size >= gather:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.list_(item))], ["part", "items"])
-                held.clear()
-                size = 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(list(held.values()), pa.list_(item))], ["part", "items"])
-
-    return run
-
-
 class _Level:
     """A sorted suffix array: positions into the pieces' text, suffixes compared by their first length bytes."""
 
@@ -545,8 +526,7 @@ def exchanges(blocks: DataFrame, total: int, length: int = LENGTH, gram: int = G
     by_part = lambda df: df.repartition("part").sortWithinPartitions("part")
     asked = blocks.mapInArrow(_asked(buckets, each, length, gram, gather), "part int, blocks binary, counts binary, codes binary")
     told = by_part(asked).mapInArrow(_shared(each, hot, gather), "block long, buckets binary, codes binary")
-    pieces = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_pieces(buckets, length, gram), "bucket int, block long, head binary, text binary")
-    pieces = pieces.mapInArrow(_gathered(each, gather), "part int, items array<struct<bucket:int,block:long,head:binary,text:binary>>")
+    pieces = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_pieces(buckets, each, length, gram), "part int, items array<struct<bucket:int,block:long,head:binary,text:binary>>")
     # not cut off here: the blocks' exchange of the first cogroup then serves the second one too
     covered = by_part(pieces).mapInArrow(_covered(length, batch, gather), "block long, places binary, runs binary").drop("places")
     return {"asked": asked, "told": told, "pieces": pieces, "covered": covered}
