@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from postloom.functions import dates as T
 from postloom.functions import expressions as E
@@ -71,3 +72,12 @@ def test_quiet_hours(spark):
 def test_importance(spark):
     v = spark.sql(f"select {E.importance('5', '1.0D', '52', '3')} as v").first()["v"]
     assert 5 <= v <= 10
+
+
+def test_capitals_keep_letters_single(spark):
+    """ß is no SS: titles in capitals have the letters of the text again when they are lowered."""
+    rows = [(0, "GROß ßa ß"), (1, "grüße an alle"), (2, "ﬁn"), (3, ""), (4, "ᾳb")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = {r["id"]: (r["c"], r["k"]) for r in df.select("id", F.expr(E.capitals("t")).alias("c"), F.expr(E.title_case(E.capitals("t"))).alias("k")).collect()}
+    assert got[0] == ("GROẞ ẞA ẞ", "Groß ẞA ẞ") and got[1] == ("GRÜẞE AN ALLE", "Grüße AN Alle")
+    assert got[2][0] == "ﬁN" and got[3] == ("", "") and got[4][0] == "ᾼB"
