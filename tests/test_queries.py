@@ -61,3 +61,26 @@ def test_plans_reach_the_scan(spark, sf):
 
     plan = table(spark, sf, "orders").where("o_orderstatus = 'O'").select("o_orderkey")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderstatus,O)" in plan and "o_comment" not in plan
+
+
+def test_brief_dates_by_the_first_stored_source(spark, tmp_path):
+    """Sources of one number: the row stored first gives the date that a brief counts from, however the rows are dealt."""
+    import datetime as dt
+
+    sf = tmp_path / "sf"
+    sf.mkdir()
+    day = lambda k: dt.datetime(2000, 1, 1) + dt.timedelta(days=k)
+    lines = pd.DataFrame([(k, 1, day(n * 7 % 100 + k)) for n in range(6) for k in range(300)], columns=["l_orderkey", "l_linenumber", "l_shipdate"])
+    lines.to_parquet(sf / "lineitem.parquet", row_group_size=50, coerce_timestamps="us")
+    pd.DataFrame({"o_orderkey": range(300), "o_orderdate": [day(0)] * 300}).to_parquet(sf / "orders.parquet", coerce_timestamps="us")
+    pd.DataFrame({"doc_id": range(300), "text": ["news, через 5 дней"] * 300, "source": "s", "lang": "en"}).to_parquet(sf / "documents.parquet")
+    con = duckdb.connect(config={"threads": 1})  # in the order of the file
+    for t in ("lineitem", "orders", "documents"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = catalogue.queries()["brief_view"](spark, str(sf)).toPandas()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows(got) == rows(con.sql(catalogue.oracle_sql()["brief_view"]).df())
