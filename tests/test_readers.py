@@ -74,3 +74,45 @@ def test_personal_window_and_page(spark):
                 wanted[user, place] = (k, -score, len(ranked) > 3 + size)
     assert got == wanted and {u for u, _ in wanted} == {1, 2, 4} and {x[2] for x in wanted.values()} == {True}
     assert feed_page(window.where("false"), 3).count() == 0
+
+
+def _most_rows(df):
+    """The rows that come out of the widest operator of a query; runs it."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = df.collect()
+
+        def walk(node):
+            n = node.metrics().get("numOutputRows")
+            own = n.get().value() if n.isDefined() else 0
+            return max([own, *(walk(node.children().apply(k)) for k in range(node.children().size()))])
+
+        return got, walk(df._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+USERS, EVENTS = 40, 3_000
+
+
+def _crowd(spark):
+    """Many users of one channel with many events: news, states, subscriptions."""
+    news = spark.range(EVENTS).selectExpr("id as event_id", "id % 2 as channel_id", "cast(id * 7919 % 1000 as double) / 100 + 1 as importance", "id % 5 + 1 as theme_no", "'active' as status", "id * 31 % 977 as created_at")
+    states = spark.range(USERS * 30).selectExpr("id % 40 as user_id", "id div 40 * 97 as news_id", "if(id % 3 = 0, 1.5D, -2D) as personal", "id % 4 = 0 as is_read", "id % 7 = 0 as disliked", "false as favorite", "false as liked")
+    return news, states, spark.range(USERS).selectExpr("id as user_id", "explode(array(0L, 1L, 5L)) as channel_id")
+
+
+def test_feeds_are_not_users_times_events(spark):
+    news, states, subs = _crowd(spark)
+    events, said = [x.asDict() for x in news.collect()], {(x["user_id"], x["news_id"]): x for x in states.collect()}
+    wanted = set()
+    for u in range(USERS):
+        rows = []
+        for e in events:
+            s = said.get((u, e["event_id"]))
+            if s is None or not (s["is_read"] or s["disliked"]):
+                rows.append((-round((s["personal"] if s else 0.0) + e["importance"] * (0.6 + 0.4 * e["theme_no"] / 5.0), 6), e["event_id"]))
+        wanted |= {(u, i, k) for k, (_, i) in enumerate(sorted(rows)[:5], 1)}
+    got, most = _most_rows(R.feed(news, states, subs, 5, 1.0))
+    assert {(x["user_id"], x["news_id"], x["place"]) for x in got} == wanted and most < USERS * EVENTS / 4
