@@ -116,3 +116,10 @@ def test_feeds_are_not_users_times_events(spark):
         wanted |= {(u, i, k) for k, (_, i) in enumerate(sorted(rows)[:5], 1)}
     got, most = _most_rows(R.feed(news, states, subs, 5, 1.0))
     assert {(x["user_id"], x["news_id"], x["place"]) for x in got} == wanted and most < USERS * EVENTS / 4
+
+
+def test_feed_sizes(spark):
+    news, states, subs = _crowd(spark)
+    got, most = _most_rows(R.feed_sizes(news, states, subs, 1.0))
+    gone = states.where("is_read or disliked").join(news, news.event_id == states.news_id).groupBy("user_id").count().collect()
+    assert {x["user_id"]: EVENTS - x["n"] for x in got} == {u: 0 for u in range(USERS)} | {x["user_id"]: x["count"] for x in gone} and most < USERS * EVENTS / 4
