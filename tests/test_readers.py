@@ -123,3 +123,15 @@ def test_feed_sizes(spark):
     got, most = _most_rows(R.feed_sizes(news, states, subs, 1.0))
     gone = states.where("is_read or disliked").join(news, news.event_id == states.news_id).groupBy("user_id").count().collect()
     assert {x["user_id"]: EVENTS - x["n"] for x in got} == {u: 0 for u in range(USERS)} | {x["user_id"]: x["count"] for x in gone} and most < USERS * EVENTS / 4
+
+
+def test_overflow_reads_first_places_only(spark):
+    news, states, subs = _crowd(spark)
+    done = states.where("is_read").selectExpr("user_id", "news_id as event_id")
+    got, most = _most_rows(R.overflow(news, subs, done, 60, 20))
+    events, read = [x.asDict() for x in news.collect()], {(x["user_id"], x["event_id"]) for x in done.collect()}
+    wanted = set()
+    for u in range(USERS):
+        recent = sorted((e for e in events if (u, e["event_id"]) not in read), key=lambda e: (-e["created_at"], -e["event_id"]))[:60]
+        wanted |= {(u, e["event_id"], k) for k, e in enumerate(sorted(recent, key=lambda e: (-e["importance"], -e["created_at"], -e["event_id"])), 1) if k > 20}
+    assert {(x["user_id"], x["event_id"], x["k"]) for x in got} == wanted and most < USERS * EVENTS / 4
