@@ -135,3 +135,18 @@ def test_overflow_reads_first_places_only(spark):
         recent = sorted((e for e in events if (u, e["event_id"]) not in read), key=lambda e: (-e["created_at"], -e["event_id"]))[:60]
         wanted |= {(u, e["event_id"], k) for k, e in enumerate(sorted(recent, key=lambda e: (-e["importance"], -e["created_at"], -e["event_id"])), 1) if k > 20}
     assert {(x["user_id"], x["event_id"], x["k"]) for x in got} == wanted and most < USERS * EVENTS / 4
+
+
+def test_personal_window_reads_as_deep_as_it_must(spark, monkeypatch):
+    """Words that hide nearly all events send a user to the lists' ends; the others read first places. Any depth gives the same rows."""
+    news, states, subs = _crowd(spark)
+    news = news.selectExpr("event_id", "status", "importance", "if(event_id % 3 = 0, 'ai', null) as theme", "if(event_id % 50 = 7, 'rare', 'common') as title", "'s' as summary", "null as topic", "created_at as updated_at")
+    sources = spark.range(EVENTS).selectExpr("id as event_id", "id % 2 as channel_id").unionAll(spark.range(0, EVENTS, 4).selectExpr("id", "1L"))
+    settings = spark.range(USERS).selectExpr("id as user_id", "3 as page_size", "1.5D as min_importance", "array('ai', 'other') as themes", "map('ai', 5) as weights", "if(id = 0, 'COMMON', null) as ignored")
+    kept, cut = [], getattr(R, "cut", None)
+    monkeypatch.setattr(R, "cut", lambda df: kept.append(cut(df)) or kept[-1], raising=False)
+    got, most = _most_rows(R.feed_window(news, sources, states, settings, subs))
+    assert max([most, *(x.count() for x in kept)]) < USERS * EVENTS / 4
+    assert len([x for x in got if x["user_id"] == 0]) == 40 and len(kept) > 2
+    monkeypatch.undo()
+    assert sorted(got) == sorted(R.feed_window(news, sources, states, settings, subs, depth=2_000).collect())
