@@ -36,11 +36,17 @@ def resolved(spark: SparkSession, names: DataFrame) -> DataFrame:
     return exact.join(inside, "name", "left").select("name", F.coalesce("e_name", "best.i_name", "name").alias("canonical"), F.coalesce(F.col("e_type"), F.col("best.i_type"), F.expr(shape)).alias("node_type"))
 
 
-def cooccurrence(links: DataFrame) -> DataFrame:
-    """(a, b, mentions), a < b: nodes of one event (events mention few nodes, so pairs are few)."""
-    x, y = links.alias("x"), links.alias("y")
-    j = x.join(y, (F.col("x.event_id") == F.col("y.event_id")) & (F.col("x.node_id") < F.col("y.node_id")))
-    return j.groupBy(F.col("x.node_id").alias("a"), F.col("y.node_id").alias("b")).agg(F.count(F.lit(1)).alias("mentions"))
+def cooccurrence(links: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(a, b, mentions), a < b: nodes of one event (events mention few nodes, so pairs are few). tasks: over how many tasks pairs are dealt before they are
+    counted, where nearly all are distinct, so that counts before the shuffle would only take memory; None: counted before and after it."""
+    pairs = met(links, links)
+    return (pairs.repartition(tasks, "a", "b") if tasks else pairs).groupBy("a", "b").agg(F.count(F.lit(1)).alias("mentions"))
+
+
+def met(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(a, b), a < b, once for each event of x and y (event_id, node_id) that mentions both, with x's other columns. Sides are sorted, never held or broadcast."""
+    x, y = x.withColumnRenamed("node_id", "a"), y.select("event_id", F.col("node_id").alias("b"))
+    return x.join(y.hint("merge"), "event_id").where("a < b")
 
 
 def weighted(pairs: DataFrame) -> DataFrame:
@@ -87,12 +93,13 @@ def decayed(edges: DataFrame, stale: str, factor: float = 0.92, least: float = 0
     return edges.withColumn("weight", F.when(F.expr(stale), F.greatest(F.lit(least), F.col("weight") * factor)).otherwise(F.col("weight")))
 
 
-def merged_slugs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges (a, b, weight) rewired to the smallest node of each slug; self-edges go, doubles keep the largest weight."""
+def merged_slugs(nodes: DataFrame, edges: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Edges (a, b, weight) rewired to the smallest node of each slug; self-edges go, doubles keep the largest weight. tasks: as in `cooccurrence`."""
     keep = nodes.groupBy("slug").agg(F.min("node_id").alias("keep"))
     to = nodes.join(keep, "slug").select("node_id", "keep")
     e = edges.join(to.select(F.col("node_id").alias("a"), F.col("keep").alias("ka")), "a").join(to.select(F.col("node_id").alias("b"), F.col("keep").alias("kb")), "b")
-    return e.where("ka <> kb").groupBy(F.col("ka").alias("a"), F.col("kb").alias("b")).agg(F.max("weight").alias("weight"))
+    e = e.where("ka <> kb").select(F.col("ka").alias("a"), F.col("kb").alias("b"), "weight")
+    return (e.repartition(tasks, "a", "b") if tasks else e).groupBy("a", "b").agg(F.max("weight").alias("weight"))
 
 
 def slugs(parts: DataFrame) -> DataFrame:
@@ -143,9 +150,11 @@ def ingested_edges(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     return met.unionByName(down).unionByName(part).groupBy("a", "b", "edge_type").agg(F.sum("n").alias("mentions"))
 
 
-def linked(stored: DataFrame, found: DataFrame, confidence: float = 0.75) -> DataFrame:
-    """(event_id, node_id, confidence): one row a link; a stored one keeps the higher confidence. stored: (event_id, node_id, confidence)."""
-    return stored.unionByName(found.select("event_id", "node_id", F.lit(confidence).alias("confidence"))).groupBy("event_id", "node_id").agg(F.max("confidence").alias("confidence"))
+def linked(stored: DataFrame, found: DataFrame, confidence: float = 0.75, tasks: int | None = None) -> DataFrame:
+    """(event_id, node_id, confidence): one row a link, however often it is in either; a stored one keeps the higher confidence. stored: (event_id, node_id, confidence).
+    tasks: over how many tasks the rows are dealt by event first, where most links are distinct."""
+    both = stored.unionByName(found.select("event_id", "node_id", F.lit(confidence).alias("confidence")))
+    return (both.repartition(tasks, "event_id") if tasks else both).groupBy("event_id", "node_id").agg(F.max("confidence").alias("confidence"))
 
 
 def query_nodes(spark: SparkSession, questions: DataFrame, top: int = 5) -> DataFrame:
@@ -178,8 +187,8 @@ def shared_gate(pairs: DataFrame, links: DataFrame) -> DataFrame:
 def expanded_hops(seeds: DataFrame, edges: DataFrame, mentions: DataFrame, strong: float, hops: int, most: int) -> DataFrame:
     """(node_id, distance, place): seeds (node_id) at 0, and behind them the nodes that strong edges (a, b, weight) reach in up to hops steps; of each step's
     new nodes the most mentioned are kept and followed, most of them at most, ties by id. In order of distance, then mentions (node_id, mentions). Each step joins
-    the edges with one frontier of at most most nodes; its result is cut off in the shared folder."""
-    e = edges.where(F.col("weight") >= strong)
+    the edges with one frontier of at most most nodes; its result is cut off in the shared folder, as are the strong edges, which are so derived once."""
+    e = cut(edges.where(F.col("weight") >= strong).select("a", "b", "weight"))
     both = e.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(e.select(F.col("b").alias("x"), F.col("a").alias("y")))
     found = cut(seeds.select("node_id").distinct().join(mentions, "node_id", "left").select("node_id", F.lit(0).alias("distance"), F.coalesce("mentions", F.lit(0)).cast("long").alias("mentions")))
     frontier = found

@@ -12,7 +12,7 @@ from ..functions import expressions as E
 from ..functions import vocab as V
 from ..operators import graph as G
 from ..sources.snapshots import Snapshots
-from ..sources.tables import LINKS_SQL, POSTS_SQL, links, posts, table
+from ..sources.tables import LINKS_SQL, POSTS_SQL, links, posts, table, tasks
 from . import duck as D
 from . import record_queries
 
@@ -67,14 +67,23 @@ _PAIR = f"(select x.node_id as a, y.node_id as b, count(*) as mentions from {LIN
 _EDGE = f"(select a, b, mentions, least(1.0::double, 0.45::double + 0.04::double * (mentions - 1)) as weight, least(1.0::double, 0.55::double + 0.03::double * (mentions - 1)) as confidence from {_PAIR} p)"
 
 
+def _dealt(spark, d) -> int:
+    """Tasks for the pairs of nodes of one event: some two a line."""
+    return 2 * tasks(table(spark, d, "lineitem"))
+
+
+def _pairs(spark, d):
+    return G.cooccurrence(links(spark, d), _dealt(spark, d))
+
+
 @query(f"select mentions, count(*) as n_edges from {_PAIR} p group by 1")
 def kg_cooccurrence_edges(spark, d):
-    return G.cooccurrence(links(spark, d)).groupBy("mentions").agg(F.count(F.lit(1)).alias("n_edges"))
+    return _pairs(spark, d).groupBy("mentions").agg(F.count(F.lit(1)).alias("n_edges"))
 
 
 @query(f"select a, b, mentions, round(weight, 4) as weight, round(confidence, 4) as confidence from {_EDGE} e")
 def kg_edge_weights(spark, d):
-    return G.weighted(G.cooccurrence(links(spark, d))).select("a", "b", "mentions", F.round("weight", 4).alias("weight"), F.round("confidence", 4).alias("confidence"))
+    return G.weighted(_pairs(spark, d)).select("a", "b", "mentions", F.round("weight", 4).alias("weight"), F.round("confidence", 4).alias("confidence"))
 
 
 @query(
@@ -83,7 +92,7 @@ def kg_edge_weights(spark, d):
 )
 def kg_expand_one_hop(spark, d):
     seeds = table(spark, d, "part").where("p_brand = 'Brand#11' and p_size > 40").select(F.col("p_partkey").alias("node_id"))
-    return G.expanded(seeds, G.weighted(G.cooccurrence(links(spark, d))), 0.3)
+    return G.expanded(seeds, G.weighted(_pairs(spark, d)), 0.3)
 
 
 @query(
@@ -109,11 +118,11 @@ _SEEN = f"(select x.node_id as a, y.node_id as b, count(*) as mentions, max(o_or
 )
 def kg_edge_decay(spark, d):
     """K9: edges that no event of the last 45 days mentions lose weight."""
-    dated = links(spark, d).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), "o_orderdate"), "event_id")
-    now = dated.sparkSession.read.parquet(f"{d}/orders.parquet").agg(F.max("o_orderdate").alias("now"))  # one row
-    x, y = dated.alias("x"), links(spark, d).alias("y")
-    j = x.join(y, (F.col("x.event_id") == F.col("y.event_id")) & (F.col("x.node_id") < F.col("y.node_id")))
-    e = j.groupBy(F.col("x.node_id").alias("a"), F.col("y.node_id").alias("b")).agg(F.count(F.lit(1)).alias("mentions"), F.max("o_orderdate").alias("last_seen"))
+    l = links(spark, d)
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"), "o_orderdate")
+    now = o.agg(F.max("o_orderdate").alias("now"))  # one row
+    j = G.met(l.join(o.repartition(tasks(table(spark, d, "lineitem")), "event_id").hint("merge"), "event_id"), l).select("a", "b", "o_orderdate")
+    e = j.repartition(_dealt(spark, d), "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("mentions"), F.max("o_orderdate").alias("last_seen"))
     e = G.weighted(e).join(F.broadcast(now))
     return G.decayed(e, "datediff(cast(now as date), cast(last_seen as date)) > 45").select("a", "b", F.round("weight", 6).alias("weight"))
 
@@ -126,7 +135,7 @@ _SLUG = r"coalesce(nullif(substr(trim(regexp_replace(regexp_replace(regexp_repla
  select x.keep as a, y.keep as b, max(weight) as weight from {_EDGE} e join m x on x.node_id = a join m y on y.node_id = b where x.keep <> y.keep group by 1, 2"""
 )
 def kg_slug_merge(spark, d):
-    return G.merged_slugs(G.slugs(table(spark, d, "part")), G.weighted(G.cooccurrence(links(spark, d))).select("a", "b", "weight"))
+    return G.merged_slugs(G.slugs(table(spark, d, "part")), G.weighted(_pairs(spark, d)).select("a", "b", "weight"), _dealt(spark, d))
 
 
 _SEED = ", ".join(f"({D.q(a)}, {D.q(b)}, {D.q(t)})" for a, b, t in V.SEED_EDGES)
@@ -174,15 +183,18 @@ def kg_ingested_edges(spark, d):
 _STORED = "select distinct l_orderkey as event_id, l_partkey as node_id, case when l_linenumber = 1 then 0.9::double else 0.5::double end as confidence from lineitem where l_linestatus = 'F'"
 
 
-def _stored(spark, d):
+def _stored(spark, d, repeated: bool = False):
     li = table(spark, d, "lineitem").where("l_linestatus = 'F'")
-    return li.select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("node_id"), F.expr("case when l_linenumber = 1 then 0.9D else 0.5D end").alias("confidence")).distinct()
+    rows = li.select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("node_id"), F.expr("case when l_linenumber = 1 then 0.9D else 0.5D end").alias("confidence"))
+    return rows if repeated else rows.distinct()
 
 
 @query(f"select event_id, node_id, max(confidence) as confidence from ({_STORED} union all select l_orderkey, l_partkey, 0.75::double from lineitem) x group by 1, 2")
 def kg_event_links(spark, d):
     """K5: links of events to nodes; one that is stored keeps the higher confidence."""
-    return G.linked(_stored(spark, d), links(spark, d))
+    li = table(spark, d, "lineitem")
+    every = li.select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("node_id"))
+    return G.linked(_stored(spark, d, repeated=True), every, tasks=tasks(li))
 
 
 @query(f"select o_orderkey as event_id, count(distinct l_partkey) as added from orders join lineitem on l_orderkey = o_orderkey where o_orderstatus = 'O' and o_orderkey not in (select event_id from ({_STORED}) s) group by 1")
@@ -275,7 +287,7 @@ def kg_expand_hops(spark, d):
     """K8: three steps over edges of two and more mentions, the 12 most mentioned new nodes of each."""
     seeds = table(spark, d, "part").where("p_brand = 'Brand#11' and p_size > 40").select(F.col("p_partkey").alias("node_id"))
     mentions = links(spark, d).groupBy("node_id").agg(F.count(F.lit(1)).alias("mentions"))
-    return G.expanded_hops(seeds, G.weighted(G.cooccurrence(links(spark, d))), mentions, 0.49, 3, 12).withColumn("place", F.col("place").cast("long"))
+    return G.expanded_hops(seeds, G.weighted(_pairs(spark, d)), mentions, 0.49, 3, 12).withColumn("place", F.col("place").cast("long"))
 
 
 _R_NODES = "(select p_partkey as node_id, lower(concat(p_brand, '-', p_partkey % 700)) as slug, case when p_size > 25 then 'Topic' else 'Product' end as node_type, coalesce(m, 0) as mentions from part left join (select l_partkey, count(*) as m from lineitem where l_linenumber = 1 and l_partkey % 3 = 0 group by 1) x on l_partkey = p_partkey)"

@@ -76,3 +76,25 @@ def test_related_counts_heavy_nodes_apart(spark):
     got = {tuple(x) for x in G.important_peers(df, spark.createDataFrame(list(importance.items()), "event_id long, importance double"), 3).collect()}
     ranks = {(e, p, k) for e in nodes for k, p in enumerate(sorted((p for p in nodes if p != e and p in importance and nodes[e] & nodes[p]), key=lambda p: (-importance[p], p))[:3], 1)}
     assert got == ranks
+
+
+def test_tasks_grow_with_the_table(spark, sf, monkeypatch):
+    """Links and their pairs are dealt over tasks by the table's rows, and nothing is made distinct before, so a task's memory stays as it is."""
+    from postloom.plans import graph_queries as Q
+    from postloom.sources import tables as T
+
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    rows = li.count()
+    monkeypatch.setattr(T.tasks, "__defaults__", (500,))
+    n = -(-rows // 500)
+    assert n > spark.sparkContext.defaultParallelism and T.tasks(li) == n
+    assert T.links(spark, sf).rdd.getNumPartitions() == n
+    assert Q.kg_event_links(spark, sf).rdd.getNumPartitions() == n and Q._pairs(spark, sf).rdd.getNumPartitions() == 2 * n
+    assert Q.kg_edge_decay(spark, sf).rdd.getNumPartitions() == 2 * n
+
+
+def test_links_that_repeat_and_pairs_dealt(spark):
+    stored = spark.createDataFrame([(1, 1, 0.5), (1, 1, 0.9), (1, 1, 0.9)], "event_id long, node_id long, confidence double")
+    found = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 2), (2, 1)], "event_id long, node_id long")
+    assert sorted(map(tuple, G.linked(stored, found, tasks=3).collect())) == [(1, 1, 0.9), (1, 2, 0.75), (2, 1, 0.75), (2, 2, 0.75)]
+    assert [tuple(r) for r in G.cooccurrence(found.distinct(), tasks=3).collect()] == [(1, 2, 2)]
