@@ -6,7 +6,8 @@ importance, freshness and the user's history, turned by intent and taste, and ta
 
 Questions are a stated set: blocks of QUESTIONS of them (vectors, node distances, settings) are broadcast, events are read where they lie, and each task
 keeps its PAGE best events of each question, so that no pair is a row. The few best are folded a question at a time; where a whole page
-leaves fewer hits than asked for, the next page is read from where it ended, so that no limit hides a hit.
+leaves fewer hits than asked for, the next page is read from where it ended, without the near-duplicates of the hits so far. Its first event is then a hit,
+so events are read once for each hit asked for at most, however many copies there are, and no limit hides a hit.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from ..config import DEFAULT, EngineConfig
 from ..functions import expressions as E
 from ..functions import vocab as V
 from .graph import query_nodes
-from .matching import Lists, _any, _codes, _hashes, _max_tokens, _unit
+from .matching import Lists, _any, _codes, _hashes, _max_tokens, _Postings, _unit
 
 QUESTIONS, PAGE, SEMANTIC = 256, 64, 40
 #: Least similarity of the nearest events, least score, and least similarity of events that no seed or neighbour leads to (deep search: second).
@@ -90,6 +91,8 @@ class Questions:
         self.user = np.asarray([r.get("weights") is not None for r in rows])
         self.taste = [{t: _taste(r, t) for t in V.THEMES} if r.get("weights") is not None else {} for r in rows]
         self.end = [(np.inf, -1)] * len(rows)  # score and id behind which the page begins
+        self.told: list[list[int]] = [[] for _ in rows]  # hits of earlier pages, as places in told_hits
+        self.told_hits: list[tuple[np.ndarray, int]] = []  # tokens and flags
 
     def similar(self, codes: Lists) -> np.ndarray:
         return _rounded(np.clip(_unit(codes, self.dim) @ self.vectors.T, 0.0, 1.0))
@@ -152,6 +155,24 @@ def _nearest(shared):
 _HIT = "question long, event long, score double, semantic double, distance int, matched array<string>, sources long, fresh double, importance double, tokens array<long>, flags int"
 
 
+def _copies(q: Questions, tokens: Lists, flags: np.ndarray, fits: np.ndarray, config: EngineConfig = DEFAULT) -> dict[int, np.ndarray]:
+    """For each earlier hit of a question that still asks and has events here: which of the events are near-duplicates of it, as in `near_duplicate`."""
+    wanted = sorted({h for k, told in enumerate(q.told) if told and q.end[k][0] > -np.inf and fits[:, k].any() for h in told})
+    if not wanted:
+        return {}
+    sets, names, out = _Postings(tokens), sorted(_max_tokens()), {}
+    named = [sets.shared([m]) > 0 for m in names]
+    for h in wanted:
+        own, mine = q.told_hits[h]
+        both, low, f = sets.shared(own), np.minimum(sets.sizes, len(own)), flags | mine
+        overlap = both / np.maximum(sets.sizes + len(own) - both, 1)
+        near = (overlap >= config.near_jaccard) | ((both >= 3) & (overlap >= config.near_jaccard_shared)) | ((low >= 3) & (both / np.maximum(low, 1) >= config.near_containment))
+        common = np.any([x for x, m in zip(named, names, strict=True) if m in own] or [np.zeros(sets.n, bool)], axis=0)
+        near |= (both >= 2) & ((f & 1) > 0) & ((((f & 2) > 0) & common) | (overlap >= config.near_removal))
+        out[h] = near & (both > 0)
+    return out
+
+
 def _best(shared, page: int):
     """Task: its page of events of each question, from the best on, behind where the question's last page ended."""
 
@@ -178,8 +199,13 @@ def _best(shared, page: int):
             fits &= ~apart | ((sim >= APART[deep]) & ((sim >= FAR) | np.isin(q.intent, ("qa", "recommendation", "deep"))[None, :]))
             fresh = np.clip(1.0 - np.maximum(0.0, (q.now - e["updated"]) / 60.0) / 336.0, 0.0, 1.0)
             out = []
+            copies = _copies(q, tokens, e["flags"], fits)
             for k, qid in enumerate(q.ids.tolist()):
                 end, last = q.end[k]
+                if end == -np.inf:
+                    continue
+                if q.told[k]:
+                    fits[:, k] &= ~np.any([copies[h] for h in q.told[k] if h in copies] or [np.zeros(len(fits), bool)], axis=0)
                 at = np.flatnonzero(fits[:, k] & ((score[:, k] < end) | ((score[:, k] == end) & (e["id"] > last))))
                 at = at[np.lexsort((e["id"][at], -score[at, k]))][:page]
                 mine = {n["name"] for n in q.rows[k]["nodes"]}
@@ -268,7 +294,16 @@ def ranked(events: DataFrame, questions: DataFrame, write: Write, now: int, limi
             more = [i for i, x in full.items() if len(told.get(i, [])) < limit]
             if not more:
                 break
-            # questions that are done read nothing more
+            # questions that are done read nothing more; hits are sent once, however many questions have them
+            hit_at: dict[tuple, int] = {}
+            q.told_hits, q.told = [], [[] for _ in rows]
+            for i in more:
+                for own, f in told.get(i, []):
+                    key = (tuple(own), f)
+                    if key not in hit_at:
+                        hit_at[key] = len(q.told_hits)
+                        q.told_hits.append((np.asarray(own, np.int64), f))
+                    q.told[place[i]].append(hit_at[key])
             q.end = [full[r["id"]] if r["id"] in more else (-np.inf, 0) for r in rows]
             turn += 1
     if not found:

@@ -98,3 +98,20 @@ def test_reasons_and_answers(spark):
     assert a[1]["used"] == [10, 11] and a[1]["answer"] == "По запросу «Apple news of wab»:\n• Apple news: wab and more\n• Other: news of nothing" and a[1]["relevant"] and a[1]["faithful"]
     assert not a[2]["relevant"] and a[2]["answer"] == V.ANSWER_EMPTY and a[2]["used"] == []
     assert S.ranked(S.searchable(*small(spark, 1)), S.asked(spark.createDataFrame([], "id long, text string"), spark.createDataFrame(EDGES, "a string, b string, weight double"), NOW), keeper(spark), NOW) is None
+
+
+def test_copies_take_no_pages_of_their_own(spark):
+    """600 copies of one event before the second hit: the next page leaves them out, instead of reading all events once for every page of copies."""
+    rows = [(i, "wab wac wad wae waf", "Apple wab wac wad", V.THEMES[0], NOW, 12, 9.0) for i in range(600)] + [(1000 + i, f"x{chr(97 + i)}a x{chr(97 + i)}b x{chr(97 + i)}c", "Apple", V.THEMES[0], NOW, 3, 1.0) for i in range(4)]
+    e = spark.createDataFrame(rows, "id long, title string, text string, theme string, updated long, sources long, importance double").withColumn("summary", F.col("title"))
+    keep, names = keeper(spark), []
+
+    def write(df, name):
+        names.append(name)
+        return keep(df, name)
+
+    asked = keep(S.asked(spark.createDataFrame([(1, "Apple wab"), (2, "OpenAI")], "id long, text string"), spark.createDataFrame(EDGES, "a string, b string, weight double"), NOW), "asked")
+    events = keep(S.searchable(e, e.select("id", F.lit("Apple").alias("name"))), "events")
+    hits = S.ranked(events, asked, write, NOW, page=8).where("question = 1").orderBy("place").collect()
+    assert [h["event"] for h in hits] == [0, 1000, 1001, 1002, 1003]
+    assert len([n for n in names if n.startswith("page-")]) <= 3
