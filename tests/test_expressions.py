@@ -81,3 +81,16 @@ def test_capitals_keep_letters_single(spark):
     got = {r["id"]: (r["c"], r["k"]) for r in df.select("id", F.expr(E.capitals("t")).alias("c"), F.expr(E.title_case(E.capitals("t"))).alias("k")).collect()}
     assert got[0] == ("GROẞ ẞA ẞ", "Groß ẞA ẞ") and got[1] == ("GRÜẞE AN ALLE", "Grüße AN Alle")
     assert got[2][0] == "ﬁN" and got[3] == ("", "") and got[4][0] == "ᾼB"
+
+
+def test_hashed_words_stay_in_tasks_that_grow_with_the_table(spark, sf, monkeypatch):
+    """Texts are dealt by id, not their sums: as many tasks as the table asks for, and one exchange."""
+    from postloom.functions.vectors import hashed_words
+    from postloom.plans import catalogue
+    from postloom.sources import tables as T
+
+    df = spark.createDataFrame([(1, "a b b c"), (1, "b d"), (2, None), (3, "")], "id long, text string")
+    assert sorted(hashed_words(df, "id", "text", 384, 5).collect()) == sorted(hashed_words(df, "id", "text", 384).collect()) != []
+    monkeypatch.setattr(T, "tasks", lambda df, each: 9)
+    for name in ("hash_embedding_sparse", "hash_embedding_norms"):
+        assert catalogue.queries()[name](spark, sf).rdd.getNumPartitions() == 9
