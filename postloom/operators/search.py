@@ -134,7 +134,7 @@ def _nearest(shared):
         for b in batches:
             if not b.num_rows:
                 continue
-            sim = q.similar(Lists(b.column("codes")))
+            sim = q.similar(Lists.of(b.column("codes")))
             ids, updated = np.asarray(b.column("id")), np.asarray(b.column("updated"))
             live = updated[:, None] >= q.since[None, :]
             graph = (q.distances(b.column("names").to_pylist()) < 9) & live
@@ -161,10 +161,10 @@ def _copies(q: Questions, tokens: Lists, flags: np.ndarray, fits: np.ndarray, co
     if not wanted:
         return {}
     sets, names, out = _Postings(tokens), sorted(_max_tokens()), {}
-    named = [sets.shared([m]) > 0 for m in names]
+    named = [sets.shared(Lists.one([m]))[0] > 0 for m in names]
     for h in wanted:
         own, mine = q.told_hits[h]
-        both, low, f = sets.shared(own), np.minimum(sets.sizes, len(own)), flags | mine
+        both, low, f = sets.shared(Lists.one(own))[0], np.minimum(sets.sizes, len(own)), flags | mine
         overlap = both / np.maximum(sets.sizes + len(own) - both, 1)
         near = (overlap >= config.near_jaccard) | ((both >= 3) & (overlap >= config.near_jaccard_shared)) | ((low >= 3) & (both / np.maximum(low, 1) >= config.near_containment))
         common = np.any([x for x, m in zip(named, names, strict=True) if m in own] or [np.zeros(sets.n, bool)], axis=0)
@@ -182,8 +182,8 @@ def _best(shared, page: int):
             if not b.num_rows:
                 continue
             e = {c: np.asarray(b.column(c)) for c in ("id", "updated", "sources", "importance", "flags")} | {"theme": b.column("theme").to_pylist()}
-            names, tokens = b.column("names").to_pylist(), Lists(b.column("tokens"))
-            sim, d = q.similar(Lists(b.column("codes"))), q.distances(names)
+            names, tokens = b.column("names").to_pylist(), Lists.of(b.column("tokens"))
+            sim, d = q.similar(Lists.of(b.column("codes"))), q.distances(names)
             near, personal, place = np.zeros(d.shape, bool), np.zeros(d.shape), {int(i): k for k, i in enumerate(q.ids)}
             for k, (i, said) in enumerate(zip(e["id"].tolist(), b.column("personal").to_pylist(), strict=True)):
                 near[k, q.near.get(i, [])] = True
@@ -270,7 +270,7 @@ def ranked(events: DataFrame, questions: DataFrame, write: Write, now: int, limi
         if not mine.num_rows:
             continue
         rows = [dict(r, weights=dict(r["weights"]) if r.get("weights") is not None else None) for r in mine.drop_columns(["codes"]).to_pylist()]
-        q = Questions(rows, Lists(mine["codes"]), config, now, deep)
+        q = Questions(rows, Lists.of(mine["codes"]), config, now, deep)
         shared = spark.sparkContext.broadcast(q)
         wants = write(events.mapInArrow(_nearest(shared), "question long, event long, sim double, graph boolean"), f"near-{k}")
         with_nodes = {r["question"] for r in wants.where("graph").select("question").distinct().collect()}
