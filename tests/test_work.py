@@ -1,7 +1,10 @@
 """Work that must not be done more often than asked: jobs of a block of decisions, rows of a micro-batch, passes over a text."""
 
+from pyspark.sql import functions as F
+
 from postloom.checkpoints import keeper
 from postloom.operators.matching import decided, features
+from postloom.streaming import live
 
 
 def test_jobs_of_a_block(spark):
@@ -15,3 +18,20 @@ def test_jobs_of_a_block(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(done) == 1 and done[0].count() == 120
     assert jobs <= 6 + 5 * 4, jobs
+
+
+def test_rows_of_a_batch_are_made_once(spark, tmp_path):
+    """What makes the rows of a stream of two paths runs once a row, not once for each path and for the newest time."""
+    seen = spark.sparkContext.accumulator(0)
+    schema = "id long, ts timestamp"
+    spark.range(50).select("id", F.timestamp_seconds(F.col("id") * 3600).alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = live.incoming(spark, f"{tmp_path}/in", schema).mapInArrow(count, schema)
+    live.two_paths(rows, "ts", "6 hours", f"file://{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert live.merged(spark, schema, f"file://{tmp_path}/out", ["id"], "ts").count() == 50
+    assert seen.value == 50
