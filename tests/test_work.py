@@ -1,8 +1,13 @@
 """Work that must not be done more often than asked: jobs of a block of decisions, rows of a micro-batch, passes over a text."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from postloom.checkpoints import keeper
+from postloom.functions import expressions as E
+from postloom.functions import vocab as V
 from postloom.operators.matching import decided, features
 from postloom.streaming import live
 
@@ -35,3 +40,15 @@ def test_rows_of_a_batch_are_made_once(spark, tmp_path):
     live.two_paths(rows, "ts", "6 hours", f"file://{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert live.merged(spark, schema, f"file://{tmp_path}/out", ["id"], "ts").count() == 50
     assert seen.value == 50
+
+
+@pytest.mark.parametrize("patterns", [[p for p, _ in V.THEME_RULES], [p for p, _ in V.FILTER_RULES]])
+def test_one_pass_for_all_patterns(spark, patterns):
+    """One pattern for all finds what any of them finds, in texts with and without Cyrillic letters, whatever the case."""
+    words = sorted({w for p in patterns for w in re.findall(r"[^\W\d_]{2,}", p)})
+    texts = [f"{a}{w}{b}" for w in words for a in ("", "x ", "x") for b in ("", " y", "y", "я")] + [w.upper() for w in words]
+    texts += ["ſteam deck", "ᲀыбор", "promo  code", "promocode!", "t.me/+a", "cve-2024", "gpt-4", "атомный реактор", "ставка", "plain words", "", "job offer", "#реклама", "hr", "hrs"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = rows.select("t", F.expr(E.matches_any("t", patterns)).alias("any"), F.expr(" or ".join(E.matches("t", p) for p in patterns)).alias("each")).collect()
+    assert [r["t"] for r in both if r["any"] != r["each"]] == []
+    assert {r["any"] for r in both} == {True, False}
