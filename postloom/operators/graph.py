@@ -117,7 +117,7 @@ def scanned_aliases(spark: SparkSession, posts: DataFrame, cap: int = 12) -> Dat
 def event_nodes(spark: SparkSession, posts: DataFrame) -> DataFrame:
     """(id, slug, raw, name, node_type) of each post: its light entities, resolved, and the aliases in its text. A name is resolved
     once, however many posts hold it. At most 24 rows a post; posts without names have none."""
-    raw = posts.select("id", F.explode(F.expr(E.light_entities("text"))).alias("raw")).where("length(trim(raw)) >= 2 and regexp_like(raw, '[A-Za-zА-Яа-я]')")
+    raw = cut(posts.select("id", F.explode(F.expr(E.light_entities("text"))).alias("raw")).where("length(trim(raw)) >= 2 and regexp_like(raw, '[A-Za-zА-Яа-я]')"))  # read twice
     known = resolved(spark, raw.select(F.col("raw").alias("name"))).select(F.col("name").alias("raw"), F.col("canonical").alias("name"), "node_type")
     found = raw.join(known, "raw").select("id", "raw", "name", "node_type").unionByName(scanned_aliases(spark, posts).withColumn("raw", F.col("name")))
     return found.select("id", F.expr(E.slug("name")).alias("slug"), F.lower("raw").alias("raw"), "name", "node_type").distinct()
@@ -138,7 +138,7 @@ def category_table(spark: SparkSession) -> DataFrame:
 def ingested_edges(spark: SparkSession, nodes: DataFrame) -> DataFrame:
     """(a, b, edge_type, mentions): both directions between nodes of one post, and, for each post of a node, RELATED_TO from what it
     belongs to and PART_OF back, where that is a node of the graph (a known one, or one of any post). No edge from a node to itself."""
-    own = nodes.select("id", "slug").distinct()
+    own = cut(nodes.select("id", "slug").distinct())  # read four times
     pairs = own.alias("x").join(own.alias("y"), (F.col("x.id") == F.col("y.id")) & (F.col("x.slug") != F.col("y.slug")))
     met = pairs.groupBy(F.col("x.slug").alias("a"), F.col("y.slug").alias("b")).agg(F.count(F.lit(1)).alias("n")).withColumn("edge_type", F.lit("RELATED_TO"))
     seeded = alias_table(spark).select(F.expr(E.slug("name")).alias("parent"))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from postloom.checkpoints import keeper
 from postloom.functions import expressions as E
 from postloom.functions import vocab as V
+from postloom.operators import graph as G
 from postloom.operators.matching import decided, features
+from postloom.plans.catalogue import queries
 from postloom.streaming import live
 
 
@@ -52,3 +54,23 @@ def test_one_pass_for_all_patterns(spark, patterns):
     both = rows.select("t", F.expr(E.matches_any("t", patterns)).alias("any"), F.expr(" or ".join(E.matches("t", p) for p in patterns)).alias("each")).collect()
     assert [r["t"] for r in both if r["any"] != r["each"]] == []
     assert {r["any"] for r in both} == {True, False}
+
+
+def test_posts_of_a_graph_are_made_once(spark):
+    """Posts are read once for their names and once for their aliases, however often the edges ask for their nodes."""
+    seen, schema = spark.sparkContext.accumulator(0), "id long, text string"
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    posts = spark.createDataFrame([(i, f"Some Name{i % 3} met OpenAI and Apple") for i in range(20)], schema).mapInArrow(count, schema)
+    edges = G.ingested_edges(spark, G.event_nodes(spark, posts)).collect()
+    assert {(e["a"], e["b"]): e["mentions"] for e in edges if e["edge_type"] == "RELATED_TO"}[("apple", "openai")] == 20
+    assert seen.value == 40
+
+
+def test_tokens_of_posts_are_made_once(spark, sf):
+    """Posts meet the benchmark three times with tokens that are kept."""
+    assert not any("documents" in f for f in queries()["near_dup_vs_benchmark"](spark, sf).inputFiles())
