@@ -14,7 +14,8 @@ that no task needs the corpus:
    block and content: of equal pieces only those of the smallest document need judging, the others are covered. Windows of a
    hot anchor go by a hash of their own LENGTH bytes instead, each to the bucket of its content, so that one phrase that a
    third of all documents hold does not gather them in one bucket.
-4. Index family. A bucket takes its distinct pieces by rising document id, in batches. A batch gets its suffix array (positions
+4. Index family. A bucket takes its distinct pieces by rising document id, in batches. Windows whose hash no other window of the bucket
+   has are left out (they start nowhere else; all others are compared byte by byte). A batch gets its suffix array (positions
    into its pieces), is merge-scanned against every level of the family for matches of LENGTH bytes, and its new suffixes become
    a level; levels that hold equally many batches are merged, so there are logarithmically many. A suffix found in a level,
    or in the batch under a smaller id, covers its window.
@@ -365,6 +366,27 @@ def _merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.argsort(np.concatenate([a, b]), kind="stable")
 
 
+def _suffixes(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, begin in the joined pieces) of every suffix of at least length bytes."""
+    size = np.array([len(p) for p in pieces], np.int64)
+    counts = size - length + 1
+    piece = np.repeat(np.arange(len(pieces)), counts)
+    return piece, np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]) - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(len(piece))
+
+
+def repeated_windows(pieces: list[bytes], length: int, batch: int) -> np.ndarray:
+    """Whether the hash of each window (in the pieces' order) is that of another one. Equal windows have equal hashes, so all others start
+    nowhere else and need no place in an index: most of a bucket's, whose pieces share an anchor but not LENGTH bytes."""
+    parts = [pieces[k : k + batch] for k in range(0, len(pieces), batch)]
+    h = np.concatenate([np.zeros(0, np.uint64), *(window_anchors(np.frombuffer(b"".join(p), np.uint8), length, length)[_suffixes(p, length)[1]] for p in parts)])
+    order = np.argsort(h)
+    h = h[order]
+    same = np.flatnonzero(h[1:] == h[:-1])
+    out = np.zeros(len(h), bool)
+    out[order[same]] = out[order[same + 1]] = True
+    return out
+
+
 class IndexFamily:
     """Suffix arrays whose sizes are powers of two batches, each with the smallest document of every suffix."""
 
@@ -372,14 +394,15 @@ class IndexFamily:
         self.length, self.scan = length, scan
         self.levels: list[_Level] = []
 
-    def add(self, pieces: list[bytes], docs: np.ndarray) -> np.ndarray:
+    def add(self, pieces: list[bytes], docs: np.ndarray, wanted: np.ndarray | None = None) -> np.ndarray:
         """Whether each suffix of at least length bytes (in the pieces' order) also starts in a smaller document seen before or
-        in this batch."""
-        size = np.array([len(p) for p in pieces], np.int64)
-        counts = size - self.length + 1
-        piece = np.repeat(np.arange(len(pieces)), counts)
-        begin = np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]) - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(len(piece))
-        new = _Level(np.frombuffer(b"".join(pieces), np.uint8), begin, docs[piece], self.length)
+        in this batch. Suffixes that are not wanted, if given, are known to start nowhere else: they are not indexed, and not covered."""
+        piece, begin = _suffixes(pieces, self.length)
+        mine = np.arange(len(piece)) if wanted is None else np.flatnonzero(wanted)
+        covered = np.zeros(len(piece), bool)
+        if not len(mine):
+            return covered
+        new = _Level(np.frombuffer(b"".join(pieces), np.uint8), begin[mine], docs[piece[mine]], self.length)
         heads = new.heads()
         order = np.argsort(heads, kind="stable")
         heads = heads[order]
@@ -390,8 +413,7 @@ class IndexFamily:
         fresh = np.ones(len(heads), bool)
         for level in self.levels:
             self._match(level, heads, least, fresh)
-        covered = np.empty(len(piece), bool)
-        covered[order] = new.least[order] > least[np.cumsum(first) - 1]
+        covered[mine[order]] = new.least[order] > least[np.cumsum(first) - 1]
         self._push(_Level(new.text, new.at[order][starts][fresh], least[fresh], self.length))
         return covered
 
@@ -423,9 +445,19 @@ def _judged(places: dict[bytes, list[tuple[int, int, int, int]]], length: int, b
     least = {p: min(x)[0] for p, x in places.items()}
     pieces = sorted(places, key=lambda p: (least[p], p))
     family, out = IndexFamily(length), []
+    for p in pieces:
+        if len(places[p]) > 1:
+            out += [(b, r, s, s + len(p)) for d, b, r, s in places[p] if d != least[p]]
+    wanted = repeated_windows(pieces, length, batch)
+    begin = np.concatenate([[0], np.cumsum([len(p) - length + 1 for p in pieces])]).astype(np.int64)
+    any_ = np.add.reduceat(wanted, begin[:-1]) > 0 if pieces else wanted
+    wanted = wanted[np.repeat(any_, np.diff(begin))]
+    pieces = [pieces[k] for k in np.flatnonzero(any_).tolist()]
     for k in range(0, len(pieces), batch):
         part = pieces[k : k + batch]
-        covered = family.add(part, np.array([least[p] for p in part], np.int64))
+        n = sum(len(p) - length + 1 for p in part)
+        covered = family.add(part, np.array([least[p] for p in part], np.int64), wanted[:n])
+        wanted = wanted[n:]
         edge = np.concatenate([[0], np.cumsum([len(p) - length + 1 for p in part])])
         inside = np.zeros(len(covered) + 1, bool)
         inside[:-1] = covered
@@ -437,9 +469,6 @@ def _judged(places: dict[bytes, list[tuple[int, int, int, int]]], length: int, b
         whose = np.searchsorted(edge, begins, side="right") - 1
         for p, x, y in zip(whose.tolist(), (begins - edge[whose]).tolist(), (ends - edge[whose]).tolist(), strict=True):
             out += [(b, r, s + x, s + y + length) for d, b, r, s in places[part[p]] if d == least[part[p]]]
-        for piece in part:
-            if len(places[piece]) > 1:
-                out += [(b, r, s, s + len(piece)) for d, b, r, s in places[piece] if d != least[piece]]
     return out
 
 

@@ -169,6 +169,42 @@ def test_repeats_edges(spark, docs_of):
     assert sorted((x["doc_id"] or -1, x["n_removed"], x["carried"]) for x in got) == [(-1, 0, "x"), (1, 0, "x")]
 
 
+def test_only_windows_that_repeat_are_indexed(monkeypatch):
+    """Pieces of one bucket share an anchor but mostly not a whole window: those windows take no place in an index, and the covered runs are those of brute force."""
+    r = random.Random(9)
+    word = lambda n: bytes(r.choice(b"abcdefgh") for _ in range(n))
+    shared = [word(20) for _ in range(3)]
+    places, texts = {}, []
+    for doc in range(400):
+        piece = word(r.randint(15, 40)) + r.choice(shared) + word(r.randint(15, 40))
+        if doc % 20 == 19:
+            piece = texts[doc - 1]
+        elif doc % 10 == 9:
+            piece = word(5) + texts[doc - 3][:58] + word(6)
+        texts.append(piece)
+        places.setdefault(piece, []).append((doc, doc // 50, doc, 0))
+    indexed = []
+
+    class Level(S._Level):
+        def __init__(self, text, at, *rest):
+            indexed.append(len(at))
+            super().__init__(text, at, *rest)
+
+    monkeypatch.setattr(S, "_Level", Level)
+    got = set()
+    for _, row, x, y in S._judged(places, S.LENGTH, 64):
+        got |= {(row, k) for k in range(x, y)}
+    seen, want = set(), set()
+    for doc, text in enumerate(texts):
+        own = {text[k : k + S.LENGTH]: k for k in range(len(text) - S.LENGTH + 1)}
+        want |= {(doc, k + j) for w, k in own.items() if w in seen for j in range(S.LENGTH)}
+        seen |= set(own)
+    windows = sum(len(p) - S.LENGTH + 1 for p in places)
+    assert got == want and want
+    assert max(indexed) < windows // 8, (max(indexed), windows)
+    assert S._judged({}, S.LENGTH, 64) == [] and not S.repeated_windows([], S.LENGTH, 64).any()
+
+
 def test_rows_of_one_id_are_judged_by_their_own_text(spark, docs_of):
     a, b = "q" * 60, "z" * 70
     got = S.without_repeats(spark, docs_of([(1, a), (2, a), (2, b), (2, b), (3, b)]), as_text=True).collect()
