@@ -150,3 +150,39 @@ def test_personal_window_reads_as_deep_as_it_must(spark, monkeypatch):
     assert len([x for x in got if x["user_id"] == 0]) == 40 and len(kept) > 2
     monkeypatch.undo()
     assert sorted(got) == sorted(R.feed_window(news, sources, states, settings, subs, depth=2_000).collect())
+
+
+def _readers_of_wide_nodes(spark):
+    """60 users, who like some of 600 active events on 8 nodes (75 events and more each), and plain tables of them."""
+    r = random.Random(3)
+    news = {e: ("active" if e % 5 else "archived", r.randint(0, 40) / 4) for e in range(600)}
+    links = sorted({(e, r.randint(0, 7)) for e in news for _ in range(r.randint(1, 2))})
+    states = {(u, e): (r.random() < 0.3, False, r.random() < 0.2, r.random() < 0.1, r.randint(0, 2), r.randint(0, 99)) for u in range(60) for e in r.sample(range(600), 25)}
+    frame = spark.createDataFrame
+    rows = [(u, e, *x) for (u, e), x in states.items()]
+    return news, links, states, (
+        frame([(e, *x) for e, x in news.items()], "event_id long, status string, importance double"), frame(links, "event_id long, node_id long"),
+        frame(rows, "user_id long, news_id long, liked boolean, favorite boolean, is_read boolean, disliked boolean, shown_count int, last_ts long"),
+    )
+
+
+def _first_unseen(news, links, states, user, nodes, top):
+    seen = {e for (u, e), x in states.items() if u == user and (x[4] > 0 or x[3])}
+    return sorted({(-news[e][1], e) for e, n in links if n in nodes and e not in seen and news[e][0] == "active"})[:top]
+
+
+def test_recommended_reads_first_places_of_nodes(spark):
+    """A plain loop's rows, with and without dealing by user; users do not meet all events of their nodes."""
+    from collections import Counter
+
+    news, links, states, frames = _readers_of_wide_nodes(spark)
+    wanted = set()
+    for user in range(60):
+        counts = Counter(n for e, n in links if any(states.get((user, e), (False, False, False))[:3]))
+        nodes = sorted(counts, key=lambda n: (-counts[n], n))[:6]
+        wanted |= {(user, e, -i) for i, e in _first_unseen(news, links, states, user, nodes, 3)}
+    for tasks in (None, 5):
+        assert {tuple(x) for x in R.recommended(*frames, 6, 3, tasks=tasks).collect()} == wanted
+    met = sum(len([1 for e, n in links if n == k and news[e][0] == "active"]) for k in range(8)) * 60 * 6 // 8
+    most = _most_rows(R.recommended(*frames, 6, 3))[1]
+    assert most < met // 2, (most, met)
