@@ -186,3 +186,25 @@ def test_recommended_reads_first_places_of_nodes(spark):
     met = sum(len([1 for e, n in links if n == k and news[e][0] == "active"]) for k in range(8)) * 60 * 6 // 8
     most = _most_rows(R.recommended(*frames, 6, 3))[1]
     assert most < met // 2, (most, met)
+
+
+def test_recommended_wide_reads_first_places_of_nodes(spark):
+    """A plain loop's rows, with neighbours cut to the first few of a node."""
+    from collections import Counter
+
+    news, links, states, frames = _readers_of_wide_nodes(spark)
+    m = Counter(n for _, n in links)
+    of = {e: {n for x, n in links if x == e} for e in news}
+    wanted = set()
+    for user in range(60):
+        lately = sorted((-x[5], e) for (u, e), x in states.items() if u == user and any(x[:3]))[:4]
+        order = lambda ns, k: sorted(ns, key=lambda n: (-m[n], n))[:k]
+        liked = order({n for _, e in lately for n in of[e]}, 2)
+        around = order({b for a in liked for ns in of.values() if a in ns for b in ns} - set(liked), 2)
+        wanted |= {(user, e, -i, "graph") for i, e in _first_unseen(news, links, states, user, {*liked, *around}, 3)}
+    users = spark.range(60).withColumnRenamed("id", "user_id")
+    for tasks in (None, 5):
+        got = {tuple(x) for x in R.recommended_wide(*frames, users, 4, 2, 2, 3, 20, tasks=tasks).where("via = 'graph'").collect()}
+        assert got == wanted and {u for u, *_ in got} == set(range(60))
+    most = _most_rows(R.recommended_wide(*frames, users, 4, 2, 2, 3, 20).where("via = 'graph'"))[1]
+    assert most < 60 * 4 * 60, most
