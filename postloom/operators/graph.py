@@ -228,15 +228,19 @@ def maintained(nodes: DataFrame, edges: DataFrame, links: DataFrame, stale: str)
     return new_nodes, new_edges, new_links, report
 
 
-def important_peers(links: DataFrame, events: DataFrame, top: int) -> DataFrame:
+def important_peers(links: DataFrame, events: DataFrame, top: int, tasks: int | None = None) -> DataFrame:
     """(event_id, peer, k): for each event the top events (event_id, importance) that share a node with it, the most important first. Of a node only its top + 1 events can
-    be among them, so each node is cut to those before it meets its events: a node that a third of all events mention gives top + 1 rows an event, not all pairs."""
+    be among them, so each node is cut to those before it meets its events: a node that a third of all events mention gives top + 1 peers an event, not all pairs. A node's
+    peers are one row for each of its events, shuffled once, by event. tasks: over how many tasks they are dealt."""
     named = links.select("event_id", "node_id").distinct()
     w = Window.partitionBy("node_id").orderBy(F.desc("importance"), "event_id")
-    best = named.join(events, "event_id").withColumn("r", F.row_number().over(w)).where(F.col("r") <= top + 1).select("node_id", F.col("event_id").alias("peer"), "importance")
-    met = named.join(best, "node_id").where("event_id <> peer").select("event_id", "peer", "importance").distinct()
-    w = Window.partitionBy("event_id").orderBy(F.desc("importance"), "peer")
-    return met.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).select("event_id", "peer", "k")
+    best = named.join(events, "event_id").withColumn("r", F.row_number().over(w)).where(F.col("r") <= top + 1)
+    best = best.groupBy("node_id").agg(F.collect_list(F.struct("importance", F.negative("event_id").alias("minus"))).alias("best"))
+    met = named.join(best, "node_id").select("event_id", F.col("best.importance").alias("importance"), F.col("best.minus").alias("minus"))
+    met = (met.repartition(tasks, "event_id") if tasks else met).groupBy("event_id").agg(F.flatten(F.collect_list(F.arrays_zip("importance", "minus"))).alias("met"))
+    others = F.array_distinct(F.filter("met", lambda x: x["minus"] != -F.col("event_id")))
+    first = F.slice(F.sort_array(others, asc=False), 1, top)  # importance falls, ids rise
+    return met.select("event_id", F.posexplode(first)).select("event_id", F.negative("col.minus").alias("peer"), (F.col("pos") + 1).alias("k"))
 
 
 def upserted(stored: DataFrame, mentions: DataFrame, first: float = 0.45, step: float = 0.04) -> DataFrame:

@@ -98,3 +98,45 @@ def test_links_that_repeat_and_pairs_dealt(spark):
     found = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 2), (2, 1)], "event_id long, node_id long")
     assert sorted(map(tuple, G.linked(stored, found, tasks=3).collect())) == [(1, 1, 0.9), (1, 2, 0.75), (2, 1, 0.75), (2, 2, 0.75)]
     assert [tuple(r) for r in G.cooccurrence(found.distinct(), tasks=3).collect()] == [(1, 2, 2)]
+
+
+def _most_shuffled(df):
+    """Rows of a query, and the rows of its widest exchange; runs it."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = df.collect()
+
+        def walk(node):
+            n = node.metrics().get("shuffleRecordsWritten")
+            own = n.get().value() if n.isDefined() else 0
+            return max([own, *(walk(node.children().apply(k)) for k in range(node.children().size()))])
+
+        return got, walk(df._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def _dense(spark):
+    """400 events on 20 nodes, two or three each; importance, with doubles and without some."""
+    import random
+
+    r = random.Random(8)
+    links = sorted({(e, r.randint(0, 19)) for e in range(400) for _ in range(3)})
+    importance = {e: r.choice([None, *range(12)]) for e in range(400) if e % 9}
+    nodes = {}
+    for e, n in links:
+        nodes.setdefault(e, set()).add(n)
+    return links, nodes, importance, spark.createDataFrame(links, "event_id long, node_id long")
+
+
+def test_important_peers_shuffle_links_not_pairs(spark):
+    """A link is shuffled with its node's peers as one row; ties go by id, events without importance come last."""
+    links, nodes, importance, df = _dense(spark)
+    events = spark.createDataFrame([(e, None if i is None else float(i)) for e, i in importance.items()], "event_id long, importance double")
+    order = lambda p: (importance[p] is None, -(importance[p] or 0), p)
+    want = {(e, p, k) for e in nodes for k, p in enumerate(sorted((p for p in nodes if p != e and p in importance and nodes[e] & nodes[p]), key=order)[:6], 1)}
+    for tasks in (None, 3):
+        got, most = _most_shuffled(G.important_peers(df, events, 6, tasks))
+        assert {tuple(x) for x in got} == want
+        assert most <= len(links), (most, len(links))
