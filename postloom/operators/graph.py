@@ -62,30 +62,50 @@ def expanded(seeds: DataFrame, edges: DataFrame, strong: float) -> DataFrame:
     return seeds.select("node_id", F.lit(0).alias("distance")).unionAll(near).groupBy("node_id").agg(F.min("distance").alias("distance"))
 
 
-def related(links: DataFrame, event_ids: DataFrame, top: int = 12, heavy: int = 1_000) -> DataFrame:
+def related(links: DataFrame, event_ids: DataFrame, top: int = 12, heavy: int = 1_000, tasks: int | None = None) -> DataFrame:
     """(event_id, peer, shared): for each given event the top events that share most nodes, the smaller ids first among equals.
 
-    Nodes of more than heavy events never meet themselves. Events that share a lighter node are found by it, and their heavy nodes are counted by intersection. An event that
-    shares heavy nodes alone, say the set S, is among the top + 1 smallest ids of all events that mention S, if it is among the top at all, because those before it share S
-    too. So every set of an event's heavy nodes (there are few) is a key whose events are cut to top + 1, before the shuffle already.
+    If an event shares just the set S of nodes with one of its top, that one is among the top + 1 smallest ids of all events that mention S, because those before it share S
+    too. So of a single node only its first top + 1 events are looked at: they come with each of its events as one row, and of an event's only the first top stay. Events that
+    share two or more light nodes are found by pairs of nodes, which few events have in common. Nodes of more than heavy events never meet themselves: every set of an event's
+    heavy nodes (there are few), alone and with one of its light nodes, is a key whose events are cut to top + 1, before the shuffle already. What a cut leaves out is
+    counted too low at most, and is not among the top. tasks: over how many tasks links are dealt by event; pairs of nodes over twice as many.
     """
-    named = links.select("event_id", "node_id").distinct()
+    dealt = lambda df, n, *by: df.repartition(n * tasks, *by) if tasks else df
+    asked = event_ids.select("event_id").distinct().withColumn("asked", F.lit(True))
+    named = links.select("event_id", "node_id").distinct().where("event_id is not null and node_id is not null").join(asked, "event_id", "left")
+    named = dealt(named, 1, "node_id")
     hot = named.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > heavy).select("node_id", F.lit(True).alias("hot"))
-    tagged = named.join(hot, "node_id", "left")
-    light = tagged.where("hot is null").select("event_id", "node_id")
-    sets = tagged.where("hot").groupBy("event_id").agg(F.sort_array(F.collect_list("node_id")).alias("heavy"))
-    found = light.join(event_ids, "event_id", "left_semi").select(F.col("event_id").alias("e"), "node_id").join(light, "node_id").where("e <> event_id").groupBy("e", F.col("event_id").alias("peer")).agg(F.count(F.lit(1)).alias("shared"))
+    tagged, light = named.join(hot, "node_id", "left"), F.col("hot").isNull()
+    of_node = Window.partitionBy("node_id", F.when(~light, F.col("event_id")))  # a heavy node's events lie apart
+    tagged = tagged.withColumn("r", F.row_number().over(of_node.orderBy("event_id")))
+    tagged = tagged.withColumn("first", F.collect_list(F.when(F.col("r") <= top + 1, F.col("event_id"))).over(of_node.orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = dealt(tagged.select("event_id", "node_id", light.alias("light"), F.coalesce("asked", F.lit(False)).alias("asked"), F.when(light & F.col("asked"), F.col("first")).alias("first")), 1, "event_id")
+    events = rows.groupBy("event_id").agg(
+        F.first("asked").alias("asked"), F.sort_array(F.collect_list(F.when(F.col("light"), F.col("node_id")))).alias("light"), F.sort_array(F.collect_list(F.when(~F.col("light"), F.col("node_id")))).alias("heavy"),
+        F.flatten(F.collect_list("first")).alias("first"),
+    )
+    ones = F.slice(F.sort_array(F.array_except("first", F.array("event_id"))), 1, top)
+    events = cut(events.select("event_id", "asked", "light", "heavy", ones.alias("ones")))  # read four times
+
+    pairs = events.where("size(light) > 1").select("event_id", "asked", "heavy", F.explode(F.expr("flatten(transform(light, (x, i) -> transform(slice(light, i + 2, size(light)), y -> struct(x as a, y as b))))")).alias("p"))
+    held = dealt(pairs.select("p.a", "p.b", F.struct("event_id", "asked", "heavy").alias("e")), 2, "a", "b").groupBy("a", "b").agg(F.collect_list("e").alias("es")).where("size(es) > 1")
+    met = held.select("es", F.explode("es").alias("x")).where("x.asked").select("x", F.explode("es").alias("y")).where("x.event_id <> y.event_id")
+    met = met.groupBy(F.col("x.event_id").alias("e"), F.col("y.event_id").alias("peer")).agg(F.count(F.lit(1)).alias("c"), F.first(F.size(F.array_intersect("x.heavy", "y.heavy"))).alias("h"))
+    found = met.select("e", "peer", (F.round((1 + F.sqrt(1 + 8 * F.col("c"))) / 2) + F.col("h")).cast("long").alias("shared"))  # c = n (n - 1) / 2 pairs of n nodes
+
     subsets = F.explode(F.expr("transform(sequence(1, cast(shiftleft(1, size(heavy)) as int) - 1), m -> filter(heavy, (x, i) -> shiftright(m, i) % 2 = 1))"))
-    keyed = sets.select("event_id", subsets.alias("key"))
-    first = Window.partitionBy("key").orderBy("event_id")
-    few = keyed.withColumn("r", F.row_number().over(first)).where(F.col("r") <= top + 1).select("key", F.col("event_id").alias("peer"))
-    met = keyed.join(event_ids, "event_id", "left_semi").select(F.col("event_id").alias("e"), "key").join(few, "key").where("e <> peer").select("e", "peer").distinct()
-    pairs = found.unionByName(met.withColumn("shared", F.lit(0).cast("long"))).groupBy("e", "peer").agg(F.max("shared").alias("shared"))
-    of = lambda side: sets.select(F.col("event_id").alias(side), F.col("heavy").alias(f"heavy_{side}"))
-    both = pairs.join(of("e"), "e", "left").join(of("peer"), "peer", "left")
-    both = both.withColumn("shared", F.col("shared") + F.coalesce(F.size(F.array_intersect("heavy_e", "heavy_peer")), F.lit(0)))
-    w = Window.partitionBy("e").orderBy(F.desc("shared"), "peer")
-    return both.withColumn("k", F.row_number().over(w)).where(F.col("k") <= top).select(F.col("e").alias("event_id"), "peer", "shared")
+    keyed = events.where("size(heavy) > 0").select("event_id", "asked", "light", subsets.alias("some"))
+    keyed = keyed.select("event_id", "asked", F.explode(F.expr("concat(array(some), transform(light, x -> concat(some, array(x))))")).alias("key"))
+    few = keyed.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("event_id"))).where(F.col("r") <= top + 1).select("key", F.col("event_id").alias("peer"))
+    more = keyed.where("asked").select(F.col("event_id").alias("e"), "key").join(few, "key").where("e <> peer").select("e", "peer", F.size("key").cast("long").alias("shared"))
+    found = found.unionAll(more).groupBy("e", "peer").agg(F.max("shared").alias("shared"))
+    found = found.groupBy("e").agg(F.slice(F.sort_array(F.collect_list(F.struct("shared", F.negative("peer").alias("minus"))), asc=False), 1, top).alias("found"))
+
+    all_ = events.where("asked").join(found, F.col("event_id") == F.col("e"), "left").withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<shared:bigint,minus:bigint>>)")))
+    rest = F.transform(F.array_except("ones", F.transform("found", lambda x: -x["minus"])), lambda p: F.struct(F.lit(1).cast("long").alias("shared"), F.negative(p).alias("minus")))
+    best = F.slice(F.sort_array(F.concat("found", rest), asc=False), 1, top)
+    return all_.select("event_id", F.explode(best).alias("x")).select("event_id", F.negative("x.minus").alias("peer"), "x.shared")
 
 
 def decayed(edges: DataFrame, stale: str, factor: float = 0.92, least: float = 0.05) -> DataFrame:

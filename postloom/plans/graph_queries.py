@@ -102,7 +102,7 @@ def kg_expand_one_hop(spark, d):
 )
 def kg_related_events(spark, d):
     active = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("event_id"))
-    return G.related(links(spark, d), active)
+    return G.related(links(spark, d), active, tasks=tasks(table(spark, d, "lineitem")))
 
 
 @query(f"select p_partkey as node_id from part where p_partkey not in (select node_id from {LINKS_SQL} l)")

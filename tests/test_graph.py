@@ -140,3 +140,17 @@ def test_important_peers_shuffle_links_not_pairs(spark):
         got, most = _most_shuffled(G.important_peers(df, events, 6, tasks))
         assert {tuple(x) for x in got} == want
         assert most <= len(links), (most, len(links))
+
+
+def test_related_shuffles_first_events_of_nodes(spark):
+    """Events that share one node are read from its first few, others by pairs of nodes; light and heavy nodes mixed, with and without dealing, null ids, events without links."""
+    links, nodes, _, df = _dense(spark)
+    asked = [*range(0, 500, 2)]
+    ids = spark.createDataFrame([(e,) for e in asked], "event_id long")
+    shared = {e: {p: len(nodes[e] & nodes[p]) for p in nodes if p != e and nodes[e] & nodes[p]} for e in asked if e in nodes}
+    want = {(e, p, n[p]) for e, n in shared.items() for p in sorted(n, key=lambda p: (-n[p], p))[:5]}
+    odd = df.unionAll(spark.createDataFrame([(None, 1), (1, None), (None, None)], "event_id long, node_id long"))
+    for heavy, tasks in ((1_000, None), (1_000, 3), (57, 3), (0, None)):
+        assert {tuple(x) for x in G.related(odd, ids, 5, heavy, tasks=tasks).collect()} == want, heavy
+    got, most = _most_shuffled(G.related(df, ids, 5))
+    assert len(got) == len(want) and most < sum(map(len, shared.values())) // 2, most
