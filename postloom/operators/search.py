@@ -5,13 +5,14 @@ those nodes, and, for some intents or where there are none, the SEMANTIC nearest
 importance, freshness and the user's history, turned by intent and taste, and taken from the best on without near-duplicates.
 
 Questions are a stated set: blocks of QUESTIONS of them (vectors, node distances, settings) are broadcast, events are read where they lie, and each task
-keeps its PAGE best events of each question, so that no pair is a row. The few best are folded a question at a time; where a whole page
+keeps its PAGE best events of each question over all that it reads, so that no pair is a row; only events with a question's nodes, or near to it, are scored. The few best are folded a question at a time; where a whole page
 leaves fewer hits than asked for, the next page is read from where it ended, without the near-duplicates of the hits so far. Its first event is then a hit,
 so events are read once for each hit asked for at most, however many copies there are, and no limit hides a hit.
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 
 import numpy as np
@@ -25,7 +26,9 @@ from ..functions import vocab as V
 from .graph import query_nodes
 from .matching import Lists, _any, _codes, _hashes, _max_tokens, _Postings, _unit
 
-QUESTIONS, PAGE, SEMANTIC = 256, 64, 40
+QUESTIONS, PAGE, SEMANTIC = 1_024, 64, 40
+#: Events that meet a block of questions at once.
+AT_ONCE = 256
 #: Least similarity of the nearest events, least score, and least similarity of events that no seed or neighbour leads to (deep search: second).
 NEAREST, LEAST, APART, FAR = (0.16, 0.12), (0.38, 0.34), (0.45, 0.40), 0.48
 
@@ -94,6 +97,17 @@ class Questions:
         self.told: list[list[int]] = [[] for _ in rows]  # hits of earlier pages, as places in told_hits
         self.told_hits: list[tuple[np.ndarray, int]] = []  # tokens and flags
 
+    def only(self, at: list[int]) -> "Questions":
+        """Some of the questions."""
+        q, new = copy.copy(self), {k: i for i, k in enumerate(at)}
+        for name in ("ids", "vectors", "since", "intent", "seeded", "user"):
+            setattr(q, name, getattr(self, name)[at])
+        for name in ("rows", "taste", "end", "told"):
+            setattr(q, name, [getattr(self, name)[k] for k in at])
+        q.nodes = {n: own for n, x in self.nodes.items() if (own := [(new[k], d) for k, d in x if k in new])}
+        q.near = {e: own for e, x in self.near.items() if (own := [new[k] for k in x if k in new])}
+        return q
+
     def similar(self, codes: Lists) -> np.ndarray:
         return _rounded(np.clip(_unit(codes, self.dim) @ self.vectors.T, 0.0, 1.0))
 
@@ -112,18 +126,60 @@ def _taste(row: dict, theme: str) -> float:
     return weight * (0.35 if row["enabled"] and theme not in row["enabled"] else 1.0)
 
 
-def scores(q: Questions, e: dict, sim: np.ndarray, distance: np.ndarray, personal: np.ndarray) -> np.ndarray:
-    """Scores of events (rows) for questions (columns)."""
+def scores(q: Questions, e: dict, i: np.ndarray, k: np.ndarray, sim: np.ndarray, distance: np.ndarray, personal: np.ndarray) -> np.ndarray:
+    """Scores of pairs: of the events at i for the questions at k."""
     clip = lambda x: np.clip(x, 0.0, 1.0)
-    fresh, importance = clip(1.0 - np.maximum(0.0, (q.now - e["updated"]) / 60.0) / 336.0)[:, None], clip(e["importance"] / 10.0)[:, None]
+    fresh, importance = clip(1.0 - np.maximum(0.0, (q.now - e["updated"]) / 60.0) / 336.0)[i], clip(e["importance"] / 10.0)[i]
     graph = np.where(distance <= 0, 1.0, np.where(distance == 1, 0.65, 0.35))
-    score = 0.35 * sim + 0.20 * graph + 0.15 * clip(e["sources"] / 12.0)[:, None] + 0.10 * importance + 0.10 * fresh + 0.10 * personal
-    kind = q.intent[None, :]
+    score = 0.35 * sim + 0.20 * graph + 0.15 * clip(e["sources"] / 12.0)[i] + 0.10 * importance + 0.10 * fresh + 0.10 * personal
+    kind = q.intent[k]
     score = np.where(kind == "timeline", 0.55 * fresh + 0.45 * score, score)
     score = np.where((kind == "entity") & (distance < 9), np.minimum(1.0, score + 0.08), score)
     score = np.where(kind == "recommendation", 0.5 * score + 0.3 * importance + 0.2 * personal, score)
-    taste = np.asarray([[t.get(theme, 0.0) for t in q.taste] for theme in e["theme"]]).reshape(score.shape)
-    return np.where(q.user[None, :], np.minimum(1.0, 0.70 * score + 0.30 * (0.55 * taste + 0.45 * personal)), score)
+    if not q.user.any():
+        return score
+    taste = np.asarray([q.taste[y].get(e["theme"][x], 0.0) for x, y in zip(i.tolist(), k.tolist(), strict=True)])
+    return np.where(q.user[k], np.minimum(1.0, 0.70 * score + 0.30 * (0.55 * taste + 0.45 * personal)), score)
+
+
+class _Most:
+    """The best rows of each question that a task has seen so far: value from the highest on, then id. What cannot be among them is known by floor."""
+
+    def __init__(self, n: int, most: int):
+        self.most, self.floor, self.rows = most, np.full(n, -np.inf), [[] for _ in range(n)]
+
+    def add(self, k: int, rows: list[tuple]) -> None:
+        """Rows (value, id, ...) of a question."""
+        own = self.rows[k]
+        own += rows
+        if len(own) >= self.most + 32:
+            self.cut(k)
+
+    def cut(self, k: int) -> list[tuple]:
+        own = self.rows[k]
+        own.sort(key=lambda r: (-r[0], r[1]))
+        del own[self.most :]
+        if len(own) == self.most:
+            self.floor[k] = own[-1][0]
+        return own
+
+
+def _batches(rows, schema: list[tuple[str, pa.DataType]], each: int = 4_096):
+    """Rows as record batches."""
+    part: list[tuple] = []
+    for r in rows:
+        part.append(r)
+        if len(part) == each:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*part, strict=True), schema, strict=True)], [n for n, _ in schema])
+            part = []
+    if part:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*part, strict=True), schema, strict=True)], [n for n, _ in schema])
+
+
+def _sliced(batches):
+    for b in batches:
+        for first in range(0, b.num_rows, AT_ONCE):
+            yield b.slice(first, AT_ONCE)
 
 
 def _nearest(shared):
@@ -131,23 +187,23 @@ def _nearest(shared):
 
     def run(batches):
         q: Questions = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
+        floor, most = NEAREST[q.deep], _Most(len(q.ids), 60 if q.deep else SEMANTIC)
+        graph = np.zeros(len(q.ids), bool)
+        for b in _sliced(batches):
             sim = q.similar(Lists.of(b.column("codes")))
             ids, updated = np.asarray(b.column("id")), np.asarray(b.column("updated"))
             live = updated[:, None] >= q.since[None, :]
-            graph = (q.distances(b.column("names").to_pylist()) < 9) & live
-            floor = NEAREST[q.deep]
-            out = []
-            for k, qid in enumerate(q.ids.tolist()):
-                at = np.flatnonzero(live[:, k] & (sim[:, k] >= floor))
-                at = at[np.lexsort((ids[at], -sim[at, k]))][: 60 if q.deep else SEMANTIC]
-                out += [(qid, int(ids[i]), float(sim[i, k]), False) for i in at.tolist()]
-                if graph[:, k].any():
-                    out.append((qid, None, None, True))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], ["question", "event", "sim", "graph"])
+            for i, own in enumerate(b.column("names").to_pylist()):
+                for name in own:
+                    for k, _ in q.nodes.get(name, ()):
+                        graph[k] |= live[i, k]
+            fits = live & (sim >= np.maximum(floor, most.floor)[None, :])
+            for k in np.flatnonzero(fits.any(0)).tolist():
+                at = np.flatnonzero(fits[:, k])
+                most.add(k, list(zip(sim[at, k].tolist(), ids[at].tolist(), strict=True)))
+        found = ((qid, i, v, False) for k, qid in enumerate(q.ids.tolist()) for v, i in most.cut(k))
+        yield from _batches(found, [("question", pa.int64()), ("event", pa.int64()), ("sim", pa.float64()), ("graph", pa.bool_())])
+        yield from _batches(((int(i), None, None, True) for i in q.ids[graph]), [("question", pa.int64()), ("event", pa.int64()), ("sim", pa.float64()), ("graph", pa.bool_())])
 
     return run
 
@@ -174,47 +230,55 @@ def _copies(q: Questions, tokens: Lists, flags: np.ndarray, fits: np.ndarray, co
 
 
 def _best(shared, page: int):
-    """Task: its page of events of each question, from the best on, behind where the question's last page ended."""
+    """Task: its page of events of each question, from the best on, behind where the question's last page ended. Only events that have a question's nodes, or are
+    near to it, are scored for it."""
 
     def run(batches):
         q: Questions = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
+        deep, most = int(q.deep), _Most(len(q.ids), page)
+        place, mine = {int(i): k for k, i in enumerate(q.ids)}, [{n["name"] for n in r["nodes"]} for r in q.rows]
+        end, last = np.asarray([x for x, _ in q.end], float), np.asarray([x for _, x in q.end], np.int64)
+        open_kind = np.isin(q.intent.astype(str), ("qa", "recommendation", "deep"))
+        for b in _sliced(batches):
             e = {c: np.asarray(b.column(c)) for c in ("id", "updated", "sources", "importance", "flags")} | {"theme": b.column("theme").to_pylist()}
             names, tokens = b.column("names").to_pylist(), Lists.of(b.column("tokens"))
-            sim, d = q.similar(Lists.of(b.column("codes"))), q.distances(names)
-            near, personal, place = np.zeros(d.shape, bool), np.zeros(d.shape), {int(i): k for k, i in enumerate(q.ids)}
-            for k, (i, said) in enumerate(zip(e["id"].tolist(), b.column("personal").to_pylist(), strict=True)):
-                near[k, q.near.get(i, [])] = True
-                for p in said or ():
-                    if p["question"] in place:
-                        personal[k, place[p["question"]]] = p["personal"]
-            matched = d < 9
-            distance = np.where(matched, d, 2)
-            score = _rounded(scores(q, e, sim, np.where(matched, d, 9), personal))
-            deep = int(q.deep)
-            fits = (matched | near) & (e["updated"][:, None] >= q.since[None, :]) & (score >= LEAST[deep])
-            apart = q.seeded[None, :] & ~matched
-            fits &= ~apart | ((sim >= APART[deep]) & ((sim >= FAR) | np.isin(q.intent, ("qa", "recommendation", "deep"))[None, :]))
-            fresh = np.clip(1.0 - np.maximum(0.0, (q.now - e["updated"]) / 60.0) / 336.0, 0.0, 1.0)
-            out = []
-            copies = _copies(q, tokens, e["flags"], fits)
-            for k, qid in enumerate(q.ids.tolist()):
-                end, last = q.end[k]
-                if end == -np.inf:
-                    continue
-                if q.told[k]:
-                    fits[:, k] &= ~np.any([copies[h] for h in q.told[k] if h in copies] or [np.zeros(len(fits), bool)], axis=0)
-                at = np.flatnonzero(fits[:, k] & ((score[:, k] < end) | ((score[:, k] == end) & (e["id"] > last))))
-                at = at[np.lexsort((e["id"][at], -score[at, k]))][:page]
-                mine = {n["name"] for n in q.rows[k]["nodes"]}
-                for i in at.tolist():
-                    shown = [n for n in names[i] if n in mine]
-                    out.append((qid, int(e["id"][i]), float(score[i, k]), float(sim[i, k]), int(distance[i, k]), shown, int(e["sources"][i]), float(fresh[i]), float(e["importance"][i]), tokens[i], int(e["flags"][i])))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.int32())
-            cols = list(zip(*out, strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in _HIT.split(", ")])
+            d = q.distances(names)
+            wanted = d < 9
+            for i, event in enumerate(e["id"].tolist()):
+                if event in q.near:
+                    wanted[i, q.near[event]] = True
+            wanted &= e["updated"][:, None] >= q.since[None, :]
+            rows = np.flatnonzero(wanted.any(1))
+            if not len(rows):
+                continue
+            sims = q.similar(Lists.of(b.column("codes")).take(rows))
+            at, k = np.nonzero(wanted[rows])
+            i, sim = rows[at], sims[at, k]
+            told = {}
+            if b.schema.field("personal").type != pa.null():
+                told = {(x, place[p["question"]]): p["personal"] for x, said in enumerate(b.column("personal").to_pylist()) for p in said or () if p["question"] in place}
+            personal = np.asarray([told.get(x, 0.0) for x in zip(i.tolist(), k.tolist(), strict=True)]) if told else np.zeros(len(i))
+            near_by = d[i, k]
+            matched = near_by < 9
+            score = _rounded(scores(q, e, i, k, sim, near_by, personal))
+            ok = (score >= LEAST[deep]) & (score >= most.floor[k]) & ((score < end[k]) | ((score == end[k]) & (e["id"][i] > last[k])))
+            ok &= ~(q.seeded[k] & ~matched) | ((sim >= APART[deep]) & ((sim >= FAR) | open_kind[k]))
+            fits = np.zeros(wanted.shape, bool)
+            fits[i[ok], k[ok]] = True
+            for h, copy_of in _copies(q, tokens, e["flags"], fits).items():
+                ok &= ~(copy_of[i] & np.asarray([h in x for x in q.told])[k])
+            distance, fresh = np.where(matched, near_by, 2), np.clip(1.0 - np.maximum(0.0, (q.now - e["updated"]) / 60.0) / 336.0, 0.0, 1.0)
+            sent: dict[int, np.ndarray] = {}
+            order = np.flatnonzero(ok)
+            for x in order[np.argsort(k[order], kind="stable")].tolist():
+                y, z = int(i[x]), int(k[x])
+                if y not in sent:
+                    sent[y] = tokens[y].copy()
+                shown = [n for n in names[y] if n in mine[z]]
+                most.add(z, [(float(score[x]), int(e["id"][y]), float(sim[x]), int(distance[x]), shown, int(e["sources"][y]), float(fresh[y]), float(e["importance"][y]), sent[y], int(e["flags"][y]))])
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.int32())
+        found = ((qid, r[1], r[0], *r[2:]) for k, qid in enumerate(q.ids.tolist()) for r in most.cut(k))
+        yield from _batches(found, list(zip([x.split()[0] for x in _HIT.split(", ")], kinds, strict=True)))
 
     return run
 
@@ -281,9 +345,9 @@ def ranked(events: DataFrame, questions: DataFrame, write: Write, now: int, limi
             i = place[r["question"]]
             if deep or rows[i]["intent"] in ("recommendation", "qa", "deep") or r["question"] not in with_nodes:
                 q.near.setdefault(r["event"], []).append(i)
-        limits, told, turn = {r["id"]: limit for r in rows}, {}, 0
+        limits, told, turn, asking = {r["id"]: limit for r in rows}, {}, 0, q
         while True:
-            shared = spark.sparkContext.broadcast(q)
+            shared = spark.sparkContext.broadcast(asking)
             order = Window.partitionBy("question").orderBy(F.desc("score"), "event")
             hits = write(events.mapInArrow(_best(shared, page), _HIT).withColumn("k", F.row_number().over(order)).where(F.col("k") <= page).drop("k"), f"page-{k}-{turn}")
             kept = write(hits.groupBy("question").applyInArrow(_kept(limits, told, config), _HIT), f"kept-{k}-{turn}")
@@ -305,6 +369,7 @@ def ranked(events: DataFrame, questions: DataFrame, write: Write, now: int, limi
                         q.told_hits.append((np.asarray(own, np.int64), f))
                     q.told[place[i]].append(hit_at[key])
             q.end = [full[r["id"]] if r["id"] in more else (-np.inf, 0) for r in rows]
+            asking = q.only(sorted(place[i] for i in more))
             turn += 1
     if not found:
         return None

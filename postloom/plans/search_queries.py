@@ -47,13 +47,18 @@ def _parts(spark, d):
     return e, G.mentioned_nodes(spark, p).select("id", "name"), q
 
 
-def _searched(spark, d, user: bool):
-    """(hits, questions as asked, events)."""
+def _inputs(spark, d):
+    """(writer, events, questions, questions as asked, searchable events), kept: all searches of a query share them."""
     keep = keeper(spark)
     e, mentions, q = _parts(spark, d)
     e, mentions = keep(e, "events"), keep(mentions, "mentions")
     edges = G.weighted(G.cooccurrence(mentions.select(F.col("id").alias("event_id"), F.col("name").alias("node_id"))))
-    asked = S.asked(q, edges, NOW)
+    return keep, e, q, keep(S.asked(q, edges, NOW), "asked"), keep(S.searchable(e, mentions), "searchable")
+
+
+def _searched(spark, d, user: bool, inputs=None):
+    """(hits, questions as asked, events)."""
+    keep, e, q, asked, searchable = inputs or _inputs(spark, d)
     personal = None
     if user:
         themes = E.word_list(V.THEMES)
@@ -61,9 +66,8 @@ def _searched(spark, d, user: bool):
         asked = asked.withColumn("enabled", F.expr(f"if(id div 100 % 4 = 0, cast(array() as array<string>), slice(array({themes}), 1, 5))"))
         s = R.user_states(actions(spark, d)).select("user_id", F.col("news_id").alias("event"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("personal") + 2) / 6.0)).alias("personal"))
         personal = q.select(F.col("id").alias("question"), F.expr("id div 100 % 50").alias("user_id")).join(s, "user_id").select("question", "event", "personal")
-    asked = keep(asked, "asked")
-    hits = S.ranked(keep(S.searchable(e, mentions), "searchable"), asked, keep, NOW, personal=personal)
-    return hits, asked, e
+    within = lambda df, name: keep(df, f"{'own' if user else 'every'}-{name}")
+    return S.ranked(searchable, asked, within, NOW, personal=personal), asked, e
 
 
 def _sql(user: bool) -> str:
@@ -150,7 +154,8 @@ def search_answers(spark, d):
 )
 def search_external(spark, d):
     """Hits of each question among all events that its user's own search does not show."""
-    own, _, _ = _searched(spark, d, True)
-    every, asked, _ = _searched(spark, d, False)
+    inputs = _inputs(spark, d)
+    own, _, _ = _searched(spark, d, True, inputs)
+    every, asked, _ = _searched(spark, d, False, inputs)
     extra = every.select("question", "event").join(own.select("question", "event"), ["question", "event"], "left_anti").groupBy("question").agg(F.count(F.lit(1)).alias("n"))
     return asked.select(F.col("id").alias("question")).join(extra, "question", "left").select("question", F.coalesce("n", F.lit(0)).alias("external"))

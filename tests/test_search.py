@@ -115,3 +115,23 @@ def test_copies_take_no_pages_of_their_own(spark):
     hits = S.ranked(events, asked, write, NOW, page=8).where("question = 1").orderBy("place").collect()
     assert [h["event"] for h in hits] == [0, 1000, 1001, 1002, 1003]
     assert len([n for n in names if n.startswith("page-")]) <= 3
+
+
+def test_a_task_sends_one_page_a_question(spark):
+    """However many batches and slices a task reads, it sends its nearest events and its page of a question once, the best of all of them."""
+    from types import SimpleNamespace
+
+    from postloom.config import DEFAULT
+    from postloom.operators.matching import Lists
+
+    e, mentions = small(spark, n=1_500)
+    asked = S.asked(spark.createDataFrame(QUESTIONS, "id long, text string"), spark.createDataFrame(EDGES, "a string, b string, weight double"), NOW).toArrow()
+    table = S.searchable(e, mentions).withColumn("personal", F.lit(None).cast("array<struct<question:long,personal:double>>")).toArrow().combine_chunks()
+    q = S.Questions(asked.drop_columns(["codes"]).to_pylist(), Lists.of(asked["codes"]), DEFAULT, NOW, False)
+    for task, most, sort in ((S._nearest, S.SEMANTIC, lambda r: (-r["sim"], r["event"])), (lambda s: S._best(s, 8), 8, lambda r: (-r["score"], r["event"]))):
+        once, parts = ([r for b in task(SimpleNamespace(value=q))(batches) for r in b.to_pylist() if not r.get("graph")] for batches in (table.to_batches(), table.to_batches(max_chunksize=70)))
+        assert sorted(map(str, once)) == sorted(map(str, parts)) and once
+        whole = [r for b in table.to_batches(max_chunksize=1) for x in task(SimpleNamespace(value=q))([b]) for r in x.to_pylist() if not r.get("graph")]
+        for k in q.ids.tolist():
+            mine = [r for r in once if r["question"] == k]
+            assert [r["event"] for r in sorted(mine, key=sort)] == [r["event"] for r in sorted((r for r in whole if r["question"] == k), key=sort)[:most]]
